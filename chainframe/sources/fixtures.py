@@ -145,9 +145,32 @@ SELECT CAST(event_id AS BIGINT) AS id, ts,
   CAST(round(value * 100) AS BIGINT) AS price_cents
 FROM {{events}} WHERE event_type IN ('view', 'purchase')""")
 
+
+# token registry: every part row is one token record (20 addresses, many versions each);
+# the latest version per address is the token dimension
+_fixture("token_registry", ("part",), f"""
+SELECT {_addr('tok', 'p_partkey % 20')} AS address, CAST(p_partkey AS BIGINT) AS blknum,
+  upper(substr(p_brand, 7, 2)) || CAST(p_partkey % 20 AS STRING) AS symbol,
+  p_name AS name,
+  CASE WHEN p_size % 9 = 0 THEN NULL ELSE CAST(p_size % 19 AS INT) END AS decimals,
+  p_size % 7 = 3 AS is_proxy,
+  CASE WHEN p_size % 7 = 3 THEN {_addr('tok', '(p_partkey + 1) % 20')} ELSE NULL END AS upstream
+FROM {{part}}""")
+
+# JSON-RPC block replies landed as text, one per order (every 13th reply is empty)
+_fixture("block_json", ("orders",), """
+SELECT o_orderkey AS id,
+  CASE WHEN o_orderkey % 13 = 0 THEN '{"result":null}'
+  ELSE '{"result":{"number":"0x' || lower(hex(o_orderkey)) || '","timestamp":"0x'
+       || lower(hex({epoch_open}o_orderdate))) || '","hash":"0x' || md5('blk' || CAST(o_orderkey AS STRING))
+       || '","miner":"0x' || md5('m' || CAST(o_custkey % 50 AS STRING)) || '"}}' END AS json
+FROM {orders}""")
+
 ENGINE_TOKENS = {
-    "spark": {"fanout3": "explode(array(0, 1, 2))"},
-    "duckdb": {"fanout3": "unnest([0, 1, 2])"},
+    "spark": {"fanout3": "explode(array(0, 1, 2))",
+              "epoch_open": "timestampdiff(SECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', "},
+    "duckdb": {"fanout3": "unnest([0, 1, 2])",
+               "epoch_open": "date_diff('second', TIMESTAMP '1970-01-01 00:00:00', "},
 }
 
 
@@ -172,6 +195,10 @@ def load(spark: SparkSession, sf_dir: str, name: str, _memo: dict | None = None)
         text = SQL[name]
         for tok, val in ENGINE_TOKENS["spark"].items():
             text = text.replace("{" + tok + "}", val)
+        # spark.sql formats the text: escape literal braces, keep the frame placeholders
+        text = text.replace("{", "{{").replace("}", "}}")
+        for d in frames:
+            text = text.replace("{{" + d + "}}", "{" + d + "}")
         df = spark.sql(text, **frames)
     memo[name] = df
     return df
@@ -194,8 +221,12 @@ def _closure(names) -> list[str]:
 
 def duckdb_sql(name: str) -> str:
     """DuckDB text of one fixture with table placeholders resolved to plain names."""
-    names = {d: d for d in DEPS[name]}
-    return SQL[name].format(**names, **ENGINE_TOKENS["duckdb"])
+    text = SQL[name]
+    for tok, val in ENGINE_TOKENS["duckdb"].items():
+        text = text.replace("{" + tok + "}", val)
+    for d in DEPS[name]:
+        text = text.replace("{" + d + "}", d)
+    return text
 
 
 def with_fixtures(sql: str, uses: tuple[str, ...]) -> str:
