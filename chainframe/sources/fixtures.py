@@ -166,6 +166,67 @@ SELECT o_orderkey AS id,
        || '","miner":"0x' || md5('m' || CAST(o_custkey % 50 AS STRING)) || '"}}' END AS json
 FROM {orders}""")
 
+
+# one trace per order; finished/open orders create contracts whose bytecode carries PUSH4
+# selectors (full ERC-20 set, full ERC-721 set, a PUSH32 constant hiding selectors, none)
+_ERC20_CODE = "'6318160ddd14' || '6370a0823114' || '63a9059cbb14' || '6323b872dd14' || '63095ea7b314' || '63dd62ed3e14'"
+_ERC721_CODE = ("'6370a0823114' || '636352211e14' || '6342842e0e14' || '63b88d4fde14' || '6323b872dd14' || "
+                "'63095ea7b314' || '63a22cb46514' || '63081812fc14' || '63e985e9c514'")
+_fixture("evm_traces", ("orders",), f"""
+SELECT o_orderdate AS block_timestamp, o_orderkey AS blknum, {_hash64('ctx', 'o_orderkey')} AS txhash,
+  CAST(0 AS BIGINT) AS txpos, {_addr('u', 'o_custkey')} AS from_address, {_addr('c', 'o_orderkey')} AS to_address,
+  '0' AS value, '0x6080604052' || lower(hex(o_custkey)) AS input,
+  CASE o_custkey % 4 WHEN 0 THEN '0x6080604052' || {_ERC20_CODE} || '00'
+    WHEN 1 THEN '0x6080604052' || {_ERC721_CODE} || '00'
+    WHEN 2 THEN '0x6080604052' || '63a9059cbb14' || '7f' || rpad('63095ea7b363dd62ed3e6318160ddd', 64, '0') || '00'
+    ELSE '0x600160020160005260206000f3' END AS output,
+  CASE WHEN o_orderstatus = 'F' THEN 'create' WHEN o_orderstatus = 'O' THEN 'create2' ELSE 'call' END AS trace_type,
+  '' AS trace_address,
+  CAST(CASE WHEN o_orderpriority = '5-LOW' THEN 0 ELSE 1 END AS INT) AS status
+FROM {{orders}}""")
+
+# ERC-721 transfer logs: one per line item, token id = part key
+_fixture("nft_logs", ("lineitem",), f"""
+SELECT l_shipdate AS block_timestamp, l_orderkey AS blknum,
+  '0x' || md5('nft' || CAST(l_orderkey AS STRING) || '-' || CAST(l_linenumber AS STRING)) || md5('nft#' || CAST(l_orderkey AS STRING) || '-' || CAST(l_linenumber AS STRING)) AS txhash,
+  CAST(l_linenumber AS BIGINT) AS txpos, CAST(l_linenumber AS INT) AS logpos,
+  {_addr('nftc', 'l_suppkey % 10')} AS address, CAST(4 AS INT) AS n_topics,
+  '[{TRANSFER_TOPIC},0x' || lpad(substr({_addr('u', 'l_suppkey')}, 3), 64, '0') || ',0x'
+    || lpad(substr({_addr('u', 'l_partkey % 150')}, 3), 64, '0') || ',0x' || lpad(lower(hex(l_partkey)), 64, '0') || ']' AS topics,
+  '0x' AS data
+FROM {{lineitem}}""")
+
+TRANSFER_SINGLE = "0xc3d58168c5ae7397731d063d5bbf3d657854427343f4c083240f7aacaa2d0f62"
+TRANSFER_BATCH = "0x4a39dc06d4c0dbc64b70af90fd698a233a518aa5d07e595d983b8c0526c8f7fb"
+_W = "lpad(lower(hex(CAST({x} AS BIGINT))), 64, '0')"
+_fixture("erc1155_logs", ("lineitem",), f"""
+SELECT l_shipdate AS block_timestamp, l_orderkey AS blknum,
+  '0x' || md5('mt' || CAST(l_orderkey AS STRING) || '-' || CAST(l_linenumber AS STRING)) || md5('mt#' || CAST(l_orderkey AS STRING) || '-' || CAST(l_linenumber AS STRING)) AS txhash,
+  CAST(l_linenumber AS BIGINT) AS txpos, CAST(l_linenumber AS INT) AS logpos,
+  {_addr('mt', 'l_partkey % 5')} AS address, CAST(4 AS INT) AS n_topics,
+  '[' || CASE WHEN l_returnflag = 'N' THEN '{TRANSFER_SINGLE}' ELSE '{TRANSFER_BATCH}' END
+    || ',0x' || lpad(substr({_addr('op', 'l_suppkey % 3')}, 3), 64, '0')
+    || ',0x' || lpad(substr({_addr('u', 'l_suppkey')}, 3), 64, '0')
+    || ',0x' || lpad(substr({_addr('u', 'l_partkey % 150')}, 3), 64, '0') || ']' AS topics,
+  '0x' || CASE WHEN l_returnflag = 'N' THEN {_W.format(x='l_partkey')} || {_W.format(x='l_quantity')}
+    ELSE {_W.format(x='64')} || {_W.format(x='160')} || {_W.format(x='2')} || {_W.format(x='l_partkey')}
+      || {_W.format(x='l_suppkey')} || {_W.format(x='2')} || {_W.format(x='l_quantity')} || {_W.format(x='l_linenumber')} END AS data
+FROM {{lineitem}}""")
+
+# function signatures: one per part; selectors shared by parts of the same type
+_fixture("func_signs", ("part",), """
+SELECT '0x' || substr(md5(p_type), 1, 8) AS byte_sign,
+  lower(replace(p_name, ' ', '_')) || '(address,uint256)' AS text_sign,
+  '{"name":"' || lower(replace(p_name, ' ', '_')) || '","type":"function","inputs":[{"name":"to","type":"address"},{"name":"amount","type":"uint256"}]}' AS abi,
+  CAST(p_size AS INT) AS score
+FROM {part}""")
+
+# mempool snapshot: every transaction seen 30 s before its block; mined set = second load
+_fixture("txpools", ("txs_a",), """
+SELECT block_timestamp - INTERVAL '30' SECOND AS block_timestamp, txhash, nonce, from_address, to_address, value,
+  CASE WHEN nonce % 3 = 0 THEN 'queued' ELSE 'pending' END AS pool_type
+FROM {txs_a}""")
+
 ENGINE_TOKENS = {
     "spark": {"fanout3": "explode(array(0, 1, 2))",
               "epoch_open": "timestampdiff(SECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', "},
@@ -235,6 +296,8 @@ def with_fixtures(sql: str, uses: tuple[str, ...]) -> str:
     if not ctes:
         return sql
     body = sql.lstrip()
+    if body[:14].upper() == "WITH RECURSIVE":
+        return "WITH RECURSIVE " + ",\n".join(ctes) + ",\n" + body[14:].lstrip()
     if body[:4].upper() == "WITH":
         return "WITH " + ",\n".join(ctes) + ",\n" + body[4:].lstrip()
     return "WITH " + ",\n".join(ctes) + "\n" + body
