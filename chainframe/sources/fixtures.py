@@ -227,6 +227,26 @@ SELECT block_timestamp - INTERVAL '30' SECOND AS block_timestamp, txhash, nonce,
   CASE WHEN nonce % 3 = 0 THEN 'queued' ELSE 'pending' END AS pool_type
 FROM {txs_a}""")
 
+
+# price quotes from two providers (views → cgc, purchases → cmc) for source reconciliation
+_fixture("price_quotes", ("events",), f"""
+SELECT CASE WHEN event_type = 'view' THEN 'cgc' ELSE 'cmc' END AS source, ts,
+  {_addr('tok', 'user_id % 20')} AS token_address, CAST(round(value * 100) AS BIGINT) AS price_cents
+FROM {{events}} WHERE event_type IN ('view', 'purchase')""")
+
+# UTXO chain: every line item is an output of its order's transaction; every order that is
+# not 'P' (coinbase) spends output 0 of the previous order's transaction
+_fixture("btc_traces", ("lineitem", "orders"), f"""
+SELECT o.o_orderdate AS block_timestamp, l.l_orderkey AS blknum, {_hash64('btx', 'l.l_orderkey')} AS txhash,
+  o.o_orderstatus = 'P' AS is_coinbase, false AS is_in, CAST(NULL AS STRING) AS pxhash,
+  CAST(l.l_linenumber - 1 AS INT) AS vout_idx, {_addr('b', 'l.l_suppkey')} AS address,
+  CAST(round(l.l_extendedprice * 100) AS BIGINT) AS value
+FROM {{lineitem}} l JOIN {{orders}} o ON l.l_orderkey = o.o_orderkey
+UNION ALL
+SELECT o_orderdate, o_orderkey, {_hash64('btx', 'o_orderkey')}, false, true, {_hash64('btx', 'o_orderkey - 1')},
+  CAST(0 AS INT), CAST(NULL AS STRING), CAST(0 AS BIGINT)
+FROM {{orders}} WHERE o_orderstatus <> 'P' AND o_orderkey > 0""")
+
 ENGINE_TOKENS = {
     "spark": {"fanout3": "explode(array(0, 1, 2))",
               "epoch_open": "timestampdiff(SECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', "},
