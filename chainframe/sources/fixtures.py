@@ -247,6 +247,31 @@ SELECT o_orderdate, o_orderkey, {_hash64('btx', 'o_orderkey')}, false, true, {_h
   CAST(0 AS INT), CAST(NULL AS STRING), CAST(0 AS BIGINT)
 FROM {{orders}} WHERE o_orderstatus <> 'P' AND o_orderkey > 0""")
 
+
+# contract calls: transfer(address,uint256) payloads to the 20 token contracts; error events
+# carry a truncated payload, click events a dirty address padding
+_GOOD_CALL = ("'0xa9059cbb' || lpad(substr(" + _addr('u', 'user_id * 3 % 150') + ", 3), 64, '0')"
+              " || lpad(lower(hex(CAST(round(value * 100) AS BIGINT))), 64, '0')")
+_fixture("abi_txs", ("events",), f"""
+SELECT ts AS block_timestamp, {_hash64('tx', 'event_id')} AS txhash, {_addr('tok', 'user_id % 20')} AS to_address,
+  CASE WHEN event_type = 'error' THEN substr({_GOOD_CALL}, 1, 74)
+       WHEN event_type = 'click' THEN '0xa9059cbb' || 'ff' || substr({_GOOD_CALL}, 13)
+       ELSE {_GOOD_CALL} END AS input
+FROM {{events}}""")
+
+_TRANSFER_FN = '{"name":"transfer","type":"function","inputs":[{"name":"to","type":"address"},{"name":"amount","type":"uint256"}]}'
+_TRANSFER_EV = ('{"name":"Transfer","type":"event","inputs":[{"name":"from","type":"address","indexed":true},'
+                '{"name":"to","type":"address","indexed":true},{"name":"value","type":"uint256","indexed":false}]}')
+# signatures known for 15 of the 20 token contracts (function and event ABIs)
+_fixture("abi_sigs", ("part",), f"""
+SELECT DISTINCT {_addr('tok', 'p_partkey % 20')} AS address, '0xa9059cbb' AS byte_sign,
+  '{_TRANSFER_FN}' AS abi, 'transfer(address to, uint256 amount)' AS prototype
+FROM {{part}} WHERE p_partkey % 20 < 15
+UNION ALL
+SELECT DISTINCT {_addr('tok', 'p_partkey % 20')}, '{TRANSFER_TOPIC}', '{_TRANSFER_EV}',
+  'Transfer(address from, address to, uint256 value)'
+FROM {{part}} WHERE p_partkey % 20 < 15""")
+
 ENGINE_TOKENS = {
     "spark": {"fanout3": "explode(array(0, 1, 2))",
               "epoch_open": "timestampdiff(SECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', "},
