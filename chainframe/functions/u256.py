@@ -150,7 +150,14 @@ def hex_to_u256(col, strict: bool = False) -> Column:
         return _normalize(raw)["o"]
 
     limbs = F.aggregate(words, init, step)
-    out = _render(F.struct(zero.alias("c"), limbs.alias("o")))
+    slow = _render(F.struct(zero.alias("c"), limbs.alias("o")))
+    # fast path: < 2^124 (31 significant hex digits) fits DECIMAL(38,0): hi·2^64 + lo, codegen'd
+    sig = F.regexp_replace(body, r"^0+", "")
+    p32 = F.lpad(sig, 32, "0")
+    hi = F.conv(F.substring(p32, 1, 16), 16, 10).cast(DEC)
+    lo = F.conv(F.substring(p32, 17, 16), 16, 10).cast(DEC)
+    fast = (hi * two64 + lo).cast(DEC).cast("string")
+    out = F.when(F.length(sig) <= 31, fast).otherwise(slow)
     if strict:
         return F.when(c.isNull(), None).when(valid, out).otherwise(
             F.raise_error(F.concat(F.lit("invalid hex for uint256: "), c)))

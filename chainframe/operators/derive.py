@@ -89,37 +89,35 @@ def _small_int(w: Column) -> Column:
 def erc1155_transfers(logs: DataFrame, tokens: DataFrame | None = None) -> DataFrame:
     """TransferSingle / TransferBatch (operator, from, to indexed).
 
-    Batch payloads hold two dynamic arrays addressed by byte offsets; both are read with
-    ``transform(sequence(...))`` over word slices and zipped, then ``posexplode`` gives
-    ``id_pos`` (0-based) and ``id_cnt``. All native, no Python."""
+    Batch payloads hold two dynamic arrays addressed by byte offsets. Positions are exploded
+    first (``posexplode(sequence(0, n-1))``) and each id/value word is sliced and converted
+    once per output row; all native, no Python. ``id_pos`` is 0-based; batches whose two
+    arrays differ in length produce no rows."""
     arr = E.split_topics(F.col("topics"))
     b = (logs.filter((F.col("n_topics") == 4) & F.element_at(arr, 1).isin(E.TRANSFER_SINGLE_TOPIC, E.TRANSFER_BATCH_TOPIC))
          .withColumn("__t", arr).withColumn("__d", E.strip0x(F.col("data"))))
-    is_batch = F.element_at("__t", 1) == F.lit(E.TRANSFER_BATCH_TOPIC)
     d = F.col("__d")
-    ids_at = _small_int(E.word(d, 0)) / 32
-    vals_at = _small_int(E.word(d, 1)) / 32
-    n_ids = _small_int(E.word_at(d, ids_at.cast("long")))
-    n_vals = _small_int(E.word_at(d, vals_at.cast("long")))
-
-    def read(at, n):
-        return F.transform(F.sequence(F.lit(1).cast("long"), n),
-                           lambda i: U.hex_to_u256(E.word_at(d, at.cast("long") + i)))
-
-    single = F.array(F.struct(U.hex_to_u256(E.word(d, 0)).alias("id"), U.hex_to_u256(E.word(d, 1)).alias("v")))
-    batch = F.when(n_ids == n_vals, F.arrays_zip(read(ids_at, n_ids).alias("id"), read(vals_at, n_vals).alias("v")))
-    x = b.select(
+    is_batch = F.element_at("__t", 1) == F.lit(E.TRANSFER_BATCH_TOPIC)
+    ids_at = (_small_int(E.word(d, 0)) / 32).cast("long")
+    vals_at = (_small_int(E.word(d, 1)) / 32).cast("long")
+    n_ids = _small_int(E.word_at(d, ids_at))
+    n_vals = _small_int(E.word_at(d, vals_at))
+    n = F.when(~is_batch, F.lit(1).cast("long")).when(n_ids == n_vals, n_ids).otherwise(F.lit(0).cast("long"))
+    x = b.select("*", is_batch.alias("__batch"), ids_at.alias("__ia"), vals_at.alias("__va"), n.alias("id_cnt"))
+    x = x.filter(F.col("id_cnt") >= 1).select("*", F.posexplode(F.sequence(F.lit(0).cast("long"), F.col("id_cnt") - 1))
+                                              .alias("id_pos", "__p"))
+    pos = F.col("id_pos").cast("long")
+    id_word = F.when(F.col("__batch"), E.word_at(d, F.col("__ia") + 1 + pos)).otherwise(E.word(d, 0))
+    val_word = F.when(F.col("__batch"), E.word_at(d, F.col("__va") + 1 + pos)).otherwise(E.word(d, 1))
+    x = x.select(
         "block_timestamp", "blknum", "txhash", "txpos", F.col("logpos").cast("long").alias("logpos"),
         F.col("address").alias("token_address"),
         E.topic_address(F.element_at("__t", 2)).alias("operator"),
         E.topic_address(F.element_at("__t", 3)).alias("from_address"),
         E.topic_address(F.element_at("__t", 4)).alias("to_address"),
-        F.when(is_batch, F.lit("batch")).otherwise(F.lit("single")).alias("xfer_type"),
-        F.when(is_batch, batch).otherwise(single).alias("__pairs"),
-    )
-    x = x.select("*", F.posexplode("__pairs").alias("id_pos", "__p")).select(
-        *[c for c in x.columns if c != "__pairs"], F.col("id_pos").cast("long").alias("id_pos"),
-        F.size("__pairs").cast("long").alias("id_cnt"), F.col("__p.id").alias("token_id"), F.col("__p.v").alias("value"))
+        F.when(F.col("__batch"), F.lit("batch")).otherwise(F.lit("single")).alias("xfer_type"),
+        pos.alias("id_pos"), F.col("id_cnt").cast("long").alias("id_cnt"),
+        U.hex_to_u256(id_word).alias("token_id"), U.hex_to_u256(val_word).alias("value"))
     x = with_token_meta(x, tokens, ("name", "symbol"))
     return x.withColumn("item_id", item_id("erc1155_xfer", "txhash", "logpos", "id_pos"))
 
