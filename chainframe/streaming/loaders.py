@@ -57,7 +57,14 @@ def load_stream(spark: SparkSession, source: str, schema: T.StructType, target:
 def mempool_stream(pool: DataFrame, retention: str = "6 hours") -> DataFrame:
     """Mempool rows deduplicated per hash within a 6-hour event-time watermark; state for
     older hashes is dropped, matching the table's retention."""
-    return pool.withWatermark("block_timestamp", retention).dropDuplicatesWithinWatermark(["txhash"])
+    return (with_event_time(pool, "block_timestamp").withWatermark("__event_time", retention)
+            .dropDuplicatesWithinWatermark(["txhash"]).drop("__event_time"))
+
+
+def with_event_time(df: DataFrame, col: str) -> DataFrame:
+    """Watermarks need TIMESTAMP; chain times are TIMESTAMP_NTZ. The cast is a constant
+    shift in a fixed-offset session zone (UTC here), so watermark delays are unchanged."""
+    return df.withColumn("__event_time", F.col(col).cast("timestamp"))
 
 
 def balances_stream(spark: SparkSession, xfers: DataFrame, state_path: str, checkpoint: str):
@@ -130,6 +137,6 @@ def alert_stream(active: DataFrame, for_seconds: int, step_seconds: int, waterma
         state.setTimeoutTimestamp((last + 2 * step_us) // 1000)
         yield pd.DataFrame(rows, columns=[f.name for f in ALERT_OUT.fields])
 
-    return (active.withWatermark("eval_ts", watermark)
+    return (with_event_time(active, "eval_ts").withWatermark("__event_time", watermark)
             .groupBy("rule_id", "series_key")
             .applyInPandasWithState(fn, ALERT_OUT, ALERT_STATE, "append", GroupStateTimeout.EventTimeTimeout))
