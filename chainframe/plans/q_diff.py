@@ -130,3 +130,19 @@ def scan_blocks(spark, sf_dir):
     ts = F.col("block_timestamp")
     return b.filter((ts >= F.lit("1990-01-01").cast("timestamp_ntz")) & (ts < F.lit("2010-01-01").cast("timestamp_ntz"))) \
         .select("block_timestamp", "blknum", "blkhash", "miner", "gas_used")
+
+
+@query("diff_csv_roundtrip", _oracle_ab("blocks") + """SELECT strftime(slice_start, '%Y%m%d%H%M%S') || '-'
+  || strftime(slice_start + INTERVAL 1 HOUR, '%Y%m%d%H%M%S') AS slice, a_blknum, reason FROM cls WHERE is_diff""",
+       ("blocks_a", "blocks_b"))
+def diff_csv_roundtrip(spark, sf_dir):
+    """S3: the block diff detail written as one CSV folder per slice (header on) under the
+    shared checkpoint folder, then read back."""
+    import uuid
+
+    from chainframe.session import scratch_path
+
+    path = scratch_path(spark, f"diff_csv/{uuid.uuid4().hex}")
+    D.write_diff_csv(D.diff_detail(joined(spark, sf_dir, "blocks"), D.BLOCK, limit=None), path)
+    back = spark.read.option("header", True).csv(path)
+    return back.select(F.col("slice").cast("string").alias("slice"), F.col("a_blknum").cast("long").alias("a_blknum"), "reason")

@@ -258,3 +258,21 @@ def dump_stalled(spark, sf_dir):
     signup = M.select(m, "requests_total", [("job", "=", "signup")])
     left = V.vector_and(M.instant(not_signup, G), V.compare(M.rate(not_signup, "1h", G), "<=", 0))
     return out(V.vector_or(left, V.compare(M.rate(signup, "1h", G), "<=", 0)))
+
+
+@query("chain_lag", f"""
+WITH h AS (SELECT block_timestamp AS ts FROM txs_a),
+g AS ({GRID_SQL})
+SELECT g.t AS eval_ts, round(CAST(date_diff('second', TIMESTAMP '1970-01-01', g.t) AS DOUBLE)
+  - max(CAST(date_diff('second', TIMESTAMP '1970-01-01', h.ts) AS DOUBLE)), 6) AS value
+FROM g JOIN h ON h.ts >= g.t - to_seconds(3600) AND h.ts <= g.t GROUP BY g.t""", ("txs_a",))
+def chain_lag(spark, sf_dir):
+    """Dump freshness — ``time() - max_over_time(chain_head_timestamp[1h])`` per step."""
+    t = FX.load(spark, sf_dir, "txs_a")
+    epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    head = t.select(F.col("block_timestamp").alias("ts"),
+                    F.timestamp_diff("SECOND", epoch, F.col("block_timestamp")).cast("double").alias("v"))
+    m = metrics_frame(head, "chain_head_timestamp", [], "ts", "v")
+    mx = M.max_over_time(m, "1h", G)
+    now = F.timestamp_diff("SECOND", epoch, F.col("eval_ts")).cast("double")
+    return mx.select("eval_ts", F.round(now - F.col("value"), 6).alias("value"))
