@@ -8,9 +8,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from chainframe.llm.bpe import encode_documents
 from chainframe.llm.exact_dedup import exact_groups
+from chainframe.llm.fingerprint import edited_fingerprints
 from chainframe.llm.text import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -27,6 +30,17 @@ def _query(name: str, sql: str | None = None):
     return deco
 
 
+@_query("op1_fingerprints")
+def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edited_fingerprints(documents(spark, sf_dir))
+
+
+@_query("op2_byte_bpe")
+def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_documents(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"),
+                            public_tokenizers.PATTERN, with_ids=False)
+
+
 _EXACT_SQL = r"""
 WITH n AS (
   SELECT doc_id, length(coalesce(text, '')) AS n,
