@@ -14,7 +14,12 @@ from pyspark.sql import DataFrame, SparkSession
 from chainframe.llm.bpe import encode_documents
 from chainframe.llm.exact_dedup import exact_groups
 from chainframe.llm.fingerprint import edited_fingerprints
+from chainframe.llm.packing import pack_documents
+from chainframe.llm.ppm import score_documents
+from chainframe.llm.quality import classify
+from chainframe.llm.sharding import shard_documents
 from chainframe.llm.text import documents
+from chainframe.llm.token_files import token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -55,3 +60,30 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(norm) AS te
 @_query("op4_exact_dedup", _EXACT_SQL)
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(documents(spark, sf_dir))
+
+
+@_query("op6_best_fit_packing")
+def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"),
+                          public_tokenizers.PATTERN, capacity=2048, end_id=0)
+
+
+@_query("op7_quality")
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+@_query("op8_sharding")
+def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard_documents(documents(spark, sf_dir), shards=24)
+
+
+@_query("op9_token_files")
+def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"),
+                       public_tokenizers.PATTERN, end_id=2)
+
+
+@_query("op10_ppm_scoring")
+def op10_ppm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(documents(spark, sf_dir))
