@@ -134,7 +134,8 @@ class ChunkEncoder:
 
 
 def slices(batch: pa.RecordBatch, column: str = "text", most_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
-    """A batch in runs of rows of at most ``most_bytes`` of text (a longer text alone)."""
+    """A batch in runs of rows of at most ``most_bytes`` of text (a longer text alone). Runs are
+    copies: some string kernels misread arrays whose first offset is not 0."""
     if not batch.num_rows:
         return
     size = pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False)
@@ -143,7 +144,7 @@ def slices(batch: pa.RecordBatch, column: str = "text", most_bytes: int = 8 << 2
     while at < len(size):
         done = upto[at - 1] if at else 0
         end = max(at + 1, int(np.searchsorted(upto, done + most_bytes, side="right")))
-        yield batch.slice(at, end - at)
+        yield batch.take(pa.array(np.arange(at, end)))
         at = end
 
 
