@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from chainframe.llm.bpe import encode_documents
 from chainframe.llm.exact_dedup import exact_groups
 from chainframe.llm.fingerprint import edited_fingerprints
+from chainframe.llm.ngram_join import linked_components
 from chainframe.llm.packing import pack_documents
 from chainframe.llm.ppm import score_documents
 from chainframe.llm.quality import classify
@@ -46,6 +47,11 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
                             public_tokenizers.PATTERN, with_ids=False)
 
 
+@_query("op3_ngram_jaccard")
+def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linked_components(documents(spark, sf_dir), width=3, num=90, den=100)
+
+
 _EXACT_SQL = r"""
 WITH n AS (
   SELECT doc_id, length(coalesce(text, '')) AS n,
