@@ -162,7 +162,7 @@ def _features_of(rows: DataFrame) -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, most_bytes=2 << 20):
                 x = features(part.column("text"))
                 flat = pa.array(x.ravel())
                 yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(
@@ -213,7 +213,7 @@ def scored(docs: DataFrame, model: Network | float) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = bound.value
         for batch in batches:
-            for part in slices(batch, name):
+            for part in slices(batch, name, 2 << 20):
                 x = features(pc.fill_null(part.column(name), ""))
                 p = np.full(len(x), net) if isinstance(net, float) else net.probability(x)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(np.clip(p, 0.0, 1.0))],
