@@ -93,4 +93,4 @@ def exact_groups(docs: DataFrame, salts: int = 32, digest: Callable[[Column], Co
 def drop_copies(docs: DataFrame, salts: int = 32) -> DataFrame:
     """The documents that stay, with all their columns."""
     kept = exact_groups(docs, salts).filter("kept").select(F.col("doc_id").alias("_kept_id"))
-    return docs.join(kept, docs["doc_id"].eqNullSafe(F.col("_kept_id")), "left_semi")
+    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept_id"]), "left_semi")

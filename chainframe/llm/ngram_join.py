@@ -241,4 +241,4 @@ def keep_one_of_each(docs: DataFrame, width: int = 3, num: int = 90, den: int =
     """The document with the smallest doc_id of each component, with all columns."""
     kept = (linked_components(docs, width, num, den).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
             .select(F.col("doc_id").alias("_kept_id")))
-    return docs.join(kept, docs["doc_id"].eqNullSafe(F.col("_kept_id")), "left_semi")
+    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept_id"]), "left_semi")

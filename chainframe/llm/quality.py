@@ -204,20 +204,19 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, max_fit_rows: int =
     return fit_nnpu(positive, unlabelled, prior)
 
 
-def scored(docs: DataFrame, model: Network | float) -> DataFrame:
-    """``docs`` (all columns) with a score from 0 to 1."""
+def scored(docs: DataFrame, model: Network | float, name: str = "quality_score") -> DataFrame:
+    """``docs`` (all columns) with a score from 0 to 1 in column ``name``."""
     bound = docs.sparkSession.sparkContext.broadcast(model)
-    name = "text"
-    schema = T.StructType([*docs.schema.fields, T.StructField("quality_score", T.DoubleType())])
+    schema = T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = bound.value
         for batch in batches:
-            for part in slices(batch, name, 2 << 20):
-                x = features(pc.fill_null(part.column(name), ""))
+            for part in slices(batch, most_bytes=2 << 20):
+                x = features(pc.fill_null(part.column("text"), ""))
                 p = np.full(len(x), net) if isinstance(net, float) else net.probability(x)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(np.clip(p, 0.0, 1.0))],
-                                                 names=[*part.schema.names, "quality_score"])
+                                                 names=[*part.schema.names, name])
 
     return docs.mapInArrow(run, schema)
 
@@ -232,6 +231,8 @@ def classify(docs: DataFrame, labels: DataFrame, folds: int = 5, threshold: floa
 
 def keep_good(docs: DataFrame, labels: DataFrame, folds: int = 5, threshold: float = 0.3, max_fit_rows: int = 30_000) -> DataFrame:
     """The documents scored at least ``threshold``, with all their columns."""
-    model = fit(docs, labels, folds, max_fit_rows)
-    out = scored(docs, model)
-    return out.filter(F.col("quality_score") >= threshold).select(*docs.columns)
+    name = "quality_score"
+    while name in docs.columns:
+        name = f"_{name}"
+    out = scored(docs, fit(docs, labels, folds, max_fit_rows), name)
+    return out.filter(F.col(name) >= threshold).select(*docs.columns)

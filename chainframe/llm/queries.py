@@ -11,9 +11,11 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
 from chainframe.llm.bpe import encode_documents
 from chainframe.llm.exact_dedup import exact_groups
 from chainframe.llm.fingerprint import edited_fingerprints
+from chainframe.llm.line_dedup import line_decisions
 from chainframe.llm.ngram_join import linked_components
 from chainframe.llm.packing import pack_documents
 from chainframe.llm.ppm import score_documents
@@ -68,6 +70,11 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(documents(spark, sf_dir))
 
 
+@_query("op5_line_dedup")
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_decisions(documents(spark, sf_dir), tau=2, min_bytes=16)
+
+
 @_query("op6_best_fit_packing")
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"),
@@ -93,3 +100,8 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op10_ppm_scoring")
 def op10_ppm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(documents(spark, sf_dir))
+
+
+QUERIES["pipeline"] = corpus_pipeline.run
+if corpus_pipeline.ORACLE_SQL is not None:
+    ORACLE["pipeline"] = corpus_pipeline.ORACLE_SQL
