@@ -3,8 +3,9 @@
 Byte-level BPE never merges across the matches of its splitting pattern, and no match crosses a
 space that follows a non-space. A text may therefore be cut before such spaces, and equal
 chunks (and, inside them, equal matches) always get equal ids. ``ChunkEncoder`` keeps the ids
-of the chunks a Python worker has met, in memory bounded by ``limit`` entries (beyond it the
-table starts anew; nothing is skipped), and gathers a batch's ids with numpy.
+of the chunks and matches a Python worker has met, in memory bounded by ``most_chunks`` and
+``most_matches`` entries (beyond it a table starts anew; nothing is skipped), and gathers a
+batch's ids with numpy.
 """
 
 from __future__ import annotations
@@ -18,8 +19,8 @@ import pyarrow.compute as pc
 import regex
 
 _CUT = re.compile(r"(?<=\S)(?= )")
-#: ids of each string of a list: (all ids, number of ids of each)
-Encode = Callable[[list[str]], tuple[np.ndarray, np.ndarray]]
+#: strings to (the same strings in some order, all their ids in that order, number of ids of each)
+Encode = Callable[[list[str]], tuple[list[str], np.ndarray, np.ndarray]]
 
 
 class _Ragged:
@@ -55,28 +56,33 @@ class _Ragged:
 
 
 class ChunkEncoder:
-    def __init__(self, encode: Encode, pattern: str, limit: int = 1_000_000) -> None:
-        self._encode, self._pattern, self._limit = encode, regex.compile(pattern), limit
-        self._fresh()
-
-    def _fresh(self) -> None:
+    def __init__(self, encode: Encode, pattern: str, most_chunks: int = 600_000, most_matches: int = 1_000_000) -> None:
+        self._encode, self._pattern = encode, regex.compile(pattern)
+        self._most_chunks, self._most_matches = most_chunks, most_matches
         self._chunk_codes: dict[str, int] = {}
         self._chunks = _Ragged()
         self._match_codes: dict[str, int] = {}
         self._matches = _Ragged()
 
+    def _bound(self) -> None:
+        if len(self._chunk_codes) > self._most_chunks or self._chunks.used > 16 * self._most_chunks:
+            self._chunk_codes, self._chunks = {}, _Ragged()
+        if len(self._match_codes) > self._most_matches or self._matches.used > 16 * self._most_matches:
+            self._match_codes, self._matches = {}, _Ragged()
+
     def _codes_of_matches(self, matches: list[str]) -> np.ndarray:
         known = self._match_codes
         new = [m for m in dict.fromkeys(matches) if m not in known]
         if new:
-            self._matches.add(*self._encode(new))
-            known.update(zip(new, range(len(known), len(known) + len(new))))
+            order, ids, lens = self._encode(new)
+            self._matches.add(ids, lens)
+            known.update(zip(order, range(len(known), len(known) + len(order))))
         return np.fromiter(map(known.__getitem__, matches), np.int64, len(matches))
 
     def _learn(self, chunks: list[str]) -> None:
         """Adds distinct new chunks. Those of one leading space and no other white space at
         their ends are matched in one go: each of their first matches starts with a space."""
-        plain = [len(c) > 1 and c[0] == " " and " " not in c[1:] and not c[1].isspace() and not c[-1].isspace() for c in chunks]
+        plain = [len(c) > 1 and c[0] == " " and c.rfind(" ") == 0 and not (c[1].isspace() or c[-1].isspace()) for c in chunks]
         order = [c for c, p in zip(chunks, plain) if p]
         matches = self._pattern.findall("".join(order))
         first = np.fromiter((m[0] == " " for m in matches), bool, len(matches))
@@ -103,8 +109,7 @@ class ChunkEncoder:
 
     def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after another, number of ids of each) of texts without nulls."""
-        if len(self._chunk_codes) > self._limit or self._chunks.used > 16 * self._limit:
-            self._fresh()
+        self._bound()
         n = len(texts)
         if not n:
             return np.zeros(0, np.int32), np.zeros(0, np.int64)
@@ -118,9 +123,11 @@ class ChunkEncoder:
         firsts = ends[:-1]
         codes[firsts] = self._codes([words[i] for i in at[firsts]])
         # a cut before a space is safe only after a non-space
-        open_end = np.fromiter((not w or w[-1].isspace() for w in words), bool, len(words))[at]
+        size = pc.binary_length(flat.dictionary).to_numpy()
+        trimmed = pc.binary_length(pc.utf8_rtrim_whitespace(flat.dictionary)).to_numpy()
+        empty = (size == 0)[at]
+        open_end = (trimmed < size)[at] | empty
         open_end[ends[1:] - 1] = False
-        empty = np.fromiter((not w for w in words), bool, len(words))[at]
         open_end[firsts] &= ~empty[firsts]
         if open_end.any():
             owner = np.repeat(np.arange(n), np.diff(ends))
@@ -133,7 +140,7 @@ class ChunkEncoder:
         return ids, np.diff(upto)
 
 
-def slices(batch: pa.RecordBatch, column: str = "text", most_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: str = "text", most_bytes: int = 16 << 20) -> Iterator[pa.RecordBatch]:
     """A batch in runs of rows of at most ``most_bytes`` of text (a longer text alone). Runs are
     copies: some string kernels misread arrays whose first offset is not 0."""
     if not batch.num_rows:
@@ -161,21 +168,20 @@ def library_encode(data: bytes) -> Encode:
     mark = tok.encode("\n", add_special_tokens=False).ids
     assert len(mark) == 1
 
-    def encode(matches: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        joined = [i for i, m in enumerate(matches) if "\n" not in m and not m.isspace()]
-        out: list[np.ndarray] = [np.zeros(0, np.int32)] * len(matches)
-        for k in range(0, len(joined), 20_000):
-            part = joined[k : k + 20_000]
-            ids = np.array(tok.encode("\n".join([matches[i] for i in part]), add_special_tokens=False).ids, np.int32)
-            for i, own in zip(part, np.split(ids, np.flatnonzero(ids == mark[0]))):
-                out[i] = own
-            for i in part[1:]:
-                out[i] = out[i][1:]  # the mark before it
-        other = [i for i, m in enumerate(matches) if "\n" in m or m.isspace()]
-        for i, e in zip(other, tok.encode_batch([matches[i] for i in other], add_special_tokens=False)):
-            out[i] = np.array(e.ids, np.int32)
-        lens = np.fromiter(map(len, out), np.int64, len(out))
-        return (np.concatenate(out) if out else np.zeros(0, np.int32)), lens
+    def encode(matches: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        joined = [m for m in matches if "\n" not in m and not m.isspace()]
+        other = [m for m in matches if "\n" in m or m.isspace()] if len(joined) < len(matches) else []
+        all_ids, all_lens = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
+        blocks = ["\n".join(joined[k : k + 20_000]) for k in range(0, len(joined), 20_000)]
+        for e in tok.encode_batch_fast(blocks, add_special_tokens=False):
+            ids = np.array(e.ids, np.int32)
+            marks = np.flatnonzero(ids == mark[0])
+            all_ids.append(np.delete(ids, marks))
+            all_lens.append(np.diff(np.concatenate([[-1], marks, [len(ids)]])) - 1)
+        for e in tok.encode_batch(other, add_special_tokens=False):
+            all_ids.append(np.array(e.ids, np.int32))
+            all_lens.append(np.array([len(e.ids)]))
+        return joined + other, np.concatenate(all_ids), np.concatenate(all_lens)
 
     return encode
 

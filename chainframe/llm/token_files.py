@@ -166,12 +166,14 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, pattern: str, end_
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, part, seq = encoder_of(), TaskContext.get().partitionId(), 0
         held: list[tuple[list, np.ndarray, np.ndarray]] = []
+        n_held = 0
 
         def closed() -> pa.RecordBatch:
-            nonlocal seq
+            nonlocal seq, n_held
             names = [d for h in held for d in h[0]]
             ids, counts = np.concatenate([h[1] for h in held]), np.concatenate([h[2] for h in held])
             held.clear()
+            n_held = 0
             seq += 1
             return pa.RecordBatch.from_arrays(
                 [pa.array([part], pa.int32()), pa.array([seq - 1], pa.int32()), pa.array([len(names)], pa.int64()),
@@ -179,11 +181,17 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, pattern: str, end_
                 names=["part", "seq", "n_docs", "n_ids", "payload"])
 
         for batch in batches:
-            for rows in slices(batch, most_bytes=file_ids):
+            for rows in slices(batch):
                 ids, counts = with_end(*encoder.ids(rows.column("text")), end_id)
-                held.append((rows.column("doc_id").to_pylist(), ids, counts))
-                if sum(len(h[1]) for h in held) >= file_ids:
-                    yield closed()
+                names, ends = rows.column("doc_id").to_pylist(), np.append(0, np.cumsum(counts))
+                at = 0
+                while at < len(names):  # up to the document that fills the file
+                    end = min(len(names), int(np.searchsorted(ends, ends[at] + file_ids - n_held, side="left")))
+                    held.append((names[at:end], ids[ends[at] : ends[end]], counts[at:end]))
+                    n_held += int(ends[end] - ends[at])
+                    at = end
+                    if n_held >= file_ids:
+                        yield closed()
         if held:
             yield closed()
 
