@@ -39,6 +39,8 @@ from chainframe.llm.text import written
 
 ORDER = 4
 END = 0xFF
+_RUN = 2 << 20  # bytes of text handled at once
+_HELD = 2_000_000  # counts a task holds of each kind
 _CTX = (1 << (8 * ORDER)) - 1
 
 
@@ -209,7 +211,7 @@ class _Sums:
         self.keys.append(keys)
         self.counts.append(counts)
         self.pending += len(keys)
-        if self.pending > 8_000_000 and len(self.keys) > 1:
+        if self.pending > _HELD and len(self.keys) > 1:
             self.combine()
 
     def combine(self) -> tuple[np.ndarray, np.ndarray]:
@@ -237,7 +239,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums[kind] = _Sums()
 
     for batch in batches:
-        for part in slices(batch):
+        for part in slices(batch, most_bytes=_RUN):
             hashes, at, _ = words_of(part.column("text"))
             own = np.bincount(at, minlength=len(hashes)).astype(np.int64)
             sums[WORD].add(hashes[own > 0], own[own > 0])
@@ -245,7 +247,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             grams, n = np.unique((ctx.astype(np.int64) << 8) | sym, return_counts=True)
             sums[GRAM].add(grams, n.astype(np.int64))
             for kind in (WORD, GRAM):
-                if sums[kind].pending > 8_000_000:
+                if sums[kind].pending > _HELD:
                     yield from rows(kind)
     for kind in (WORD, GRAM):
         yield from rows(kind)
@@ -323,7 +325,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         (keys, counts), trie = bound.value
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, most_bytes=_RUN):
                 texts = part.column("text")
                 hashes, at, n_words = words_of(texts)
                 where = np.searchsorted(keys, hashes)
