@@ -30,11 +30,17 @@ def _c(col) -> Column:
     return F.col(col) if isinstance(col, str) else col
 
 
+def _padded(digits: Column, width: int) -> Column:
+    """Left-padded with zeros; more than ``width`` digits give NULL instead of a prefix."""
+    return F.when(F.length(digits) <= width, F.lpad(digits, width, "0"))
+
+
 def to_limbs(col) -> list[Column]:
-    """Limb columns (least significant first) of a decimal string; NULL stays NULL."""
+    """Limb columns (least significant first) of a decimal string; NULL stays NULL, and a
+    number of more than 90 digits is NULL."""
     c = _c(col)
     neg = c.startswith("-")
-    padded = F.lpad(F.regexp_replace(c, r"^[-+]", ""), WIDTH, "0")
+    padded = _padded(F.regexp_replace(c, r"^[-+]", ""), WIDTH)
     out = []
     for k in range(NLIMBS):
         limb = F.substring(padded, WIDTH - LIMB_DIGITS * (k + 1) + 1, LIMB_DIGITS).cast(DEC)
@@ -104,8 +110,9 @@ def combine(terms: list[tuple[int, object]]) -> Column:
 
 
 def order_key(col) -> Column:
-    """Fixed-width string whose lexicographic order is numeric order (non-negative values)."""
-    return F.lpad(_c(col), 78, "0")
+    """Fixed-width string whose lexicographic order is numeric order (non-negative values);
+    NULL for more digits than a uint256 can have."""
+    return _padded(_c(col), 78)
 
 
 def sum_u256(df: DataFrame, by: list[str], values: dict[str, object], extra_aggs: list[Column] = ()) -> DataFrame:

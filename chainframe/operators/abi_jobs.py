@@ -13,7 +13,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
 from chainframe.functions import abi as K
 from chainframe.functions import evm as E
@@ -23,8 +22,10 @@ from chainframe.functions import u256 as U
 def dedupe_signatures(sigs: DataFrame) -> DataFrame:
     """One signature per (address, byte_sign), chosen deterministically (the reference takes
     an arbitrary ``LIMIT 1``)."""
-    w = Window.partitionBy("address", "byte_sign").orderBy("abi", "prototype")
-    return sigs.withColumn("__rn", F.row_number().over(w)).filter("__rn = 1").drop("__rn")
+    key = ("address", "byte_sign")
+    rest = [c for c in sigs.columns if c not in (*key, "abi", "prototype")]
+    top = sigs.groupBy(*key).agg(F.min(F.struct("abi", "prototype", *rest)).alias("__m"))
+    return top.select(*[F.col(c) if c in key else F.col("__m")[c].alias(c) for c in sigs.columns])
 
 
 def signature_join(rows: DataFrame, sigs: DataFrame, address: Column, selector: Column) -> DataFrame:
@@ -104,10 +105,10 @@ _STATIC = {"address", "bool"}
 
 def decode_static(rows: DataFrame, abi_json: str, data_col: str = "input", selector_len: int = 10) -> DataFrame:
     """native decode for ABIs whose inputs are all static one-word types (address,
-    bool, uintN, intN≥0 values, bytesN): one column per input plus ``decode_ok`` (short
+    bool, uintN, signed intN, bytesN): one column per input plus ``decode_ok`` (short
     payload or dirty padding → false and NULL values). No Python worker involved."""
     f = json.loads(abi_json)
-    payload = F.substring(F.col(data_col), selector_len + 1, 1 << 30)
+    payload = F.lower(F.substring(F.col(data_col), selector_len + 1, 1 << 30))
     cols, oks = [], [F.length(payload) >= 64 * len(f["inputs"])]
     for i, p in enumerate(f["inputs"]):
         t, name = p["type"], p.get("name") or f"__idx_{i}"
@@ -124,6 +125,16 @@ def decode_static(rows: DataFrame, abi_json: str, data_col: str = "input", selec
             if zeros:
                 oks.append(F.substring(w, 1, zeros) == F.lit("0" * zeros))
             cols.append((name, U.hex_to_u256(w)))
+        elif t.startswith("int"):
+            bits = int(t[3:] or 256)
+            negative = F.substring(w, 1, 1) >= "8"
+            fill = (256 - bits) // 4  # sign extension
+            if fill:
+                body = F.substring(w, fill + 1, 1) >= "8"
+                oks.append(F.substring(w, 1, fill) == F.when(body, F.lit("f" * fill)).otherwise(F.lit("0" * fill)))
+            inverted = F.translate(w, "0123456789abcdef", "fedcba9876543210")
+            below = U.limbs_to_string([-x - (1 if k == 0 else 0) for k, x in enumerate(U.to_limbs(U.hex_to_u256(inverted)))])
+            cols.append((name, F.when(negative, below).otherwise(U.hex_to_u256(w))))
         elif t.startswith("bytes") and t != "bytes":
             n = int(t[5:])
             if n < 32:

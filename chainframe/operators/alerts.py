@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from chainframe.operators.metrics.ranges import Grid
 from chainframe.operators.windows import asof_join
+from chainframe.session import stored
 from chainframe.sources.ingest import series_key
 
 
@@ -45,7 +46,8 @@ class Rule:
 
 
 def evaluate(rules: list[Rule], metrics: DataFrame, grid: Grid, spark) -> DataFrame:
-    """Active samples of all rules: rule_id, alertname, labels, series_key, eval_ts, value, for_seconds."""
+    """Active samples of all rules: rule_id, alertname, labels, series_key, eval_ts, value,
+    for_seconds. They are stored once, so that what follows does not evaluate the rules again."""
     out = None
     for r in rules:
         v = r.expr(metrics, grid, spark)
@@ -56,7 +58,7 @@ def evaluate(rules: list[Rule], metrics: DataFrame, grid: Grid, spark) -> DataFr
                      "eval_ts", "value", F.lit(r.for_seconds).alias("for_seconds"))
         a = a.withColumn("series_key", series_key(F.lit(r.name), F.col("labels")))
         out = a if out is None else out.unionByName(a)
-    return out
+    return stored(out, "active-alerts")
 
 
 def alert_states(active: DataFrame, grid: Grid) -> DataFrame:
@@ -112,8 +114,8 @@ def render(states: DataFrame, annotations: dict[str, str]) -> DataFrame:
     return states.select("*", *[compile_template(t).alias(k) for k, t in annotations.items()])
 
 
-# fixed values: alert routing (receivers by severity regex, every child route continues)
-ROUTES = (("critical", "critical"), ("warning", "warning"), ("info", "info"))
+# fixed values: alert routing (severity regex, receiver; every child route continues)
+ROUTES = (("none", "slack_none"), ("info", "slack"), ("warning|error", "slack_warning"), ("critical", "slack_critical"))
 DEFAULT_RECEIVER = "slack"
 
 

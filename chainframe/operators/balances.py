@@ -3,14 +3,14 @@
 Plan shape (no ``count(DISTINCT …)`` Expand, no per-address task):
 
     role fan-out (explode out/vin[/cnb/fee])
-      → group (address, token, role, blknum, txhash)   per-tx partials: xfers, limb sums, ts
-      → group (address, token, role)                   blocks = count(distinct blknum) (single
-                                                       distinct → two-phase), txs = count(*)
-      → pivot roles with conditional max (≤ 4 rows per key)
+      → group (address, token, blknum, txhash)   per-tx partials: per role xfers, limb sums, ts
+      → group (address, token, blknum)           a block and a tx count once per role
+      → group (address, token)                   sums, first and last
       → carry pass → exact decimal strings
 
-Every stage is an algebraic aggregate, so Spark combines map-side before each shuffle and an
-address holding a third of all transfers costs one partial row per task per stage.
+Every stage is an algebraic aggregate with the roles as conditional sums, so Spark combines
+map-side before each shuffle and an address holding a third of all transfers costs one partial
+row per task in the last stage.
 
 ``value = vin - out`` (tokens) and ``cnb + vin - out - fee`` (native) are exact signed
 256-bit results. ``balance`` (fetched from a node) is not computed here and stays NULL.
@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from chainframe.functions import u256 as U
 from chainframe.operators.windows import bucketed_running_sum
+from chainframe.session import stored
 
 NL = U.NLIMBS
 
@@ -39,49 +40,72 @@ def _fan_out(df: DataFrame, roles: dict[str, str], keys: list[str]) -> DataFrame
         .filter(F.col("address").isNotNull())
 
 
-def _role_stats(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """(address, *keys, role) statistics with limb sums of ``value``."""
+def tx_partials(rows: DataFrame, keys: list[str], roles: list[str]) -> DataFrame:
+    """(address, *keys, blknum, txhash) partials of role rows: per role r the number of
+    transfers ``r_n``, limb sums ``r_v<k>`` and first and last time. Partials of any split of
+    the input add up, so they can be stored and merged."""
     limbs = U.to_limbs(F.col("value"))
-    per_tx = rows.groupBy("address", *keys, "role", "blknum", "txhash").agg(
-        F.count(F.lit(1)).alias("xfers"),
-        *[F.sum(F.coalesce(l, F.lit(0).cast(U.DEC))).alias(f"v{k}") for k, l in enumerate(limbs)],
-        F.min("block_timestamp").alias("t1"), F.max("block_timestamp").alias("tn"))
-    return per_tx.groupBy("address", *keys, "role").agg(
-        F.count_distinct("blknum").alias("blocks"), F.count("txhash").alias("txs"),
-        F.sum("xfers").alias("xfers"), *[F.sum(f"v{k}").alias(f"v{k}") for k in range(NL)],
-        F.min("t1").alias("t1"), F.max("tn").alias("tn"),
-        F.min("blknum").alias("b1"), F.max("blknum").alias("bn"))
-
-
-def _pivot(stats: DataFrame, keys: list[str], roles: list[str], *, firsts: bool = True) -> DataFrame:
-    aggs = [F.max("bn").alias("blknum")]
+    flat = rows.select("address", *keys, "role", "blknum", "txhash", "block_timestamp",
+                       *[F.coalesce(l, F.lit(0).cast(U.DEC)).alias(f"__v{k}") for k, l in enumerate(limbs)])
+    aggs = []
     for r in roles:
-        def pick(c):
-            return F.max(F.when(F.col("role") == r, F.col(c)))
-        aggs += [F.coalesce(pick("blocks"), F.lit(0)).alias(f"{r}_blocks"),
-                 F.coalesce(pick("txs"), F.lit(0)).alias(f"{r}_txs"),
-                 F.coalesce(pick("xfers"), F.lit(0)).alias(f"{r}_xfers")]
-        aggs += [F.coalesce(pick(f"v{k}"), F.lit(0).cast(U.DEC)).alias(f"__{r}_v{k}") for k in range(NL)]
-        if firsts:
-            aggs += [pick("t1").alias(f"__{r}_t1"), pick("tn").alias(f"__{r}_tn"),
-                     pick("b1").alias(f"{r}_1th_blknum"), pick("bn").alias(f"{r}_nth_blknum")]
-    return stats.groupBy("address", *keys).agg(*aggs)
-
-
-def _finish(p: DataFrame, keys: list[str], roles: list[str], plus: list[str], minus: list[str],
-            firsts: bool = True) -> DataFrame:
+        mine = F.col("role") == r
+        aggs += [F.count_if(mine).alias(f"{r}_n"), F.min(F.when(mine, F.col("block_timestamp"))).alias(f"{r}_t1"),
+                 F.max(F.when(mine, F.col("block_timestamp"))).alias(f"{r}_tn")]
+        aggs += [F.sum(F.when(mine, F.col(f"__v{k}")).otherwise(F.lit(0).cast(U.DEC))).cast(U.DEC).alias(f"{r}_v{k}") for k in range(NL)]
+    return flat.groupBy("address", *keys, "blknum", "txhash").agg(*aggs)
+
+
+def merge_partials(partials: DataFrame, keys: list[str], roles: list[str]) -> DataFrame:
+    """One row per (address, *keys, blknum, txhash) of partials that several loads hold."""
+    aggs = []
+    for r in roles:
+        aggs += [F.sum(f"{r}_n").alias(f"{r}_n"), F.min(f"{r}_t1").alias(f"{r}_t1"), F.max(f"{r}_tn").alias(f"{r}_tn")]
+        aggs += [F.sum(f"{r}_v{k}").cast(U.DEC).alias(f"{r}_v{k}") for k in range(NL)]
+    return partials.groupBy("address", *keys, "blknum", "txhash").agg(*aggs)
+
+
+def block_stats(partials: DataFrame, keys: list[str], roles: list[str]) -> DataFrame:
+    """(address, *keys, blknum): per role whether it occurs, txs, transfers, limb sums, times."""
+    aggs = []
+    for r in roles:
+        has = F.col(f"{r}_n") > 0
+        aggs += [F.max(F.when(has & F.col("blknum").isNotNull(), 1).otherwise(0)).alias(f"{r}_blocks"),
+                 F.count_if(has & F.col("txhash").isNotNull()).alias(f"{r}_txs"), F.sum(f"{r}_n").alias(f"{r}_xfers"),
+                 F.min(f"{r}_t1").alias(f"{r}_t1"), F.max(f"{r}_tn").alias(f"{r}_tn")]
+        aggs += [F.sum(f"{r}_v{k}").cast(U.DEC).alias(f"{r}_v{k}") for k in range(NL)]
+    return partials.groupBy("address", *keys, "blknum").agg(*aggs)
+
+
+def _totals(partials: DataFrame, keys: list[str], roles: list[str]) -> DataFrame:
+    aggs = [F.max("blknum").alias("blknum")]
+    for r in roles:
+        aggs += [F.sum(f"{r}_{m}").alias(f"{r}_{m}") for m in ("blocks", "txs", "xfers")]
+        aggs += [F.sum(f"{r}_v{k}").cast(U.DEC).alias(f"__{r}_v{k}") for k in range(NL)]
+        seen = F.when(F.col(f"{r}_xfers") > 0, F.col("blknum"))
+        aggs += [F.min(f"{r}_t1").alias(f"__{r}_t1"), F.max(f"{r}_tn").alias(f"__{r}_tn"),
+                 F.min(seen).alias(f"{r}_1th_blknum"), F.max(seen).alias(f"{r}_nth_blknum")]
+    return block_stats(partials, keys, roles).groupBy("address", *keys).agg(*aggs)
+
+
+def balances_of(partials: DataFrame, keys: list[str], roles: list[str], plus: list[str], minus: list[str]) -> DataFrame:
+    """Latest balances and activity from per-transaction partials (one row per transaction)."""
     cols = [F.col("address"), *[F.col(k) for k in keys], F.col("blknum")]
     for r in roles:
         cols += [F.col(f"{r}_blocks").cast("long"), F.col(f"{r}_txs").cast("long"), F.col(f"{r}_xfers").cast("long"),
-                 U.limbs_to_string([F.col(f"__{r}_v{k}") for k in range(NL)]).alias(f"{r}_value")]
-        if firsts:
-            cols += [_epoch_s(F.col(f"__{r}_t1")).alias(f"{r}_1th_st"), _epoch_s(F.col(f"__{r}_tn")).alias(f"{r}_nth_st"),
-                     F.col(f"{r}_1th_blknum"), F.col(f"{r}_nth_blknum"),
-                     F.to_date(F.col(f"__{r}_t1")).alias(f"{r}_1th_st_day"), F.to_date(F.col(f"__{r}_tn")).alias(f"{r}_nth_st_day")]
+                 U.limbs_to_string([F.col(f"__{r}_v{k}") for k in range(NL)]).alias(f"{r}_value"),
+                 _epoch_s(F.col(f"__{r}_t1")).alias(f"{r}_1th_st"), _epoch_s(F.col(f"__{r}_tn")).alias(f"{r}_nth_st"),
+                 F.col(f"{r}_1th_blknum"), F.col(f"{r}_nth_blknum"),
+                 F.to_date(F.col(f"__{r}_t1")).alias(f"{r}_1th_st_day"), F.to_date(F.col(f"__{r}_tn")).alias(f"{r}_nth_st_day")]
     net = [sum((F.col(f"__{r}_v{k}") for r in plus), F.lit(0).cast(U.DEC)) -
            sum((F.col(f"__{r}_v{k}") for r in minus), F.lit(0).cast(U.DEC)) for k in range(NL)]
     cols.append(U.limbs_to_string(net).alias("value"))
-    return p.select(*cols)
+    return _totals(partials, keys, roles).select(*cols)
+
+
+def token_partials(xfers: DataFrame) -> DataFrame:
+    rows = _fan_out(xfers, {"out": "from_address", "vin": "to_address"}, ["token_address"])
+    return tx_partials(rows, ["token_address"], ["out", "vin"])
 
 
 def token_balances(xfers: DataFrame, tokens: DataFrame | None = None, *, upto: int | None = None) -> DataFrame:
@@ -90,9 +114,7 @@ def token_balances(xfers: DataFrame, tokens: DataFrame | None = None, *, upto: i
     ``blknum`` is the checkpoint (last block seen); ``upto`` restricts to blocks ≤ upto."""
     if upto is not None:
         xfers = xfers.filter(F.col("blknum") <= upto)
-    rows = _fan_out(xfers, {"out": "from_address", "vin": "to_address"}, ["token_address"])
-    out = _finish(_pivot(_role_stats(rows, ["token_address"]), ["token_address"], ["out", "vin"]),
-                  ["token_address"], ["out", "vin"], ["vin"], ["out"])
+    out = balances_of(token_partials(xfers), ["token_address"], ["out", "vin"], ["vin"], ["out"])
     if tokens is not None:
         t = tokens.select(F.col("address").alias("__a"), F.col("decimals").cast("long").alias("decimals"))
         out = out.join(t, out["token_address"] == t["__a"], "left").drop("__a")
@@ -101,6 +123,7 @@ def token_balances(xfers: DataFrame, tokens: DataFrame | None = None, *, upto: i
     return out.withColumn("balance", F.lit(None).cast("string"))
 
 
+NATIVE_ROLES = ["out", "vin", "cnb", "fee"]
 NO_VALUE_CALLS = ("delegatecall", "callcode", "staticcall")
 
 
@@ -126,10 +149,7 @@ def native_roles(traces: DataFrame, txs: DataFrame) -> DataFrame:
 
 def native_balances(traces: DataFrame, txs: DataFrame) -> DataFrame:
     """A10: ``value = cnb + vin - out - fee`` per address, with per-role activity stats."""
-    rows = native_roles(traces, txs)
-    stats = _role_stats(rows, [])
-    p = _pivot(stats, [], ["out", "vin", "cnb", "fee"])
-    out = _finish(p, [], ["out", "vin", "cnb", "fee"], ["cnb", "vin"], ["out", "fee"])
+    out = balances_of(tx_partials(native_roles(traces, txs), [], NATIVE_ROLES), [], NATIVE_ROLES, ["cnb", "vin"], ["out", "fee"])
     keep = [c for c in out.columns if not c.startswith("fee_") or c == "fee_value"]
     return out.select(*keep).withColumn("balance", F.lit(None).cast("string"))
 
@@ -140,23 +160,38 @@ def fee_by_sender(txs: DataFrame) -> DataFrame:
     return txs.groupBy("from_address").agg(F.sum(fee).cast("decimal(38,0)").cast("string").alias("fee_value"))
 
 
-def balance_history(xfers: DataFrame, *, token: bool = True, width: int = 1_000_000) -> DataFrame:
-    """Running totals per (address[, token]) at every block where it changed.
+def _running(partials: DataFrame, keys: list[str], roles: list[str], width: int) -> DataFrame:
+    per_block = block_stats(partials, keys, roles)
+    cols = [f"{r}_{m}" for r in roles for m in ("blocks", "txs", "xfers", *[f"v{k}" for k in range(NL)])]
+    # the carry reads these rows a second time: store them instead of aggregating twice
+    per_block = stored(per_block.select("address", *keys, "blknum", *cols), "block-stats")
+    return bucketed_running_sum(per_block, ["address", *keys], "blknum", cols, width=width)
+
+
+def _cum_value(plus: list[str], minus: list[str]) -> Column:
+    zero = F.lit(0).cast(U.DEC)
+    return U.limbs_to_string([sum((F.col(f"cum_{r}_v{k}") for r in plus), zero) - sum((F.col(f"cum_{r}_v{k}") for r in minus), zero)
+                              for k in range(NL)])
+
+
+def balance_history(xfers: DataFrame, *, width: int = 1_000_000) -> DataFrame:
+    """Running totals per (address, token) at every block where it changed.
 
     Per-block partials first (one row per address, token, block), then bucketed running sums
     per limb, so a hot address is split by block range."""
-    keys = ["token_address"] if token else []
-    rows = _fan_out(xfers, {"out": "from_address", "vin": "to_address"}, keys)
-    limbs = U.to_limbs(F.col("value"))
-    sign = F.when(F.col("role") == "vin", F.lit(1)).otherwise(F.lit(-1)).cast(U.DEC)
-    per_block = rows.groupBy("address", *keys, "blknum").agg(
-        F.count_if(F.col("role") == "out").alias("d_out"), F.count_if(F.col("role") == "vin").alias("d_vin"),
-        *[F.sum(sign * F.coalesce(l, F.lit(0).cast(U.DEC))).alias(f"d{k}") for k, l in enumerate(limbs)])
-    run = bucketed_running_sum(per_block, ["address", *keys], "blknum", ["d_out", "d_vin"] + [f"d{k}" for k in range(NL)],
-                               width=width)
-    return run.select("address", *keys, "blknum", F.col("cum_d_out").cast("long").alias("out_xfers"),
-                      F.col("cum_d_vin").cast("long").alias("vin_xfers"),
-                      U.limbs_to_string([F.col(f"cum_d{k}") for k in range(NL)]).alias("value"))
+    run = _running(token_partials(xfers), ["token_address"], ["out", "vin"], width)
+    return run.select("address", "token_address", "blknum", F.col("cum_out_xfers").cast("long").alias("out_xfers"),
+                      F.col("cum_vin_xfers").cast("long").alias("vin_xfers"), _cum_value(["vin"], ["out"]).alias("value"))
+
+
+def native_balance_history(traces: DataFrame, txs: DataFrame, *, width: int = 1_000_000) -> DataFrame:
+    """Running native balance per address at every block where it changed: blocks, txs and
+    transfers of out, vin and cnb, the value of each and of fees, and
+    ``value = cnb + vin - out - fee``."""
+    run = _running(tx_partials(native_roles(traces, txs), [], NATIVE_ROLES), [], NATIVE_ROLES, width)
+    counts = [F.col(f"cum_{r}_{m}").cast("long").alias(f"{r}_{m}") for m in ("blocks", "txs", "xfers") for r in ("out", "vin", "cnb")]
+    values = [_cum_value([r], []).alias(f"{r}_value") for r in ("out", "fee", "vin", "cnb")]
+    return run.select("address", "blknum", *counts, *values, _cum_value(["cnb", "vin"], ["out", "fee"]).alias("value"))
 
 
 def merge_balances(state: DataFrame, delta: DataFrame, keys=("address", "token_address"), roles=("out", "vin"),

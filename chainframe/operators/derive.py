@@ -9,7 +9,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from chainframe.functions import evm as E
 from chainframe.functions import u256 as U
@@ -28,9 +27,11 @@ def normalize_logs(logs: DataFrame) -> DataFrame:
 
 
 def tokens_latest(registry: DataFrame, key: str = "address", version: str = "blknum") -> DataFrame:
-    """One row per token address, the latest version (CREATE2 may reuse an address)."""
-    w = Window.partitionBy(key).orderBy(F.col(version).desc())
-    return registry.withColumn("__rn", F.row_number().over(w)).filter("__rn = 1").drop("__rn")
+    """One row per token address, the latest version (CREATE2 may reuse an address). An
+    aggregate, so a hot address leaves each map task as one row."""
+    rest = [c for c in registry.columns if c not in (key, version)]
+    top = registry.groupBy(key).agg(F.max(F.struct(version, *rest)).alias("__m"))
+    return top.select(*[F.col(key) if c == key else F.col("__m")[c].alias(c) for c in registry.columns])
 
 
 def with_token_meta(xfers: DataFrame, tokens: DataFrame | None, cols=("name", "symbol", "decimals")) -> DataFrame:
@@ -82,46 +83,64 @@ def erc721_transfers(logs: DataFrame, tokens: DataFrame | None = None) -> DataFr
 
 
 def _small_int(w: Column) -> Column:
-    """Offsets/lengths: the low 64 bits of a word as BIGINT."""
-    return F.conv(F.substring(w, 49, 16), 16, 10).cast("long")
+    """An offset or length: the word as BIGINT, NULL unless it is a whole word below 2^63."""
+    digits = F.conv(F.substring(w, 49, 16), 16, 10)
+    return F.when((F.length(w) == 64) & (F.substring(w, 1, 48) == F.lit("0" * 48)), digits.try_cast("long"))
+
+
+def _erc1155_logs(logs: DataFrame) -> DataFrame:
+    """Transfer logs with topics ``__t``, payload ``__d`` (no 0x), and for batches the word
+    positions of both arrays and their length. ``id_cnt`` is 0 where the payload is malformed:
+    an offset or length that is no small number, is not a multiple of 32 bytes or leads beyond
+    the payload, or arrays of different lengths."""
+    topic0 = F.substring("topics", 2, 66)
+    hexed = F.col("data")
+    b = logs.filter((F.col("n_topics") == 4) & topic0.isin(E.TRANSFER_SINGLE_TOPIC, E.TRANSFER_BATCH_TOPIC)).select(
+        "block_timestamp", "blknum", "txhash", "txpos", F.col("logpos").cast("long").alias("logpos"),
+        F.col("address").alias("token_address"), F.split(F.expr("substring(topics, 2, length(topics) - 2)"), ",").alias("__t"),
+        (topic0 == F.lit(E.TRANSFER_BATCH_TOPIC)).alias("__batch"),
+        F.when(F.lower(F.substring(hexed, 1, 2)) == "0x", F.expr("substring(data, 3)")).otherwise(hexed).alias("__d"))
+    d = F.col("__d")
+    b = b.withColumn("__words", F.floor(F.coalesce(F.length(d), F.lit(0)) / 64).cast("long"))
+    b = b.withColumn("__at", F.when(F.col("__batch"), F.array(_small_int(E.word(d, 0)), _small_int(E.word(d, 1)))))
+    fits = F.forall("__at", lambda o: F.coalesce((o % 32 == 0) & (o < F.col("__words") * 32), F.lit(False)))
+    b = b.withColumn("__at", F.when(fits, F.transform("__at", lambda o: (o / 32).cast("long"))))
+    b = b.withColumn("__n", F.transform("__at", lambda i: _small_int(E.word_at(d, i))))
+    whole = F.forall(F.zip_with("__at", "__n", lambda i, n: F.coalesce(n <= F.col("__words") - 1 - i, F.lit(False))), lambda x: x)
+    n = F.when(whole & (F.col("__n")[0] == F.col("__n")[1]), F.col("__n")[0])
+    single = F.when(F.col("__words") >= 2, F.lit(1)).otherwise(F.lit(0)).cast("long")
+    return b.withColumn("id_cnt", F.coalesce(F.when(~F.col("__batch"), single).otherwise(n), F.lit(0).cast("long")))
 
 
 def erc1155_transfers(logs: DataFrame, tokens: DataFrame | None = None) -> DataFrame:
     """TransferSingle / TransferBatch (operator, from, to indexed).
 
-    Batch payloads hold two dynamic arrays addressed by byte offsets. Positions are exploded
-    first (``posexplode(sequence(0, n-1))``) and each id/value word is sliced and converted
-    once per output row; all native, no Python. ``id_pos`` is 0-based; batches whose two
-    arrays differ in length produce no rows."""
-    arr = E.split_topics(F.col("topics"))
-    b = (logs.filter((F.col("n_topics") == 4) & F.element_at(arr, 1).isin(E.TRANSFER_SINGLE_TOPIC, E.TRANSFER_BATCH_TOPIC))
-         .withColumn("__t", arr).withColumn("__d", E.strip0x(F.col("data"))))
-    d = F.col("__d")
-    is_batch = F.element_at("__t", 1) == F.lit(E.TRANSFER_BATCH_TOPIC)
-    ids_at = (_small_int(E.word(d, 0)) / 32).cast("long")
-    vals_at = (_small_int(E.word(d, 1)) / 32).cast("long")
-    n_ids = _small_int(E.word_at(d, ids_at))
-    n_vals = _small_int(E.word_at(d, vals_at))
-    n = F.when(~is_batch, F.lit(1).cast("long")).when(n_ids == n_vals, n_ids).otherwise(F.lit(0).cast("long"))
-    x = b.select("*", is_batch.alias("__batch"), ids_at.alias("__ia"), vals_at.alias("__va"), n.alias("id_cnt"))
-    x = x.filter(F.col("id_cnt") >= 1).select("*", F.posexplode(F.sequence(F.lit(0).cast("long"), F.col("id_cnt") - 1))
-                                              .alias("id_pos", "__p"))
-    pos = F.col("id_pos").cast("long")
-    id_word = F.when(F.col("__batch"), E.word_at(d, F.col("__ia") + 1 + pos)).otherwise(E.word(d, 0))
-    val_word = F.when(F.col("__batch"), E.word_at(d, F.col("__va") + 1 + pos)).otherwise(E.word(d, 1))
+    Batch payloads hold two dynamic arrays addressed by byte offsets. Offsets and lengths are
+    checked against the payload first (chain data is hostile: malformed logs give no rows, see
+    ``erc1155_rejects``), then positions are exploded and each id/value word is sliced and
+    converted once per output row; all native, no Python. ``id_pos`` is 0-based."""
+    b = _erc1155_logs(logs)
+    d, pos = F.col("__d"), F.col("__p").cast("long")
+    places = F.when(F.col("id_cnt") >= 1, F.sequence(F.lit(0).cast("long"), F.greatest(F.col("id_cnt") - 1, F.lit(0).cast("long"))))
+    x = b.select("*", F.explode(places).alias("__p"))
+    word = lambda k: F.when(F.col("__batch"), E.word_at(d, F.col("__at")[k] + 1 + pos)).otherwise(E.word(d, k))
+    x = x.select("*", word(0).alias("__id"), word(1).alias("__value"))
     x = x.select(
-        "block_timestamp", "blknum", "txhash", "txpos", F.col("logpos").cast("long").alias("logpos"),
-        F.col("address").alias("token_address"),
+        "block_timestamp", "blknum", "txhash", "txpos", "logpos", "token_address",
         E.topic_address(F.element_at("__t", 2)).alias("operator"),
         E.topic_address(F.element_at("__t", 3)).alias("from_address"),
         E.topic_address(F.element_at("__t", 4)).alias("to_address"),
         F.when(F.col("__batch"), F.lit("batch")).otherwise(F.lit("single")).alias("xfer_type"),
-        pos.alias("id_pos"), F.col("id_cnt").cast("long").alias("id_cnt"),
-        U.hex_to_u256(id_word).alias("token_id"), U.hex_to_u256(val_word).alias("value"))
+        pos.alias("id_pos"), "id_cnt", U.hex_to_u256(F.col("__id")).alias("token_id"), U.hex_to_u256(F.col("__value")).alias("value"))
     x = with_token_meta(x, tokens, ("name", "symbol"))
     return x.withColumn("item_id", item_id("erc1155_xfer", "txhash", "logpos", "id_pos"))
 
 
+def erc1155_rejects(logs: DataFrame) -> DataFrame:
+    """Transfer logs per collection whose payload gives no rows (malformed or empty batches)."""
+    return (_erc1155_logs(logs).filter("id_cnt = 0").groupBy("token_address").agg(F.count(F.lit(1)).alias("rejected")))
+
+
 def contracts(traces: DataFrame) -> DataFrame:
     """Successful create/create2 traces → contracts (address=to, creater=from,
     initcode=input, bytecode=output)."""
@@ -152,12 +171,24 @@ def classify_contracts(cs: DataFrame) -> DataFrame:
                       F.coalesce(has_all(E.ERC721_SELECTORS), F.lit(False)).alias("is_erc721"))
 
 
-def tx_receipts(txs: DataFrame, logs: DataFrame) -> DataFrame:
-    """Receipt enrichment: ``receipt_log_count`` from the logs (pre-aggregated per tx,
-    so the join carries one row per transaction)."""
+def tx_receipts(txs: DataFrame, logs: DataFrame, receipts: DataFrame | None = None) -> DataFrame:
+    """Receipt enrichment. ``receipt_log_count`` comes from the logs (pre-aggregated per tx,
+    so the join carries one row per transaction); with ``receipts`` (txhash, gas_used,
+    cumulative_gas_used, effective_gas_price, status, contract_address) the receipt columns of
+    a transaction are theirs, NULL where it has none."""
     counts = logs.groupBy("txhash").agg(F.count(F.lit(1)).alias("__n"))
     out = txs.join(counts, "txhash", "left")
-    return out.withColumn("receipt_log_count", F.coalesce(F.col("__n"), F.lit(0)).cast("long")).drop("__n")
+    out = out.withColumn("receipt_log_count", F.coalesce(F.col("__n"), F.lit(0)).cast("long")).drop("__n")
+    if receipts is None:
+        return out
+    names = ("gas_used", "cumulative_gas_used", "effective_gas_price", "status", "contract_address")
+    r = receipts.select("txhash", *[F.col(c).alias(f"receipt_{c}") for c in names])
+    return out.drop(*[f"receipt_{c}" for c in names]).join(r, "txhash", "left")
+
+
+def contract_creations(txs: DataFrame) -> DataFrame:
+    """Transactions that create a contract: those without a receiver."""
+    return txs.filter(F.col("to_address").isNull())
 
 
 def proxy_tokens(tokens: DataFrame) -> DataFrame:
@@ -235,8 +266,10 @@ def signature_pkey(sigs: DataFrame) -> DataFrame:
 
 def best_signature(sigs: DataFrame) -> DataFrame:
     """Best text signature per selector by ``score`` (ties by ``pkey``)."""
-    w = Window.partitionBy("byte_sign").orderBy(F.col("score").desc(), F.col("pkey"))
-    return sigs.withColumn("__rn", F.row_number().over(w)).filter("__rn = 1").drop("__rn")
+    rest = [c for c in sigs.columns if c not in ("byte_sign", "pkey")]
+    first = F.struct(F.col("score").isNull().alias("__none"), (-F.col("score")).alias("__down"), "pkey", *rest)
+    top = sigs.groupBy("byte_sign").agg(F.min(first).alias("__m"))
+    return top.select(*[F.col(c) if c == "byte_sign" else F.col("__m")[c].alias(c) for c in sigs.columns])
 
 
 def txpool_mined(pool: DataFrame, txs: DataFrame) -> DataFrame:

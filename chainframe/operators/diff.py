@@ -5,8 +5,7 @@ One plan for the whole time span, instead of one round trip per hourly slice:
     filter both sides to [start, end)  →  left join on key (+ block_timestamp)
       →  a_/b_ projection with NULL sentinels  →  is_same / is_diff / reason / slice_start
 
-``diff_summary`` (per-slice counts), ``diff_detail`` (differing rows, at most ``limit`` per
-slice) and ``diff_reasons`` (count per first differing column) are cheap projections of that
+``diff_summary`` (per-slice counts), ``diff_detail`` (every differing row) and ``diff_reasons`` (count per first differing column) are cheap projections of that
 one frame; ``run_diff`` persists it when more than one output is requested.
 
 Three-valued logic is kept exactly: a NULL in a column that has no sentinel makes the
@@ -25,7 +24,6 @@ from typing import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
 from chainframe.sources import schemas as S
 
@@ -233,28 +231,9 @@ def diff_summary(j: DataFrame) -> DataFrame:
     )
 
 
-def diff_detail(j: DataFrame, spec: DiffSpec | str, limit: int | None = 10000, *, salts: int = 64) -> DataFrame:
-    """Differing rows with ``reason``; at most ``limit`` per slice, chosen by key order.
-
-    Two-stage top-k so no task sorts a whole hot slice: rows are first ranked inside
-    (slice, hash(key) mod ``salts``) groups and cut at ``limit``; the final per-slice ranking
-    then sees at most ``salts × limit`` rows. The global first ``limit`` rows of a slice are
-    always among the survivors of their own salt group, so the result is exact.
-    """
-    if isinstance(spec, str):
-        spec = SPECS[spec]
-    d = j.filter(F.col("is_diff")).drop("is_same", "is_diff")
-    if limit is None:
-        return d
-    order = [F.col(f"a_{spec.ts_col}")] + [F.col(f"a_{k}").asc_nulls_first() for k in spec.keys]
-    order += [F.col(f"b_{c}").asc_nulls_first() for c in spec.columns]
-    salt = F.pmod(F.xxhash64(*[F.col(f"a_{k}") for k in (spec.ts_col,) + spec.keys]), F.lit(salts))
-    w1 = Window.partitionBy("slice_start", "_salt").orderBy(*order)
-    w2 = Window.partitionBy("slice_start").orderBy(*order)
-    return (d.withColumn("_salt", salt)
-            .withColumn("_rn", F.row_number().over(w1)).filter(F.col("_rn") <= limit)
-            .withColumn("_rn", F.row_number().over(w2)).filter(F.col("_rn") <= limit)
-            .drop("_rn", "_salt"))
+def diff_detail(j: DataFrame) -> DataFrame:
+    """Every differing row with its ``reason`` (a projection of the join: no further shuffle)."""
+    return j.filter(F.col("is_diff")).drop("is_same", "is_diff")
 
 
 def diff_reasons(j: DataFrame, spec: DiffSpec | str | None = None) -> DataFrame:
@@ -277,13 +256,13 @@ def write_diff_csv(detail: DataFrame, path: str, slice_hours: int = 1, mode: str
      .write.mode(mode).partitionBy("slice").option("header", True).csv(path))
 
 
-def run_diff(a: DataFrame, b: DataFrame, spec: DiffSpec | str, start, end, *, limit: int = 10000,
+def run_diff(a: DataFrame, b: DataFrame, spec: DiffSpec | str, start, end, *,
              slice_hours: int = 1, csv_path: str | None = None) -> dict[str, DataFrame]:
     """The differ CLI as one job set: summary, detail and reasons from one persisted join."""
     from pyspark import StorageLevel
 
     j = dataset_diff(a, b, spec, start, end, slice_hours=slice_hours).persist(StorageLevel.MEMORY_AND_DISK)
-    out = {"summary": diff_summary(j), "detail": diff_detail(j, spec, limit), "reasons": diff_reasons(j)}
+    out = {"summary": diff_summary(j), "detail": diff_detail(j), "reasons": diff_reasons(j)}
     if csv_path:
         write_diff_csv(out["detail"], csv_path, slice_hours)
     return out

@@ -6,8 +6,9 @@ Scalable form (never a grid × samples join):
    counter increment ``inc`` (reset-aware) and the change flag ``chg`` of every sample;
 2. each sample is exploded into exactly the eval steps whose closed window ``[t-w, t]``
    contains it (``sequence(first_step, last_step)``; fan-out = w / step);
-3. one ``groupBy(series_key, step)`` with algebraic aggregates only (count, min/max,
-   min_by/max_by, sum, regr_*), so Spark combines map-side;
+3. one ``groupBy(series, step)`` with algebraic aggregates on numbers only (count, min/max,
+   min_by/max_by, sum, regr_*), so Spark combines map-side in a hash table; name and labels
+   are part of the key (labels as sorted entries), not aggregates;
 4. extrapolation and the final formula are a projection.
 
 Output frame: ``name, labels, series_key, eval_ts, value``.
@@ -97,6 +98,11 @@ def select(m: DataFrame, name: str | None = None, matchers: list[tuple[str, str,
     return m.filter(cond)
 
 
+def _entries(m: DataFrame) -> DataFrame:
+    """Labels as sorted entries, which (unlike a map) can be a grouping key."""
+    return m.withColumn("__e", F.array_sort(F.map_entries("labels"))).drop("labels")
+
+
 def _prepared(m: DataFrame, grid: Grid) -> DataFrame:
     """Samples with microsecond offset ``__t``, previous value (bucketed lag), inc and chg."""
     d = m.withColumn("__t", grid.offset_us(F.col("ts")))
@@ -119,20 +125,19 @@ def _assign_steps(d: DataFrame, grid: Grid, window_s: int, offset_s: int = 0) ->
 
 def _window_stats(m: DataFrame, grid: Grid, window, extra: list[Column] = (), offset=0) -> DataFrame:
     w = seconds(window)
-    d = _assign_steps(_prepared(m, grid), grid, w, seconds(offset))
+    d = _assign_steps(_entries(_prepared(m, grid)), grid, w, seconds(offset))
     # x = seconds relative to the eval instant (precision and predict_linear's intercept)
     step_us = grid.step * 1_000_000
     x = (F.col("__t") - F.col("__k") * F.lit(step_us) + F.lit(seconds(offset) * 1_000_000)) / F.lit(1e6)
     d = d.withColumn("__x", x)
-    return d.groupBy("series_key", "__k").agg(
-        F.first("name").alias("name"), F.first("labels").alias("labels"),
+    return d.groupBy("series_key", "name", "__e", "__k").agg(
         F.count(F.lit(1)).alias("__n"), F.min("__x").alias("__x1"), F.max("__x").alias("__xn"),
         F.min_by("value", "__t").alias("__v1"), F.max_by("value", "__t").alias("__vn"),
         (F.sum("__inc") - F.min_by("__inc", "__t")).alias("__res"),
         (F.sum("__chg") - F.min_by("__chg", "__t")).alias("__changes"),
         F.avg("value").alias("__avg"), F.max("value").alias("__max"), F.min("value").alias("__min"),
-        F.max_by(F.struct(F.col("value").alias("v"), F.col("__prev_value").alias("pv"),
-                          ((F.col("__t") - F.col("__prev___t")) / F.lit(1e6)).alias("dt")), "__t").alias("__last2"),
+        F.max_by("__prev_value", "__t").alias("__pv"),
+        F.max_by((F.col("__t") - F.col("__prev___t")) / F.lit(1e6), "__t").alias("__dt"),
         F.regr_slope("value", "__x").alias("__slope"), F.regr_intercept("value", "__x").alias("__icpt"),
         *extra)
 
@@ -140,7 +145,7 @@ def _window_stats(m: DataFrame, grid: Grid, window, extra: list[Column] = (), of
 def _out(g: DataFrame, grid: Grid, value: Column, cond: Column | None = None) -> DataFrame:
     if cond is not None:
         g = g.filter(cond)
-    return g.select("name", "labels", "series_key", grid.ts_of(F.col("__k")).alias("eval_ts"), value.alias("value"))
+    return g.select("name", F.map_from_entries("__e").alias("labels"), "series_key", grid.ts_of(F.col("__k")).alias("eval_ts"), value.alias("value"))
 
 
 def _extrapolated(g: DataFrame, window_s: int, is_counter: bool, is_rate: bool) -> Column:
@@ -177,9 +182,8 @@ def increase(m: DataFrame, window, grid: Grid, offset=0) -> DataFrame:
 def irate(m: DataFrame, window, grid: Grid) -> DataFrame:
     """Per-second rate from the last two samples in the window (reset → last value)."""
     g = _window_stats(m, grid, window)
-    l2 = F.col("__last2")
-    delta = F.when(l2["v"] < l2["pv"], l2["v"]).otherwise(l2["v"] - l2["pv"])
-    return _out(g, grid, F.try_divide(delta, l2["dt"]), F.col("__n") >= 2)
+    v, pv = F.col("__vn"), F.col("__pv")
+    return _out(g, grid, F.try_divide(F.when(v < pv, v).otherwise(v - pv), F.col("__dt")), F.col("__n") >= 2)
 
 
 def deriv(m: DataFrame, window, grid: Grid) -> DataFrame:
@@ -217,8 +221,7 @@ def changes(m: DataFrame, window, grid: Grid) -> DataFrame:
 
 def instant(m: DataFrame, grid: Grid, lookback="5m", offset=0) -> DataFrame:
     """Latest sample in ``[t - offset - lookback, t - offset]`` per series and step."""
-    d = m.withColumn("__t", grid.offset_us(F.col("ts")))
+    d = _entries(m).withColumn("__t", grid.offset_us(F.col("ts")))
     d = _assign_steps(d, grid, seconds(lookback), seconds(offset))
-    g = d.groupBy("series_key", "__k").agg(F.first("name").alias("name"), F.first("labels").alias("labels"),
-                                            F.max_by("value", "__t").alias("__v"))
+    g = d.groupBy("series_key", "name", "__e", "__k").agg(F.max_by("value", "__t").alias("__v"))
     return _out(g, grid, F.col("__v"))

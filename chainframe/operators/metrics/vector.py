@@ -7,7 +7,7 @@ Frames are ``name, labels, series_key, eval_ts, value``. Matching joins are equi
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chainframe.operators.metrics.ranges import Grid
@@ -15,13 +15,25 @@ from chainframe.sources.ingest import series_key
 
 
 def _label_key(labels: Column, on: list[str] | None = None, ignoring: list[str] | None = None) -> Column:
+    """The part of a series that must be equal; ``__name__`` in ``on`` stands for the metric name."""
+    name = F.lit("")
     if on is not None:
-        kept = F.map_filter(labels, lambda k, v: k.isin(*on) if on else F.lit(False))
+        names = [k for k in on if k != "__name__"]
+        if len(names) < len(on):
+            name = F.col("name")
+        kept = F.map_filter(labels, lambda k, v: k.isin(*names) if names else F.lit(False))
     elif ignoring:
         kept = F.map_filter(labels, lambda k, v: ~k.isin(*ignoring))
     else:
         kept = labels
-    return series_key(F.lit(""), kept)
+    return series_key(name, kept)
+
+
+def _one_to_one(v: DataFrame, side: str) -> DataFrame:
+    """``v`` (with match key ``__mk``); an error if two of its series share a key at a step."""
+    many = F.count(F.lit(1)).over(Window.partitionBy("__mk", "eval_ts")) > 1
+    text = F.concat(F.lit(f"many-to-many matching: duplicate series on the {side} side for "), F.col("__mk"))
+    return v.withColumn("__mk", F.when(many, F.raise_error(text).cast("string")).otherwise(F.col("__mk")))
 
 
 def _kept_labels(labels: Column, on: list[str] | None) -> Column:
@@ -43,12 +55,15 @@ _CMP = {">": lambda a, b: a > b, ">=": lambda a, b: a >= b, "<": lambda a, b: a
 def binary_op(left: DataFrame, right: DataFrame, op: str, on: list[str] | None = None,
               ignoring: list[str] | None = None) -> DataFrame:
     """One-to-one vector arithmetic or comparison on identical label sets (or ``on``/
-    ``ignoring`` subsets). Arithmetic drops the metric name; a comparison filters and keeps
+    ``ignoring`` subsets, ``__name__`` included). Several series of one side with the same
+    match key are an error. Arithmetic drops the metric name; a comparison filters and keeps
     the left sample."""
     l = left.select("name", "labels", "series_key", "eval_ts", "value",
                     _label_key(F.col("labels"), on, ignoring).alias("__mk"))
-    r = right.select(_label_key(F.col("labels"), on, ignoring).alias("__mk"), F.col("eval_ts").alias("__rt"),
-                     F.col("value").alias("__rv"))
+    r = right.select(_label_key(F.col("labels"), on, ignoring).alias("__mk"), "eval_ts", "value")
+    if on is not None or ignoring:  # whole label sets are unique as they are
+        l, r = _one_to_one(l, "left"), _one_to_one(r, "right")
+    r = r.select("__mk", F.col("eval_ts").alias("__rt"), F.col("value").alias("__rv"))
     j = l.join(r, (l["__mk"] == r["__mk"]) & (l["eval_ts"] == r["__rt"]), "inner")
     if op in _CMP:
         return j.filter(_CMP[op](F.col("value"), F.col("__rv"))).select("name", "labels", "series_key", "eval_ts", "value")
@@ -88,8 +103,11 @@ def vector_or(left: DataFrame, right: DataFrame) -> DataFrame:
     return l.unionByName(extra).drop("__mk")
 
 
-def vector_unless_empty(v: DataFrame) -> DataFrame:
-    return v
+def time_minus(v: DataFrame) -> DataFrame:
+    """``time() - v``: the eval instant in epoch seconds minus the sample value."""
+    now = F.timestamp_diff("SECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), F.col("eval_ts")).cast("double")
+    return v.select(F.lit("").alias("name"), "labels", series_key(F.lit(""), F.col("labels")).alias("series_key"),
+                    "eval_ts", (now - F.col("value")).alias("value"))
 
 
 _AGG = {"sum": F.sum, "avg": F.avg, "count": lambda c: F.count(c).cast("double"), "max": F.max, "min": F.min}

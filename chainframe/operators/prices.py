@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chainframe.operators.windows import asof_join
+from chainframe.sources.layout import chunk_start
 
 
 def price_asof(facts: DataFrame, prices: DataFrame, *, key: str = "token_address", ts: str = "block_timestamp",
@@ -22,7 +23,7 @@ def compare_sources(quotes: DataFrame, *, source_col: str = "source", a: str = "
                     key: str = "token_address", ts: str = "ts", value: str = "price_cents", bucket: str = "1 hour") -> DataFrame:
     """Average quote per (token, time bucket) from two providers side by side; one grouped
     pass (equivalent to the full outer join of the two per-provider aggregates)."""
-    q = quotes.withColumn("bucket", F.date_trunc(bucket.split()[-1], F.col(ts)))
+    q = quotes.withColumn("bucket", chunk_start(ts, bucket))
     agg = q.groupBy(key, "bucket").agg(
         F.avg(F.when(F.col(source_col) == a, F.col(value))).alias(f"{a}_price"),
         F.avg(F.when(F.col(source_col) == b, F.col(value))).alias(f"{b}_price"))

@@ -9,12 +9,9 @@ the catalogue reuse the same operators.
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from chainframe.operators import metrics as M
 from chainframe.operators.alerts import Rule
 from chainframe.operators.metrics import vector as V
-from chainframe.sources.ingest import series_key
 
 
 def _sel(name, *matchers):
@@ -25,13 +22,6 @@ def _inst(name, *matchers):
     return lambda m, g: M.instant(_sel(name, *matchers)(m), g)
 
 
-def _time_minus(v):
-    """``time() - v`` (eval instant in epoch seconds minus the sample value)."""
-    now = F.timestamp_diff("SECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), F.col("eval_ts")).cast("double")
-    return v.select(F.lit("").alias("name"), "labels", series_key(F.lit(""), F.col("labels")).alias("series_key"),
-                    "eval_ts", (now - F.col("value")).alias("value"))
-
-
 def _cpu_load(m, g):
     idle = M.rate(_sel("node_cpu_seconds_total", ("mode", "=", "idle"))(m), "2m", g)
     busy = V.scalar_op(V.scalar_op(V.aggregate(idle, "avg", ["instance"]), "*", 100), "-", 100, scalar_left=True)
@@ -75,7 +65,7 @@ CATALOG = [
     ("prom", 64, "PrometheusAlertmanagerConfigNotSynced", lambda m, g, s: _config_not_synced(m, g), 0, "warning"),
     ("psql", 4, "PostgresqlDown", lambda m, g, s: V.compare(_inst("pg_up")(m, g), "==", 0), 0, "critical"),
     ("psql", 13, "PostgresqlRestarted",
-     lambda m, g, s: V.compare(_time_minus(_inst("pg_postmaster_start_time_seconds")(m, g)), "<", 60), 0, "critical"),
+     lambda m, g, s: V.compare(V.time_minus(_inst("pg_postmaster_start_time_seconds")(m, g)), "<", 60), 0, "critical"),
     ("reds", 4, "RedisDown", lambda m, g, s: V.compare(_inst("redis_up")(m, g), "==", 0), 300, "critical"),
     ("reds", 40, "RedisIncreaseTooManyConnections",
      lambda m, g, s: V.compare(M.rate(_sel("redis_connected_clients")(m), "1m", g), ">", 100), 300, "warning"),

@@ -67,7 +67,7 @@ def tx_totals(traces: DataFrame) -> DataFrame:
 
 def balances(traces: DataFrame) -> DataFrame:
     """``cnb + vin - out`` per address: coinbase outputs (cnb), other outputs received
-    (vin), outputs spent by later inputs (out)."""
+    (vin), outputs spent by later inputs (out), with first and last activity per role."""
     outs = _outputs(traces)
     vin = outs.filter(~F.col("is_coinbase")).select("blknum", "txhash", "block_timestamp", "address",
                                                     F.col("value").cast("string").alias("value"), F.lit("vin").alias("role"))
@@ -77,6 +77,4 @@ def balances(traces: DataFrame) -> DataFrame:
     out = sp.select("blknum", "txhash", "block_timestamp", F.col("spent_address").alias("address"),
                     F.col("spent_value").cast("string").alias("value"), F.lit("out").alias("role"))
     rows = vin.unionByName(cnb).unionByName(out).filter(F.col("address").isNotNull())
-    stats = BL._role_stats(rows, [])
-    p = BL._pivot(stats, [], ["out", "vin", "cnb"], firsts=False)
-    return BL._finish(p, [], ["out", "vin", "cnb"], ["cnb", "vin"], ["out"], firsts=False)
+    return BL.balances_of(BL.tx_partials(rows, [], ["out", "vin", "cnb"]), [], ["out", "vin", "cnb"], ["cnb", "vin"], ["out"])

@@ -31,10 +31,11 @@ def bucketed_lag(df: DataFrame, keys: list[str], order_col: str, cols: list[str]
     d = df.withColumn("__b", _bucket(order_col, width))
     w = Window.partitionBy(*keys, "__b").orderBy(*order)
     d = d.withColumn("__first", F.lag(F.lit(1)).over(w).isNull())
+    d = d.withColumn("__end", F.lead(F.lit(1)).over(w).isNull())
     for c in cols:
         d = d.withColumn(prefix + c, F.lag(F.col(c)).over(w))
-    ordkey = F.struct(*order)
-    last = d.groupBy(*keys, "__b").agg(F.max_by(F.struct(*[F.col(c).alias(c) for c in cols]), ordkey).alias("__last"))
+    last = d.filter("__end").select(*keys, "__b", F.struct(*[F.col(c).alias(c) for c in cols]).alias("__last"))
+    d = d.drop("__end")
     wb = Window.partitionBy(*keys).orderBy("__b")
     carry = last.select(*keys, "__b", F.lag("__last").over(wb).alias("__carry"))
     d = d.join(carry, on=[*keys, "__b"], how="left")
@@ -60,10 +61,16 @@ def bucketed_running_sum(df: DataFrame, keys: list[str], order_col: str, cols: l
     return d.drop("__b", *[f"__c_{c}" for c in cols])
 
 
+def _struct_of(df: DataFrame, cols: list[str]):
+    return df.select(F.struct(*[F.col(c) for c in cols]).alias("s")).schema["s"].dataType
+
+
 def asof_join(left: DataFrame, right: DataFrame, keys: list[str], left_ts: str, right_ts: str,
-              values: list[str], *, bucket_seconds: int = 86400) -> DataFrame:
+              values: list[str], *, bucket_seconds: int = 86400, tiebreak: list[str] | None = None) -> DataFrame:
     """For each left row, the ``values`` of the latest right row with the same keys and
-    ``right_ts <= left_ts`` (NULL when none). No range join, no per-key task:
+    ``right_ts <= left_ts`` (NULL when none, and when a key is NULL). Of right rows at one
+    instant the largest by ``tiebreak`` (by default ``values``) counts. No range join, no
+    per-key task:
 
     * inside a (keys, time bucket) partition, ``last(ignorenulls)`` over the union of both
       sides ordered by time (right rows first on ties) finds the in-bucket match;
@@ -71,25 +78,29 @@ def asof_join(left: DataFrame, right: DataFrame, keys: list[str], left_ts: str,
       the same ``last`` over per-bucket summaries (one row per bucket) and an equi-join.
     """
     epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    tie = list(values if tiebreak is None else tiebreak)
+    for k in keys:
+        right = right.filter(F.col(k).isNotNull())
     lb = F.floor(F.timestamp_diff("SECOND", epoch, F.col(left_ts)) / F.lit(bucket_seconds)).cast("long")
     rb = F.floor(F.timestamp_diff("SECOND", epoch, F.col(right_ts)) / F.lit(bucket_seconds)).cast("long")
     lcols = left.columns
     L = left.select(*[F.col(c).alias(f"__l_{c}") for c in lcols], *[F.col(k).alias(k) for k in keys],
                     F.col(left_ts).alias("__t"), lb.alias("__b"), F.lit(1).alias("__side"),
                     *[F.lit(None).cast(right.schema[v].dataType).alias(f"__r_{v}") for v in values],
-                    F.lit(None).cast("timestamp_ntz").alias("__rts"))
+                    F.lit(None).cast("timestamp_ntz").alias("__rts"), F.lit(None).cast(_struct_of(right, tie)).alias("__tie"))
     R = right.select(*[F.lit(None).cast(left.schema[c].dataType).alias(f"__l_{c}") for c in lcols],
                      *[F.col(k) for k in keys], F.col(right_ts).alias("__t"), rb.alias("__b"), F.lit(0).alias("__side"),
-                     *[F.col(v).alias(f"__r_{v}") for v in values], F.col(right_ts).alias("__rts"))
+                     *[F.col(v).alias(f"__r_{v}") for v in values], F.col(right_ts).alias("__rts"),
+                     F.struct(*[F.col(c) for c in tie]).alias("__tie"))
     u = L.unionByName(R)
-    w = Window.partitionBy(*keys, "__b").orderBy("__t", "__side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    w = Window.partitionBy(*keys, "__b").orderBy("__t", "__side", "__tie").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     pack = F.when(F.col("__side") == 0, F.struct(*[F.col(f"__r_{v}").alias(v) for v in values], F.col("__rts").alias("__rts")))
     u = u.withColumn("__m", F.last(pack, ignorenulls=True).over(w))
     lrows = u.filter(F.col("__side") == 1)
     # summaries: last right row per bucket, and the buckets that have unmatched left rows
     rlast = R.groupBy(*keys, "__b").agg(F.max_by(F.struct(*[F.col(f"__r_{v}").alias(v) for v in values],
                                                            F.col("__rts").alias("__rts")),
-                                                 F.struct("__t")).alias("__s"))
+                                                 F.struct("__t", "__tie")).alias("__s"))
     need = lrows.filter(F.col("__m").isNull()).select(*keys, "__b").distinct()
     # need rows sort before the same bucket's summary, so they only see earlier buckets
     summ = need.select(*keys, "__b", F.lit(None).cast(rlast.schema["__s"].dataType).alias("__s"), F.lit(0).alias("__o")) \

@@ -1,4 +1,4 @@
-"""Alert lifecycle queries (L1-L4, L6) over two rules on the fixture metrics."""
+"""Alert lifecycle queries (L1-L4, L6) over six rules on the fixture metrics."""
 
 from __future__ import annotations
 
@@ -28,6 +28,12 @@ RULES = [
             group="fixture", line=2),
     AL.Rule("QueueEmptyPanic", lambda m, g, s: V.compare(M.instant(M.select(m, "queue_length"), g), "<", 150),
             for_seconds=0, labels={"severity": "panic"}, group="fixture", line=3),
+    AL.Rule("QueueLow", lambda m, g, s: V.compare(M.instant(M.select(m, "queue_length"), g), "<", 300),
+            for_seconds=0, labels={"severity": "info"}, group="fixture", line=4),
+    AL.Rule("QueueNoted", lambda m, g, s: V.compare(M.instant(M.select(m, "queue_length"), g), "<", 100),
+            for_seconds=0, labels={"severity": "none"}, group="fixture", line=5),
+    AL.Rule("QueueBroken", lambda m, g, s: V.compare(M.instant(M.select(m, "queue_length"), g), ">", 4800),
+            for_seconds=300, labels={"severity": "error"}, group="fixture", line=6),
 ]
 
 _ACTIVE_SQL = f"""{stats_sql('metric_counter', W)},
@@ -37,7 +43,10 @@ act AS (
   FROM i WHERE value > 4000
   UNION ALL SELECT 'fixture:2:RequestRateHigh', 'RequestRateHigh', 'critical', job, instance, t, {extrapolated_sql(W, True)}, 600
   FROM a WHERE n >= 2 AND {extrapolated_sql(W, True)} > 2
-  UNION ALL SELECT 'fixture:3:QueueEmptyPanic', 'QueueEmptyPanic', 'panic', job, instance, t, value, 0 FROM i WHERE value < 150),
+  UNION ALL SELECT 'fixture:3:QueueEmptyPanic', 'QueueEmptyPanic', 'panic', job, instance, t, value, 0 FROM i WHERE value < 150
+  UNION ALL SELECT 'fixture:4:QueueLow', 'QueueLow', 'info', job, instance, t, value, 0 FROM i WHERE value < 300
+  UNION ALL SELECT 'fixture:5:QueueNoted', 'QueueNoted', 'none', job, instance, t, value, 0 FROM i WHERE value < 100
+  UNION ALL SELECT 'fixture:6:QueueBroken', 'QueueBroken', 'error', job, instance, t, value, 300 FROM i WHERE value > 4800),
 isl AS (SELECT *, date_diff('second', TIMESTAMP '{G.start}', t) // {G.step}
           - row_number() OVER (PARTITION BY rule_id, job, instance ORDER BY t) AS island FROM act),
 sp AS (SELECT *, min(t) OVER (PARTITION BY rule_id, job, instance, island) AS since,
@@ -82,8 +91,10 @@ def alert_annotations(spark, sf_dir):
     return _cols(st.withColumn("summary", parts.otherwise(F.lit(""))), "summary")
 
 
-_ROUTE_SQL = """SELECT *, CASE severity WHEN 'critical' THEN 'critical' WHEN 'warning' THEN 'warning'
-  WHEN 'info' THEN 'info' ELSE 'slack' END AS receiver FROM st"""
+# the routing file's routes: none, info, warning or error, critical; others to its default receiver
+_ROUTE_SQL = """SELECT *, CASE severity WHEN 'none' THEN 'slack_none' WHEN 'info' THEN 'slack'
+  WHEN 'warning' THEN 'slack_warning' WHEN 'error' THEN 'slack_warning' WHEN 'critical' THEN 'slack_critical'
+  ELSE 'slack' END AS receiver FROM st"""
 
 
 @query("alert_routing", f"""WITH {_ACTIVE_SQL}, rt AS ({_ROUTE_SQL})

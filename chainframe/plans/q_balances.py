@@ -60,9 +60,6 @@ def token_balances(spark, sf_dir):
     return BL.token_balances(x, DV.tokens_latest(FX.load(spark, sf_dir, "token_registry", memo)))
 
 
-_INC_COLS = None
-
-
 @query("balances_incremental", f"SELECT * EXCLUDE (decimals, balance) FROM ({TOKEN_BAL_SQL})", ("token_xfers", "token_registry"))
 def balances_incremental(spark, sf_dir):
     """State up to checkpoint block 5000 merged with the later batch = full recompute."""
@@ -119,7 +116,49 @@ FROM b WINDOW w AS (PARTITION BY address, token_address ORDER BY blknum ROWS BET
        ("token_xfers",))
 def token_balance_history(spark, sf_dir):
     """Running token balance per (address, token) at each block it changed."""
-    return BL.balance_history(FX.load(spark, sf_dir, "token_xfers"), token=True, width=2000)
+    return BL.balance_history(FX.load(spark, sf_dir, "token_xfers"), width=2000)
+
+
+_ROLES4 = ("out", "vin", "cnb", "fee")
+
+
+@query("native_balance_history", f"""
+WITH r AS (SELECT * FROM ({NATIVE_ROWS}) WHERE address IS NOT NULL),
+b AS (SELECT address, blknum,
+  {", ".join(f"max(CASE WHEN role = '{x}' THEN 1 ELSE 0 END) AS {x}_b, count(DISTINCT txhash) FILTER (WHERE role = '{x}') AS {x}_t, "
+             f"count(*) FILTER (WHERE role = '{x}') AS {x}_n, COALESCE(SUM(CAST(value AS BIGNUM)) FILTER (WHERE role = '{x}'), CAST(0 AS BIGNUM)) AS {x}_v"
+             for x in _ROLES4)} FROM r GROUP BY ALL)
+SELECT address, blknum,
+  {", ".join(f"CAST(sum({x}_b) OVER w AS BIGINT) AS {x}_blocks, CAST(sum({x}_t) OVER w AS BIGINT) AS {x}_txs, "
+             f"CAST(sum({x}_n) OVER w AS BIGINT) AS {x}_xfers" for x in ("out", "vin", "cnb"))},
+  {", ".join(f"CAST(sum({x}_v) OVER w AS VARCHAR) AS {x}_value" for x in _ROLES4)},
+  CAST(sum(cnb_v + vin_v - out_v - fee_v) OVER w AS VARCHAR) AS value
+FROM b WINDOW w AS (PARTITION BY address ORDER BY blknum ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""", ("traces_a", "txs_a"))
+def native_balance_history(spark, sf_dir):
+    """Running native balance with per-role counts, coinbase and fees at each block it changed."""
+    memo: dict = {}
+    return BL.native_balance_history(FX.load(spark, sf_dir, "traces_a", memo), FX.load(spark, sf_dir, "txs_a", memo), width=2000)
+
+
+# computed balances per supplier, and those a node reports: some differ, some exist on one side
+FX.register("computed_balances", ("lineitem",), """
+SELECT l_suppkey AS holder, CAST(sum(CAST(l_quantity AS BIGINT)) AS STRING) || '000000000000000000' AS value
+FROM {lineitem} WHERE l_suppkey % 11 <> 5 GROUP BY l_suppkey""")
+FX.register("onchain_balances", ("lineitem",), """
+SELECT l_suppkey AS holder, CAST(sum(CAST(l_quantity AS BIGINT)) AS STRING)
+  || CASE WHEN l_suppkey % 7 = 0 THEN '000000000000000042' ELSE '000000000000000000' END AS balance
+FROM {lineitem} WHERE l_suppkey % 13 <> 6 GROUP BY l_suppkey""")
+
+
+@query("balance_reconcile", """
+SELECT COALESCE(c.holder, o.holder) AS holder, c.value, o.balance,
+  CAST(COALESCE(CAST(o.balance AS HUGEINT), 0) - COALESCE(CAST(c.value AS HUGEINT), 0) AS VARCHAR) AS difference
+FROM computed_balances c FULL JOIN onchain_balances o ON c.holder = o.holder
+WHERE COALESCE(CAST(o.balance AS HUGEINT), 0) <> COALESCE(CAST(c.value AS HUGEINT), 0)""", ("computed_balances", "onchain_balances"))
+def balance_reconcile(spark, sf_dir):
+    """Computed against reported balances, with the exact signed difference."""
+    memo: dict = {}
+    return BL.reconcile(FX.load(spark, sf_dir, "computed_balances", memo), FX.load(spark, sf_dir, "onchain_balances", memo), keys=("holder",))
 
 
 @query("u256_sum", """

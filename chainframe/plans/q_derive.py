@@ -81,25 +81,31 @@ def nft_history(spark, sf_dir):
         .orderBy("token_id", "block_timestamp")
 
 
-_ERC1155_SQL = f"""
+def _small(w: str) -> str:
+    """A word as BIGINT, NULL unless whole and below 2^63."""
+    return (f"CASE WHEN length({w}) = 64 AND substr({w}, 1, 48) = repeat('0', 48) "
+            f"THEN TRY_CAST(CAST('0x' || substr({w}, 49, 16) AS UBIGINT) AS BIGINT) END")
+
+
+_ERC1155_CTE = f"""
 WITH l AS (SELECT *, {dtopics()} AS t, regexp_replace(data, '^0[xX]', '') AS d FROM erc1155_logs
            WHERE n_topics = 4 AND {dtopics()}[1] IN ('{E.TRANSFER_SINGLE_TOPIC}', '{E.TRANSFER_BATCH_TOPIC}')),
-o AS (SELECT *, t[1] = '{E.TRANSFER_BATCH_TOPIC}' AS is_batch,
-        CAST(CAST('0x' || substr(substr(d, 1, 64), 49, 16) AS UBIGINT) AS BIGINT) // 32 AS ids_at,
-        CAST(CAST('0x' || substr(substr(d, 65, 64), 49, 16) AS UBIGINT) AS BIGINT) // 32 AS vals_at FROM l),
-p AS (SELECT *, CASE WHEN is_batch THEN
-        list_transform(range(1, CAST(CAST('0x' || substr(substr(d, ids_at * 64 + 1, 64), 49, 16) AS UBIGINT) AS BIGINT) + 1),
-                       lambda i: {dhex("substr(d, (ids_at + i) * 64 + 1, 64)")})
-        ELSE [{dhex("substr(d, 1, 64)")}] END AS ids,
-      CASE WHEN is_batch THEN
-        list_transform(range(1, CAST(CAST('0x' || substr(substr(d, vals_at * 64 + 1, 64), 49, 16) AS UBIGINT) AS BIGINT) + 1),
-                       lambda i: {dhex("substr(d, (vals_at + i) * 64 + 1, 64)")})
-        ELSE [{dhex("substr(d, 65, 64)")}] END AS vals FROM o),
-q AS (SELECT *, unnest(range(0, len(ids))) AS id_pos FROM p WHERE len(ids) = len(vals))
+o AS (SELECT *, t[1] = '{E.TRANSFER_BATCH_TOPIC}' AS is_batch, length(d) // 64 AS words,
+        {_small("substr(d, 1, 64)")} AS o0, {_small("substr(d, 65, 64)")} AS o1 FROM l),
+offs AS (SELECT *, CASE WHEN is_batch AND o0 % 32 = 0 AND o1 % 32 = 0 AND o0 < words * 32 AND o1 < words * 32 THEN o0 // 32 END AS a0,
+        CASE WHEN is_batch AND o0 % 32 = 0 AND o1 % 32 = 0 AND o0 < words * 32 AND o1 < words * 32 THEN o1 // 32 END AS a1 FROM o),
+n AS (SELECT *, {_small("substr(d, a0 * 64 + 1, 64)")} AS n0, {_small("substr(d, a1 * 64 + 1, 64)")} AS n1 FROM offs),
+c AS (SELECT *, CASE WHEN NOT is_batch THEN CASE WHEN words >= 2 THEN 1 ELSE 0 END
+                     WHEN n0 = n1 AND n0 <= words - 1 - a0 AND n1 <= words - 1 - a1 THEN n0 ELSE 0 END AS id_cnt FROM n)"""
+
+_ERC1155_SQL = _ERC1155_CTE + f""",
+q AS (SELECT *, unnest(range(0, id_cnt)) AS id_pos FROM c)
 SELECT block_timestamp, blknum, txhash, txpos, CAST(logpos AS BIGINT) AS logpos, address AS token_address,
   '0x' || lower(right(t[2], 40)) AS operator, '0x' || lower(right(t[3], 40)) AS from_address,
   '0x' || lower(right(t[4], 40)) AS to_address, CASE WHEN is_batch THEN 'batch' ELSE 'single' END AS xfer_type,
-  CAST(id_pos AS BIGINT) AS id_pos, CAST(len(ids) AS BIGINT) AS id_cnt, ids[id_pos + 1] AS token_id, vals[id_pos + 1] AS value,
+  CAST(id_pos AS BIGINT) AS id_pos, CAST(id_cnt AS BIGINT) AS id_cnt,
+  {dhex("CASE WHEN is_batch THEN substr(d, (a0 + 1 + id_pos) * 64 + 1, 64) ELSE substr(d, 1, 64) END")} AS token_id,
+  {dhex("CASE WHEN is_batch THEN substr(d, (a1 + 1 + id_pos) * 64 + 1, 64) ELSE substr(d, 65, 64) END")} AS value,
   CAST(NULL AS VARCHAR) AS name, CAST(NULL AS VARCHAR) AS symbol,
   concat_ws('_', 'erc1155_xfer', txhash, CAST(logpos AS VARCHAR), CAST(id_pos AS VARCHAR)) AS item_id
 FROM q"""
@@ -111,6 +117,20 @@ def erc1155_transfers(spark, sf_dir):
     return DV.erc1155_transfers(FX.load(spark, sf_dir, "erc1155_logs"))
 
 
+@query("erc1155_rejects", _ERC1155_CTE + """
+SELECT address AS token_address, CAST(count(*) AS BIGINT) AS rejected FROM c WHERE id_cnt = 0 GROUP BY address""", ("erc1155_logs",))
+def erc1155_rejects(spark, sf_dir):
+    """Malformed ERC-1155 logs per collection (they give no transfers and no error)."""
+    return DV.erc1155_rejects(FX.load(spark, sf_dir, "erc1155_logs"))
+
+
+@query("contract_creations", """
+SELECT block_timestamp, blknum, txhash, from_address FROM txs_a WHERE to_address IS NULL""", ("txs_a",))
+def contract_creations(spark, sf_dir):
+    """Contract-creating transactions (no receiver)."""
+    return DV.contract_creations(FX.load(spark, sf_dir, "txs_a")).select("block_timestamp", "blknum", "txhash", "from_address")
+
+
 @query("contracts", """
 SELECT block_timestamp, blknum, txhash, txpos, trace_type, trace_address, to_address AS address, from_address AS creater,
   input AS initcode, output AS bytecode, concat_ws('_', 'contract', txhash, trace_address) AS item_id
@@ -148,14 +168,25 @@ def contract_standards(spark, sf_dir):
     return cs.select("address", "txhash", F.coalesce("func_sighashes", F.lit("")).alias("func_sighashes"), "is_erc20", "is_erc721")
 
 
+FX.register("receipts", ("txs_a",), """
+SELECT txhash, receipt_gas_used + 7 AS gas_used, receipt_gas_used * 3 AS cumulative_gas_used,
+  receipt_effective_gas_price + 1 AS effective_gas_price, receipt_status AS status,
+  CASE WHEN to_address IS NULL THEN '0x' || substr(txhash, 27, 40) END AS contract_address
+FROM {txs_a} WHERE (blknum * 5 + txpos) % 11 <> 0""")
+
+
 @query("tx_receipts", """
-SELECT t.txhash, CAST(COALESCE(n, 0) AS BIGINT) AS receipt_log_count FROM txs_a t
-LEFT JOIN (SELECT txhash, count(*) AS n FROM logs_a GROUP BY txhash) l ON t.txhash = l.txhash""", ("txs_a", "logs_a"))
+SELECT t.txhash, CAST(COALESCE(n, 0) AS BIGINT) AS receipt_log_count, r.gas_used AS receipt_gas_used,
+  r.cumulative_gas_used AS receipt_cumulative_gas_used, r.effective_gas_price AS receipt_effective_gas_price,
+  r.status AS receipt_status, r.contract_address AS receipt_contract_address
+FROM txs_a t LEFT JOIN (SELECT txhash, count(*) AS n FROM logs_a GROUP BY txhash) l ON t.txhash = l.txhash
+LEFT JOIN receipts r ON t.txhash = r.txhash""", ("txs_a", "logs_a", "receipts"))
 def tx_receipts(spark, sf_dir):
-    """Transactions enriched with receipt log counts."""
+    """Transactions enriched with their receipts and log counts."""
     memo: dict = {}
-    r = DV.tx_receipts(FX.load(spark, sf_dir, "txs_a", memo), FX.load(spark, sf_dir, "logs_a", memo))
-    return r.select("txhash", "receipt_log_count")
+    r = DV.tx_receipts(*[FX.load(spark, sf_dir, t, memo) for t in ("txs_a", "logs_a", "receipts")])
+    return r.select("txhash", "receipt_log_count", *[f"receipt_{c}" for c in (
+        "gas_used", "cumulative_gas_used", "effective_gas_price", "status", "contract_address")])
 
 
 @query("proxy_tokens", f"""

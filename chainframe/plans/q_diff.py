@@ -88,11 +88,7 @@ def _oracle_summary(case):
 
 
 def _oracle_detail(case):
-    spec = CASES[case][0]
-    order = ", ".join([f"a_{spec.ts_col}"] + [f"a_{k} ASC NULLS FIRST" for k in spec.keys]
-                      + [f"b_{c} ASC NULLS FIRST" for c in spec.columns])
-    return _oracle_ab(case) + f"""SELECT * EXCLUDE (is_same, is_diff) FROM cls WHERE is_diff
-QUALIFY row_number() OVER (PARTITION BY slice_start ORDER BY {order}) <= 10000"""
+    return _oracle_ab(case) + "SELECT * EXCLUDE (is_same, is_diff) FROM cls WHERE is_diff"
 
 
 def _oracle_reasons(case):
@@ -102,7 +98,6 @@ FROM cls WHERE is_diff GROUP BY slice_start, reason"""
 
 def _register(case: str):
     fixtures = (CASES[case][1], CASES[case][2])
-    spec = CASES[case][0]
 
     @query(f"diff_{case}_summary", _oracle_summary(case), fixtures)
     def _summary(spark, sf_dir):
@@ -110,7 +105,7 @@ def _register(case: str):
 
     @query(f"diff_{case}_detail", _oracle_detail(case), fixtures)
     def _detail(spark, sf_dir):
-        return D.diff_detail(joined(spark, sf_dir, case), spec, 10000)
+        return D.diff_detail(joined(spark, sf_dir, case))
 
     @query(f"diff_{case}_reasons", _oracle_reasons(case), fixtures)
     def _reasons(spark, sf_dir):
@@ -143,6 +138,6 @@ def diff_csv_roundtrip(spark, sf_dir):
     from chainframe.session import scratch_path
 
     path = scratch_path(spark, f"diff_csv/{uuid.uuid4().hex}")
-    D.write_diff_csv(D.diff_detail(joined(spark, sf_dir, "blocks"), D.BLOCK, limit=None), path)
+    D.write_diff_csv(D.diff_detail(joined(spark, sf_dir, "blocks")), path)
     back = spark.read.option("header", True).csv(path)
     return back.select(F.col("slice").cast("string").alias("slice"), F.col("a_blknum").cast("long").alias("a_blknum"), "reason")

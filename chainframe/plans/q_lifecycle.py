@@ -1,4 +1,4 @@
-"""Sources, sinks and table lifecycle queries."""
+"""Sources, sinks and table lifecycle queries."""
 
 from __future__ import annotations
 
@@ -59,7 +59,7 @@ def _versioned(spark, sf_dir):
 @query("replacing_dedup", f"""
 SELECT block_timestamp, blknum, txhash, txpos, value, receipt_status, version FROM {_VERSIONED} v
 QUALIFY row_number() OVER (PARTITION BY year(block_timestamp) * 100 + month(block_timestamp), blknum, txhash, txpos
-  ORDER BY version DESC, block_timestamp, value NULLS FIRST, receipt_status NULLS FIRST) = 1""", ("txs_a", "txs_b"))
+  ORDER BY version DESC, block_timestamp DESC NULLS LAST, value DESC NULLS LAST, receipt_status DESC NULLS LAST) = 1""", ("txs_a", "txs_b"))
 def replacing_dedup(spark, sf_dir):
     """Last write wins per (month, key) across two loads."""
     return LY.replacing_dedup(_versioned(spark, sf_dir), ["blknum", "txhash", "txpos"], "version")
@@ -78,7 +78,8 @@ def upsert_merge(spark, sf_dir):
     return LY.merge_batch(t, b, ["block_timestamp", "txhash", "txpos"])
 
 
-@query("cluster_layout")
+@query("cluster_layout", """
+SELECT *, time_bucket(INTERVAL '7 days', block_timestamp, TIMESTAMP '1970-01-01') AS chunk FROM blocks_a""", ("blocks_a",))
 def cluster_layout(spark, sf_dir):
     """Range-partitioned by (chunk, blknum) and sorted by (blknum, block_timestamp)."""
     b = LY.with_chunk(FX.load(spark, sf_dir, "blocks_a"), "block_timestamp", S.CHUNK_INTERVAL)

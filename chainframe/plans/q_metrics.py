@@ -59,16 +59,27 @@ def extrapolated_sql(window: int, is_rate: bool) -> str:
     return f"({e}) / {window}" if is_rate else e
 
 
-def range_query(name, fixture, fn, sql_value, cond="true", window=W, digits=6):
-    """``digits``: rounding of the double result in both engines (values near 1e7 keep ~10
-    significant digits; two regression implementations differ past that, and 4-hour
-    extrapolations reach 1e9, so predict_linear is compared at whole units)."""
+def _significant(c, digits: int):
+    """``c`` at so many significant digits."""
+    scale = F.pow(F.lit(10.0), F.lit(digits - 1) - F.floor(F.log10(F.abs(c))))
+    return F.when(c == 0, F.lit(0.0)).otherwise(F.round(c * scale) / scale)
+
+
+def range_query(name, fixture, fn, sql_value, cond="true", window=W, significant=None):
+    """Both engines round the double result: to 6 decimals, or to ``significant`` digits where
+    two regression implementations differ past them."""
+    rounded = f"round({sql_value}, 6)"
+    if significant:
+        scale = f"pow(10.0, {significant - 1} - floor(log10(abs({sql_value}))))"
+        rounded = f"CASE WHEN {sql_value} = 0 THEN 0.0 ELSE round(({sql_value}) * {scale}) / {scale} END"
+
     @query(name, f"""WITH {stats_sql(fixture, window)}
-SELECT job, instance, t AS eval_ts, round({sql_value}, {digits}) AS value FROM a WHERE {cond}""", (fixture,))
+SELECT job, instance, t AS eval_ts, {rounded} AS value FROM a WHERE {cond}""", (fixture,))
     def _q(spark, sf_dir):
         v = fn(samples(spark, sf_dir, fixture))
+        value = _significant(F.col("value"), significant) if significant else F.round("value", 6)
         return v.select(F.col("labels")["job"].alias("job"), F.col("labels")["instance"].alias("instance"), "eval_ts",
-                        F.round("value", digits).alias("value"))
+                        value.alias("value"))
     _q.__doc__ = f"{name} over {fixture} (1h window, 5m grid)."
     return _q
 
@@ -79,7 +90,7 @@ range_query("irate", "metric_counter", lambda m: M.irate(m, "1h", G),
             "(CASE WHEN lv < lpv THEN lv ELSE lv - lpv END) / ldt", "n >= 2")
 range_query("deriv", "metric_gauge", lambda m: M.deriv(m, "1h", G), "slope", "n >= 2")
 range_query("predict_linear", "metric_gauge", lambda m: M.predict_linear(m, "1h", "4h", G),
-            "icpt + slope * 14400", "n >= 2", digits=0)
+            "(icpt + slope * 14400)", "n >= 2", significant=8)
 range_query("avg_over_time", "metric_gauge", lambda m: M.avg_over_time(m, "1h", G), "av")
 range_query("max_over_time", "metric_gauge", lambda m: M.max_over_time(m, "1h", G), "mx")
 range_query("min_over_time", "metric_gauge", lambda m: M.min_over_time(m, "1h", G), "mn")
@@ -100,13 +111,26 @@ def instant(spark, sf_dir):
     return out(M.instant(samples(spark, sf_dir, "metric_gauge"), G))
 
 
-@query("config_changed", f"""WITH {instant_sql('metric_gauge')}, {instant_sql('metric_gauge', offset=3600, alias='o')}
-SELECT i.job, i.instance, i.t AS eval_ts, round(i.value, 6) AS value FROM i JOIN o
-ON i.job = o.job AND i.instance = o.instance AND i.t = o.t WHERE i.value <> o.value""", ("metric_gauge",))
+# one series per setting; its value changes now and then
+FX.register("metric_settings", ("events",), """
+SELECT 'pg_settings_' || event_type AS name, 'db0' AS instance, ts, CAST(user_id % 3 AS BIGINT) AS value FROM {events}""")
+
+
+def _settings_sql(offset: int, alias: str) -> str:
+    return f"""{alias} AS (SELECT s.name, s.instance, g.t, arg_max(CAST(s.value AS DOUBLE), s.ts) AS value
+  FROM ({GRID_SQL}) g JOIN (SELECT * FROM metric_settings WHERE regexp_full_match(name, 'pg_settings_.*')) s
+  ON s.ts >= g.t - to_seconds({offset + 300}) AND s.ts <= g.t - to_seconds({offset}) GROUP BY s.name, s.instance, g.t)"""
+
+
+@query("config_changed", f"""WITH {_settings_sql(0, 'i')}, {_settings_sql(300, 'o')}
+SELECT i.name, i.instance, i.t AS eval_ts, round(i.value, 6) AS value FROM i JOIN o
+ON i.name = o.name AND i.t = o.t WHERE i.value <> o.value""", ("metric_settings",))
 def config_changed(spark, sf_dir):
-    """``v != v offset 1h`` matched on the full label set (keeps the current value)."""
-    m = samples(spark, sf_dir, "metric_gauge")
-    return out(V.binary_op(M.instant(m, G), M.instant(m, G, offset="1h"), "!="))
+    """``{__name__=~"pg_settings_.*"} != on(__name__) {...} offset 5m`` (current value kept)."""
+    m = metrics_frame(FX.load(spark, sf_dir, "metric_settings"), F.col("name"), ["instance"], "ts", "value")
+    m = M.select(m, name_regex="pg_settings_.*")
+    v = V.binary_op(M.instant(m, G), M.instant(m, G, offset="5m"), "!=", on=["__name__"])
+    return v.select("name", F.col("labels")["instance"].alias("instance"), "eval_ts", F.round("value", 6).alias("value"))
 
 
 @query("label_replace", f"""WITH {instant_sql('metric_gauge')}
@@ -243,23 +267,53 @@ def dead_tuple_ratio(spark, sf_dir):
     return out(V.binary_op(g, M.rate(samples(spark, sf_dir, "metric_counter"), "1h", G), "/"))
 
 
-@query("dump_stalled", f"""WITH {stats_sql('metric_counter', W)}, {_RATE_CTE}, {instant_sql('metric_counter', where="job <> 'signup'")},
+# a counter that only every third user moves, so that it stalls now and then
+FX.register("metric_dump", ("events",), """
+SELECT 'chain_dump_lag' AS name, event_type AS job, CAST(user_id % 4 AS STRING) AS instance, ts,
+  CAST(sum(CASE WHEN user_id % 3 = 0 THEN 1 ELSE 0 END) OVER (
+    PARTITION BY event_type, user_id % 4, CAST(ts AS DATE) ORDER BY ts, event_id
+    ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS value
+FROM {events}""")
+
+
+@query("dump_stalled", f"""WITH {stats_sql('metric_dump', W)}, {_RATE_CTE}, {instant_sql('metric_dump', where="job <> 'signup'")},
 l AS (SELECT i.job, i.instance, i.t, i.value FROM i WHERE EXISTS (
         SELECT 1 FROM r WHERE r.job = i.job AND r.instance = i.instance AND r.t = i.t AND r.job <> 'signup' AND r.value <= 0)),
 rr AS (SELECT job, instance, t, value FROM r WHERE job = 'signup' AND value <= 0)
 SELECT job, instance, t AS eval_ts, round(value, 6) AS value FROM l
 UNION ALL SELECT job, instance, t, round(value, 6) FROM rr
-WHERE NOT EXISTS (SELECT 1 FROM l WHERE l.job = rr.job AND l.instance = rr.instance AND l.t = rr.t)""", ("metric_counter",))
+WHERE NOT EXISTS (SELECT 1 FROM l WHERE l.job = rr.job AND l.instance = rr.instance AND l.t = rr.t)""", ("metric_dump",))
 def dump_stalled(spark, sf_dir):
     """P20: ``x{job!="signup"} and rate(x{job!="signup"}[1h]) <= 0 or rate(x{job="signup"}[1h]) <= 0``
     (``and`` binds tighter than ``or``)."""
-    m = samples(spark, sf_dir, "metric_counter")
-    not_signup = M.select(m, "requests_total", [("job", "!=", "signup")])
-    signup = M.select(m, "requests_total", [("job", "=", "signup")])
+    m = samples(spark, sf_dir, "metric_dump")
+    not_signup = M.select(m, "chain_dump_lag", [("job", "!=", "signup")])
+    signup = M.select(m, "chain_dump_lag", [("job", "=", "signup")])
     left = V.vector_and(M.instant(not_signup, G), V.compare(M.rate(not_signup, "1h", G), "<=", 0))
     return out(V.vector_or(left, V.compare(M.rate(signup, "1h", G), "<=", 0)))
 
 
+@query("metric_age", f"""WITH {instant_sql('metric_gauge')}
+SELECT job, instance, t AS eval_ts,
+  round(CAST(date_diff('second', TIMESTAMP '1970-01-01', t) AS DOUBLE) - value, 6) AS value FROM i""", ("metric_gauge",))
+def metric_age(spark, sf_dir):
+    """``time() - x``."""
+    return out(V.time_minus(M.instant(samples(spark, sf_dir, "metric_gauge"), G)))
+
+
+@query("metric_retention", """
+SELECT job, instance, ts, CAST(value AS DOUBLE) AS value FROM metric_gauge
+WHERE time_bucket(INTERVAL '1 day', ts, TIMESTAMP '1970-01-01') + INTERVAL '1 day' > TIMESTAMP '2024-02-15 12:30:00' - INTERVAL '30 days'""",
+       ("metric_gauge",))
+def metric_retention(spark, sf_dir):
+    """Metric samples kept for 30 days in day chunks, at now = 2024-02-15 12:30."""
+    from chainframe.sources import layout as LY
+    from chainframe.sources import schemas as S
+
+    m = LY.retain(samples(spark, sf_dir, "metric_gauge"), "2024-02-15 12:30:00", S.RETAIN_FOR["metrics"]["samples"], ts="ts", interval="1 day")
+    return m.select(F.col("labels")["job"].alias("job"), F.col("labels")["instance"].alias("instance"), "ts", "value")
+
+
 @query("chain_lag", f"""
 WITH h AS (SELECT block_timestamp AS ts FROM txs_a),
 g AS ({GRID_SQL})

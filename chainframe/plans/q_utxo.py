@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from chainframe.operators import utxo as UT
+from chainframe.plans.q_balances import _pivot_sql, _stats_sql
 from chainframe.plans.registry import query
 from chainframe.sources import fixtures as FX
 
 _LINK = """SELECT i.txhash, i.pxhash, i.vout_idx, o.address AS spent_address, o.value AS spent_value
-FROM btc_traces i LEFT JOIN btc_traces o ON i.pxhash = o.txhash AND i.vout_idx = o.vout_idx AND NOT o.is_in
-WHERE i.is_in"""
+FROM (SELECT * FROM btc_traces WHERE is_in) i LEFT JOIN (SELECT * FROM btc_traces WHERE NOT is_in) o
+ON i.pxhash = o.txhash AND i.vout_idx = o.vout_idx"""
 
 
 @query("btc_spend_link", _LINK, ("btc_traces",))
@@ -18,8 +21,8 @@ def btc_spend_link(spark, sf_dir):
 
 
 @query("btc_utxo", """
-SELECT o.txhash, o.vout_idx, o.address, o.value FROM btc_traces o WHERE NOT o.is_in
-AND NOT EXISTS (SELECT 1 FROM btc_traces i WHERE i.is_in AND i.pxhash = o.txhash AND i.vout_idx = o.vout_idx)""", ("btc_traces",))
+SELECT o.txhash, o.vout_idx, o.address, o.value FROM (SELECT * FROM btc_traces WHERE NOT is_in) o
+ANTI JOIN (SELECT pxhash, vout_idx FROM btc_traces WHERE is_in) i ON i.pxhash = o.txhash AND i.vout_idx = o.vout_idx""", ("btc_traces",))
 def btc_utxo(spark, sf_dir):
     """The unspent output set."""
     return UT.utxo_set(FX.load(spark, sf_dir, "btc_traces")).select("txhash", "vout_idx", "address", "value")
@@ -36,21 +39,36 @@ def btc_tx_totals(spark, sf_dir):
     return UT.tx_totals(FX.load(spark, sf_dir, "btc_traces"))
 
 
-@query("btc_balances", f"""
-WITH l AS (SELECT i.txhash, i.blknum, i.block_timestamp, o.address, o.value FROM btc_traces i
-           JOIN btc_traces o ON i.pxhash = o.txhash AND i.vout_idx = o.vout_idx AND NOT o.is_in WHERE i.is_in),
-r AS (SELECT address, CASE WHEN is_coinbase THEN 'cnb' ELSE 'vin' END AS role, blknum, txhash, value FROM btc_traces WHERE NOT is_in
-      UNION ALL SELECT address, 'out', blknum, txhash, value FROM l),
-s AS (SELECT address, role, count(DISTINCT blknum) AS blocks, count(DISTINCT txhash) AS txs, count(*) AS xfers,
-      SUM(value) AS v, max(blknum) AS bn FROM r WHERE address IS NOT NULL GROUP BY ALL)
-SELECT address, max(bn) AS blknum,
-  {", ".join(f"CAST(COALESCE(any_value(blocks) FILTER (WHERE role = '{x}'), 0) AS BIGINT) AS {x}_blocks, "
-             f"CAST(COALESCE(any_value(txs) FILTER (WHERE role = '{x}'), 0) AS BIGINT) AS {x}_txs, "
-             f"CAST(COALESCE(any_value(xfers) FILTER (WHERE role = '{x}'), 0) AS BIGINT) AS {x}_xfers, "
-             f"CAST(COALESCE(any_value(v) FILTER (WHERE role = '{x}'), 0) AS VARCHAR) AS {x}_value" for x in ("out", "vin", "cnb"))},
-  CAST(COALESCE(any_value(v) FILTER (WHERE role = 'cnb'), 0) + COALESCE(any_value(v) FILTER (WHERE role = 'vin'), 0)
-       - COALESCE(any_value(v) FILTER (WHERE role = 'out'), 0) AS VARCHAR) AS value
-FROM s GROUP BY address""", ("btc_traces",))
+_BTC_ROWS = """SELECT address, CASE WHEN is_coinbase THEN 'cnb' ELSE 'vin' END AS role, blknum, txhash, block_timestamp, value
+  FROM btc_traces WHERE NOT is_in AND address IS NOT NULL
+  UNION ALL SELECT o.address, 'out', i.blknum, i.txhash, i.block_timestamp, o.value
+  FROM (SELECT * FROM btc_traces WHERE is_in) i JOIN (SELECT * FROM btc_traces WHERE NOT is_in) o
+  ON i.pxhash = o.txhash AND i.vout_idx = o.vout_idx WHERE o.address IS NOT NULL"""
+
+
+@query("btc_balances", f"""WITH s AS ({_stats_sql(_BTC_ROWS, [])})
+SELECT {_pivot_sql([], ["out", "vin", "cnb"], ["cnb", "vin"], ["out"], {})} FROM s GROUP BY address""", ("btc_traces",))
 def btc_balances(spark, sf_dir):
-    """Bitcoin balances ``cnb + vin - out`` with per-role counts."""
+    """Bitcoin balances ``cnb + vin - out`` with per-role counts, first and last activity."""
     return UT.balances(FX.load(spark, sf_dir, "btc_traces"))
+
+
+@query("btc_flatten", """
+SELECT o_orderkey AS blknum, true AS is_in, CAST(o_orderkey - 1 AS VARCHAR) AS pxhash, CAST(0 AS INTEGER) AS vout_idx,
+  CAST(0 AS INTEGER) AS vin_idx, CAST(1 AS INTEGER) AS vin_cnt, CAST(NULL AS VARCHAR) AS address, CAST(0 AS BIGINT) AS value
+FROM orders WHERE o_orderstatus <> 'P'
+UNION ALL SELECT l_orderkey, false, NULL,
+  CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_suppkey, l_partkey) - 1 AS INTEGER), NULL, NULL,
+  CAST(l_suppkey AS VARCHAR) || ';' || CAST(l_partkey AS VARCHAR), CAST(l_linenumber AS BIGINT)
+FROM lineitem JOIN orders ON l_orderkey = o_orderkey""")
+def btc_flatten(spark, sf_dir):
+    """Transactions with input and output arrays, one row per input and output."""
+    out = F.struct("l_linenumber", "l_suppkey", "l_partkey", F.array(F.col("l_suppkey").cast("string"), F.col("l_partkey").cast("string")).alias("addresses"),
+                   F.col("l_linenumber").cast("long").alias("value"))
+    vout = (FX.load_base(spark, sf_dir, "lineitem").groupBy("l_orderkey")
+            .agg(F.array_sort(F.collect_list(out)).alias("vout")))  # a transaction's own outputs
+    vin = F.when(F.col("o_orderstatus") != "P", F.array(F.struct(
+        (F.col("o_orderkey") - 1).cast("string").alias("txid"), F.lit(0).alias("vout"), F.lit(0).alias("sequence"))))
+    txs = FX.load_base(spark, sf_dir, "orders").join(vout, F.col("o_orderkey") == F.col("l_orderkey"), "left") \
+        .select(F.col("o_orderkey").alias("blknum"), vin.alias("vin"), "vout")
+    return UT.flatten(txs).select("blknum", "is_in", "pxhash", "vout_idx", "vin_idx", "vin_cnt", "address", "value")

@@ -130,7 +130,7 @@ FROM {{lineitem}} l JOIN {{orders}} o ON l.l_orderkey = o.o_orderkey""")
 _fixture("metric_counter", ("events",), """
 SELECT 'requests_total' AS name, event_type AS job, CAST(user_id % 4 AS STRING) AS instance, ts,
   CAST(sum(CAST(round(value * 100) AS BIGINT)) OVER (
-    PARTITION BY event_type, user_id % 4, CAST(ts AS DATE) ORDER BY ts, event_id
+    PARTITION BY event_type, user_id % 4, date_trunc('hour', ts) ORDER BY ts, event_id
     ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS value
 FROM {events}""")
 
@@ -209,6 +209,11 @@ SELECT l_shipdate AS block_timestamp, l_orderkey AS blknum,
     || ',0x' || lpad(substr({_addr('u', 'l_suppkey')}, 3), 64, '0')
     || ',0x' || lpad(substr({_addr('u', 'l_partkey % 150')}, 3), 64, '0') || ']' AS topics,
   '0x' || CASE WHEN l_returnflag = 'N' THEN {_W.format(x='l_partkey')} || {_W.format(x='l_quantity')}
+    WHEN l_orderkey % 50 = 7 AND l_linenumber = 1 THEN repeat('f', 64) || {_W.format(x='160')} || {_W.format(x='2')}
+    WHEN l_orderkey % 50 = 8 AND l_linenumber = 1 THEN {_W.format(x='64')} || {_W.format(x='128')} || lpad('7fffffffffffffff', 64, '0') || {_W.format(x='1')} || lpad('7fffffffffffffff', 64, '0') || {_W.format(x='1')}
+    WHEN l_orderkey % 50 = 9 AND l_linenumber = 1 THEN {_W.format(x='64')} || {_W.format(x='96')} || {_W.format(x='3')} || {_W.format(x='3')} || {_W.format(x='1')}
+    WHEN l_orderkey % 50 = 10 AND l_linenumber = 1 THEN {_W.format(x='65')} || {_W.format(x='128')} || {_W.format(x='1')}
+    WHEN l_orderkey % 50 = 11 AND l_linenumber = 1 THEN {_W.format(x='64')}
     ELSE {_W.format(x='64')} || {_W.format(x='160')} || {_W.format(x='2')} || {_W.format(x='l_partkey')}
       || {_W.format(x='l_suppkey')} || {_W.format(x='2')} || {_W.format(x='l_quantity')} || {_W.format(x='l_linenumber')} END AS data
 FROM {{lineitem}}""")

@@ -8,12 +8,11 @@ lifecycle jobs (compaction, retention, upsert) touch only the chunks they need.
 
 from __future__ import annotations
 
-from datetime import datetime
+from datetime import datetime, timedelta
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
 _UNITS = {"second": 1, "seconds": 1, "minute": 60, "minutes": 60, "hour": 3600, "hours": 3600,
           "day": 86400, "days": 86400, "week": 604800, "weeks": 604800}
@@ -76,18 +75,17 @@ def replacing_dedup(df: DataFrame, key: list[str], version: str, *, ts: str = "b
                     partition: str | None = "month") -> DataFrame:
     """Last write wins per sort key within a monthly partition (a replacing table).
 
-    ``version`` orders writes (ingest order); ties are broken by every remaining column so
-    the survivor is deterministic. The window is keyed by (month, key): hot months split by key.
+    ``version`` orders writes (ingest order); ties are broken by every remaining column (the
+    largest wins) so the survivor is deterministic. An aggregate keyed by (month, key): Spark
+    combines map-side and a hot month is split by key.
     """
     parts = list(key)
     if partition == "month":
-        parts = [month_key(ts).alias("__m")] + parts
         df = df.withColumn("__m", month_key(ts))
-        parts = ["__m"] + list(key)
-    others = [c for c in df.columns if c not in parts and c != version]
-    w = Window.partitionBy(*parts).orderBy(F.col(version).desc(), *[F.col(c).asc_nulls_first() for c in others])
-    out = df.withColumn("__rn", F.row_number().over(w)).filter("__rn = 1").drop("__rn")
-    return out.drop("__m") if partition == "month" else out
+        parts = ["__m", *parts]
+    rest = [c for c in df.columns if c not in parts and c != version]
+    top = df.groupBy(*parts).agg(F.max(F.struct(version, *rest)).alias("__top"))
+    return top.select(*[F.col(c) if c in parts else F.col("__top")[c].alias(c) for c in df.columns if c != "__m"])
 
 
 def merge_batch(target: DataFrame, batch: DataFrame, key: list[str], version: str | None = None) -> DataFrame:
@@ -98,8 +96,9 @@ def merge_batch(target: DataFrame, batch: DataFrame, key: list[str], version: st
     partitions them (or broadcasts a batch whose size estimate is small).
     """
     if version:
-        w = Window.partitionBy(*key).orderBy(F.col(version).desc())
-        batch = batch.withColumn("__rn", F.row_number().over(w)).filter("__rn = 1").drop("__rn", version)
+        rest = [c for c in batch.columns if c not in key and c != version]
+        top = batch.groupBy(*key).agg(F.max(F.struct(version, *rest)).alias("__top"))
+        batch = top.select(*[F.col(c) if c in key else F.col("__top")[c].alias(c) for c in batch.columns if c != version])
     kept = target.join(batch.select(*key), on=key, how="left_anti")
     return kept.unionByName(batch.select(*target.columns))
 
@@ -129,18 +128,50 @@ def write_chunked(df: DataFrame, path: str, *, ts: str = "block_timestamp", inte
      .partitionBy("chunk").parquet(path))
 
 
+def chunk_floor(t, interval: str = "7 days") -> datetime:
+    """Start of the chunk that holds an instant, as a Python value (a literal in filters)."""
+    t = datetime.fromisoformat(t) if isinstance(t, str) else t
+    sec = interval_seconds(interval)
+    return _EPOCH + timedelta(seconds=(t - _EPOCH) // timedelta(seconds=1) // sec * sec)
+
+
+def _cutoff(now, before: str, interval: str) -> datetime:
+    """First instant of the first chunk that ends after ``now - before``: older rows are in
+    chunks wholly before it."""
+    now = datetime.fromisoformat(now) if isinstance(now, str) else now
+    return chunk_floor(now - timedelta(seconds=interval_seconds(before)), interval)
+
+
 def compaction_candidates(df: DataFrame, now, older_than: str, *, ts: str = "block_timestamp",
                           interval: str = "7 days") -> DataFrame:
-    """Chunks wholly older than ``now - older_than`` (chunk end ≤ cutoff), with row counts."""
-    sec = interval_seconds(interval)
-    c = with_chunk(df, ts, interval).groupBy("chunk").agg(F.count(F.lit(1)).alias("rows"))
-    cutoff = F.timestamp_add("SECOND", F.lit(-interval_seconds(older_than)), _ts(now))
-    return c.filter(F.timestamp_add("SECOND", F.lit(sec), F.col("chunk")) <= cutoff)
+    """Chunks wholly older than ``now - older_than`` (chunk end ≤ cutoff), with row counts. The
+    cutoff is a literal, so newer row groups are not read."""
+    old = df.filter(F.col(ts) < _ts(_cutoff(now, older_than, interval)))
+    return with_chunk(old, ts, interval).groupBy("chunk").agg(F.count(F.lit(1)).alias("rows"))
+
+
+def compact(spark, path: str, now, older_than: str, *, interval: str = "7 days", target_rows: int = 5_000_000,
+            segment_by: str = "blknum") -> DataFrame:
+    """Rewrites the chunks of a chunk-partitioned table that are wholly older than
+    ``now - older_than`` into few sorted files of about ``target_rows`` rows, through a staging
+    folder beside them; other chunks are untouched. Returns (chunk, rows, files) of the
+    rewritten chunks."""
+    old = F.col("chunk") < _ts(_cutoff(now, older_than, interval))
+    table = spark.read.parquet(path).filter(old)
+    counts = table.groupBy("chunk").agg(F.count(F.lit(1)).alias("rows"))
+    files = counts.withColumn("files", F.ceil(F.col("rows") / target_rows))
+    # a hot chunk is dealt to several files by its segment key, small chunks get one each
+    dealt = table.join(files, "chunk").withColumn("__f", F.pmod(F.xxhash64(segment_by), F.col("files")))
+    staging = f"{path.rstrip('/')}_compacting"
+    (dealt.repartition("chunk", "__f").sortWithinPartitions("chunk", "__f", segment_by).drop("rows", "files", "__f")
+     .write.mode("overwrite").partitionBy("chunk").parquet(staging))
+    (spark.read.parquet(staging).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy("chunk").parquet(path))
+    done = spark.read.parquet(path).filter(old)
+    return done.groupBy("chunk").agg(F.count(F.lit(1)).alias("rows"), F.count_distinct(F.input_file_name()).alias("files"))
 
 
 def retain(df: DataFrame, now, keep: str, *, ts: str = "block_timestamp", interval: str = "7 days") -> DataFrame:
-    """Retention drops whole chunks whose end is at or before ``now - keep`` (not single rows)."""
-    sec = interval_seconds(interval)
-    cutoff = F.timestamp_add("SECOND", F.lit(-interval_seconds(keep)), _ts(now))
-    end = F.timestamp_add("SECOND", F.lit(sec), chunk_start(ts, interval))
-    return df.filter(end > cutoff)
+    """Retention drops whole chunks whose end is at or before ``now - keep`` (not single rows).
+    The filter is a literal on ``ts``, pushed into the scan."""
+    return df.filter(F.col(ts) >= _ts(_cutoff(now, keep, interval)))

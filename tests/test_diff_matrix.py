@@ -46,10 +46,13 @@ def test_trace_reward_and_create2(spark):
     assert got == {"": (True, False, None), "2": (True, False, None)}
 
 
-def test_detail_cap_per_slice(spark):
-    rows = [(T0, i, f"h{i}", "p", "n", "b", 1) for i in range(30)]
-    a = _blocks(spark, rows)
-    b = _blocks(spark, [(T0, i, f"h{i}", "p", "n", "b", 2) for i in range(30)])
-    j = D.dataset_diff(a, b, "block", "2024-01-01 00:00:00", "2024-01-01 01:00:00")
-    d = D.diff_detail(j, "block", limit=7, salts=4).collect()
-    assert sorted(r.a_blknum for r in d) == list(range(7))
+def test_detail_keeps_every_difference_of_a_slice(spark):
+    n = 10_500  # all in one hourly slice
+    ids = spark.range(n)
+    side = lambda gas: ids.selectExpr("timestamp_ntz '2024-01-01 00:10:00' AS block_timestamp", "id AS blknum",
+                                      "concat('h', id) AS blkhash", "'p' AS parent_hash", "'n' AS nonce", "'b' AS logs_bloom",
+                                      f"cast({gas} AS long) AS gas_used")
+    j = D.dataset_diff(side(1), side(2), "block", "2024-01-01 00:00:00", "2024-01-01 01:00:00")
+    d = D.diff_detail(j)
+    assert d.count() == n
+    assert d.select("a_blknum").distinct().count() == n
