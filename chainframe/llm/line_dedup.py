@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from chainframe.llm.chunks import slices
 from chainframe.llm.components import components
-from chainframe.llm.text import written
+from chainframe.llm.text import IdFilter, written
 
 _RUN = 2 << 20
 _BASE = 0x9E3779B97F4A7C15  # odd, so that it has an inverse modulo 2^64
@@ -201,11 +201,12 @@ def keyed_lines(docs: DataFrame, tau: int, min_bytes: int) -> DataFrame:
     return docs.select("text").mapInArrow(run, "key long, line long")
 
 
-def _line_bytes(docs: DataFrame) -> DataFrame:
-    """line, size, sketch, spelled of every line of ``docs``."""
+def _line_bytes(docs: DataFrame, wanted: IdFilter) -> DataFrame:
+    """line, size, sketch, spelled of every line of the documents that ``wanted`` keeps."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            batch = batch.filter(pa.array(wanted.test(batch.column("slot").to_numpy())))
             for part in slices(batch, most_bytes=_RUN):
                 own = Lines(part.column("text"))
                 _, first = np.unique(own.id, return_index=True)
@@ -214,7 +215,8 @@ def _line_bytes(docs: DataFrame) -> DataFrame:
                     [pa.array(own.id[first]), pa.array((own.end - own.start)[first].astype(np.int32)), pa.array(sketch[first]),
                      pa.array([own.bytes(i) for i in first.tolist()], pa.binary())], names=["line", "size", "sketch", "spelled"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "line long, size int, sketch long, spelled binary")
+    return docs.select(IdFilter.slot(F.col("doc_id")).alias("slot"), "text").mapInArrow(
+        run, "line long, size int, sketch long, spelled binary")
 
 
 def _verified(pairs: DataFrame, spelled: DataFrame, tau: int) -> DataFrame:
@@ -236,7 +238,8 @@ def _verified(pairs: DataFrame, spelled: DataFrame, tau: int) -> DataFrame:
             yield batch.select(["a", "b"]).filter(pa.array(near))
 
     text = spelled.select("line", "spelled")
-    both = (pairs.join(text.select(F.col("line").alias("a"), F.col("spelled").alias("x")), "a")
+    # neither side has a bounded size: no broadcast
+    both = (pairs.hint("merge").join(text.select(F.col("line").alias("a"), F.col("spelled").alias("x")), "a").hint("merge")
             .join(text.select(F.col("line").alias("b"), F.col("spelled").alias("y")), "b"))
     return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
@@ -258,8 +261,8 @@ def line_classes(docs: DataFrame, lines: DataFrame, tau: int, min_bytes: int) ->
     live = written(live, "line-keys")
     linked = live.select("line").distinct()
     where = (lines.select("doc_id", F.explode("lines.id").alias("line")).join(linked, "line", "left_semi")
-             .groupBy("line").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct())
-    spelled = _line_bytes(docs.join(where, "doc_id", "left_semi")).join(linked, "line", "left_semi")
+             .groupBy("line").agg(F.min("doc_id").alias("id")))
+    spelled = _line_bytes(docs, IdFilter(where.select("id").distinct())).join(linked, "line", "left_semi")
     spelled = written(spelled.dropDuplicates(["line"]), "line-bytes")
     rows = written(live.join(spelled.select("line", "size", "sketch"), "line"), "line-rows")
 

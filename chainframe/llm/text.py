@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,3 +42,30 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = shared_folder(spark, name)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+class IdFilter:
+    """A bitmap of hashed ids, of a fixed size (8 MB) however many there are, for a broadcast.
+
+    It keeps every id of ``ids`` (column id) and few others: rows that cannot be wanted are left
+    out where they are read, instead of shuffling every text for a join. As ids grow it fills
+    and merely filters less."""
+
+    SLOTS = 1 << 26
+
+    def __init__(self, ids: DataFrame) -> None:
+        slot = self.slot(F.col("id")) + 1
+        parts = (ids.select(slot.alias("s")).groupBy(F.bitmap_bucket_number("s").alias("part"))
+                 .agg(F.bitmap_construct_agg(F.bitmap_bit_position("s")).alias("bits")).collect())
+        bits = np.zeros(self.SLOTS >> 3, np.uint8)
+        for r in parts:
+            own = np.frombuffer(r["bits"], np.uint8)
+            bits[(r["part"] - 1) * len(own) :][: len(own)] = own
+        self._bits = ids.sparkSession.sparkContext.broadcast(bits)
+
+    @classmethod
+    def slot(cls, c: Column) -> Column:
+        return F.pmod(F.xxhash64(c), F.lit(cls.SLOTS))
+
+    def test(self, slots: np.ndarray) -> np.ndarray:
+        return (self._bits.value[slots >> 3] >> (slots & 7).astype(np.uint8)) & 1 > 0
