@@ -1,8 +1,10 @@
 """ABI decoding as Spark jobs.
 
 The signature lookup (one SQL query per row in the reference) is a de-duplicated equi-join;
-only the residual per-row kernel runs in Python, in Arrow batches. Static-only ABIs take a
-fully native path (word slicing + exact hex → decimal), with no Python at all.
+ABIs are parsed once per distinct signature. ABIs of one-word types, arrays of them, bytes and
+string are decoded natively (word slicing, exact hex → decimal, JSON text by concatenation);
+only tuples, fixed arrays and arrays of byte strings are left to a per-row kernel in Python, in
+Arrow batches.
 """
 
 from __future__ import annotations
@@ -17,6 +19,7 @@ from pyspark.sql import types as T
 from chainframe.functions import abi as K
 from chainframe.functions import evm as E
 from chainframe.functions import u256 as U
+from chainframe.operators import derive as DV
 
 
 def dedupe_signatures(sigs: DataFrame) -> DataFrame:
@@ -32,12 +35,134 @@ def signature_join(rows: DataFrame, sigs: DataFrame, address: Column, selector:
     """Attach ``abi``/``prototype`` by (contract address, selector or topic0).
     Plain equi-join: the de-duplicated signature table is broadcast when Spark's size
     estimate allows, otherwise both sides are hash-partitioned."""
-    s = dedupe_signatures(sigs).select(F.col("address").alias("__sa"), F.col("byte_sign").alias("__sb"),
-                                       F.col("abi"), F.col("prototype"))
+    return _attach(rows, dedupe_signatures(sigs), ["abi", "prototype"], address, selector)
+
+
+def _join_parsed(rows: DataFrame, sigs: DataFrame, address: Column, selector: Column) -> DataFrame:
+    return _attach(rows, _parsed(sigs), ["abi", "prototype", "__f", "__native"], address, selector)
+
+
+def _attach(rows: DataFrame, sigs: DataFrame, cols: list[str], address: Column, selector: Column) -> DataFrame:
+    s = sigs.select(F.col("address").alias("__sa"), F.col("byte_sign").alias("__sb"), *cols)
     r = rows.withColumn("__ra", address).withColumn("__rs", selector)
     return r.join(s, (r["__ra"] == s["__sa"]) & (r["__rs"] == s["__sb"]), "left").drop("__ra", "__rs", "__sa", "__sb")
 
 
+# --- native decoding ------------------------------------------------------------------------
+# Payload words are sliced from the hex text by position and turned into JSON text by Spark
+# functions. ABIs whose inputs are one-word types, arrays of them, bytes or string take this
+# path; tuples, fixed arrays and arrays of byte strings are left to the Python kernel.
+
+_INPUTS = "array<struct<name: string, type: string, indexed: boolean>>"
+_ABI = f"name string, type string, inputs {_INPUTS}"
+_ONE_WORD = r"(address|bool|u?int[0-9]*|bytes[0-9]+)"
+_NATIVE = rf"^({_ONE_WORD}|bytes|string|(address|bool|u?int[0-9]*)\[\])$"
+_PLAIN = r"^[ !#-\[\]-~]*$"  # printable ASCII that JSON text holds unescaped
+_PLAIN_HEX = r"^(2[013-9a-f]|[34][0-9a-f]|5[0-9abdef]|6[0-9a-f]|7[0-9a-e])*$"
+
+
+def _quoted(c: Column) -> Column:
+    return F.concat(F.lit('"'), c, F.lit('"'))
+
+
+def _let(value: Column, fn) -> Column:
+    """``fn`` of a value that is written and computed once."""
+    return F.element_at(F.transform(F.array(value), fn), 1)
+
+
+def _int_text(w: Column, bits: Column) -> Column:
+    """Signed word as decimal text; NULL where the sign extension is wrong."""
+    fill = ((256 - bits) / 4).cast("int")
+    negative = F.substring(w, 1, 1) >= "8"
+    body = F.substr(w, fill + 1, F.lit(1)) >= "8"
+    ok = (fill == 0) | (F.substr(w, F.lit(1), fill) == F.when(body, F.repeat(F.lit("f"), fill)).otherwise(F.repeat(F.lit("0"), fill)))
+    below = _let(U.hex_to_u256(F.translate(w, "0123456789abcdef", "fedcba9876543210")),
+                 lambda x: U.limbs_to_string([-l - (1 if k == 0 else 0) for k, l in enumerate(U.to_limbs(x))]))
+    return F.when(ok, F.when(negative, below).otherwise(U.hex_to_u256(w)))
+
+
+def _word_json(t: Column, word: Column) -> Column:
+    """JSON text of a one-word type; NULL for dirty padding or a short word."""
+    zeros = lambda w, at, n: F.substr(w, at, n) == F.repeat(F.lit("0"), n)
+
+    def value(w, size):
+        bits, used = F.coalesce(size, F.lit(256)), F.coalesce(size, F.lit(32)) * 2
+        high = ((256 - bits) / 4).cast("int")
+        text = (F.when(t == "address", F.when(F.substring(w, 1, 24) == F.lit("0" * 24), _quoted(F.concat(F.lit("0x"), F.substring(w, 25, 40)))))
+                .when(t == "bool", F.when(w == F.lit("0" * 64), F.lit("false")).when(w == F.lit("0" * 63 + "1"), F.lit("true")))
+                .when(t.startswith("uint"), F.when((high == 0) | zeros(w, F.lit(1), high), U.hex_to_u256(w)))
+                .when(t.startswith("int"), _int_text(w, bits))
+                .when(t.startswith("bytes"), F.when((used == 64) | zeros(w, used + 1, 64 - used), _quoted(F.substr(w, F.lit(1), used)))))
+        return F.when(F.length(w) == 64, text)
+
+    return _let(word, lambda w: _let(F.regexp_extract(t, "([0-9]+)", 1).try_cast("int"), lambda size: value(w, size)))
+
+
+def _place(word: Column) -> Column:
+    """An offset or length in bytes; NULL unless it is a whole word below 2^31."""
+    return _let(word, lambda w: F.when((F.length(w) == 64) & (F.substring(w, 1, 57) == F.lit("0" * 57)),
+                                       F.conv(F.substring(w, 58, 7), 16, 10).try_cast("int")))
+
+
+def _tail_json(t: Column, payload: Column, head: Column) -> Column:
+    """JSON text of bytes, string or T[] whose offset is the word ``head``."""
+    item = F.regexp_replace(t, r"\[\]$", "")
+
+    def array(at, n):
+        items = F.transform(F.sequence(F.lit(0), n - 1), lambda k: _word_json(item, F.substr(payload, at + 64 + k * 64, F.lit(64))))
+        joined = _let(items, lambda x: F.when(F.forall(x, lambda v: v.isNotNull()), F.concat(F.lit("["), F.array_join(x, ", "), F.lit("]"))))
+        return F.when(n == 0, F.lit("[]")).when(n <= (F.length(payload) - at - 63) / 64, joined)
+
+    def text(at, n):
+        def shown(raw):
+            plain = F.when(raw.rlike(_PLAIN_HEX), _quoted(F.decode(F.unhex(raw), "UTF-8")))
+            return F.when(F.length(raw) == n * 2, F.when(t == "bytes", _quoted(raw)).otherwise(plain))
+
+        return F.when(n <= (F.length(payload) - at - 63) / 2, _let(F.substr(payload, at + 64, n * 2), shown))
+
+    # at: position of the length word in the hex text
+    return _let(_place(head) * 2 + 1, lambda at: _let(
+        _place(F.substr(payload, at, F.lit(64))), lambda n: F.when(t.endswith("[]"), array(at, n)).otherwise(text(at, n))))
+
+
+def _values(inputs: Column, payload: Column) -> Column:
+    """JSON texts of a payload's inputs (NULL: not decodable); every native type has one head word."""
+    def value(p, i):
+        return _let(F.substr(payload, i * 64 + 1, F.lit(64)), lambda head: F.when(
+            p["type"].rlike(f"^{_ONE_WORD}$"), _word_json(p["type"], head)).otherwise(_tail_json(p["type"], payload, head)))
+
+    return F.transform(inputs, value)
+
+
+def _document(method: Column, names: Column, values: Column, aliases: bool) -> Column:
+    """``{"method": ..., "parameter": {...}}`` as the JSON library prints it; NULL if a value is."""
+    pairs = F.zip_with(names, values, lambda n, v: F.concat(_quoted(n), F.lit(": "), v))
+    if aliases:
+        pairs = F.concat(pairs, F.transform(values, lambda v, i: F.concat(F.lit('"__idx_'), i.cast("string"), F.lit('": '), v)))
+    return F.when(F.forall(values, lambda v: v.isNotNull()),
+                  F.concat(F.lit('{"method": "'), method, F.lit('", "parameter": {'), F.array_join(pairs, ", "), F.lit("}}")))
+
+
+def _parsed(sigs: DataFrame) -> DataFrame:
+    """Signatures with the parsed ABI ``__f`` and whether the native path may take it, once per
+    distinct signature: native types, distinct plain names."""
+    f = F.from_json("abi", _ABI)
+    s = dedupe_signatures(sigs).withColumn("__f", f)
+    inputs = F.coalesce(F.col("__f.inputs"), F.array().cast(_INPUTS))
+    s = s.withColumn("__f", F.struct(F.col("__f.name").alias("name"), F.col("__f.type").alias("type"), inputs.alias("inputs")))
+    names = F.col("__f.inputs.name")
+    plain = F.forall("__f.inputs", lambda p: F.coalesce(
+        p["type"].rlike(_NATIVE) & p["name"].rlike(r"^[A-Za-z_$][A-Za-z0-9_$]*$") & ~p["name"].startswith("__idx_"), F.lit(False)))
+    ok = (F.col("__f.name").rlike(r"^[A-Za-z0-9_$]+$") & plain & (F.size(F.array_distinct(names)) == F.size(names))
+          & F.coalesce(F.col("prototype"), F.lit("")).rlike(_PLAIN))
+    return s.withColumn("__native", F.coalesce(ok, F.lit(False)))
+
+
+def _clean_hex(c: Column) -> Column:
+    """Lower-case hex text; NULL unless it is whole bytes."""
+    return F.when(c.rlike("^([0-9a-fA-F]{2})*$"), F.lower(c))
+
+
 def _safe(fn, on_error: str):
     def run(*args):
         try:
@@ -49,49 +174,81 @@ def _safe(fn, on_error: str):
     return run
 
 
-def _input_udf(mode: str, on_error: str):
-    def kernel(abi, data, proto):
-        if abi is None or data is None:
-            return "{}"
-        if mode == "typed":
-            return K.decode_input_typed(abi, data)
-        return K.decode_input_indexed(abi, data, proto if mode == "lookup" else None)
-
+def _decoded(j: DataFrame, native: Column, text: Column, kernel, args: list[str], on_error: str) -> DataFrame:
+    """``decoded`` of joined rows: ``text`` where ``native`` (``{}`` or an error where it is NULL),
+    the Python kernel in Arrow batches for the rest; also for rows with strings that need JSON
+    escapes, whose text is NULL too."""
+    j = j.withColumn("__text", text)
+    strings = F.exists(F.coalesce("__f.inputs", F.array().cast(_INPUTS)), lambda p: p["type"] == "string")
+    native, text = native & (F.col("__text").isNotNull() | ~strings), F.col("__text")
+    failed = F.lit("{}") if on_error != "raise" else F.raise_error(F.lit("not decodable by its ABI")).cast("string")
     run = _safe(kernel, on_error)
 
     @F.pandas_udf(T.StringType())
-    def udf(abi: pd.Series, data: pd.Series, proto: pd.Series) -> pd.Series:
-        return pd.Series([run(a, d, p) for a, d, p in zip(abi, data, proto)], dtype=object)
+    def udf(*cols: pd.Series) -> pd.Series:
+        return pd.Series([run(*row) for row in zip(*cols)], dtype=object)
 
-    return udf
+    own = j.filter(native).withColumn("decoded", F.coalesce(text, failed))
+    rest = j.filter(~native).withColumn("decoded", udf(*[F.col(c) for c in args]))
+    return own.unionByName(rest).drop("__f", "__native", "__p", "__v", "__text")
 
 
 def decode_inputs(txs: DataFrame, sigs: DataFrame, *, mode: str = "typed", on_error: str = "empty") -> DataFrame:
     """Decoded transaction input as JSON text (``{}`` when no signature or on error
     in safe mode). ``mode``: ``typed`` (nested, collapsed tuple types), ``indexed`` (flat with
     ``__idx_n`` aliases) or ``lookup`` (indexed, method text = stored prototype)."""
-    j = signature_join(txs, sigs, F.col("to_address"), F.substring("input", 1, 10))
-    return j.withColumn("decoded", _input_udf(mode, on_error)(F.col("abi"), F.col("input"), F.col("prototype")))
+    j = _join_parsed(txs, sigs, F.col("to_address"), F.substring("input", 1, 10))
+    inputs = F.col("__f.inputs")
+    types = F.transform(inputs, lambda p: p["type"])
+    named = F.transform(inputs, lambda p: F.concat(p["type"], F.lit(" "), p["name"]))
+    method = F.concat(F.col("__f.name"), F.lit("("), F.array_join(types, ",") if mode == "typed" else F.array_join(named, ", "), F.lit(")"))
+    if mode == "lookup":
+        method = F.coalesce("prototype", method)
+    j = j.withColumn("__p", _clean_hex(F.expr("substring(input, 11)")))
+    j = j.withColumn("__v", F.when(F.col("__native"), _values(inputs, F.col("__p"))))
+    text = _document(method, F.transform(inputs, lambda p: p["name"]), F.col("__v"), aliases=mode != "typed")
+    none = F.col("abi").isNull() | F.col("input").isNull()
+
+    def kernel(abi, data, proto):
+        if mode == "typed":
+            return K.decode_input_typed(abi, data)
+        return K.decode_input_indexed(abi, data, proto if mode == "lookup" else None)
+
+    return _decoded(j, none | F.col("__native"), F.when(none, F.lit("{}")).otherwise(text), kernel, ["abi", "input", "prototype"], on_error)
 
 
 def decode_logs(logs: DataFrame, sigs: DataFrame, *, on_error: str = "empty", lookup: bool = False) -> DataFrame:
     """Decoded event log as JSON text; signatures by (address, topics_0). The lookup
-    variant uses the stored prototype and, like the reference, does not check ``type``."""
-    topic0 = F.element_at(E.split_topics(F.col("topics")), 1)
-    j = signature_join(logs, sigs, F.col("address"), topic0)
+    variant uses the stored prototype and, like the reference, does not check ``type``. Indexed
+    inputs come first; as many inputs as there are further topics are read from them."""
+    j = _join_parsed(logs, sigs, F.col("address"), F.element_at(E.split_topics(F.col("topics")), 1))
+    j = j.withColumn("__f", F.when(F.col("__f").isNotNull(), F.col("__f").withField("inputs", F.concat(
+        F.filter("__f.inputs", lambda p: F.coalesce(p["indexed"], F.lit(False))),
+        F.filter("__f.inputs", lambda p: ~F.coalesce(p["indexed"], F.lit(False)))))))
+    inputs = F.col("__f.inputs")
+    topics = E.split_topics(F.col("topics"))
+    words = F.slice(topics, F.lit(2), F.greatest(F.size(topics) - 1, F.lit(0)))
+    n = F.least(F.size(words), F.size(inputs))
+    in_topics, in_data = F.slice(inputs, F.lit(1), n), F.slice(inputs, n + 1, F.size(inputs) - n)
+    from_topics = F.zip_with(in_topics, F.slice(words, F.lit(1), n), lambda p, w: _word_json(p["type"], _clean_hex(F.substring(w, 3, 1 << 20))))
+    j = j.withColumn("__p", _clean_hex(F.expr("substring(data, 3)")))
+    j = j.withColumn("__v", F.when(F.col("__native") & F.col("__p").isNotNull(), F.concat(from_topics, _values(in_data, F.col("__p")))))
+    named = F.transform(inputs, lambda p: F.concat(p["type"], F.lit(" "), p["name"]))
+    method = F.concat(F.col("__f.name"), F.lit("("), F.array_join(named, ", "), F.lit(")"))
+    if lookup:
+        method = F.coalesce("prototype", method)
+    text = _document(method, F.transform(inputs, lambda p: p["name"]), F.col("__v"), aliases=True)
+    if not lookup:
+        text = F.when(F.col("__f.type") == "event", text).otherwise(F.lit("{}"))
+    none = F.col("abi").isNull() | F.col("topics").isNull() | F.col("data").isNull()
+    # a dynamic type in a topic is a hash: left to the kernel's rules
+    native = F.col("__native") & F.forall(in_topics, lambda p: p["type"].rlike(f"^{_ONE_WORD}$"))
 
     def kernel(abi, topics, data, proto):
-        if abi is None or topics is None or data is None:
-            return "{}"
         return K.decode_log(abi, topics, data, proto if lookup else None, check_type=not lookup)
 
-    run = _safe(kernel, on_error)
-
-    @F.pandas_udf(T.StringType())
-    def udf(abi: pd.Series, topics: pd.Series, data: pd.Series, proto: pd.Series) -> pd.Series:
-        return pd.Series([run(a, t, d, p) for a, t, d, p in zip(abi, topics, data, proto)], dtype=object)
-
-    return j.withColumn("decoded", udf(F.col("abi"), F.col("topics"), F.col("data"), F.col("prototype")))
+    return _decoded(j, none | F.coalesce(native, F.lit(False)), F.when(none, F.lit("{}")).otherwise(text), kernel,
+                    ["abi", "topics", "data", "prototype"], on_error)
 
 
 def decode_coverage(decoded: DataFrame, by: str = "byte_sign_seen") -> DataFrame:
@@ -158,3 +315,15 @@ def with_tron_address(df: DataFrame, col: str, out: str = "tron_address") -> Dat
     address (Arrow batches) and joined back on the hex value."""
     d = df.select(F.col(col).alias("__h")).distinct().withColumn(out, _tron_udf(F.col("__h")))
     return df.join(d, df[col] == d["__h"], "left").drop("__h")
+
+
+def tron_transfers(logs: DataFrame, tokens: DataFrame | None = None) -> DataFrame:
+    """Token transfers of a Tron chain: the same logs, addresses in base58check. Each
+    distinct address is converted once and joined back."""
+    x = DV.erc20_transfers(logs, tokens).drop("item_id")
+    roles = ("token_address", "from_address", "to_address")
+    who = x.select(F.explode(F.array(*roles)).alias("__h")).distinct().withColumn("__t", _tron_udf(F.col("__h")))
+    for r in roles:
+        m = who.select(F.col("__h").alias(f"__h_{r}"), F.col("__t").alias(f"__t_{r}"))
+        x = x.join(m, F.col(r) == F.col(f"__h_{r}"), "left")
+    return x.select(*[F.col(f"__t_{c}").alias(c) if c in roles else F.col(c) for c in x.columns if not c.startswith("__")])

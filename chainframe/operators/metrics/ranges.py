@@ -98,7 +98,7 @@ def select(m: DataFrame, name: str | None = None, matchers: list[tuple[str, str,
     return m.filter(cond)
 
 
-def _entries(m: DataFrame) -> DataFrame:
+def entries(m: DataFrame) -> DataFrame:
     """Labels as sorted entries, which (unlike a map) can be a grouping key."""
     return m.withColumn("__e", F.array_sort(F.map_entries("labels"))).drop("labels")
 
@@ -125,7 +125,7 @@ def _assign_steps(d: DataFrame, grid: Grid, window_s: int, offset_s: int = 0) ->
 
 def _window_stats(m: DataFrame, grid: Grid, window, extra: list[Column] = (), offset=0) -> DataFrame:
     w = seconds(window)
-    d = _assign_steps(_entries(_prepared(m, grid)), grid, w, seconds(offset))
+    d = _assign_steps(entries(_prepared(m, grid)), grid, w, seconds(offset))
     # x = seconds relative to the eval instant (precision and predict_linear's intercept)
     step_us = grid.step * 1_000_000
     x = (F.col("__t") - F.col("__k") * F.lit(step_us) + F.lit(seconds(offset) * 1_000_000)) / F.lit(1e6)
@@ -221,7 +221,7 @@ def changes(m: DataFrame, window, grid: Grid) -> DataFrame:
 
 def instant(m: DataFrame, grid: Grid, lookback="5m", offset=0) -> DataFrame:
     """Latest sample in ``[t - offset - lookback, t - offset]`` per series and step."""
-    d = _entries(m).withColumn("__t", grid.offset_us(F.col("ts")))
+    d = entries(m).withColumn("__t", grid.offset_us(F.col("ts")))
     d = _assign_steps(d, grid, seconds(lookback), seconds(offset))
     g = d.groupBy("series_key", "name", "__e", "__k").agg(F.max_by("value", "__t").alias("__v"))
     return _out(g, grid, F.col("__v"))

@@ -46,6 +46,9 @@ CATALOG = [
     ("bbox", 24, "BlackboxProbeHttpFailure",
      lambda m, g, s: V.vector_or(V.compare(_inst("probe_http_status_code")(m, g), "<=", 199),
                                  V.compare(_inst("probe_http_status_code")(m, g), ">=", 500)), 0, "critical"),
+    ("cetl", 16, "ChainLoadPending",
+     lambda m, g, s: V.compare(V.aggregate(_inst("redis_stream_group_consumer_messages_pending")(m, g), "sum",
+                                           ["db", "group", "instance", "stream"]), ">", 0), 1800, "warning"),
     ("geth", 4, "GethChainInsertsOutOfTime",
      lambda m, g, s: V.compare(V.scalar_op(M.max_over_time(_sel("chain_inserts", ("quantile", "=", "0.95"))(m), "10m", g),
                                            "/", 1e9), ">", 10), 600, "warning"),

@@ -167,8 +167,9 @@ def compact(spark, path: str, now, older_than: str, *, interval: str = "7 days",
      .write.mode("overwrite").partitionBy("chunk").parquet(staging))
     (spark.read.parquet(staging).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy("chunk").parquet(path))
-    done = spark.read.parquet(path).filter(old)
-    return done.groupBy("chunk").agg(F.count(F.lit(1)).alias("rows"), F.count_distinct(F.input_file_name()).alias("files"))
+    done = spark.read.parquet(path).filter(old).select("chunk", F.input_file_name().alias("file"))
+    per_file = done.groupBy("chunk", "file").agg(F.count(F.lit(1)).alias("rows"))
+    return per_file.groupBy("chunk").agg(F.sum("rows").alias("rows"), F.count(F.lit(1)).alias("files"))
 
 
 def retain(df: DataFrame, now, keep: str, *, ts: str = "block_timestamp", interval: str = "7 days") -> DataFrame:

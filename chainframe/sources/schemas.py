@@ -117,6 +117,12 @@ BTC_TRACES = _st(
     ("script_hex", S), ("script_asm", S), ("req_sigs", I), ("txinwitness", S), ("item_id", S),
 )
 
+TRON_BLOCKS = _st(
+    ("block_timestamp", TS), ("blknum", L, False), ("blkhash", S), ("parent_hash", S), ("txs_root", S),
+    ("miner", S), ("version", I), ("tx_count", I), ("extra_data", S),
+)
+TRON_LOGS = T.StructType([f for f in LOGS.fields if f.name != "item_id"])
+TRON_TOKEN_XFERS = T.StructType([f for f in TOKEN_XFERS.fields if f.name != "item_id"])
 TRON_TXS = _st(
     ("block_timestamp", TS, False), ("blknum", L), ("txhash", S), ("txpos", L), ("tx_type", S),
     ("from_address", S), ("to_address", S), ("value", U256), ("input", S), ("token", S),
@@ -162,11 +168,29 @@ SEGMENT_BY = "blknum"
 ORDER_BY = ("item_id", "block_timestamp")
 
 
-def chain_schemas(chain: str, *, flavour: str = "v1", include_optional: bool = True) -> dict[str, T.StructType]:
+# every stored table ends with these
+AUDIT = (T.StructField("created_at", TS, False), T.StructField("updated_at", TS, False))
+
+
+def balance_schema(roles: list[str], *, firsts: bool, token: bool = False) -> T.StructType:
+    """Columns of a balance table: counts and values per role, optionally first and last activity."""
+    cols = [("address", S, False), *([("token_address", S, False)] if token else []), ("blknum", L, False)]
+    for r in roles:
+        if r != "fee":
+            cols += [(f"{r}_{m}", L) for m in ("blocks", "txs", "xfers")]
+        cols.append((f"{r}_value", U256))
+        if firsts and r != "fee":
+            cols += [(f"{r}_1th_st", I), (f"{r}_nth_st", I), (f"{r}_1th_blknum", L), (f"{r}_nth_blknum", L),
+                     (f"{r}_1th_st_day", D), (f"{r}_nth_st_day", D)]
+    return _st(*cols, ("value", U256, False), ("balance", U256))
+
+
+def chain_schemas(chain: str, *, flavour: str = "v1", include_optional: bool = True, audit: bool = False) -> dict[str, T.StructType]:
     """Per-chain table schemas, keyed by ``<chain>.<table>``.
 
     ``flavour``: ``v1`` (with ``logs.topics_0``), ``v2`` (without), ``ch`` (monthly partitions;
-    same columns as v1). ``include_optional`` adds txpools and NFT transfer tables.
+    same columns as v1). ``include_optional`` adds txpools and NFT transfer tables, ``audit``
+    the created_at and updated_at columns that every stored table has.
     """
     tables = dict(EVM_TABLES)
     if flavour == "v2":
@@ -177,11 +201,28 @@ def chain_schemas(chain: str, *, flavour: str = "v1", include_optional: bool = T
     if chain == "bitcoin":
         tables = {"blocks": BTC_BLOCKS, "txs": BTC_TXS, "traces": BTC_TRACES}
     elif chain == "tron":
-        tables = {"blocks": BLOCKS, "txs": TRON_TXS, "logs": LOGS_V2, "tokens": TOKENS,
-                  "token_xfers": TOKEN_XFERS}
+        tables = {"blocks": TRON_BLOCKS, "txs": TRON_TXS, "logs": TRON_LOGS, "tokens": TOKENS,
+                  "token_xfers": TRON_TOKEN_XFERS}
+    else:
+        tables |= {"latest_balances": balance_schema(["out", "vin", "cnb", "fee"], firsts=True),
+                   "history_balances": balance_schema(["out", "vin", "cnb", "fee"], firsts=False),
+                   "token_latest_balances": balance_schema(["out", "vin"], firsts=True, token=True),
+                   "token_history_balances": balance_schema(["out", "vin"], firsts=False, token=True)}
+    if chain == "bitcoin":
+        tables["latest_balances"] = balance_schema(["out", "vin", "cnb"], firsts=True)
+    tables |= {"func_signs": FUNC_SIGNS, "signatures": SIGNATURES, "prices_cgc": PRICES_CGC, "prices_cmc": PRICES_CMC}
+    if audit:
+        tables = {k: T.StructType([*v.fields, *AUDIT]) for k, v in tables.items()}
     return {f"{chain}.{k}": v for k, v in tables.items()}
 
 
+def chain_catalog(spark, chain: str, **options) -> DataFrame:
+    """The chain's tables as rows: table_name, position, column_name, data_type, nullable."""
+    rows = [(t, i, f.name, f.dataType.simpleString(), f.nullable)
+            for t, s in chain_schemas(chain, **options).items() for i, f in enumerate(s.fields)]
+    return spark.createDataFrame(rows, "table_name string, position int, column_name string, data_type string, nullable boolean")
+
+
 def conform(df: DataFrame, schema: T.StructType, *, derive_topics_0: bool = True) -> DataFrame:
     """Project ``df`` onto ``schema``: cast present columns, add absent ones as typed NULL.
 

@@ -24,18 +24,19 @@ def _exists(spark: SparkSession, path: str) -> bool:
 
 
 def upsert_chunks(spark: SparkSession, batch: DataFrame, target: str, key: list[str], *, ts: str = "block_timestamp",
-                  interval: str = "7 days", epoch: int = 0) -> None:
+                  interval: str = "7 days", epoch: int = 0, version: str | None = None) -> None:
     """Merge one batch into a chunk-partitioned Parquet table: only touched chunks are read,
-    merged (batch wins on key) and rewritten via a staging folder (no read/overwrite of the
-    same files inside one job)."""
+    merged (batch wins on key; of several batch rows with one key the largest ``version``) and
+    rewritten via a staging folder (no read/overwrite of the same files inside one job)."""
     b = LY.with_chunk(batch, ts, interval)
     staging = os.path.join(target, "_staging", f"epoch={epoch}")
     if _exists(spark, target) and _exists(spark, os.path.join(target, "_SUCCESS")):
         chunks = b.select("chunk").distinct()
-        current = spark.read.parquet(target).join(F.broadcast(chunks), "chunk", "left_semi")  # chunk count per batch is small
-        merged = LY.merge_batch(current, b.select(*current.columns), key)
+        # prunes the table's folders at run time; Spark decides by size whether to broadcast the chunks
+        current = spark.read.parquet(target).join(chunks, "chunk", "left_semi")
     else:
-        merged = b
+        current = b.drop(version).limit(0) if version else b.limit(0)
+    merged = LY.merge_batch(current, b.select(*current.columns, *([version] if version else [])), key, version)
     merged.write.mode("overwrite").partitionBy("chunk").parquet(staging)
     (spark.read.parquet(staging).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy("chunk").parquet(target))
@@ -43,11 +44,14 @@ def upsert_chunks(spark: SparkSession, batch: DataFrame, target: str, key: list[
 
 def load_stream(spark: SparkSession, source: str, schema: T.StructType, target: str, key: list[str], checkpoint: str,
                 *, ts: str = "block_timestamp", interval: str = "7 days", available_now: bool = True):
-    """File stream → per-batch de-duplication → chunk upsert on ``key``."""
+    """File stream → last write per key of a batch (by file time, file and row) → chunk
+    upsert on ``key``."""
     src = spark.readStream.schema(schema).parquet(source)
+    written_at = F.struct("_metadata.file_modification_time", "_metadata.file_path", "_metadata.row_index")
+    src = src.select("*", written_at.alias("__written"))
 
     def sink(df: DataFrame, epoch: int) -> None:
-        upsert_chunks(spark, df.dropDuplicates(key), target, key, ts=ts, interval=interval, epoch=epoch)
+        upsert_chunks(spark, df, target, key, ts=ts, interval=interval, epoch=epoch, version="__written")
 
     w = src.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="15 seconds")
@@ -67,26 +71,79 @@ def with_event_time(df: DataFrame, col: str) -> DataFrame:
     return df.withColumn("__event_time", F.col(col).cast("timestamp"))
 
 
+_TOKEN = (["token_address"], ["out", "vin"])
+
+
 def balances_stream(spark: SparkSession, xfers: DataFrame, state_path: str, checkpoint: str):
-    """Incremental token balances: each micro-batch is aggregated and merged into the
-    stored state (block batches are disjoint, so counts add) — equals a full recompute."""
+    """Incremental token balances. Each micro-batch stores its per-transaction partials in a
+    folder named after its epoch, so a replay of an epoch overwrites what it wrote, and a block
+    or transaction split over batches adds up when read (``streamed_balances``)."""
 
     def sink(df: DataFrame, epoch: int) -> None:
-        delta = BL.token_balances(df).drop("decimals", "balance")
-        out = os.path.join(state_path, f"v={epoch}")
-        if epoch > 0 or _exists(spark, os.path.join(state_path, "_latest")):
-            prev = spark.read.parquet(open_latest(spark, state_path))
-            merged = BL.merge_balances(prev, delta)
-        else:
-            merged = delta
-        merged.write.mode("overwrite").parquet(out)
-        spark.createDataFrame([(out,)], "path string").coalesce(1).write.mode("overwrite").text(os.path.join(state_path, "_latest"))
+        store_partials(df, state_path, epoch)
 
     return xfers.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def open_latest(spark: SparkSession, state_path: str) -> str:
-    return spark.read.text(os.path.join(state_path, "_latest")).first()[0]
+def store_partials(xfers: DataFrame, state_path: str, epoch: int) -> None:
+    BL.token_partials(xfers).write.mode("overwrite").parquet(f"{state_path.rstrip('/')}/partials/epoch={epoch}")
+
+
+def _folded(spark: SparkSession, state_path: str) -> int | None:
+    """The last block of the folded state, if there is one."""
+    path = f"{state_path.rstrip('/')}/folded"
+    return spark.read.parquet(path).agg(F.max("upto")).first()[0] if _exists(spark, path) else None
+
+
+def fold_partials(spark: SparkSession, state_path: str, upto: int) -> None:
+    """Folds blocks up to ``upto``, which must be complete, into stored balances, so that reads
+    aggregate later blocks only. Written under the block number: folding again changes nothing."""
+    last = _folded(spark, state_path)
+    if last is not None and upto <= last:
+        return
+    merged = _merged_balances(spark, state_path, upto)
+    merged.write.mode("overwrite").parquet(f"{state_path.rstrip('/')}/folded/upto={upto}")
+
+
+def _merged_balances(spark: SparkSession, state_path: str, upto: int | None = None) -> DataFrame:
+    last = _folded(spark, state_path)
+    keys, roles = _TOKEN
+    parts = spark.read.parquet(f"{state_path.rstrip('/')}/partials").drop("epoch")
+    if last is not None:
+        parts = parts.filter(F.col("blknum") > last)
+    if upto is not None:
+        parts = parts.filter(F.col("blknum") <= upto)
+    new = BL.balances_of(BL.merge_partials(parts, keys, roles), keys, roles, ["vin"], ["out"])
+    if last is None:
+        return new
+    state = spark.read.parquet(f"{state_path.rstrip('/')}/folded").filter(F.col("upto") == last).drop("upto")
+    return BL.merge_balances(state, new)  # block-disjoint by the filter above
+
+
+def streamed_balances(spark: SparkSession, state_path: str) -> DataFrame:
+    """Latest balances of all stored epochs; equals ``token_balances`` of all their transfers."""
+    return _merged_balances(spark, state_path)
+
+
+def over_time_stream(samples: DataFrame, fn: str, window_s: int, step_s: int, lateness_s: int = 60) -> DataFrame:
+    """``avg|max|min|sum|count_over_time`` on a stream of samples (name, labels, series_key,
+    ts, value), at instants that are multiples of ``step_s``. Each sample goes to the instants
+    whose closed window ``[t - window, t]`` holds it, as in the batch form; an instant is emitted
+    once the watermark (``lateness_s`` behind the newest sample) has passed it."""
+    from chainframe.operators.metrics.ranges import entries
+
+    aggregate = {"avg": F.avg, "max": F.max, "min": F.min, "sum": F.sum, "count": F.count}[fn]
+    epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    us = F.timestamp_diff("MICROSECOND", epoch, F.col("ts"))
+    lo = F.ceil(us / F.lit(step_s * 1_000_000)).cast("long")
+    hi = F.floor((us + F.lit(window_s * 1_000_000)) / F.lit(step_s * 1_000_000)).cast("long")
+    d = entries(samples).filter(lo <= hi).withColumn("__k", F.explode(F.sequence(lo, hi)))
+    d = d.withColumn("__event_time", F.timestamp_add("SECOND", F.col("__k") * step_s, epoch).cast("timestamp"))
+    # the newest instant a sample reaches is up to a window ahead of it
+    g = (d.withWatermark("__event_time", f"{window_s + lateness_s} seconds")
+         .groupBy("series_key", "name", "__e", "__event_time").agg(aggregate("value").cast("double").alias("value")))
+    return g.select("name", F.map_from_entries("__e").alias("labels"), "series_key",
+                    F.col("__event_time").cast("timestamp_ntz").alias("eval_ts"), "value")
 
 
 ALERT_OUT = T.StructType([

@@ -101,3 +101,57 @@ def test_indexed_and_log_decode():
 def test_push4_walk_skips_push_data():
     code = "0x6080604052" + "63a9059cbb14" + "7f" + "63095ea7b3".ljust(64, "0") + "00"
     assert push4_selectors_py(code) == ["0xa9059cbb"]
+
+
+NATIVE_CASES = [
+    (["address", "uint256", "bool"], ["0x" + "ab" * 20, 2 ** 256 - 1, True]),
+    (["int8", "int256", "uint64", "bytes4", "bytes32"], [-128, -(2 ** 255), 2 ** 64 - 1, b"abcd", b"\x11" * 32]),
+    (["bytes", "string", "uint16[]"], [b"\x00\xff" * 40, "plain text (ASCII) {}", [1, 2, 65535]]),
+    (["address[]", "int32[]", "bool[]", "bytes"], [["0x" + "01" * 20], [-1, 5], [], b""]),
+    (["string", "uint8"], ["quote \" and back\\slash", 3]),  # left to the kernel
+    (["(address,uint256)", "bytes32[]"], [("0x" + "02" * 20, 9), [b"\x01" * 32, b"\x02" * 32]]),  # left to the kernel
+]
+
+
+def _abi(types):
+    inputs = []
+    for i, t in enumerate(types):
+        p = {"name": f"p{i}", "type": t}
+        if t.startswith("("):
+            p = {"name": f"p{i}", "type": "tuple", "components": [{"name": f"c{k}", "type": x} for k, x in enumerate(K._split_tuple(t))]}
+        inputs.append(p)
+    return json.dumps({"name": "f", "type": "function", "inputs": inputs})
+
+
+def test_native_decoding_equals_the_kernel(spark):
+    from chainframe.operators import abi_jobs as AJ
+
+    sigs, txs = [], []
+    for n, (types, values) in enumerate(NATIVE_CASES):
+        address, abi = f"0x{n:040x}", _abi(types)
+        sigs.append((address, "0x12345678", abi, "f(...)"))
+        body = enc(types, values).hex()
+        hostile = ["f" * 64 + body[64:], body[:64 * len(types)], body[:-2], "", body + "zz", body[:64] + "f" * 64 + body[128:], body.upper()]
+        for k, b in enumerate([body, *hostile]):
+            txs.append((f"{n}-{k}", address, "0x12345678" + b))
+    s = spark.createDataFrame(sigs, "address string, byte_sign string, abi string, prototype string")
+    t = spark.createDataFrame(txs + [("x", "0x" + "9" * 40, "0x12345678"), ("y", None, None)], "txhash string, to_address string, input string")
+    abi_of = {a: b for a, _, b, _ in sigs}
+    for mode in ("typed", "indexed", "lookup"):
+        got = {r.txhash: r.decoded for r in AJ.decode_inputs(t, s, mode=mode).collect()}
+        assert len(got) == len(txs) + 2
+        assert got["x"] == got["y"] == "{}"
+        for h, address, data in txs:
+            try:
+                want = (K.decode_input_typed(abi_of[address], data) if mode == "typed"
+                        else K.decode_input_indexed(abi_of[address], data, "f(...)" if mode == "lookup" else None))
+            except Exception:  # noqa: BLE001
+                want = "{}"
+            assert got[h] == want, (mode, h, data)
+
+
+def test_byte_arrays_are_lists():
+    out = json.loads(K.decode_input_typed(_abi(["bytes32[]", "bytes[]"]), "0x12345678" + enc(
+        ["bytes32[]", "bytes[]"], [[b"\x01" * 32, b"\x02" * 32], [b"\x03" * 33]]).hex()))
+    assert out["parameter"]["p0"] == ["01" * 32, "02" * 32]
+    assert out["parameter"]["p1"] == ["03" * 32, "03".ljust(64, "0")]

@@ -17,7 +17,7 @@ def test_catalog_evaluates(spark):
     for i in range(0, 40):
         t = T0 + timedelta(seconds=15 * i)
         rows += [("up", "node", "a", t, 0.0), ("up", "prometheus", "p", t, 1.0), ("redis_up", "redis", "r", t, 0.0),
-                 ("p2p_peers", "geth", "g", t, 3.0), ("probe_http_status_code", "bb", "x", t, 503.0)]
+                 ("redis_stream_group_consumer_messages_pending", "redis", "r", t, 5.0), ("p2p_peers", "geth", "g", t, 3.0), ("probe_http_status_code", "bb", "x", t, 503.0)]
     df = spark.createDataFrame(rows, "name string, job string, instance string, ts timestamp_ntz, value double")
     m = metrics_frame(df, F.col("name"), ["job", "instance"], "ts", "value")
     grid = Grid.of("2024-01-01 00:01:00", "2024-01-01 00:09:00", "1m")
@@ -28,5 +28,14 @@ def test_catalog_evaluates(spark):
     assert ("GethChainNoPeers", "pending") in got
     assert ("BlackboxProbeHttpFailure", "firing") in got
     assert not any(n == "PrometheusJobMissing" for n, _ in got)
+    assert ("ChainLoadPending", "pending") in got  # needs 30 minutes to fire
     routed = {r.receiver for r in AL.route(states).collect()}
-    assert routed <= {"critical", "warning", "info", "slack"}
+    assert routed == {"slack_critical", "slack_warning"}
+
+
+def test_routes_by_severity(spark):
+    severities = ["none", "info", "warning", "error", "critical", "panic", "informal"]
+    df = spark.createDataFrame([(s,) for s in severities], "s string").select(F.create_map(F.lit("severity"), "s").alias("labels"))
+    got = {r.labels["severity"]: r.receiver for r in AL.route(df).collect()}
+    assert got == {"none": "slack_none", "info": "slack", "warning": "slack_warning", "error": "slack_warning",
+                   "critical": "slack_critical", "panic": "slack", "informal": "slack"}
