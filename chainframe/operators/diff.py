@@ -141,6 +141,16 @@ def slice_bounds(start, end, slice_hours: int = 1) -> tuple[datetime, datetime]:
     return st, st + n * step
 
 
+def whole_slices(df: DataFrame, slice_hours: int = 1, ts: str = "block_timestamp") -> tuple[datetime, datetime]:
+    """Bounds that cover all rows of ``df``, at slice boundaries (one row from the table)."""
+    lo, hi = df.agg(F.min(ts), F.max(ts)).first()
+    if lo is None:
+        return datetime(1970, 1, 1), datetime(1970, 1, 1)
+    step = timedelta(hours=slice_hours)
+    down = lambda t: datetime(1970, 1, 1) + (t - datetime(1970, 1, 1)) // step * step
+    return down(lo), down(hi) + step
+
+
 def _side(df: DataFrame, spec: DiffSpec, st: datetime, et: datetime, prefix: str) -> DataFrame:
     """Time-filtered side with every column renamed to ``<prefix>_<c>`` before the join, so no
     raw column is re-aliased above the join (see ``dataset_diff``)."""

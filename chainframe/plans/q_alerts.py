@@ -7,34 +7,32 @@ from pyspark.sql import functions as F
 from chainframe.operators import alerts as AL
 from chainframe.operators import metrics as M
 from chainframe.operators.metrics import vector as V
-from chainframe.plans.q_metrics import G, GRID_SQL, W, extrapolated_sql, instant_sql, samples, stats_sql
+from chainframe.plans.q_metrics import GRID_SQL, STEP, W, extrapolated_sql, grid, instant_sql, samples, stats_sql
 from chainframe.plans.registry import query
-from chainframe.sources import fixtures as FX
-from chainframe.sources.ingest import metrics_frame
-
-
-def _metrics(spark, sf_dir):
-    return samples(spark, sf_dir, "metric_gauge").unionByName(samples(spark, sf_dir, "metric_counter"))
-
-
-RULES = [
-    AL.Rule("QueueHigh", lambda m, g, s: V.compare(M.instant(M.select(m, "queue_length"), g), ">", 4000),
-            for_seconds=900, labels={"severity": "warning"},
-            annotations={"summary": 'Queue high on {{ $labels.job }}/{{ $labels.instance }} (value {{ $value | printf "%.2f" }})'},
-            group="fixture", line=1),
-    AL.Rule("RequestRateHigh", lambda m, g, s: V.compare(M.rate(M.select(m, "requests_total"), "1h", g), ">", 2),
-            for_seconds=600, labels={"severity": "critical"},
-            annotations={"summary": "Request rate high for {{ $labels.job }} on {{ $labels.instance }}{{ $labels.missing }}"},
-            group="fixture", line=2),
-    AL.Rule("QueueEmptyPanic", lambda m, g, s: V.compare(M.instant(M.select(m, "queue_length"), g), "<", 150),
-            for_seconds=0, labels={"severity": "panic"}, group="fixture", line=3),
-    AL.Rule("QueueLow", lambda m, g, s: V.compare(M.instant(M.select(m, "queue_length"), g), "<", 300),
-            for_seconds=0, labels={"severity": "info"}, group="fixture", line=4),
-    AL.Rule("QueueNoted", lambda m, g, s: V.compare(M.instant(M.select(m, "queue_length"), g), "<", 100),
-            for_seconds=0, labels={"severity": "none"}, group="fixture", line=5),
-    AL.Rule("QueueBroken", lambda m, g, s: V.compare(M.instant(M.select(m, "queue_length"), g), ">", 4800),
-            for_seconds=300, labels={"severity": "error"}, group="fixture", line=6),
-]
+from chainframe.session import stored
+
+
+def _rules(queue=None, rate=None):
+    """The rules over two vectors, each evaluated once whatever the number of rules on it."""
+    return [
+        AL.Rule("QueueHigh", lambda m, g, s: V.compare(queue, ">", 4000),
+                for_seconds=900, labels={"severity": "warning"},
+                annotations={"summary": 'Queue high on {{ $labels.job }}/{{ $labels.instance }} (value {{ $value | printf "%.2f" }})'},
+                group="fixture", line=1),
+        AL.Rule("RequestRateHigh", lambda m, g, s: V.compare(rate, ">", 2),
+                for_seconds=600, labels={"severity": "critical"},
+                annotations={"summary": "Request rate high for {{ $labels.job }} on {{ $labels.instance }}{{ $labels.missing }}"},
+                group="fixture", line=2),
+        AL.Rule("QueueEmptyPanic", lambda m, g, s: V.compare(queue, "<", 150),
+                for_seconds=0, labels={"severity": "panic"}, group="fixture", line=3),
+        AL.Rule("QueueLow", lambda m, g, s: V.compare(queue, "<", 300),
+                for_seconds=0, labels={"severity": "info"}, group="fixture", line=4),
+        AL.Rule("QueueNoted", lambda m, g, s: V.compare(queue, "<", 100),
+                for_seconds=0, labels={"severity": "none"}, group="fixture", line=5),
+        AL.Rule("QueueBroken", lambda m, g, s: V.compare(queue, ">", 4800),
+                for_seconds=300, labels={"severity": "error"}, group="fixture", line=6),
+    ]
+
 
 _ACTIVE_SQL = f"""{stats_sql('metric_counter', W)},
 {instant_sql('metric_gauge')},
@@ -47,19 +45,22 @@ act AS (
   UNION ALL SELECT 'fixture:4:QueueLow', 'QueueLow', 'info', job, instance, t, value, 0 FROM i WHERE value < 300
   UNION ALL SELECT 'fixture:5:QueueNoted', 'QueueNoted', 'none', job, instance, t, value, 0 FROM i WHERE value < 100
   UNION ALL SELECT 'fixture:6:QueueBroken', 'QueueBroken', 'error', job, instance, t, value, 300 FROM i WHERE value > 4800),
-isl AS (SELECT *, date_diff('second', TIMESTAMP '{G.start}', t) // {G.step}
+isl AS (SELECT *, date_diff('second', TIMESTAMP '1970-01-01', t) // {STEP}
           - row_number() OVER (PARTITION BY rule_id, job, instance ORDER BY t) AS island FROM act),
 sp AS (SELECT *, min(t) OVER (PARTITION BY rule_id, job, instance, island) AS since,
           max(t) OVER (PARTITION BY rule_id, job, instance, island) AS last_t FROM isl),
 st AS (SELECT rule_id, alertname, severity, job, instance, t AS eval_ts,
           CASE WHEN date_diff('second', since, t) >= for_s THEN 'firing' ELSE 'pending' END AS state, since AS active_since, value FROM sp
        UNION ALL
-       SELECT rule_id, alertname, severity, job, instance, t + to_seconds({G.step}), 'resolved', since, value FROM sp
-       WHERE t = last_t AND date_diff('second', since, t) >= for_s AND t + to_seconds({G.step}) <= TIMESTAMP '{G.end}')"""
+       SELECT rule_id, alertname, severity, job, instance, t + to_seconds({STEP}), 'resolved', since, value FROM sp
+       WHERE t = last_t AND date_diff('second', since, t) >= for_s AND t + to_seconds({STEP}) <= (SELECT max(t) FROM ({GRID_SQL})))"""
 
 
 def _states(spark, sf_dir):
-    return AL.alert_states(AL.evaluate(RULES, _metrics(spark, sf_dir), G, spark), G)
+    g = grid(spark, sf_dir)
+    queue = stored(M.instant(M.select(samples(spark, sf_dir, "metric_gauge"), "queue_length"), g), "queue")
+    rate = stored(M.rate(M.select(samples(spark, sf_dir, "metric_counter"), "requests_total"), "1h", g), "rate")
+    return AL.alert_states(AL.evaluate(_rules(queue, rate), None, g, spark), g)
 
 
 def _cols(df, *extra):
@@ -85,7 +86,7 @@ def alert_annotations(spark, sf_dir):
     """L3: annotation templates ($labels, $value with printf, missing label → '')."""
     st = _states(spark, sf_dir)
     parts = None
-    for r in RULES:
+    for r in _rules():
         col = AL.compile_template(r.annotations.get("summary", ""))
         parts = F.when(F.col("rule_id") == r.rule_id, col) if parts is None else parts.when(F.col("rule_id") == r.rule_id, col)
     return _cols(st.withColumn("summary", parts.otherwise(F.lit(""))), "summary")

@@ -1,12 +1,14 @@
 """Metric (PromQL-function) queries on the driver-derived counter and gauge series.
 
-Grid: 2024-01-01 00:00 → 2024-01-31 00:00, step 5 minutes; range windows 1 hour (the
-fixture has ~14 samples per hour in total). Oracles use a brute-force range join of the
-grid with the samples, i.e. a different algorithm from the Spark plan.
+Grid: whole days that cover the events, step 5 minutes; range windows 1 hour (the fixture has
+~14 samples per hour in total). Oracles use a brute-force range join of the grid with the
+samples, i.e. a different algorithm from the Spark plan.
 """
 
 from __future__ import annotations
 
+from datetime import datetime, timedelta
+
 from pyspark.sql import functions as F
 
 from chainframe.operators import metrics as M
@@ -15,10 +17,17 @@ from chainframe.plans.registry import query
 from chainframe.sources import fixtures as FX
 from chainframe.sources.ingest import metrics_frame
 
-G = M.Grid.of("2024-01-01 00:00:00", "2024-01-31 00:00:00", "5m")
+STEP = 300
 W = 3600
-N = G.n
-START = "TIMESTAMP '2024-01-01 00:00:00'"
+
+
+def grid(spark, sf_dir) -> M.Grid:
+    """Whole days that cover the events, in steps of 5 minutes (one row from the table)."""
+    lo, hi = FX.load_base(spark, sf_dir, "events").agg(
+        F.date_trunc("day", F.min("ts")).cast("timestamp_ntz"), F.date_trunc("day", F.max("ts")).cast("timestamp_ntz")).first()
+    if lo is None:
+        lo = hi = datetime(1970, 1, 1)
+    return M.Grid(lo, hi + timedelta(days=1), STEP)
 
 
 def samples(spark, sf_dir, name: str):
@@ -29,7 +38,9 @@ def out(v, labels=("job", "instance")):
     return v.select(*[F.col("labels")[l].alias(l) for l in labels], "eval_ts", F.round("value", 6).alias("value"))
 
 
-GRID_SQL = f"SELECT k, {START} + to_seconds(k * {G.step}) AS t FROM range(0, {N + 1}) r(k)"
+GRID_SQL = f"""SELECT k, t0 + to_seconds(k * {STEP}) AS t FROM (SELECT t0, unnest(range(0, n + 1)) AS k FROM (
+  SELECT date_trunc('day', min(ts)) AS t0,
+    date_diff('second', date_trunc('day', min(ts)), date_trunc('day', max(ts)) + INTERVAL 1 DAY) // {STEP} AS n FROM events))"""
 
 
 def stats_sql(table: str, window: int, where: str = "true") -> str:
@@ -76,7 +87,7 @@ def range_query(name, fixture, fn, sql_value, cond="true", window=W, significant
     @query(name, f"""WITH {stats_sql(fixture, window)}
 SELECT job, instance, t AS eval_ts, {rounded} AS value FROM a WHERE {cond}""", (fixture,))
     def _q(spark, sf_dir):
-        v = fn(samples(spark, sf_dir, fixture))
+        v = fn(samples(spark, sf_dir, fixture), grid(spark, sf_dir))
         value = _significant(F.col("value"), significant) if significant else F.round("value", 6)
         return v.select(F.col("labels")["job"].alias("job"), F.col("labels")["instance"].alias("instance"), "eval_ts",
                         value.alias("value"))
@@ -84,17 +95,17 @@ SELECT job, instance, t AS eval_ts, {rounded} AS value FROM a WHERE {cond}""", (
     return _q
 
 
-range_query("rate", "metric_counter", lambda m: M.rate(m, "1h", G), extrapolated_sql(W, True), "n >= 2")
-range_query("increase", "metric_counter", lambda m: M.increase(m, "1h", G), extrapolated_sql(W, False), "n >= 2")
-range_query("irate", "metric_counter", lambda m: M.irate(m, "1h", G),
+range_query("rate", "metric_counter", lambda m, g: M.rate(m, "1h", g), extrapolated_sql(W, True), "n >= 2")
+range_query("increase", "metric_counter", lambda m, g: M.increase(m, "1h", g), extrapolated_sql(W, False), "n >= 2")
+range_query("irate", "metric_counter", lambda m, g: M.irate(m, "1h", g),
             "(CASE WHEN lv < lpv THEN lv ELSE lv - lpv END) / ldt", "n >= 2")
-range_query("deriv", "metric_gauge", lambda m: M.deriv(m, "1h", G), "slope", "n >= 2")
-range_query("predict_linear", "metric_gauge", lambda m: M.predict_linear(m, "1h", "4h", G),
+range_query("deriv", "metric_gauge", lambda m, g: M.deriv(m, "1h", g), "slope", "n >= 2")
+range_query("predict_linear", "metric_gauge", lambda m, g: M.predict_linear(m, "1h", "4h", g),
             "(icpt + slope * 14400)", "n >= 2", significant=8)
-range_query("avg_over_time", "metric_gauge", lambda m: M.avg_over_time(m, "1h", G), "av")
-range_query("max_over_time", "metric_gauge", lambda m: M.max_over_time(m, "1h", G), "mx")
-range_query("min_over_time", "metric_gauge", lambda m: M.min_over_time(m, "1h", G), "mn")
-range_query("changes", "metric_gauge", lambda m: M.changes(m, "1h", G), "CAST(chs AS DOUBLE)")
+range_query("avg_over_time", "metric_gauge", lambda m, g: M.avg_over_time(m, "1h", g), "av")
+range_query("max_over_time", "metric_gauge", lambda m, g: M.max_over_time(m, "1h", g), "mx")
+range_query("min_over_time", "metric_gauge", lambda m, g: M.min_over_time(m, "1h", g), "mn")
+range_query("changes", "metric_gauge", lambda m, g: M.changes(m, "1h", g), "CAST(chs AS DOUBLE)")
 
 
 def instant_sql(table: str, offset: int = 0, lookback: int = 300, where: str = "true", alias: str = "i") -> str:
@@ -108,7 +119,7 @@ def instant_sql(table: str, offset: int = 0, lookback: int = 300, where: str = "
        ("metric_gauge",))
 def instant(spark, sf_dir):
     """Instant selector with 5-minute lookback on the 5-minute grid."""
-    return out(M.instant(samples(spark, sf_dir, "metric_gauge"), G))
+    return out(M.instant(samples(spark, sf_dir, "metric_gauge"), grid(spark, sf_dir)))
 
 
 # one series per setting; its value changes now and then
@@ -129,7 +140,7 @@ def config_changed(spark, sf_dir):
     """``{__name__=~"pg_settings_.*"} != on(__name__) {...} offset 5m`` (current value kept)."""
     m = metrics_frame(FX.load(spark, sf_dir, "metric_settings"), F.col("name"), ["instance"], "ts", "value")
     m = M.select(m, name_regex="pg_settings_.*")
-    v = V.binary_op(M.instant(m, G), M.instant(m, G, offset="5m"), "!=", on=["__name__"])
+    v = V.binary_op(M.instant(m, grid(spark, sf_dir)), M.instant(m, grid(spark, sf_dir), offset="5m"), "!=", on=["__name__"])
     return v.select("name", F.col("labels")["instance"].alias("instance"), "eval_ts", F.round("value", 6).alias("value"))
 
 
@@ -137,7 +148,7 @@ def config_changed(spark, sf_dir):
 SELECT job, instance, 's-' || instance AS shard, t AS eval_ts, round(value, 6) AS value FROM i""", ("metric_gauge",))
 def label_replace(spark, sf_dir):
     """``label_replace(v, "shard", "s-$1", "instance", "(\\d+)")``."""
-    v = V.label_replace(M.instant(samples(spark, sf_dir, "metric_gauge"), G), "shard", "s-$1", "instance", r"(\d+)")
+    v = V.label_replace(M.instant(samples(spark, sf_dir, "metric_gauge"), grid(spark, sf_dir)), "shard", "s-$1", "instance", r"(\d+)")
     return out(v, ("job", "instance", "shard"))
 
 
@@ -151,8 +162,8 @@ SELECT i.job, i.instance, i.t AS eval_ts,
 FROM i JOIN r ON i.job = r.job AND i.instance = r.instance AND i.t = r.t""", ("metric_counter", "metric_gauge"))
 def vector_ratio(spark, sf_dir):
     """One-to-one ``gauge / rate(counter[1h])`` on identical label sets."""
-    g = M.instant(samples(spark, sf_dir, "metric_gauge"), G)
-    r = M.rate(samples(spark, sf_dir, "metric_counter"), "1h", G)
+    g = M.instant(samples(spark, sf_dir, "metric_gauge"), grid(spark, sf_dir))
+    r = M.rate(samples(spark, sf_dir, "metric_counter"), "1h", grid(spark, sf_dir))
     return out(V.binary_op(g, r, "/"))
 
 
@@ -162,8 +173,8 @@ WHERE i.value > 1000 AND EXISTS (SELECT 1 FROM r WHERE r.job = i.job AND r.insta
        ("metric_counter", "metric_gauge"))
 def vector_and(spark, sf_dir):
     """``gauge > 1000 and rate(counter[1h]) > 0``."""
-    g = V.compare(M.instant(samples(spark, sf_dir, "metric_gauge"), G), ">", 1000)
-    r = V.compare(M.rate(samples(spark, sf_dir, "metric_counter"), "1h", G), ">", 0)
+    g = V.compare(M.instant(samples(spark, sf_dir, "metric_gauge"), grid(spark, sf_dir)), ">", 1000)
+    r = V.compare(M.rate(samples(spark, sf_dir, "metric_counter"), "1h", grid(spark, sf_dir)), ">", 0)
     return out(V.vector_and(g, r))
 
 
@@ -176,8 +187,8 @@ WHERE NOT EXISTS (SELECT 1 FROM l WHERE l.job = rr.job AND l.instance = rr.insta
        ("metric_counter", "metric_gauge"))
 def vector_or(spark, sf_dir):
     """``gauge < 100 or rate(counter[1h]) < 0.05`` (name dropped on the rate side)."""
-    g = V.compare(M.instant(samples(spark, sf_dir, "metric_gauge"), G), "<", 100)
-    r = V.compare(M.rate(samples(spark, sf_dir, "metric_counter"), "1h", G), "<", 0.05)
+    g = V.compare(M.instant(samples(spark, sf_dir, "metric_gauge"), grid(spark, sf_dir)), "<", 100)
+    r = V.compare(M.rate(samples(spark, sf_dir, "metric_counter"), "1h", grid(spark, sf_dir)), "<", 0.05)
     return out(V.vector_or(g, r))
 
 
@@ -185,21 +196,21 @@ def vector_or(spark, sf_dir):
 SELECT job, t AS eval_ts, round(sum(value), 6) AS value FROM i GROUP BY job, t""", ("metric_gauge",))
 def sum_by(spark, sf_dir):
     """``sum by (job) (gauge)``."""
-    return out(V.aggregate(M.instant(samples(spark, sf_dir, "metric_gauge"), G), "sum", ["job"]), ("job",))
+    return out(V.aggregate(M.instant(samples(spark, sf_dir, "metric_gauge"), grid(spark, sf_dir)), "sum", ["job"]), ("job",))
 
 
 @query("avg_by", f"""WITH {stats_sql('metric_counter', W)}, {_RATE_CTE}
 SELECT job, t AS eval_ts, round(avg(value), 6) AS value FROM r GROUP BY job, t""", ("metric_counter",))
 def avg_by(spark, sf_dir):
     """``avg by (job) (rate(counter[1h]))``."""
-    return out(V.aggregate(M.rate(samples(spark, sf_dir, "metric_counter"), "1h", G), "avg", ["job"]), ("job",))
+    return out(V.aggregate(M.rate(samples(spark, sf_dir, "metric_counter"), "1h", grid(spark, sf_dir)), "avg", ["job"]), ("job",))
 
 
 @query("count_by", f"""WITH {instant_sql('metric_gauge')}
 SELECT job, t AS eval_ts, round(CAST(count(*) AS DOUBLE), 6) AS value FROM i GROUP BY job, t""", ("metric_gauge",))
 def count_by(spark, sf_dir):
     """``count by (job) (gauge)``."""
-    return out(V.aggregate(M.instant(samples(spark, sf_dir, "metric_gauge"), G), "count", ["job"]), ("job",))
+    return out(V.aggregate(M.instant(samples(spark, sf_dir, "metric_gauge"), grid(spark, sf_dir)), "count", ["job"]), ("job",))
 
 
 @query("count_values", f"""WITH {stats_sql('metric_gauge', W)}
@@ -207,7 +218,7 @@ SELECT CAST(chs AS VARCHAR) AS changes, t AS eval_ts, round(CAST(count(*) AS DOU
        ("metric_gauge",))
 def count_values(spark, sf_dir):
     """``count_values("changes", changes(gauge[1h]))``."""
-    v = V.count_values(M.changes(samples(spark, sf_dir, "metric_gauge"), "1h", G), "changes")
+    v = V.count_values(M.changes(samples(spark, sf_dir, "metric_gauge"), "1h", grid(spark, sf_dir)), "changes")
     return out(v, ("changes",))
 
 
@@ -216,8 +227,8 @@ SELECT 'signup' AS job, g.t AS eval_ts, CAST(1 AS DOUBLE) AS value FROM ({GRID_S
        ("metric_gauge",))
 def absent(spark, sf_dir):
     """``absent(queue_length{job="signup"})`` — steps with no sample in the lookback."""
-    v = M.instant(M.select(samples(spark, sf_dir, "metric_gauge"), "queue_length", [("job", "=", "signup")]), G)
-    return out(V.absent(v, G, spark, {"job": "signup"}), ("job",))
+    v = M.instant(M.select(samples(spark, sf_dir, "metric_gauge"), "queue_length", [("job", "=", "signup")]), grid(spark, sf_dir))
+    return out(V.absent(v, grid(spark, sf_dir), spark, {"job": "signup"}), ("job",))
 
 
 @query("label_match", """
@@ -243,7 +254,7 @@ def name_regex(spark, sf_dir):
 SELECT 'job:requests:rate1h' AS name, job, t AS ts, round(sum(value), 6) AS value FROM r GROUP BY job, t""", ("metric_counter",))
 def record_ratio(spark, sf_dir):
     """Recording rule ``job:requests:rate1h = sum by (job) (rate(requests_total[1h]))``."""
-    v = V.record(V.aggregate(M.rate(samples(spark, sf_dir, "metric_counter"), "1h", G), "sum", ["job"]), "job:requests:rate1h")
+    v = V.record(V.aggregate(M.rate(samples(spark, sf_dir, "metric_counter"), "1h", grid(spark, sf_dir)), "sum", ["job"]), "job:requests:rate1h")
     return v.select("name", F.col("labels")["job"].alias("job"), "ts", F.round("value", 6).alias("value"))
 
 
@@ -251,7 +262,7 @@ def record_ratio(spark, sf_dir):
 SELECT job, instance, t AS eval_ts, round(value, 6) AS value FROM r WHERE value > 0.8 AND value < 10000""", ("metric_counter",))
 def net_saturation(spark, sf_dir):
     """Chained comparison ``rate(counter[1h]) > 0.8 < 10000``."""
-    r = M.rate(samples(spark, sf_dir, "metric_counter"), "1h", G)
+    r = M.rate(samples(spark, sf_dir, "metric_counter"), "1h", grid(spark, sf_dir))
     return out(V.compare(V.compare(r, ">", 0.8), "<", 10000))
 
 
@@ -263,8 +274,8 @@ FROM i JOIN r ON i.job = r.job AND i.instance = r.instance AND i.t = r.t WHERE i
        ("metric_counter", "metric_gauge"))
 def dead_tuple_ratio(spark, sf_dir):
     """A filter inside arithmetic: ``(gauge > 3000) / rate(counter[1h])``."""
-    g = V.compare(M.instant(samples(spark, sf_dir, "metric_gauge"), G), ">", 3000)
-    return out(V.binary_op(g, M.rate(samples(spark, sf_dir, "metric_counter"), "1h", G), "/"))
+    g = V.compare(M.instant(samples(spark, sf_dir, "metric_gauge"), grid(spark, sf_dir)), ">", 3000)
+    return out(V.binary_op(g, M.rate(samples(spark, sf_dir, "metric_counter"), "1h", grid(spark, sf_dir)), "/"))
 
 
 # a counter that only every third user moves, so that it stalls now and then
@@ -289,8 +300,8 @@ def dump_stalled(spark, sf_dir):
     m = samples(spark, sf_dir, "metric_dump")
     not_signup = M.select(m, "chain_dump_lag", [("job", "!=", "signup")])
     signup = M.select(m, "chain_dump_lag", [("job", "=", "signup")])
-    left = V.vector_and(M.instant(not_signup, G), V.compare(M.rate(not_signup, "1h", G), "<=", 0))
-    return out(V.vector_or(left, V.compare(M.rate(signup, "1h", G), "<=", 0)))
+    left = V.vector_and(M.instant(not_signup, grid(spark, sf_dir)), V.compare(M.rate(not_signup, "1h", grid(spark, sf_dir)), "<=", 0))
+    return out(V.vector_or(left, V.compare(M.rate(signup, "1h", grid(spark, sf_dir)), "<=", 0)))
 
 
 @query("metric_age", f"""WITH {instant_sql('metric_gauge')}
@@ -298,7 +309,7 @@ SELECT job, instance, t AS eval_ts,
   round(CAST(date_diff('second', TIMESTAMP '1970-01-01', t) AS DOUBLE) - value, 6) AS value FROM i""", ("metric_gauge",))
 def metric_age(spark, sf_dir):
     """``time() - x``."""
-    return out(V.time_minus(M.instant(samples(spark, sf_dir, "metric_gauge"), G)))
+    return out(V.time_minus(M.instant(samples(spark, sf_dir, "metric_gauge"), grid(spark, sf_dir))))
 
 
 @query("metric_retention", """
@@ -327,6 +338,6 @@ def chain_lag(spark, sf_dir):
     head = t.select(F.col("block_timestamp").alias("ts"),
                     F.timestamp_diff("SECOND", epoch, F.col("block_timestamp")).cast("double").alias("v"))
     m = metrics_frame(head, "chain_head_timestamp", [], "ts", "v")
-    mx = M.max_over_time(m, "1h", G)
+    mx = M.max_over_time(m, "1h", grid(spark, sf_dir))
     now = F.timestamp_diff("SECOND", epoch, F.col("eval_ts")).cast("double")
     return mx.select("eval_ts", F.round(now - F.col("value"), 6).alias("value"))
