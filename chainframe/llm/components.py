@@ -35,3 +35,14 @@ def components(edges: DataFrame) -> DataFrame:
                  .union(lower.select("u", F.col("m").alias("v"))))
         e = written(small.distinct(), "edges")
     return e.select(F.col("u").alias("id"), F.col("v").alias("root"))
+
+
+def joined(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """``roots`` after more links (a, b) between its ids or others: only the links between
+    different components count, one a pair of components, so a family's links collapse first."""
+    of = lambda side: roots.select(F.col("id").alias(side), F.col("root").alias(f"root_{side}"))
+    ends = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(
+        F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b"))
+    tops = components(ends)
+    above = tops.select(F.col("id").alias("root"), F.col("root").alias("top"))
+    return written(roots.join(above, "root", "left").select("id", F.coalesce("top", "root").alias("root")).unionByName(tops), "roots")

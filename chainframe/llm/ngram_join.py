@@ -8,17 +8,21 @@ first, so that linked sets must share a token among their first
 1. ``sketch``: shingles are counted into 2^20 slots; a token's class, the logarithm of its
    slot's count, leads its 64-bit id. Any such order is right; this one keeps common passages
    out of prefixes. The broadcast class table has a fixed size of 1 MB.
-2. ``described``: one row per document with size, prefix, the set's digest, and a 128-bit
+2. ``described``: one row per document with size, prefix, the set's digest, and a 512-bit
    parity sketch of the set. Equal sets, and then equal (size, prefix), collapse into groups.
 3. Group filter: prefix tokens of groups are joined with themselves; a semi join by size and
    position keeps the live ones, one row each, never the pairs.
-4. Live groups expand to their distinct sets. First every set is verified against its
-   neighbour at each token (a linear number of pairs), and components are formed. Then all
-   remaining pairs *between* components are taken, by size, position and parity sketch (the
-   Hamming distance of the sketches never exceeds the sets' symmetric difference, so no link is
-   lost), and verified on the full sets. A family of near copies thus costs about its size, not
-   its square.
-5. Components of all verified links, mapped back to every copy.
+4. Live groups expand to their distinct sets, of which another semi join keeps those that could
+   link by their sketches: the Hamming distance of two parity sketches never exceeds the sets'
+   symmetric difference, so no link is lost.
+5. For these a longer sketch, of at least four bits a shingle (of small sets: the set), is made
+   in the tasks that read the texts. ``judged`` takes pairs by it: too far apart for a link; or so near that more
+   colliding bits than a chance of 1e-18 allows would be needed for there to be none; or unsure.
+   First every set is judged against its neighbour at each token (a linear number of pairs) and
+   components are formed; then all remaining pairs *between* components are judged; unsure pairs
+   that still join different components are verified on the full sets. A family of near copies
+   thus costs about its size, not its square, and few full sets travel.
+6. Components of all links, mapped back to every copy.
 
 The result is exact up to 58-bit shingle and 64-bit set hashes; there is no cap on candidates.
 
@@ -29,6 +33,7 @@ without doc_id share one id, ordered before all others; an empty table gives no
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,14 +42,17 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from chainframe.llm.chunks import slices
-from chainframe.llm.components import components
+from chainframe.llm.chunks import release_encoder, slices
+from chainframe.llm.components import components, joined
 from chainframe.llm.ppm import words_of
-from chainframe.llm.text import written
+from chainframe.llm.text import IdFilter, written
 
 SLOTS = 1 << 20
 _PART = 1 << 14
 _NO_ID = -(1 << 63)
+LANES = tuple(f"s{k}" for k in range(1, 9))  # a 512-bit sketch
+NEVER = 1e-18
+EXACT = 512  # sets of at most so many shingles travel whole instead of a longer sketch
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -88,6 +96,7 @@ def sketch(docs: DataFrame, width: int) -> np.ndarray:
     """The class (0 to 63) of each slot."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_encoder()
         count = np.zeros(SLOTS, np.int64)
         for batch in batches:
             for part in slices(batch, most_bytes=2 << 20):
@@ -122,66 +131,131 @@ def _digest(ids: np.ndarray) -> int:
     return xxhash.xxh64_intdigest(ids.tobytes(), seed=len(ids)) - (1 << 63)
 
 
+def _parity(ids: np.ndarray, bits: int) -> np.ndarray:
+    """For each class of ids modulo ``bits``, whether it has an odd number; packed."""
+    return np.packbits((np.bincount(ids & (bits - 1), minlength=bits) & 1).astype(np.uint8), bitorder="little")
+
+
+def _long_bits(n: int) -> int:
+    """Bits of a set's longer sketch: at least four a shingle."""
+    return 4 << max(6, (n - 1).bit_length())
+
+
+def compact(ids: np.ndarray) -> bytes:
+    """What pairs are judged by: a small set's ids, a large one's longer sketch."""
+    return (ids if len(ids) <= EXACT else _parity(ids, _long_bits(len(ids)))).tobytes()
+
+
 def described(docs: DataFrame, width: int, classes, num: int, den: int) -> DataFrame:
-    """doc_id, n, sid (digest of the set), gid (of size and prefix), s1, s2 (parity), prefix."""
+    """doc_id, n, sid (digest of the set), gid (of size and prefix), s1 to s8 (parity), prefix."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_encoder()
         table = classes.value
         for batch in batches:
             for part in slices(batch, most_bytes=2 << 20):
-                n, sid, gid, s1, s2, prefix = [], [], [], [], [], []
+                n, sid, gid, lanes, prefix = [], [], [], [], []
                 for ids in _sets(part, width, table):
                     size = len(ids)
                     first = ids[: size - _ceil(num * size, den) + 1]
                     n.append(size)
                     sid.append(_digest(ids))
                     gid.append(xxhash.xxh64_intdigest(first.tobytes(), seed=size) - (1 << 63))
-                    bits = np.bincount(ids & 127, minlength=128) & 1
-                    lanes = np.packbits(bits.astype(np.uint8)).view(np.int64)
-                    s1.append(int(lanes[0]))
-                    s2.append(int(lanes[1]))
+                    lanes.append(_parity(ids, 512).view(np.int64))
                     prefix.append(first)
                 ends = np.append(0, np.cumsum([len(p) for p in prefix])).astype(np.int32)
                 flat = np.concatenate(prefix) if prefix else np.zeros(0, np.int64)
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id"), pa.array(n, pa.int32()), pa.array(sid, pa.int64()), pa.array(gid, pa.int64()),
-                     pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))],
-                    names=["doc_id", "n", "sid", "gid", "s1", "s2", "prefix"])
+                     *[pa.array(x) for x in np.array(lanes).T.copy()], pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))],
+                    names=["doc_id", "n", "sid", "gid", *LANES, "prefix"])
 
-    return docs.mapInArrow(run, "doc_id long, n int, sid long, gid long, s1 long, s2 long, prefix array<long>")
+    lane_types = ", ".join(f"{c} long" for c in LANES)
+    return docs.mapInArrow(run, f"doc_id long, n int, sid long, gid long, {lane_types}, prefix array<long>")
 
 
-def _full_sets(docs: DataFrame, width: int, classes) -> DataFrame:
+def _sets_of(docs: DataFrame, wanted: IdFilter, width: int, classes, as_compact: bool) -> DataFrame:
+    """(sid, n, compact) or (sid, ids) of the documents that ``wanted`` keeps, made where they
+    are read."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_encoder()
         table = classes.value
         for batch in batches:
+            batch = batch.filter(pa.array(wanted.test(batch.column("slot").to_numpy())))
             for part in slices(batch, most_bytes=2 << 20):
                 own = list(_sets(part, width, table))
-                ends = np.append(0, np.cumsum([len(s) for s in own])).astype(np.int32)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([_digest(s) for s in own], pa.int64()),
-                     pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(own)))], names=["sid", "ids"])
+                sid = pa.array([_digest(s) for s in own], pa.int64())
+                if as_compact:
+                    yield pa.RecordBatch.from_arrays(
+                        [sid, pa.array([len(s) for s in own], pa.int32()),
+                         pa.array([compact(s) for s in own], pa.binary())], names=["sid", "n", "compact"])
+                else:
+                    ends = np.append(0, np.cumsum([len(s) for s in own])).astype(np.int32)
+                    yield pa.RecordBatch.from_arrays(
+                        [sid, pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(own)))], names=["sid", "ids"])
+
+    return docs.select(IdFilter.slot(F.col("doc_id")).alias("slot"), "text").mapInArrow(
+        run, "sid long, n int, compact binary" if as_compact else "sid long, ids array<long>")
+
+
+def verdict(n: int, m: int, x: bytes, y: bytes, num: int, den: int) -> int:
+    """Of two sets by size and compact form: 0 not linked, 1 linked, 2 unsure. With k more
+    elements apart than odd bits, k / 2 pairs of them share a bit; how many do is Poisson with
+    mean apart^2 / (2 * bits), of which the upper tail is bounded (Chernoff)."""
+    if n <= EXACT and m <= EXACT:
+        common = len(np.intersect1d(np.frombuffer(x, np.int64), np.frombuffer(y, np.int64), assume_unique=True))
+        return int(common * (den + num) >= (n + m) * num)
+    a, b = (_parity(np.frombuffer(z, np.int64), _long_bits(k)) if k <= EXACT else np.frombuffer(z, np.uint8) for k, z in ((n, x), (m, y)))
+    while len(a) > len(b):
+        a = a[: len(a) // 2] ^ a[len(a) // 2 :]
+    while len(b) > len(a):
+        b = b[: len(b) // 2] ^ b[len(b) // 2 :]
+    odd = int(np.bitwise_count(a ^ b).sum())
+    most = (n + m) * (den - num) // (den + num)  # elements that linked sets may differ in
+    if odd > most:
+        return 0
+    pairs, mean = (most + 1 - odd) / 2, (most + 1) ** 2 / (16 * len(a))
+    if pairs > mean and pairs - mean + pairs * math.log(mean / pairs) < math.log(NEVER):
+        return 1
+    return 2
+
+
+def judged(pairs: DataFrame, sketches: DataFrame, num: int, den: int) -> DataFrame:
+    """(a, b, sure) of the pairs (a, b) that are or may be links."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            v = np.array([verdict(*(c.as_py() for c in row), num, den) for row in zip(*(batch.column(c) for c in ("n", "m", "x", "y")))], int)
+            out = pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(v == 1)], names=["a", "b", "sure"])
+            yield out.filter(pa.array(v > 0))
 
-    return docs.select("doc_id", "text").mapInArrow(run, "sid long, ids array<long>")
+    # neither side has a bounded size: no broadcast
+    both = (pairs.hint("merge").join(sketches.select(F.col("sid").alias("a"), "n", F.col("compact").alias("x")), "a").hint("merge")
+            .join(sketches.select(F.col("sid").alias("b"), F.col("n").alias("m"), F.col("compact").alias("y")), "b"))
+    return both.select("a", "b", "n", "m", "x", "y").mapInArrow(run, "a long, b long, sure boolean")
 
 
 def _could_link(a: str, b: str, num: int, den: int, sketches: bool) -> Column:
-    """Lossless filters on two rows that share a token: size, position and, optionally, parity."""
+    """Lossless filters on two rows that share a token: size, position and, optionally, parity;
+    and that the tokens before it differ, for else the pair shares an earlier token, where it is
+    found already (of a run of common tokens only the first gives the pair)."""
     n1, n2 = F.col(f"{a}.n"), F.col(f"{b}.n")
     both = n1 + n2
     # den * I >= num * U  <=>  (den + num) * I >= num * (n1 + n2)
     most = F.least(n1 - F.col(f"{a}.pos"), n2 - F.col(f"{b}.pos"))
     ok = (n1 * den >= n2 * num) & (n2 * den >= n1 * num) & (most * (den + num) >= both * num)
+    ok = ok & F.coalesce(F.col(f"{a}.prev") != F.col(f"{b}.prev"), F.lit(True))
     if sketches:
-        apart = sum(F.bit_count(F.col(f"{a}.{s}").bitwiseXOR(F.col(f"{b}.{s}"))) for s in ("s1", "s2"))
+        apart = sum(F.bit_count(F.col(f"{a}.{s}").bitwiseXOR(F.col(f"{b}.{s}"))) for s in LANES)
         ok = ok & (((both - apart) * (den + num)) >= both * (2 * num))
     return ok
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) whose full sets link."""
+    """The pairs (a, b) whose full sets link. Neither side has a bounded size: no broadcast."""
     common = F.size(F.array_intersect("x", "y"))
-    return (pairs.join(sets.select(F.col("sid").alias("a"), F.col("ids").alias("x")), "a")
+    return (pairs.hint("merge").join(sets.select(F.col("sid").alias("a"), F.col("ids").alias("x")), "a").hint("merge")
             .join(sets.select(F.col("sid").alias("b"), F.col("ids").alias("y")), "b")
             .filter(common * (den + num) >= (F.size("x") + F.size("y")) * num).select("a", "b"))
 
@@ -193,40 +267,52 @@ def linked_components(docs: DataFrame, width: int = 3, num: int = 90, den: int =
     classes = spark.sparkContext.broadcast(sketch(texts, width))
     d = written(described(texts, width, classes, num, den), "ngram-sets")
     sets_of = written(d.filter("n > 0").groupBy("gid", "sid")
-                      .agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"), F.min("s1").alias("s1"), F.min("s2").alias("s2")),
+                      .agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"), *[F.min(c).alias(c) for c in LANES]),
                       "ngram-distinct")
     groups = sets_of.groupBy("gid").agg(F.min("rep").alias("rep"), F.count(F.lit(1)).alias("members"))
 
     # group filter
     tokens = (d.join(groups.select(F.col("rep").alias("doc_id"), "gid"), ["doc_id", "gid"], "left_semi")
-              .select("gid", "n", F.posexplode("prefix").alias("pos", "token")).select("token", "gid", "n", "pos"))
+              .select("gid", "n", "prefix", F.posexplode("prefix").alias("pos", "token"))
+              .select("token", "gid", "n", "pos", F.get("prefix", F.col("pos") - 1).alias("prev")))
     live = written(tokens.alias("a").join(
         tokens.alias("b"), (F.col("a.token") == F.col("b.token")) & (F.col("a.gid") != F.col("b.gid"))
         & _could_link("a", "b", num, den, sketches=False), "left_semi").distinct(), "ngram-live")
 
     # expansion to distinct sets; a group of several is a token of its own
-    several = groups.filter("members > 1").select(F.xxhash64("gid").alias("token"), "gid", F.lit(0).alias("pos"))
-    rows = written(live.select("token", "gid", "pos").unionByName(several).join(sets_of, "gid")
-                   .select("token", "sid", "n", "pos", "s1", "s2"), "ngram-rows")
-    reps = sets_of.join(rows.select("sid").distinct(), "sid", "left_semi").select(F.col("rep").alias("doc_id"))
-    sets = written(_full_sets(texts.join(reps.distinct(), "doc_id", "left_semi"), width, classes), "ngram-full")
+    several = groups.filter("members > 1").select(F.xxhash64("gid").alias("token"), "gid", F.lit(0).alias("pos"), F.lit(None).cast("long").alias("prev"))
+    rows = written(live.select("token", "gid", "pos", "prev").unionByName(several).join(sets_of, "gid")
+                   .select("token", "sid", "n", "pos", "prev", *LANES), "ngram-rows")
+    linkable = (F.col("a.token") == F.col("b.token")) & (F.col("a.sid") != F.col("b.sid")) & _could_link("a", "b", num, den, sketches=True)
+    rows = written(rows.alias("a").join(rows.alias("b"), linkable, "left_semi"), "ngram-near")
+    reps = sets_of.join(rows.select("sid").distinct(), "sid", "left_semi")
+    sketches = written(_sets_of(texts, IdFilter(reps.select(F.col("rep").alias("id"))), width, classes, True), "ngram-sketches")
 
     near = Window.partitionBy("token").orderBy("n", F.xxhash64("token", "sid"))
-    chained = rows.select("token", "sid", "n", "pos", "s1", "s2",
-                          F.lag(F.struct("sid", "n", "pos", "s1", "s2")).over(near).alias("p")).filter("p is not null")
-    chained = chained.select(F.struct("sid", "n", "pos", "s1", "s2").alias("q"), "p")
-    first = (chained.filter(F.col("q.sid") != F.col("p.sid")).filter(_could_link("p", "q", num, den, sketches=True))
+    me = F.struct("sid", "n", "pos", "prev", *LANES)
+    chained = rows.select(me.alias("q"), F.lag(me).over(near).alias("p")).filter("p is not null and p.sid <> q.sid")
+    first = (chained.filter(_could_link("p", "q", num, den, sketches=True))
              .select(F.least("q.sid", "p.sid").alias("a"), F.greatest("q.sid", "p.sid").alias("b")).distinct())
-    first = written(_verified(first, sets, num, den), "ngram-links")
-    roots = components(first)
+    roots = components(judged(first, sketches, num, den).filter("sure"))
     tagged = (rows.join(roots.withColumnRenamed("id", "sid"), "sid", "left")
               .withColumn("root", F.coalesce("root", "sid")))
     rest = (tagged.alias("p").join(
         tagged.alias("q"), (F.col("p.token") == F.col("q.token")) & (F.col("p.sid") < F.col("q.sid"))
         & (F.col("p.root") != F.col("q.root")) & _could_link("p", "q", num, den, sketches=True))
         .select(F.col("p.sid").alias("a"), F.col("q.sid").alias("b")).distinct())
-    more = written(_verified(rest, sets, num, den), "ngram-links")
-    roots = components(roots.select(F.col("id").alias("a"), F.col("root").alias("b")).unionByName(more))
+    found = written(judged(rest, sketches, num, den), "ngram-judged")
+    roots = joined(roots, found.filter("sure").select("a", "b"))
+
+    # what is unsure and still between components: full sets
+    root_of = lambda side: roots.select(F.col("id").alias(side), F.col("root").alias(f"root_{side}"))
+    unsure = (found.filter("not sure").select("a", "b").join(root_of("a"), "a", "left").join(root_of("b"), "b", "left")
+              .filter(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b"))
+    unsure = written(unsure, "ngram-unsure")
+    ends = unsure.select(F.col("a").alias("sid")).union(unsure.select("b")).distinct()
+    reps = sets_of.join(ends, "sid", "left_semi")
+    sets = _sets_of(texts, IdFilter(reps.select(F.col("rep").alias("id"))), width, classes, False).join(ends, "sid", "left_semi")
+    more = _verified(unsure, written(sets, "ngram-full"), num, den)
+    roots = joined(roots, more)
 
     placed = (d.select("doc_id", "n", "sid").join(roots.withColumnRenamed("id", "sid"), "sid", "left")
               .withColumn("root", F.coalesce("root", "sid")))

@@ -119,16 +119,15 @@ def test_verdicts_are_never_wrong():
     rng = np.random.default_rng(0)
     seen = set()
     for _ in range(400):
-        n = int(rng.integers(1, 900))
-        apart = int(rng.integers(0, max(2, n // 5)))
+        n = int(rng.integers(1, 1500))
+        apart = int(rng.integers(0, max(2, n // 5)) * rng.integers(0, 2))
         base = rng.integers(0, 2 ** 62, n)
         x, y = base, np.concatenate([base[apart // 2 :], rng.integers(0, 2 ** 62, apart - apart // 2)])
         if not len(y):
             continue
         common = len(np.intersect1d(x, y))
         linked = 100 * common >= 90 * (len(x) + len(y) - common)
-        v = ngram_join.verdict(len(x), len(y), ngram_join._parity(x, ngram_join._long_bits(len(x))).tobytes(),
-                               ngram_join._parity(y, ngram_join._long_bits(len(y))).tobytes(), 90, 100)
+        v = ngram_join.verdict(len(x), len(y), ngram_join.compact(x), ngram_join.compact(y), 90, 100)
         seen.add(v)
         assert v == 2 or v == linked
     assert seen == {0, 1, 2}
