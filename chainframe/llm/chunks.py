@@ -195,3 +195,8 @@ def worker_encoder(key: tuple, make: Callable[[], ChunkEncoder]) -> ChunkEncoder
         _ENCODERS.clear()
         _ENCODERS[key] = make()
     return _ENCODERS[key]
+
+
+def release_encoder() -> None:
+    """Gives up the worker's encoder; called by tasks of operators that need the memory."""
+    _ENCODERS.clear()

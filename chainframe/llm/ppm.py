@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chainframe.llm.chunks import slices
+from chainframe.llm.chunks import release_encoder, slices
 from chainframe.llm.text import written
 
 ORDER = 4
@@ -227,6 +227,7 @@ class _Sums:
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    release_encoder()
     sums = {WORD: _Sums(), GRAM: _Sums()}
 
     def rows(kind: int) -> Iterator[pa.RecordBatch]:
@@ -323,6 +324,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     ends, n_train, least = model.documents, model.tokens, model.least
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_encoder()
         (keys, counts), trie = bound.value
         for batch in batches:
             for part in slices(batch, most_bytes=_RUN):

@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from chainframe.llm.chunks import slices
+from chainframe.llm.chunks import release_encoder, slices
 
 #: Byte classes, each the bytes of a string, then ranges.
 _MARKS = ("abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", " ", "\n", "\t\r\x0b\x0c",
@@ -161,6 +161,7 @@ def _features_of(rows: DataFrame) -> np.ndarray:
     """Features of a bounded set of texts, as a matrix on the driver."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_encoder()
         for batch in batches:
             for part in slices(batch, most_bytes=2 << 20):
                 x = features(part.column("text"))
@@ -210,6 +211,7 @@ def scored(docs: DataFrame, model: Network | float, name: str = "quality_score")
     schema = T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_encoder()
         net = bound.value
         for batch in batches:
             for part in slices(batch, most_bytes=2 << 20):
