@@ -1,7 +1,7 @@
 """Connected components of an undirected graph, by alternating large and small stars.
 
-Edges stay a Spark table; each round is a few joins and groupings over it and is written to the
-shared folder, so a lost executor costs one round at most. Rounds grow with the logarithm of the
+Edges stay a Spark table; a round is a few joins and groupings over it, and every other round is
+written to the shared folder, so a lost executor costs two rounds at most. Rounds grow with the logarithm of the
 longest path.
 """
 
@@ -19,6 +19,16 @@ def _state(edges: DataFrame) -> tuple:
     return r["n"], r["h"], r["x"]
 
 
+def _round(e: DataFrame) -> DataFrame:
+    """A large star, then a small star."""
+    both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    lower = large.groupBy("u").agg(F.min("v").alias("m"))
+    return (large.join(lower, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+            .union(lower.select("u", F.col("m").alias("v"))))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(id, root) of every id in ``edges`` (columns a, b) but the roots themselves; the root of a
     component is its smallest id."""
@@ -27,13 +37,7 @@ def components(edges: DataFrame) -> DataFrame:
     before = None
     while (now := _state(e)) != before:
         before = now
-        both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        lower = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = (large.join(lower, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-                 .union(lower.select("u", F.col("m").alias("v"))))
-        e = written(small.distinct(), "edges")
+        e = written(_round(_round(e)).distinct(), "edges")
     return e.select(F.col("u").alias("id"), F.col("v").alias("root"))
 
 

@@ -34,8 +34,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from chainframe.llm.chunks import slices
-from chainframe.llm.components import components
+from chainframe.llm.chunks import release_encoder, slices
+from chainframe.llm.components import components, joined
 from chainframe.llm.text import IdFilter, written
 
 _RUN = 2 << 20
@@ -172,6 +172,7 @@ def line_table(docs: DataFrame) -> DataFrame:
     """doc_id, lines: array<struct<number, id>> of each text's lines."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_encoder()
         for batch in batches:
             for part in slices(batch, most_bytes=_RUN):
                 own = Lines(part.column("text"))
@@ -188,6 +189,7 @@ def keyed_lines(docs: DataFrame, tau: int, min_bytes: int) -> DataFrame:
     two low bits of ``line`` hold the role."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_encoder()
         for batch in batches:
             for part in slices(batch, most_bytes=_RUN):
                 own = Lines(part.column("text"))
@@ -277,8 +279,7 @@ def line_classes(docs: DataFrame, lines: DataFrame, tau: int, min_bytes: int) ->
     rest = (index.alias("p").join(probe.alias("q"), (F.col("p.key") == F.col("q.key")) & (F.col("p.line") != F.col("q.line"))
                                   & (F.col("p.root") != F.col("q.root")) & (F.col("p.size") <= F.col("q.size")) & _near("p", "q", tau))
             .select(F.least("p.line", "q.line").alias("a"), F.greatest("p.line", "q.line").alias("b")).distinct())
-    return components(roots.select(F.col("id").alias("a"), F.col("root").alias("b")).unionByName(_verified(rest, spelled, tau))) \
-        .select(F.col("id").alias("line"), "root")
+    return joined(roots, _verified(rest, spelled, tau)).select(F.col("id").alias("line"), "root")
 
 
 def line_decisions(docs: DataFrame, tau: int = 2, min_bytes: int = 16) -> DataFrame:
