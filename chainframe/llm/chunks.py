@@ -10,6 +10,7 @@ batch's ids with numpy.
 
 from __future__ import annotations
 
+import gc
 import re
 from collections.abc import Callable, Iterator
 
@@ -140,7 +141,7 @@ class ChunkEncoder:
         return ids, np.diff(upto)
 
 
-def slices(batch: pa.RecordBatch, column: str = "text", most_bytes: int = 16 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: str = "text", most_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """A batch in runs of rows of at most ``most_bytes`` of text (a longer text alone). Runs are
     copies: some string kernels misread arrays whose first offset is not 0."""
     if not batch.num_rows:
@@ -199,4 +200,7 @@ def worker_encoder(key: tuple, make: Callable[[], ChunkEncoder]) -> ChunkEncoder
 
 def release_encoder() -> None:
     """Gives up the worker's encoder; called by tasks of operators that need the memory."""
-    _ENCODERS.clear()
+    if _ENCODERS:
+        _ENCODERS.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()

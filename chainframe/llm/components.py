@@ -1,7 +1,7 @@
 """Connected components of an undirected graph, by alternating large and small stars.
 
-Edges stay a Spark table; a round is a few joins and groupings over it, and every other round is
-written to the shared folder, so a lost executor costs two rounds at most. Rounds grow with the logarithm of the
+Edges stay a Spark table; each round is a few joins and groupings over it and is written to the
+shared folder, so a lost executor costs one round at most. Rounds grow with the logarithm of the
 longest path.
 """
 
@@ -37,7 +37,7 @@ def components(edges: DataFrame) -> DataFrame:
     before = None
     while (now := _state(e)) != before:
         before = now
-        e = written(_round(_round(e)).distinct(), "edges")
+        e = written(_round(e).distinct(), "edges")
     return e.select(F.col("u").alias("id"), F.col("v").alias("root"))
 
 

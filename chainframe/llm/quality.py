@@ -122,17 +122,16 @@ def fit_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, hidden:
              batch: int = 512, rate: float = 3e-3, decay: float = 1e-3, seed: int = 7) -> Network:
     """Minimises the non-negative unbiased risk with Adam over paired batches."""
     rng = np.random.default_rng(seed)
-    mean, scale = unlabelled.mean(axis=0), unlabelled.std(axis=0) + 1e-3
+    mean, scale = unlabelled.mean(axis=0, dtype=np.float64), unlabelled.std(axis=0, dtype=np.float64) + 1e-3
     net = Network(mean, scale, rng.normal(0, mean.size**-0.5, (mean.size, hidden)), np.zeros(hidden), np.zeros(hidden),
                   float(np.log(prior / (1 - prior))))
-    squash = lambda a: np.clip((a - mean) / scale, -6, 6)
-    xp, xu = squash(positive), squash(unlabelled)
+    squash = lambda a: np.clip((a - mean) / scale, -6, 6)  # noqa: E731  a batch at a time: the sample stays as it is
+    xp, xu = positive, unlabelled
     params = [net.w1, net.b1, net.w2, np.array([net.b2])]
     m, v = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
     steps = max(1, max(len(xp), len(xu)) // batch)
     for step in range(1, epochs * steps + 1):
-        a, b = xp[rng.integers(0, len(xp), batch)], xu[rng.integers(0, len(xu), batch)]
-        x = np.concatenate([a, b])
+        x = squash(np.concatenate([xp[rng.integers(0, len(xp), batch)], xu[rng.integers(0, len(xu), batch)]]))
         h = np.tanh(x @ params[0] + params[1])
         z = h @ params[2] + params[3][0]
         p = 1 / (1 + np.exp(-z))
@@ -171,7 +170,7 @@ def _features_of(rows: DataFrame) -> np.ndarray:
 
     t = rows.select("text").mapInArrow(run, "x array<float>").toArrow()
     x = t.column("x").combine_chunks()
-    return x.flatten().to_numpy(zero_copy_only=False).reshape(-1, N_FEATURES).astype(np.float64)
+    return x.flatten().to_numpy(zero_copy_only=False).reshape(-1, N_FEATURES)
 
 
 def fold_of(doc_id: Column, folds: int) -> Column:
@@ -179,7 +178,7 @@ def fold_of(doc_id: Column, folds: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % folds
 
 
-def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, max_fit_rows: int = 30_000) -> Network | float:
+def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, max_fit_rows: int = 20_000) -> Network | float:
     """The network, or the prior alone where there is no positive. Rows of fold 0 are not used."""
     train = F.coalesce(fold_of(F.col("doc_id"), folds) != 0, F.lit(False))
     known = (labels.filter(train & F.col("quality").isNotNull()).groupBy("doc_id")
@@ -223,7 +222,7 @@ def scored(docs: DataFrame, model: Network | float, name: str = "quality_score")
     return docs.mapInArrow(run, schema)
 
 
-def classify(docs: DataFrame, labels: DataFrame, folds: int = 5, threshold: float = 0.3, max_fit_rows: int = 30_000) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, folds: int = 5, threshold: float = 0.3, max_fit_rows: int = 20_000) -> DataFrame:
     """Per row: doc_id, held_out, score, predicted."""
     model = fit(docs, labels, folds, max_fit_rows)
     out = scored(docs.select("doc_id", "text"), model)
@@ -231,7 +230,7 @@ def classify(docs: DataFrame, labels: DataFrame, folds: int = 5, threshold: floa
                       F.col("quality_score").alias("score"), (F.col("quality_score") >= threshold).cast("int").alias("predicted"))
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, folds: int = 5, threshold: float = 0.3, max_fit_rows: int = 30_000) -> DataFrame:
+def keep_good(docs: DataFrame, labels: DataFrame, folds: int = 5, threshold: float = 0.3, max_fit_rows: int = 20_000) -> DataFrame:
     """The documents scored at least ``threshold``, with all their columns."""
     name = "quality_score"
     while name in docs.columns:
