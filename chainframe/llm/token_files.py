@@ -181,7 +181,7 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, pattern: str, end_
                 names=["part", "seq", "n_docs", "n_ids", "payload"])
 
         for batch in batches:
-            for rows in slices(batch):
+            for rows in slices(batch, most_bytes=16 << 20):
                 ids, counts = with_end(*encoder.ids(rows.column("text")), end_id)
                 names, ends = rows.column("doc_id").to_pylist(), np.append(0, np.cumsum(counts))
                 at = 0
