@@ -9,10 +9,11 @@ excluded. Text begins and ends with byte FF, which UTF-8 never holds.
 
 ``fit`` counts, over all training documents, every word and every (ORDER+1)-gram, combining per
 task before the shuffle; both tables grow with the corpus and stay in Spark. Shorter contexts'
-counts are sums of longer ones'. The trie given to the tasks is pruned by count to
-``max_contexts`` per order (shorter contexts answer for the others), which bounds the broadcast;
-likewise the ``max_words`` most frequent words are broadcast, and all others are looked up by a
-join, so every word's count is exact.
+counts are sums of longer ones'. The trie given to the tasks is a cache of bounded size: the
+``max_contexts`` most frequent contexts of each order, with their exact probabilities; likewise
+the ``max_words`` most frequent words. What a document has besides (words, and symbols after
+contexts of ``ORDER`` bytes that the cache lacks) is looked up by joins to the stored counts, so
+every score is that of the whole model, whatever the bounds.
 
 ``score`` adds log10 probabilities per document; ``adaptive_scores`` gives the code length of a
 trie that starts empty and learns as it reads (one document at a time, plain Python).
@@ -31,7 +32,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chainframe.llm.chunks import release_encoder, slices
@@ -97,6 +98,7 @@ class Trie:
     short: np.ndarray  # two-byte context to row (that of its longest known suffix)
     keys: list[np.ndarray]  # for 3 to ORDER bytes: open-addressing table of contexts,
     rows: list[np.ndarray]  # and of their rows (-1: free)
+    longest: int  # rows from here on are of contexts of ORDER bytes
 
     def row_of(self, ctx: np.ndarray) -> np.ndarray:
         row = np.full(len(ctx), -1, np.int32)
@@ -193,7 +195,7 @@ def build_trie(by_order: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> Tri
         hit = (at < len(known[order])) & (np.take(known[order], at, mode="clip") == want if len(known[order]) else False)
         short[hit] = bases[order] + at[hit]
     tables = [_probing_table(known[o].astype(np.uint32), bases[o]) for o in range(3, ORDER + 1)]
-    return Trie(np.concatenate(blocks), symbol, short, [t[0] for t in tables], [t[1] for t in tables])
+    return Trie(np.concatenate(blocks), symbol, short, [t[0] for t in tables], [t[1] for t in tables], bases[ORDER])
 
 
 # --- counting --------------------------------------------------------------------------------
@@ -281,11 +283,68 @@ class Model:
     frequent: tuple[np.ndarray, np.ndarray]  # sorted hashes and counts of the most frequent words
     least: int  # words counted at least so often are in ``frequent``
     trie: Trie
+    orders: list[DataFrame]  # ctx, sym, c of each order
+    chains: list[DataFrame] | None  # see ``_chains``; None where the trie has every context
+
+
+def _suffix(ctx: str, order: int) -> Column:
+    return F.expr(f"{ctx} & {(1 << (8 * order)) - 1}L")
+
+
+def _chains(orders: list[DataFrame]) -> list[DataFrame]:
+    """Of each order 0 to ORDER, per context: ctx, total, distinct and what follows its escape.
+
+    ``tail[j + 1]`` is log10 of the escapes from the suffixes longer than j over the whole of
+    suffix j, each less the symbols of the next longer one, so that a symbol first seen in suffix
+    j has ``tail[j + 1] + log10(count there)``; ``tail[0]`` is for a symbol seen in none. All
+    suffixes of a context seen in training were seen, so its tail extends its suffix's. A join
+    here has at most 256 rows of a key: the bytes before a suffix."""
+    spark = orders[0].sparkSession
+    none = orders[0].agg(F.sum("c").alias("total"), F.count(F.lit(1)).alias("distinct")).first()
+    chains = [spark.range(1).select(
+        F.col("id").alias("ctx"), F.lit(none["total"] or 0).cast("long").alias("total"),
+        F.lit(none["distinct"]).cast("long").alias("distinct"),
+        F.array(F.lit(-math.log10(max(1, 256 - none["distinct"])))).alias("tail"))]
+    for k in range(1, ORDER + 1):
+        own = orders[k].withColumn("parent", _suffix("ctx", k - 1))
+        above = orders[k - 1].select(F.col("ctx").alias("parent"), "sym", F.col("c").alias("above"))
+        stats = (own.join(above, ["parent", "sym"]).groupBy("ctx", "parent")
+                 .agg(F.sum("c").alias("total"), F.count(F.lit(1)).alias("distinct"), F.sum("above").alias("covered")))
+        parents = chains[-1].select(F.col("ctx").alias("parent"), F.col("total").alias("all_total"),
+                                    F.col("distinct").alias("all_distinct"), "tail")
+        left = F.col("all_distinct") - F.col("distinct")
+        whole = F.greatest(F.col("all_total") - F.col("covered") + left, F.lit(1))
+        escape = F.when(left > 0, F.log10(left / whole)).otherwise(F.lit(0.0))
+        chains.append(written(
+            stats.join(parents, "parent").withColumn("escape", escape).withColumn("whole", whole).select(
+                "ctx", "total", "distinct",
+                F.concat(F.transform("tail", lambda x: x + F.col("escape")), F.array(-F.log10("whole"))).alias("tail")),
+            f"ppm-chain{k}"))
+    return chains
+
+
+def _looked_up(wanted: DataFrame, model: Model) -> DataFrame:
+    """key, log_p of distinct keys (context of ORDER bytes << 8 | symbol) by the whole model."""
+    w = wanted.select("key", F.expr("key & 255L").alias("sym"),
+                      *[F.expr(f"shiftright(key, 8) & {(1 << (8 * k)) - 1}L").alias(f"x{k}") for k in range(ORDER + 1)])
+    for k in range(ORDER, -1, -1):
+        counts = model.orders[k].select(F.col("ctx").alias(f"x{k}"), "sym", F.col("c").alias(f"c{k}"))
+        w = w.join(F.broadcast(counts) if k < 2 else counts, [f"x{k}", "sym"], "left")  # under 65,536 rows of order 1
+        chain = model.chains[k].select(F.col("ctx").alias(f"x{k}"), F.struct(F.lit(k).alias("top"), "total", "distinct", "tail").alias(f"m{k}"))
+        w = w.join(F.broadcast(chain) if k < 3 else chain, f"x{k}", "left")  # at most 65,536 contexts of order 2
+    down = range(ORDER, -1, -1)
+    w = w.select("key", F.coalesce(*[f"m{k}" for k in down]).alias("m"), F.coalesce(*[f"c{k}" for k in down]).alias("c"),
+                 F.coalesce(*[F.when(F.col(f"c{k}").isNotNull(), k) for k in down], F.lit(-1)).alias("at"))
+    whole = F.col("m.total") + F.col("m.distinct")
+    after = F.log10(F.col("m.distinct") / whole) + F.get("m.tail", F.col("at") + 1)
+    return w.select("key", F.when(F.col("at") == F.col("m.top"), F.log10(F.col("c") / whole))
+                    .otherwise(after + F.coalesce(F.log10("c"), F.lit(0.0))).alias("log_p"))
 
 
 def fit(training: DataFrame, max_contexts: int = 60_000, max_words: int = 1_000_000) -> Model:
     """``training`` has a text column without nulls. At most ``max_contexts`` contexts of each
-    order go into the trie, the most frequent ones, and at most ``max_words`` words to tasks."""
+    order go into the trie, the most frequent ones, and at most ``max_words`` words to tasks; the
+    others stay in stored tables, where ``score`` looks them up."""
     n_docs = training.count()
     raw = training.select("text").mapInArrow(_count, "kind byte, key long, n long")
     table = written(raw.groupBy("kind", "key").agg(F.sum("n").alias("n")), "ppm-counts")
@@ -296,12 +355,14 @@ def fit(training: DataFrame, max_contexts: int = 60_000, max_words: int = 1_000_
     order = np.argsort(top.column("key").to_numpy())
     frequent = top.column("key").to_numpy()[order], top.column("n").to_numpy()[order]
 
-    grams = table.filter(F.col("kind") == GRAM)
+    own = table.filter(F.col("kind") == GRAM).select(
+        F.shiftright("key", 8).alias("ctx"), F.expr("key & 255L").alias("sym"), F.col("n").alias("c"))
+    orders = [own]
+    for k in range(ORDER - 1, -1, -1):
+        own = written(own.groupBy(_suffix("ctx", k).alias("ctx"), "sym").agg(F.sum("c").alias("c")), f"ppm-order{k}")
+        orders.insert(0, own)
     by_order, least_of = [], 1
-    for k in range(ORDER + 1):
-        own = (grams.select(F.expr(f"shiftright(key, 8) & {(1 << (8 * k)) - 1}L").alias("ctx"),
-                            F.expr("key & 255L").alias("sym"), F.col("n").alias("c"))
-               .groupBy("ctx", "sym").agg(F.sum("c").alias("c")))
+    for k, own in enumerate(orders):
         if k >= 2:  # at most 256 contexts before
             totals = own.groupBy("ctx").agg(F.sum("c").alias("n"))
             # a rising threshold keeps the suffixes of kept contexts
@@ -310,7 +371,8 @@ def fit(training: DataFrame, max_contexts: int = 60_000, max_words: int = 1_000_
         t = own.toArrow()  # at most max_contexts contexts of at most 256 symbols
         by_order.append((t.column("ctx").to_numpy().astype(np.uint64), t.column("sym").to_numpy().astype(np.uint8),
                          t.column("c").to_numpy()))
-    return Model(words, (stats["n"] or 0) + n_docs, stats["v"] + (n_docs > 0), n_docs, frequent, least, build_trie(by_order))
+    return Model(words, (stats["n"] or 0) + n_docs, stats["v"] + (n_docs > 0), n_docs, frequent, least, build_trie(by_order),
+                 orders, _chains(orders) if n_docs and least_of > 1 else None)
 
 
 # --- scoring ---------------------------------------------------------------------------------
@@ -322,6 +384,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     bound = spark.sparkContext.broadcast((model.frequent, model.trie))
     whole = model.tokens + model.distinct + 1
     ends, n_train, least = model.documents, model.tokens, model.least
+    partial = model.chains is not None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release_encoder()
@@ -339,30 +402,41 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                 base = np.bincount(doc[frequent], log[at[frequent]], len(n_words)) + math.log10((ends + 1) / whole)
                 known = np.bincount(doc[frequent], minlength=len(n_words)) + (ends > 0)
                 # the other words of each document, with how often it has them
-                pair, times = _pairs(doc[~frequent], at[~frequent], len(hashes))
-                rare_ends = np.append(0, np.cumsum(np.bincount(pair[0], minlength=len(n_words)))).astype(np.int32)
-                rare = pa.ListArray.from_arrays(pa.array(rare_ends), pa.StructArray.from_arrays(
-                    [pa.array(hashes[pair[1]]), pa.array(times)], names=["key", "times"]))
+                rare = _lists(doc[~frequent], at[~frequent], hashes, len(n_words))
                 data, scored, n_symbols = padded_bytes(texts)
-                p = trie.log10(*contexts(data, scored)).astype(np.float64)
+                ctx, sym = contexts(data, scored)
+                row = trie.row_of(ctx)
+                p = trie.log_p[row, trie.symbol[sym]].astype(np.float64)
+                # the symbols after contexts the trie lacks, likewise
+                missed = np.flatnonzero(row < trie.longest) if partial else np.zeros(0, np.int64)
+                p[missed] = 0.0
+                grams, own = np.unique((ctx[missed].astype(np.int64) << 8) | sym[missed], return_inverse=True)
+                beyond = _lists(np.searchsorted(np.cumsum(n_symbols), missed, "right"), own, grams, len(n_words))
                 total = np.add.reduceat(p, np.cumsum(n_symbols) - n_symbols)
                 yield pa.RecordBatch.from_arrays(
                     [part.column("row"), part.column("doc_id"), part.column("held_out"), pa.array(n_words + 1),
-                     pa.array(known.astype(np.int64)), pa.array(base), pa.array(total), rare],
-                    names=["row", "doc_id", "held_out", "n_tokens", "known", "base", "score", "rare"])
+                     pa.array(known.astype(np.int64)), pa.array(base), pa.array(total), rare, beyond],
+                    names=["row", "doc_id", "held_out", "n_tokens", "known", "base", "score", "rare", "beyond"])
 
     numbered = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "held_out", "text")
     first = written(numbered.mapInArrow(run, "row long, doc_id long, held_out boolean, n_tokens long, known long, "
-                                             "base double, score double, rare array<struct<key: long, times: long>>"), "ppm-scores")
+                                             "base double, score double, rare array<struct<key: long, times: long>>, "
+                                             "beyond array<struct<key: long, times: long>>"), "ppm-scores")
     rare = first.select("row", F.explode("rare").alias("w")).select("row", "w.key", "w.times")
     infrequent = model.words.filter(F.col("n") < F.lit(least))
     looked_up = (rare.join(infrequent, "key", "left")
                  .groupBy("row").agg(F.sum(F.col("times") * F.log10((F.coalesce("n", F.lit(0)) + 1) / F.lit(float(whole)))).alias("more"),
                                      F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("more_known")))
-    zero = F.lit(0)
-    return first.join(looked_up, "row", "left").select(
+    joined, total, zero = first.join(looked_up, "row", "left"), F.col("score"), F.lit(0)
+    if partial:
+        beyond = first.select("row", F.explode("beyond").alias("g")).select("row", "g.key", "g.times")
+        log_p = _looked_up(beyond.select("key").distinct(), model)
+        added = beyond.join(log_p, "key").groupBy("row").agg(F.sum(F.col("times") * F.col("log_p")).alias("more_score"))
+        joined, total = joined.join(added, "row", "left"), total + F.coalesce("more_score", F.lit(0.0))
+    return joined.select(
         "doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("more_known", zero)).alias("n_known"),
-        F.lit(n_train).cast("long").alias("train_tokens"), (F.col("base") + F.coalesce("more", F.lit(0.0))).alias("base_score"), "score")
+        F.lit(n_train).cast("long").alias("train_tokens"), (F.col("base") + F.coalesce("more", F.lit(0.0))).alias("base_score"),
+        total.alias("score"))
 
 
 def _pairs(doc: np.ndarray, word: np.ndarray, n_words: int) -> tuple[tuple[np.ndarray, np.ndarray], np.ndarray]:
@@ -371,6 +445,14 @@ def _pairs(doc: np.ndarray, word: np.ndarray, n_words: int) -> tuple[tuple[np.nd
     return np.divmod(both, max(1, n_words)), times.astype(np.int64)
 
 
+def _lists(doc: np.ndarray, at: np.ndarray, keys: np.ndarray, n_docs: int) -> pa.ListArray:
+    """Per document its distinct keys (given by index) and how often it has each."""
+    pair, times = _pairs(doc, at, len(keys))
+    ends = np.append(0, np.cumsum(np.bincount(pair[0], minlength=n_docs))).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays(
+        [pa.array(keys[pair[1]]), pa.array(times)], names=["key", "times"]))
+
+
 def held_out_split(docs: DataFrame, folds: int = 7, held: int = 2) -> DataFrame:
     """doc_id, text (null: empty), held_out: crc32 of the doc_id as text leaves ``held``."""
     left = F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds

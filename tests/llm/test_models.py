@@ -124,6 +124,20 @@ def test_pruned_probabilities_still_sum_to_one(spark):
         assert p.sum() == pytest.approx(1, abs=1e-4) and (p > 0).all()
 
 
+@pytest.mark.parametrize("max_contexts", [5, 60])
+def test_scores_do_not_depend_on_the_size_of_the_trie(spark, max_contexts):
+    rows, unseen = _lm_rows(), "Ω never in training ~|~"
+    rows.append((next(i for i in range(10_000, 20_000) if _held(i)), unseen))
+    trie = ppm.ContextTrie()
+    for i, t in rows:
+        if not _held(i):
+            trie.text(t or "", True)
+    # learnt as read, but every context and symbol is the same as when learnt at once
+    got = {r.doc_id: r.score for r in ppm.score_documents(_frame(spark, rows), max_contexts).collect()}
+    for i, t in rows:
+        assert got[i] == pytest.approx(trie.text(t or "", False), rel=1e-5, abs=1e-4)
+
+
 def test_a_model_of_nothing_and_an_empty_table(spark):
     empty = spark.createDataFrame([], DOCS)
     assert ppm.score_documents(empty).count() == 0
