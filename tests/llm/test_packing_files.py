@@ -126,6 +126,17 @@ def test_shards(spark):
     assert all(len(s) == 1 for s in shards.values())
 
 
+def test_shards_are_equal_where_pieces_exceed_a_partitions_share(spark):
+    rng = random.Random(2)
+    rows = [(i, "w" * rng.randint(0, 400)) for i in range(24_000)]  # 360 partitions of 100 rows
+    rows += [(100_000 + i, "hot" * 66) for i in range(12_000)] + [(200_000 + i, "long" * 9_000 + str(i)) for i in range(5)]
+    loads = {}
+    for r in sharding.shard_documents(_frame(spark, rows), 4, 100).collect():
+        loads[r.shard] = loads.get(r.shard, 0) + r.size
+    assert sum(loads.values()) == sum(len(t) + 8 for _, t in rows)
+    assert max(loads.values()) - min(loads.values()) <= 0.005 * max(loads.values())
+
+
 @pytest.mark.parametrize("n,most", [(0, 9), (1, 9), (127, 4), (128, 0), (129, 50257), (70_000, 50257), (5_000, 2 ** 32 - 1)])
 def test_token_file_round_trip(n, most):
     rng = np.random.default_rng(n)
