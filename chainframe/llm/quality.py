@@ -14,7 +14,8 @@ Features come from the text alone: shares of byte-class pairs (letters by case,
 symbols, white space, UTF-8 lead and tail bytes), repeated neighbouring words, distinct words
 and lines, word and line lengths, and size. They are computed over whole texts in one pass in
 tasks; a bounded sample (``max_fit_rows`` positives and as many unlabelled rows, the first by a
-hash of doc_id) is fitted on the driver, and the fitted weights, some hundred kilobytes, are
+hash of doc_id) is fitted on the driver, the features' mean and scale are those of all training
+rows, and the fitted weights, some hundred kilobytes, are
 broadcast to score every row.
 
 Defined results: a null or empty text has the features of no bytes and gets a score; without
@@ -119,10 +120,13 @@ class Network:
 
 
 def fit_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, hidden: int = 24, epochs: int = 60,
-             batch: int = 512, rate: float = 3e-3, decay: float = 1e-3, seed: int = 7) -> Network:
-    """Minimises the non-negative unbiased risk with Adam over paired batches."""
+             batch: int = 512, rate: float = 3e-3, decay: float = 1e-3, seed: int = 7,
+             moments: tuple[np.ndarray, np.ndarray] | None = None) -> Network:
+    """Minimises the non-negative unbiased risk with Adam over paired batches; ``moments``: mean
+    and standard deviation of the features (default: those of ``unlabelled``)."""
     rng = np.random.default_rng(seed)
-    mean, scale = unlabelled.mean(axis=0, dtype=np.float64), unlabelled.std(axis=0, dtype=np.float64) + 1e-3
+    mean, std = moments or (unlabelled.mean(axis=0, dtype=np.float64), unlabelled.std(axis=0, dtype=np.float64))
+    scale = std + 1e-3
     net = Network(mean, scale, rng.normal(0, mean.size**-0.5, (mean.size, hidden)), np.zeros(hidden), np.zeros(hidden),
                   float(np.log(prior / (1 - prior))))
     squash = lambda a: np.clip((a - mean) / scale, -6, 6)  # noqa: E731  a batch at a time: the sample stays as it is
@@ -173,12 +177,32 @@ def _features_of(rows: DataFrame) -> np.ndarray:
     return x.flatten().to_numpy(zero_copy_only=False).reshape(-1, N_FEATURES)
 
 
+def feature_moments(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and standard deviation of each feature over all of ``rows``, of which there is one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_encoder()
+        n, total, square = 0, np.zeros(N_FEATURES), np.zeros(N_FEATURES)
+        for batch in batches:
+            for part in slices(batch, most_bytes=2 << 20):
+                x = features(part.column("text")).astype(np.float64)
+                n, total, square = n + len(x), total + x.sum(axis=0), square + (x * x).sum(axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(N_FEATURES, dtype=np.int32)), pa.array(np.full(N_FEATURES, n)),
+                                          pa.array(total), pa.array(square)], names=["k", "n", "total", "square"])
+
+    sums = rows.select("text").mapInArrow(run, "k int, n long, total double, square double")
+    t = sums.groupBy("k").agg(F.sum("n").alias("n"), F.sum("total").alias("total"), F.sum("square").alias("square")).orderBy("k").toArrow()
+    n, total, square = (t.column(c).to_numpy() for c in ("n", "total", "square"))
+    mean = total / n
+    return mean, np.sqrt(np.maximum(square / n - mean * mean, 0.0))
+
+
 def fold_of(doc_id: Column, folds: int) -> Column:
     """crc32 of the doc_id as text, modulo ``folds``."""
     return F.crc32(doc_id.cast("string").cast("binary")) % folds
 
 
-def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, max_fit_rows: int = 20_000) -> Network | float:
+def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, max_fit_rows: int = 30_000) -> Network | float:
     """The network, or the prior alone where there is no positive. Rows of fold 0 are not used."""
     train = F.coalesce(fold_of(F.col("doc_id"), folds) != 0, F.lit(False))
     known = (labels.filter(train & F.col("quality").isNotNull()).groupBy("doc_id")
@@ -201,7 +225,7 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, max_fit_rows: int =
     unlabelled = _features_of(sample(texts.filter(train), n_docs))
     if not len(positive) or not len(unlabelled):
         return prior
-    return fit_nnpu(positive, unlabelled, prior)
+    return fit_nnpu(positive, unlabelled, prior, moments=feature_moments(texts.filter(train)))
 
 
 def scored(docs: DataFrame, model: Network | float, name: str = "quality_score") -> DataFrame:
@@ -222,7 +246,7 @@ def scored(docs: DataFrame, model: Network | float, name: str = "quality_score")
     return docs.mapInArrow(run, schema)
 
 
-def classify(docs: DataFrame, labels: DataFrame, folds: int = 5, threshold: float = 0.3, max_fit_rows: int = 20_000) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, folds: int = 5, threshold: float = 0.3, max_fit_rows: int = 30_000) -> DataFrame:
     """Per row: doc_id, held_out, score, predicted."""
     model = fit(docs, labels, folds, max_fit_rows)
     out = scored(docs.select("doc_id", "text"), model)
@@ -230,7 +254,7 @@ def classify(docs: DataFrame, labels: DataFrame, folds: int = 5, threshold: floa
                       F.col("quality_score").alias("score"), (F.col("quality_score") >= threshold).cast("int").alias("predicted"))
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, folds: int = 5, threshold: float = 0.3, max_fit_rows: int = 20_000) -> DataFrame:
+def keep_good(docs: DataFrame, labels: DataFrame, folds: int = 5, threshold: float = 0.3, max_fit_rows: int = 30_000) -> DataFrame:
     """The documents scored at least ``threshold``, with all their columns."""
     name = "quality_score"
     while name in docs.columns:

@@ -83,6 +83,13 @@ def test_the_risk_is_clipped_at_zero():
     assert net.probability(p).mean() > 0.8 and net.probability(n).mean() < 0.2
 
 
+def test_mean_and_scale_are_those_of_all_training_rows(spark):
+    rows, labels = _corpus(400, seed=3)
+    net = quality.fit(_frame(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int"), max_fit_rows=40)
+    x = quality.features(pa.array([t for i, t in rows if zlib.crc32(str(i).encode()) % 5])).astype(float)
+    assert np.allclose(net.mean, x.mean(axis=0)) and np.allclose(net.scale, x.std(axis=0) + 1e-3, atol=1e-6)
+
+
 # --- language model --------------------------------------------------------------------------
 
 def _lm_rows(n=60):
