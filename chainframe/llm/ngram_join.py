@@ -24,7 +24,9 @@ first, so that linked sets must share a token among their first
    thus costs about its size, not its square, and few full sets travel.
 6. Components of all links, mapped back to every copy.
 
-The result is exact up to 58-bit shingle and 64-bit set hashes; there is no cap on candidates.
+There is no cap on candidates. Rejections lose no link. Pairs of sets of at most ``EXACT``
+shingles are verified on the sets, exactly up to shingle and set hashes; where either set is
+larger, a link may be taken from the sketches alone, by an error bound of ``NEVER`` a pair.
 
 Defined results: null, empty and white-space texts have an empty set, link with nothing and are
 their own component; fewer words than the shingle size make one shingle of all of them; rows
