@@ -16,6 +16,7 @@ from chainframe.llm.bpe import encode_documents
 from chainframe.llm.exact_dedup import exact_groups
 from chainframe.llm.fingerprint import edited_fingerprints
 from chainframe.llm.line_dedup import line_decisions
+from chainframe.llm.manifest import tampered_proofs
 from chainframe.llm.ngram_join import linked_components
 from chainframe.llm.packing import pack_documents
 from chainframe.llm.ppm import score_documents
@@ -102,6 +103,11 @@ def op10_ppm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(documents(spark, sf_dir))
 
 
+@_query("op11_manifest")
+def op11_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tampered_proofs(documents(spark, sf_dir))
+
+
 QUERIES["pipeline"] = corpus_pipeline.run
 if corpus_pipeline.ORACLE_SQL is not None:
     ORACLE["pipeline"] = corpus_pipeline.ORACLE_SQL
