@@ -15,6 +15,7 @@ import corpus_pipeline
 from chainframe.llm.bpe import encode_documents
 from chainframe.llm.exact_dedup import exact_groups
 from chainframe.llm.fingerprint import edited_fingerprints
+from chainframe.llm.importance import drawn
 from chainframe.llm.line_dedup import line_decisions
 from chainframe.llm.manifest import tampered_proofs
 from chainframe.llm.ngram_join import linked_components
@@ -108,6 +109,13 @@ def op11_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tampered_proofs(documents(spark, sf_dir))
 
 
+@_query("op12_importance")
+def op12_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    target = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    out = drawn(documents(spark, sf_dir), target, percent=25, min_words=20, buckets=10_000, seed=7)
+    return out.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 QUERIES["pipeline"] = corpus_pipeline.run
 if corpus_pipeline.ORACLE_SQL is not None:
     ORACLE["pipeline"] = corpus_pipeline.ORACLE_SQL
