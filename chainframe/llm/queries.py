@@ -19,6 +19,7 @@ from chainframe.llm.importance import drawn
 from chainframe.llm.line_dedup import line_decisions
 from chainframe.llm.manifest import tampered_proofs
 from chainframe.llm.ngram_join import linked_components
+from chainframe.llm.outliers import judged
 from chainframe.llm.packing import pack_documents
 from chainframe.llm.ppm import score_documents
 from chainframe.llm.quality import classify
@@ -116,6 +117,12 @@ def op12_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_features", "weight", "score", "rank")
 
 
+@_query("op13_outliers")
+def op13_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = judged(documents(spark, sf_dir), min_words=20, max_repeat_percent=30, tail=1e-4, share=0.75, min_cell=50)
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance")
+
+
 QUERIES["pipeline"] = corpus_pipeline.run
 if corpus_pipeline.ORACLE_SQL is not None:
     ORACLE["pipeline"] = corpus_pipeline.ORACLE_SQL
