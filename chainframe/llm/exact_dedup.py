@@ -15,11 +15,13 @@ Grouping keys hold the whole normalised text at each stage, so two texts that sh
 are never merged. The winner is the largest of one fixed-width number (code points, then the
 smallest ``doc_id``), which keeps the aggregation in Spark's hash map. Membership is joined
 back by (digest, xxhash64, length); should two contents ever share all three, the job stops
-with an error instead of mixing them.
+with an error instead of mixing them. Rows have stored numbers: of several rows with the
+winner's length and id, the first stays, so exactly one row of each group is ``kept``, and
+``drop_copies`` selects rows by number, not by id.
 
-Defined results: ``doc_id`` identifies a row (a null id counts as one id, worse than any
-other); null text counts as empty; empty texts form one group; of repeated rows with
-one ``doc_id`` each gets a row; an empty table gives no rows; other columns are ignored.
+Defined results: a null id is worse than any other; null text counts as empty; empty texts form
+one group; each of repeated rows gets a row, one of them kept at most; an empty table gives no
+rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,10 +31,12 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chainframe.llm.text import whole_text, without_spaces, written
+from chainframe.llm.order import numbered_rows
+from chainframe.llm.text import free_name, without_spaces, written
 
 HOT_SHARE = 1000
-_SCALE = "18446744073709551616"  # 2^64: room for any doc_id below the length
+#: fixed: 2^63, above any doc_id, and 2^65, above any ``2^63 - doc_id``
+_TOP, _SCALE = "9223372036854775808", "36893488147419103232"
 
 
 def sha256_hex(c: Column) -> Column:
@@ -40,20 +44,22 @@ def sha256_hex(c: Column) -> Column:
 
 
 def _rank() -> Column:
-    """n_chars * 2^64 + (2^63 - 1 - doc_id): larger is the better row to keep."""
+    """n_chars * 2^65 + (2^63 - doc_id, or 0 without an id): larger is the better row to keep."""
     wide = "decimal(38,0)"
-    return (F.col("n").cast("decimal(12,0)") * F.lit(_SCALE).cast("decimal(20,0)")).cast(wide) + (
-        F.lit(9223372036854775807).cast("decimal(20,0)") - F.col("doc_id").cast("decimal(20,0)")).cast(wide)
+    by_id = F.coalesce(F.lit(_TOP).cast("decimal(20,0)") - F.col("doc_id").cast("decimal(20,0)"), F.lit(0)).cast(wide)
+    return ((F.col("n").cast("decimal(12,0)") * F.lit(_SCALE).cast("decimal(20,0)")).cast(wide) + by_id).cast(wide)
 
 
 def _kept_id(rank: Column) -> Column:
-    return (F.lit(9223372036854775807).cast("decimal(20,0)") - rank % F.lit(_SCALE).cast("decimal(20,0)")).cast("long")
+    left = (rank % F.lit(_SCALE).cast("decimal(20,0)")).cast("decimal(20,0)")
+    return F.when(left > 0, (F.lit(_TOP).cast("decimal(20,0)") - left).cast("long"))
 
 
-def exact_groups(docs: DataFrame, salts: int = 32, digest: Callable[[Column], Column] = sha256_hex) -> DataFrame:
-    """One row per document: doc_id, keep_id, group_size, kept, text_sha256."""
-    norm = whole_text(docs).select("doc_id", F.length("text").alias("n"), without_spaces(F.col("text")).alias("norm"))
-    light = written(norm.select("doc_id", "n", F.unhex(digest(F.col("norm"))).alias("digest"),
+def _members(docs: DataFrame, row: Column, salts: int, digest: Callable[[Column], Column]) -> DataFrame:
+    """One row per document: its number, doc_id, digest, the rank and size of its group, kept."""
+    text = F.coalesce("text", F.lit(""))
+    norm = docs.select(row.alias("row"), "doc_id", F.length(text).alias("n"), without_spaces(text).alias("norm"))
+    light = written(norm.select("row", "doc_id", "n", F.unhex(digest(F.col("norm"))).alias("digest"),
                                 F.xxhash64("norm").alias("h"), F.octet_length("norm").alias("b")), "exact-dedup")
     total = light.count()
     hot = (light.groupBy("digest").agg(F.count(F.lit(1)).alias("c"))
@@ -62,7 +68,7 @@ def exact_groups(docs: DataFrame, salts: int = 32, digest: Callable[[Column], Co
 
     local = (norm.withColumn("digest", F.unhex(digest(F.col("norm"))))
              .join(F.broadcast(hot), "digest", "left")
-             .withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("doc_id"), F.lit(salts))).otherwise(F.lit(-1)))
+             .withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("row"), F.lit(salts))).otherwise(F.lit(-1)))
              .groupBy("digest", "salt", "norm")
              .agg(F.max(_rank()).alias("rank"), F.count(F.lit(1)).alias("size")))
     whole = local.filter("salt < 0").select("digest", "norm", "rank", "size")
@@ -84,13 +90,22 @@ def exact_groups(docs: DataFrame, salts: int = 32, digest: Callable[[Column], Co
     rest = tagged.filter("hot is null").join(one_content(keyed(whole)), ["digest", "h", "b"])
     # the groups of hot digests: fewer than HOT_SHARE digests, so this side may be broadcast
     of_hot = tagged.filter("hot").join(F.broadcast(one_content(keyed(combined))), ["digest", "h", "b"])
-    out = rest.unionByName(of_hot)
-    keep = _kept_id(F.col("rank"))
-    return out.select("doc_id", keep.alias("keep_id"), F.col("size").alias("group_size"),
-                      F.col("doc_id").eqNullSafe(keep).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
+    out = written(rest.unionByName(of_hot), "exact-dedup-members")
+    first = out.filter(_rank() == F.col("rank")).groupBy("digest", "h", "b").agg(F.min("row").alias("row"))
+    return (out.join(first.select("row", F.lit(True).alias("first")), "row", "left")
+            .select("row", "doc_id", "digest", "rank", "size", F.coalesce("first", F.lit(False)).alias("kept")))
+
+
+def exact_groups(docs: DataFrame, salts: int = 32, digest: Callable[[Column], Column] = sha256_hex) -> DataFrame:
+    """One row per document: doc_id, keep_id, group_size, kept, text_sha256."""
+    out = _members(docs, F.monotonically_increasing_id(), salts, digest)
+    return out.select("doc_id", _kept_id(F.col("rank")).alias("keep_id"), F.col("size").alias("group_size"), "kept",
+                      F.lower(F.hex("digest")).alias("text_sha256"))
 
 
 def drop_copies(docs: DataFrame, salts: int = 32) -> DataFrame:
-    """The documents that stay, with all their columns."""
-    kept = exact_groups(docs, salts).filter("kept").select(F.col("doc_id").alias("_kept_id"))
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept_id"]), "left_semi")
+    """The documents that stay, one row of each group, with all their columns."""
+    name = free_name(docs, "row")
+    numbered = numbered_rows(docs, "exact-dedup-docs", name)
+    kept = _members(numbered, F.col(name), salts, sha256_hex).filter("kept").select(F.col("row").alias(name))
+    return numbered.join(kept, name, "left_semi").select(*docs.columns)
