@@ -1,7 +1,7 @@
 """Sharding by vector bin packing over bytes, tokens and rows.
 
 Equal texts form a group that stays together, unless it holds more than 1/``PIECES`` of a
-shard's bytes: then its rows are dealt by hash to as many pieces as needed (fewer than
+shard's bytes: then its rows are dealt by the hash of a stored row number to as many pieces as needed (fewer than
 ``PIECES`` times the number of shards such groups can exist, so their list may be broadcast).
 Groups are dealt by hash to partitions of about ``per_partition`` rows. Groups and pieces over
 1/``FINE`` of a partition's share of a shard are placed before, largest sizes first, in levels:
@@ -77,7 +77,7 @@ def place(units: np.ndarray, shards: int, first: int, share: np.ndarray | None =
 def _placer(shards: int, share: np.ndarray):
     def run(t: pa.Table) -> pa.Table:
         t = t.take(pc.sort_indices(t, [("h", "ascending"), ("text_crc32", "ascending"), ("size", "ascending"),
-                                       ("chunk", "ascending"), ("doc_id", "ascending")]))
+                                       ("chunk", "ascending"), ("row", "ascending")]))
         keys = np.stack([t.column(c).to_numpy() for c in ("h", "text_crc32", "size", "chunk")])
         new = np.append(True, (keys[:, 1:] != keys[:, :-1]).any(axis=0))
         unit = np.cumsum(new) - 1
@@ -129,7 +129,7 @@ def shard_documents(docs: DataFrame, shards: int = 24, per_partition: int = 1638
     """Per row: doc_id, size, text_crc32, law, shard, slot, grown_shard (null under this law)."""
     t = whole_text(docs)
     light = written(t.select(
-        "doc_id", (F.octet_length("text") + 8).cast("long").alias("size"), F.crc32(F.col("text").cast("binary")).alias("text_crc32"),
+        F.monotonically_increasing_id().alias("row"), "doc_id", (F.octet_length("text") + 8).cast("long").alias("size"), F.crc32(F.col("text").cast("binary")).alias("text_crc32"),
         F.xxhash64("text").alias("h"),
         (F.length("text") - F.length(F.replace("text", F.lit(" "), F.lit(""))) + 1).cast("long").alias("tokens")), "sharding")
     total = light.agg(F.sum("size").alias("bytes"), F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("n")).first()
@@ -139,7 +139,7 @@ def shard_documents(docs: DataFrame, shards: int = 24, per_partition: int = 1638
              .filter((F.col("bytes") > limit) & (F.col("rows") > 1))
              .select(*group, F.ceil(F.col("bytes") / limit).alias("pieces")))
     large = written(large, "sharding-large")  # each holds over 1/(shards * PIECES) of all bytes
-    chunk = F.when(F.col("pieces").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("doc_id"), F.col("pieces")))
+    chunk = F.when(F.col("pieces").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("row"), F.col("pieces")))
     dealt = light.join(F.broadcast(large), group, "left").withColumn("chunk", chunk.cast("long")).drop("pieces")
     width = max(1, -(-total["n"] // per_partition))
     dealt = dealt.withColumn("bucket", F.pmod(F.xxhash64(*group, "chunk"), F.lit(width)))
