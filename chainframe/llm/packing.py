@@ -2,18 +2,18 @@
 
 1. ``token_pieces``: each text's ids and an end id; only documents longer than ``capacity`` are
    cut, into pieces of ``capacity`` ids (the first may be shorter).
-2. ``pack``: pieces are dealt by hash to partitions of about ``per_partition``; each runs
+2. ``pack``: pieces are dealt by the hash of a stored row number to partitions of about ``per_partition``; each runs
    best-fit decreasing and computes lower bounds by dual-feasible functions. A partition whose
    bin count meets its bound is certified and gives up only its few emptiest bins; one with a
    gap gives up more. What is given up from ``fan_in`` partitions meets in one, is packed again
    by best-fit decreasing, and the new bins are taken if they are fewer. This repeats until one
-   partition is left (at most ``rounds``), so the share of badly filled bins falls by
+   partition is left, so the share of badly filled bins falls by
    ``fan_in`` each time while every task keeps a bounded number of rows.
 
 Only lengths and check sums travel; the ids stay where they were made.
 
-Defined results: a null or empty text is its end id alone; rows with equal content are packed
-like any others (``doc_id`` and the piece number name a piece); an empty table gives no rows.
+Defined results: a null or empty text is its end id alone; rows with equal content, with one id
+or without an id are packed like any others; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chainframe.llm.chunks import ChunkEncoder, library_encode, slices, worker_encoder
+from chainframe.llm.order import numbered_rows
 from chainframe.llm.text import whole_text, written
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -129,7 +130,7 @@ def _packer(round_no: int, capacity: int, last: bool):
     """Packs one partition's rows; bins given up are marked ``open``."""
 
     def pack(t: pa.Table) -> pa.Table:
-        t = t.take(pc.sort_indices(t, [("length", "descending"), ("doc_id", "ascending"), ("piece", "ascending")]))
+        t = t.take(pc.sort_indices(t, [("length", "descending"), ("row", "ascending")]))
         lengths = t.column("length").to_numpy()
         bins, offsets, free = best_fit_decreasing(lengths, capacity)
         base = (round_no << 56) + (t.column("bucket")[0].as_py() << 24)
@@ -151,30 +152,29 @@ def _packer(round_no: int, capacity: int, last: bool):
     return pack
 
 
-def pack(pieces: DataFrame, capacity: int, per_partition: int = 16384, fan_in: int = 16, rounds: int = 4) -> DataFrame:
-    """``pieces`` with sequence_id and offset. ``pieces`` is read twice: pass a stored table."""
+def pack(pieces: DataFrame, capacity: int, per_partition: int = 16384, fan_in: int = 16) -> DataFrame:
+    """``pieces`` with sequence_id and offset. ``pieces`` is a stored table with a number per
+    row, ``row``, that the result leaves out."""
     n = pieces.count()
     width = max(1, -(-n // per_partition))
-    todo = (pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(width)))
+    todo = (pieces.withColumn("bucket", F.pmod(F.xxhash64("row"), F.lit(width)))
             .withColumn("sequence_id", F.lit(-1).cast("long")).withColumn("offset", F.lit(-1).cast("long"))
             .withColumn("open", F.lit(True)))
-    done = []
-    for k in range(rounds):
-        last = width == 1 or k == rounds - 1
-        packed = written(todo.groupBy("bucket").applyInArrow(_packer(k, capacity, last), todo.schema), "packed")
+    done, last = [], False
+    while not last:
+        last = width == 1
+        packed = written(todo.groupBy("bucket").applyInArrow(_packer(len(done), capacity, last), todo.schema), "packed")
         done.append(packed.filter("not open"))
-        if last:
-            break
         width = -(-width // fan_in)
         todo = packed.filter("open").withColumn("bucket", F.floor(F.col("bucket") / fan_in))
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)
-    return out.drop("bucket", "open")
+    return out.drop("bucket", "open", "row")
 
 
 def pack_documents(docs: DataFrame, vocabulary: str, pattern: str, capacity: int = 2048, end_id: int = 0,
                    per_partition: int = 16384) -> DataFrame:
     """Per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
-    pieces = written(token_pieces(docs, vocabulary, pattern, capacity, end_id), "pieces")
+    pieces = numbered_rows(token_pieces(docs, vocabulary, pattern, capacity, end_id), "pieces")
     return pack(pieces, capacity, per_partition)
