@@ -16,21 +16,25 @@ first, so that linked sets must share a token among their first
    link by their sketches: the Hamming distance of two parity sketches never exceeds the sets'
    symmetric difference, so no link is lost.
 5. For these a longer sketch, of at least four bits a shingle (of small sets: the set), is made
-   in the tasks that read the texts. ``judged`` takes pairs by it: too far apart for a link; or so near that more
-   colliding bits than a chance of 1e-18 allows would be needed for there to be none; or unsure.
-   First every set is judged against its neighbour at each token (a linear number of pairs) and
-   components are formed; then all remaining pairs *between* components are judged; unsure pairs
-   that still join different components are verified on the full sets. A family of near copies
-   thus costs about its size, not its square, and few full sets travel.
-6. Components of all links, mapped back to every copy.
-
-There is no cap on candidates. Rejections lose no link. Pairs of sets of at most ``EXACT``
-shingles are verified on the sets, exactly up to shingle and set hashes; where either set is
-larger, a link may be taken from the sketches alone, by an error bound of ``NEVER`` a pair.
+   in the tasks that read the texts. ``judged`` takes pairs by it: too far apart for a link; a link,
+   known from both whole sets; nearly sure, where more colliding bits than a chance of 1e-18
+   allows would be needed for there to be none; or unsure. First every set is judged against its
+   neighbour at each token (a linear number of pairs) and components are formed; then all remaining
+   pairs *between* components are judged.
+6. ``spanned`` verifies members: of the nearly sure links it takes, round by round, one for each
+   component that reaches a smaller one, compares the two full sets, and joins components only by
+   links that hold. At most one link fewer than there are sets needs verifying, besides those that
+   fail. Unsure pairs that still join different components are verified likewise, all at once. A
+   family of near copies thus costs about its size, not its square, and few full sets travel.
+7. Components of all links, mapped back to every copy.
+
+There is no cap on candidates. Rejections lose no link, and no link is taken that the full sets
+don't confirm (shingles have 57-bit and sets 64-bit hashes).
 
 Defined results: null, empty and white-space texts have an empty set, link with nothing and are
 their own component; fewer words than the shingle size make one shingle of all of them; rows
-without doc_id share one id, ordered before all others; an empty table gives no rows.
+without doc_id share one id, ordered before all others; repeated rows are rows of their own, of
+which ``keep_one_of_each`` keeps one; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -47,13 +51,15 @@ from pyspark.sql import functions as F
 from chainframe.llm.chunks import release_encoder, slices
 from chainframe.llm.components import components, joined
 from chainframe.llm.ppm import words_of
-from chainframe.llm.text import IdFilter, written
+from chainframe.llm.order import numbered_rows
+from chainframe.llm.text import IdFilter, free_name, written
 
 SLOTS = 1 << 20
 _PART = 1 << 14
 _NO_ID = -(1 << 63)
 LANES = tuple(f"s{k}" for k in range(1, 9))  # a 512-bit sketch
 NEVER = 1e-18
+HOT_SHARE = 1000  # a key with more than this part of all rows is hot
 EXACT = 512  # sets of at most so many shingles travel whole instead of a longer sketch
 
 
@@ -149,7 +155,7 @@ def compact(ids: np.ndarray) -> bytes:
 
 
 def described(docs: DataFrame, width: int, classes, num: int, den: int) -> DataFrame:
-    """doc_id, n, sid (digest of the set), gid (of size and prefix), s1 to s8 (parity), prefix."""
+    """row, doc_id, n, sid (digest of the set), gid (of size and prefix), s1 to s8 (parity), prefix."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release_encoder()
@@ -168,12 +174,12 @@ def described(docs: DataFrame, width: int, classes, num: int, den: int) -> DataF
                 ends = np.append(0, np.cumsum([len(p) for p in prefix])).astype(np.int32)
                 flat = np.concatenate(prefix) if prefix else np.zeros(0, np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(n, pa.int32()), pa.array(sid, pa.int64()), pa.array(gid, pa.int64()),
+                    [part.column("row"), part.column("doc_id"), pa.array(n, pa.int32()), pa.array(sid, pa.int64()), pa.array(gid, pa.int64()),
                      *[pa.array(x) for x in np.array(lanes).T.copy()], pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))],
-                    names=["doc_id", "n", "sid", "gid", *LANES, "prefix"])
+                    names=["row", "doc_id", "n", "sid", "gid", *LANES, "prefix"])
 
     lane_types = ", ".join(f"{c} long" for c in LANES)
-    return docs.mapInArrow(run, f"doc_id long, n int, sid long, gid long, {lane_types}, prefix array<long>")
+    return docs.mapInArrow(run, f"row long, doc_id long, n int, sid long, gid long, {lane_types}, prefix array<long>")
 
 
 def _sets_of(docs: DataFrame, wanted: IdFilter, width: int, classes, as_compact: bool) -> DataFrame:
@@ -224,18 +230,20 @@ def verdict(n: int, m: int, x: bytes, y: bytes, num: int, den: int) -> int:
 
 
 def judged(pairs: DataFrame, sketches: DataFrame, num: int, den: int) -> DataFrame:
-    """(a, b, sure) of the pairs (a, b) that are or may be links."""
+    """(a, b, sure, exact) of the pairs (a, b) that are or may be links; exact: known from both sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             v = np.array([verdict(*(c.as_py() for c in row), num, den) for row in zip(*(batch.column(c) for c in ("n", "m", "x", "y")))], int)
-            out = pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(v == 1)], names=["a", "b", "sure"])
+            whole = (batch.column("n").to_numpy() <= EXACT) & (batch.column("m").to_numpy() <= EXACT)
+            out = pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(v == 1), pa.array((v == 1) & whole)],
+                                             names=["a", "b", "sure", "exact"])
             yield out.filter(pa.array(v > 0))
 
     # neither side has a bounded size: no broadcast
     both = (pairs.hint("merge").join(sketches.select(F.col("sid").alias("a"), "n", F.col("compact").alias("x")), "a").hint("merge")
             .join(sketches.select(F.col("sid").alias("b"), F.col("n").alias("m"), F.col("compact").alias("y")), "b"))
-    return both.select("a", "b", "n", "m", "x", "y").mapInArrow(run, "a long, b long, sure boolean")
+    return both.select("a", "b", "n", "m", "x", "y").mapInArrow(run, "a long, b long, sure boolean, exact boolean")
 
 
 def _could_link(a: str, b: str, num: int, den: int, sketches: bool) -> Column:
@@ -262,19 +270,55 @@ def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
             .filter(common * (den + num) >= (F.size("x") + F.size("y")) * num).select("a", "b"))
 
 
-def linked_components(docs: DataFrame, width: int = 3, num: int = 90, den: int = 100) -> DataFrame:
-    """Per row: doc_id, n_shingles, component_id (smallest doc_id reachable by links)."""
+def _between(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """The links (a, b) whose ends lie in different components, with these (low, high)."""
+    of = lambda side: roots.select(F.col("id").alias(side), F.col("root").alias(f"root_{side}"))
+    both = links.select("a", "b").join(of("a"), "a", "left").join(of("b"), "b", "left")
+    x, y = F.coalesce("root_a", "a"), F.coalesce("root_b", "b")
+    return both.filter(x != y).select("a", "b", F.least(x, y).alias("low"), F.greatest(x, y).alias("high"))
+
+
+def spanned(roots: DataFrame, links: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """``roots`` joined by those links (a, b) that hold on the full sets. Each round verifies one
+    link of every component that has one to a smaller component; what these leave between
+    components goes on to the next."""
+    while True:
+        links = written(_between(roots, links), "ngram-between")
+        if links.isEmpty():
+            return roots
+        one = links.groupBy("high").agg(F.min(F.struct("low", "a", "b")).alias("l")).select("l.a", "l.b")
+        roots = joined(roots, written(_verified(one, sets, num, den), "ngram-verified"))
+        links = links.select("a", "b").join(one, ["a", "b"], "left_anti")
+
+
+def _by_hot_keys(rows: DataFrame, small: DataFrame, key: str, hot: DataFrame) -> DataFrame:
+    """``rows`` left-joined to ``small`` (unique in ``key``). ``hot`` lists the keys of many rows,
+    fewer than ``HOT_SHARE`` of them: their part of ``small`` is broadcast."""
+    tagged = rows.join(F.broadcast(hot.select(key, F.lit(True).alias("_hot"))), key, "left")
+    large = F.broadcast(small.join(F.broadcast(hot), key, "left_semi"))
+    return (tagged.filter("_hot").drop("_hot").join(large, key, "left")
+            .unionByName(tagged.filter("_hot is null").drop("_hot").join(small, key, "left")))
+
+
+def _hot_keys(rows: DataFrame, key: str, total: int) -> DataFrame:
+    counts = rows.groupBy(key).agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") > max(16, total // HOT_SHARE))
+    return written(counts.select(key), "ngram-hot")
+
+
+def _placed(docs: DataFrame, row: Column, width: int, num: int, den: int) -> DataFrame:
+    """Per row: its number, doc_id, n (set size), least (doc_id of its component), kept (one row of
+    each component)."""
     spark = docs.sparkSession
-    texts = docs.select(F.coalesce("doc_id", F.lit(_NO_ID)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    texts = docs.select(row.alias("row"), F.coalesce("doc_id", F.lit(_NO_ID)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     classes = spark.sparkContext.broadcast(sketch(texts, width))
     d = written(described(texts, width, classes, num, den), "ngram-sets")
     sets_of = written(d.filter("n > 0").groupBy("gid", "sid")
-                      .agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"), *[F.min(c).alias(c) for c in LANES]),
+                      .agg(F.min("doc_id").alias("rep"), F.min("row").alias("first"), F.min("n").alias("n"), *[F.min(c).alias(c) for c in LANES]),
                       "ngram-distinct")
-    groups = sets_of.groupBy("gid").agg(F.min("rep").alias("rep"), F.count(F.lit(1)).alias("members"))
+    groups = sets_of.groupBy("gid").agg(F.min("first").alias("first"), F.count(F.lit(1)).alias("members"))
 
     # group filter
-    tokens = (d.join(groups.select(F.col("rep").alias("doc_id"), "gid"), ["doc_id", "gid"], "left_semi")
+    tokens = (d.join(groups.select(F.col("first").alias("row"), "gid"), ["row", "gid"], "left_semi")
               .select("gid", "n", "prefix", F.posexplode("prefix").alias("pos", "token"))
               .select("token", "gid", "n", "pos", F.get("prefix", F.col("pos") - 1).alias("prev")))
     live = written(tokens.alias("a").join(
@@ -287,15 +331,28 @@ def linked_components(docs: DataFrame, width: int = 3, num: int = 90, den: int =
                    .select("token", "sid", "n", "pos", "prev", *LANES), "ngram-rows")
     linkable = (F.col("a.token") == F.col("b.token")) & (F.col("a.sid") != F.col("b.sid")) & _could_link("a", "b", num, den, sketches=True)
     rows = written(rows.alias("a").join(rows.alias("b"), linkable, "left_semi"), "ngram-near")
-    reps = sets_of.join(rows.select("sid").distinct(), "sid", "left_semi")
-    sketches = written(_sets_of(texts, IdFilter(reps.select(F.col("rep").alias("id"))), width, classes, True), "ngram-sketches")
+
+    def made(sids: DataFrame, as_compact: bool) -> DataFrame:
+        """Sketches or full sets of some sets, one row each, stored."""
+        reps = sets_of.join(sids, "sid", "left_semi").select(F.col("rep").alias("id"))
+        rows = _sets_of(texts, IdFilter(reps), width, classes, as_compact)
+        return written(rows.join(sids, "sid", "left_semi").dropDuplicates(["sid"]), "ngram-sketches" if as_compact else "ngram-full")
+
+    def ends(pairs: DataFrame) -> DataFrame:
+        return pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).distinct()
+
+    sketches = made(rows.select("sid").distinct(), True)
 
     near = Window.partitionBy("token").orderBy("n", F.xxhash64("token", "sid"))
     me = F.struct("sid", "n", "pos", "prev", *LANES)
     chained = rows.select(me.alias("q"), F.lag(me).over(near).alias("p")).filter("p is not null and p.sid <> q.sid")
     first = (chained.filter(_could_link("p", "q", num, den, sketches=True))
              .select(F.least("q.sid", "p.sid").alias("a"), F.greatest("q.sid", "p.sid").alias("b")).distinct())
-    roots = components(judged(first, sketches, num, den).filter("sure"))
+    found = written(judged(first, sketches, num, den), "ngram-first")
+    roots = components(found.filter("exact"))
+    near_sure = written(_between(roots, found.filter("sure and not exact")), "ngram-near-sure")
+    if not near_sure.isEmpty():
+        roots = spanned(roots, near_sure, made(ends(near_sure), False), num, den)
     tagged = (rows.join(roots.withColumnRenamed("id", "sid"), "sid", "left")
               .withColumn("root", F.coalesce("root", "sid")))
     rest = (tagged.alias("p").join(
@@ -303,30 +360,39 @@ def linked_components(docs: DataFrame, width: int = 3, num: int = 90, den: int =
         & (F.col("p.root") != F.col("q.root")) & _could_link("p", "q", num, den, sketches=True))
         .select(F.col("p.sid").alias("a"), F.col("q.sid").alias("b")).distinct())
     found = written(judged(rest, sketches, num, den), "ngram-judged")
-    roots = joined(roots, found.filter("sure").select("a", "b"))
-
-    # what is unsure and still between components: full sets
-    root_of = lambda side: roots.select(F.col("id").alias(side), F.col("root").alias(f"root_{side}"))
-    unsure = (found.filter("not sure").select("a", "b").join(root_of("a"), "a", "left").join(root_of("b"), "b", "left")
-              .filter(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b"))
-    unsure = written(unsure, "ngram-unsure")
-    ends = unsure.select(F.col("a").alias("sid")).union(unsure.select("b")).distinct()
-    reps = sets_of.join(ends, "sid", "left_semi")
-    sets = _sets_of(texts, IdFilter(reps.select(F.col("rep").alias("id"))), width, classes, False).join(ends, "sid", "left_semi")
-    more = _verified(unsure, written(sets, "ngram-full"), num, den)
-    roots = joined(roots, more)
-
-    placed = (d.select("doc_id", "n", "sid").join(roots.withColumnRenamed("id", "sid"), "sid", "left")
-              .withColumn("root", F.coalesce("root", "sid")))
-    least = placed.filter("n > 0").groupBy("root").agg(F.min("doc_id").alias("least"))
-    out = placed.join(least, "root", "left")
-    id_of = lambda c: F.when(c != F.lit(_NO_ID), c)
-    return out.select(id_of(F.col("doc_id")).alias("doc_id"), F.col("n").cast("long").alias("n_shingles"),
-                      id_of(F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id"))).alias("component_id"))
+    exact = found.filter("exact").select("a", "b")
+    if not exact.isEmpty():
+        roots = joined(roots, exact)
+
+    # what isn't known from whole sets and still between components: full sets
+    left = written(_between(roots, found.filter("not exact")), "ngram-left")
+    if not left.isEmpty():
+        sets = made(ends(left), False)
+        roots = spanned(roots, found.filter("sure and not exact").select("a", "b"), sets, num, den)
+        unsure = _between(roots, found.filter("not sure")).select("a", "b")
+        roots = joined(roots, written(_verified(unsure, sets, num, den), "ngram-verified"))
+
+    total = d.count()
+    light = d.select("row", "doc_id", "n", "sid")
+    placed = _by_hot_keys(light, roots.withColumnRenamed("id", "sid"), "sid", _hot_keys(light, "sid", total))
+    placed = written(placed.withColumn("root", F.coalesce("root", "sid")), "ngram-placed")
+    some = placed.filter("n > 0")
+    least = some.groupBy("root").agg(F.min(F.struct("doc_id", "row")).alias("l")).select("root", F.col("l.doc_id").alias("least"), F.col("l.row").alias("first"))
+    some = _by_hot_keys(some, least, "root", _hot_keys(some, "root", total))
+    none = placed.filter("n = 0").withColumn("least", F.col("doc_id")).withColumn("first", F.col("row"))
+    return some.unionByName(none).select("row", "doc_id", "n", "least", (F.col("row") == F.col("first")).alias("kept"))
+
+
+def linked_components(docs: DataFrame, width: int = 3, num: int = 90, den: int = 100) -> DataFrame:
+    """Per row: doc_id, n_shingles, component_id (smallest doc_id reachable by links)."""
+    out = _placed(docs, F.monotonically_increasing_id(), width, num, den)
+    id_of = lambda c: F.when(F.col(c) != F.lit(_NO_ID), F.col(c))
+    return out.select(id_of("doc_id").alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), id_of("least").alias("component_id"))
 
 
 def keep_one_of_each(docs: DataFrame, width: int = 3, num: int = 90, den: int = 100) -> DataFrame:
-    """The document with the smallest doc_id of each component, with all columns."""
-    kept = (linked_components(docs, width, num, den).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-            .select(F.col("doc_id").alias("_kept_id")))
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept_id"]), "left_semi")
+    """The document with the smallest doc_id of each component, one row of it, with all columns."""
+    name = free_name(docs, "row")
+    numbered = numbered_rows(docs, "ngram-docs", name)
+    kept = _placed(numbered, F.col(name), width, num, den).filter("kept").select(F.col("row").alias(name))
+    return numbered.join(kept, name, "left_semi").select(*docs.columns)
