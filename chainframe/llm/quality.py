@@ -7,16 +7,19 @@ non-negative unbiased risk (Kiryo et al. 2017)
 
     R = prior * R_p(+) + max(0, R_u(-) - prior * R_p(-)),
 
-stepping against the clipped part whenever a batch drives it below zero. With the logistic loss
-its output is the probability of quality 1.
+stepping against the clipped part whenever it is below zero. With the logistic loss its output is
+the probability of quality 1.
 
 Features come from the text alone: shares of byte-class pairs (letters by case, digits, marks,
 symbols, white space, UTF-8 lead and tail bytes), repeated neighbouring words, distinct words
-and lines, word and line lengths, and size. They are computed over whole texts in one pass in
-tasks; a bounded sample (``max_fit_rows`` positives and as many unlabelled rows, the first by a
-hash of doc_id) is fitted on the driver, the features' mean and scale are those of all training
-rows, and the fitted weights, some hundred kilobytes, are
-broadcast to score every row.
+and lines, word and line lengths, and size. Those of the training rows are computed over whole
+texts once and stored, about a kilobyte a row.
+
+Every step is a full batch: risk and gradient over *all* unlabelled training rows are summed in
+tasks, one row of some fifty kilobytes a task, and above ``_FAN_IN`` tasks summed again in groups
+of as many before they reach the driver. Only the labelled positives are bounded: at most about
+``max_fit_rows``, the first by a hash of doc_id. The weights are broadcast each step, and to score
+every row.
 
 Defined results: a null or empty text has the features of no bytes and gets a score; without
 labelled positives every score is the prior (0.5 without any label); a null label is no label;
@@ -26,7 +29,7 @@ scored alike; an empty table gives no rows.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -37,6 +40,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from chainframe.llm.chunks import release_encoder, slices
+from chainframe.llm.text import written
 
 #: Byte classes, each the bytes of a string, then ranges.
 _MARKS = ("abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", " ", "\n", "\t\r\x0b\x0c",
@@ -112,89 +116,106 @@ class Network:
     w2: np.ndarray
     b2: float
 
-    def _hidden(self, x: np.ndarray) -> np.ndarray:
-        return np.tanh(np.clip((x - self.mean) / self.scale, -6, 6) @ self.w1 + self.b1)
-
     def probability(self, x: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-(self._hidden(x) @ self.w2 + self.b2)))
-
-
-def fit_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, hidden: int = 24, epochs: int = 60,
-             batch: int = 512, rate: float = 3e-3, decay: float = 1e-3, seed: int = 7,
-             moments: tuple[np.ndarray, np.ndarray] | None = None) -> Network:
-    """Minimises the non-negative unbiased risk with Adam over paired batches; ``moments``: mean
-    and standard deviation of the features (default: those of ``unlabelled``)."""
+        h = np.tanh(np.clip((x - self.mean) / self.scale, -6, 6) @ self.w1 + self.b1)
+        return 1 / (1 + np.exp(-(h @ self.w2 + self.b2)))
+
+    def sums(self, x: np.ndarray, of_output: bool = False) -> np.ndarray:
+        """Over the rows of x: their number, the losses of calling them negative, and the gradient of
+        those losses by ``weights``; with ``of_output`` also the gradient of the output."""
+        n = self.weights().size
+        out = np.zeros(2 + n * (1 + of_output))
+        mean, scale, w1 = (a.astype(np.float32) for a in (self.mean, self.scale, self.w1))
+        for k in range(0, len(x), 4096):
+            s = np.clip((x[k : k + 4096] - mean) / scale, -6, 6)
+            h = np.tanh(s @ w1 + self.b1)
+            z = h @ self.w2 + self.b2
+            p = 1 / (1 + np.exp(-z))
+            parts = [np.array([len(s), np.logaddexp(0, z).sum()])]
+            for g in (p, np.ones_like(p))[: 1 + of_output]:  # the loss's derivative by the output is p
+                gh = g[:, None] * self.w2 * (1 - h * h)
+                parts += [(s.T @ gh.astype(np.float32)).ravel(), gh.sum(axis=0), h.T @ g, [g.sum()]]
+            out += np.concatenate(parts)
+        return out
+
+    def weights(self) -> np.ndarray:
+        return np.concatenate([self.w1.ravel(), self.b1, self.w2, [self.b2]])
+
+    def with_weights(self, w: np.ndarray) -> Network:
+        a = self.w1.size
+        b = a + self.b1.size
+        c = b + self.w2.size
+        return Network(self.mean, self.scale, w[:a].reshape(self.w1.shape), w[a:b], w[b:c], float(w[c]))
+
+
+def fit_nnpu(positive: np.ndarray, unlabelled: Callable[[Network], np.ndarray], prior: float,
+             moments: tuple[np.ndarray, np.ndarray], hidden: int = 24, steps: int = 32, rate: float = 0.05,
+             decay: float = 1e-3, seed: int = 7) -> Network:
+    """Minimises the non-negative unbiased risk by full-batch Adam. ``unlabelled``: the network's
+    ``sums`` over all unlabelled rows; ``moments``: mean and standard deviation of their features."""
     rng = np.random.default_rng(seed)
-    mean, std = moments or (unlabelled.mean(axis=0, dtype=np.float64), unlabelled.std(axis=0, dtype=np.float64))
-    scale = std + 1e-3
-    net = Network(mean, scale, rng.normal(0, mean.size**-0.5, (mean.size, hidden)), np.zeros(hidden), np.zeros(hidden),
-                  float(np.log(prior / (1 - prior))))
-    squash = lambda a: np.clip((a - mean) / scale, -6, 6)  # noqa: E731  a batch at a time: the sample stays as it is
-    xp, xu = positive, unlabelled
-    params = [net.w1, net.b1, net.w2, np.array([net.b2])]
-    m, v = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
-    steps = max(1, max(len(xp), len(xu)) // batch)
-    for step in range(1, epochs * steps + 1):
-        x = squash(np.concatenate([xp[rng.integers(0, len(xp), batch)], xu[rng.integers(0, len(xu), batch)]]))
-        h = np.tanh(x @ params[0] + params[1])
-        z = h @ params[2] + params[3][0]
-        p = 1 / (1 + np.exp(-z))
-        loss_negative = np.logaddexp(0, z)  # logistic loss of calling a row negative
-        negative_risk = loss_negative[batch:].mean() - prior * loss_negative[:batch].mean()
-        # gradients of the losses by z: p - 1 as positive, p as negative
-        g = np.empty(2 * batch)
-        if negative_risk >= 0:
-            g[:batch] = (prior * (p[:batch] - 1) - prior * p[:batch]) / batch
-            g[batch:] = p[batch:] / batch
+    mean, scale = moments[0], moments[1] + 1e-3
+    net = Network(mean, scale, rng.normal(0, mean.size**-0.5, (mean.size, hidden)), np.zeros(hidden),
+                  rng.normal(0, 0.1, hidden), float(np.log(prior / (1 - prior))))
+    w = net.weights()
+    m, v, n = np.zeros_like(w), np.zeros_like(w), w.size
+    decayed = np.ones(n)
+    decayed[net.w1.size : net.w1.size + hidden] = decayed[-1] = 0.0  # not the offsets
+    for step in range(1, steps + 1):
+        net = net.with_weights(w)
+        p, u = net.sums(positive, of_output=True), unlabelled(net)
+        negative_risk = u[1] / u[0] - prior * p[1] / p[0]
+        if negative_risk >= 0:  # of a positive: prior * ((p - 1) - p)
+            grad = u[2:] / u[0] - prior * p[2 + n :] / p[0]
         else:
-            g[:batch] = prior * p[:batch] / batch
-            g[batch:] = -p[batch:] / batch
-        gh = g[:, None] * params[2] * (1 - h * h)
-        grads = [x.T @ gh + decay * params[0], gh.sum(axis=0), h.T @ g + decay * params[2], np.array([g.sum()])]
-        lr = rate * min(1.0, 2 * (1 - step / (epochs * steps + 1)))
-        for i, grad in enumerate(grads):
-            m[i] = 0.9 * m[i] + 0.1 * grad
-            v[i] = 0.999 * v[i] + 0.001 * grad * grad
-            params[i] -= lr * (m[i] / (1 - 0.9**step)) / (np.sqrt(v[i] / (1 - 0.999**step)) + 1e-8)
-    net.w1, net.b1, net.w2, net.b2 = params[0], params[1], params[2], float(params[3][0])
-    return net
-
-
-def _features_of(rows: DataFrame) -> np.ndarray:
-    """Features of a bounded set of texts, as a matrix on the driver."""
+            grad = prior * p[2 : 2 + n] / p[0] - u[2:] / u[0]
+        grad = grad + decay * decayed * w
+        m = 0.9 * m + 0.1 * grad
+        v = 0.99 * v + 0.01 * grad * grad
+        lr = rate * min(1.0, 2 * (1 - step / (steps + 1)))
+        w = w - lr * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
+    return net.with_weights(w)
+
+
+def feature_table(rows: DataFrame) -> DataFrame:
+    """The features of the rows' texts, stored: x, the numbers of some texts one after another."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release_encoder()
         for batch in batches:
             for part in slices(batch, most_bytes=2 << 20):
-                x = features(part.column("text"))
-                flat = pa.array(x.ravel())
-                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(
-                    pa.array(np.arange(len(x) + 1, dtype=np.int32) * N_FEATURES), flat)], names=["x"])
+                yield pa.RecordBatch.from_arrays([pa.array([features(part.column("text")).tobytes()], pa.binary())], names=["x"])
 
-    t = rows.select("text").mapInArrow(run, "x array<float>").toArrow()
-    x = t.column("x").combine_chunks()
-    return x.flatten().to_numpy(zero_copy_only=False).reshape(-1, N_FEATURES)
+    return written(rows.select("text").mapInArrow(run, "x binary"), "quality-features")
 
 
-def feature_moments(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Mean and standard deviation of each feature over all of ``rows``, of which there is one."""
+def _matrix(x: pa.Scalar) -> np.ndarray:
+    return np.frombuffer(x.as_buffer(), np.float32).reshape(-1, N_FEATURES)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        release_encoder()
-        n, total, square = 0, np.zeros(N_FEATURES), np.zeros(N_FEATURES)
+
+_FAN_IN = 64
+
+
+def summed(table: DataFrame, tasks: int, of: Callable[[np.ndarray], np.ndarray], size: int) -> np.ndarray:
+    """The sum of ``of`` (a vector of ``size``) over the matrices of a feature table."""
+
+    def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(size)
         for batch in batches:
-            for part in slices(batch, most_bytes=2 << 20):
-                x = features(part.column("text")).astype(np.float64)
-                n, total, square = n + len(x), total + x.sum(axis=0), square + (x * x).sum(axis=0)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(N_FEATURES, dtype=np.int32)), pa.array(np.full(N_FEATURES, n)),
-                                          pa.array(total), pa.array(square)], names=["k", "n", "total", "square"])
+            for x in batch.column("x"):
+                total += of(_matrix(x))
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["v"])
 
-    sums = rows.select("text").mapInArrow(run, "k int, n long, total double, square double")
-    t = sums.groupBy("k").agg(F.sum("n").alias("n"), F.sum("total").alias("total"), F.sum("square").alias("square")).orderBy("k").toArrow()
-    n, total, square = (t.column(c).to_numpy() for c in ("n", "total", "square"))
-    mean = total / n
-    return mean, np.sqrt(np.maximum(square / n - mean * mean, 0.0))
+    def together(t: pa.Table) -> pa.Table:
+        t = t.sort_by("v")  # in one order, however they arrive
+        return pa.table({"g": t.column("g")[:1], "v": pa.array([sum(np.frombuffer(v.as_buffer()) for v in t.column("v")).tobytes()], pa.binary())})
+
+    rows = table.mapInArrow(one, "v binary")
+    groups = tasks
+    while groups > _FAN_IN:
+        groups = -(-groups // _FAN_IN)
+        rows = rows.select(F.pmod(F.xxhash64("v"), F.lit(groups)).alias("g"), "v").groupBy("g").applyInArrow(together, "g long, v binary").select("v")
+    return sum((np.frombuffer(r["v"]) for r in sorted(rows.collect(), key=lambda r: bytes(r["v"]))), np.zeros(size))
 
 
 def fold_of(doc_id: Column, folds: int) -> Column:
@@ -202,7 +223,12 @@ def fold_of(doc_id: Column, folds: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % folds
 
 
-def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, max_fit_rows: int = 30_000) -> Network | float:
+def _moments(x: np.ndarray) -> np.ndarray:
+    x = x.astype(np.float64)
+    return np.concatenate([[len(x)], x.sum(axis=0), (x * x).sum(axis=0)])
+
+
+def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, max_fit_rows: int = 30_000, steps: int = 32) -> Network | float:
     """The network, or the prior alone where there is no positive. Rows of fold 0 are not used."""
     train = F.coalesce(fold_of(F.col("doc_id"), folds) != 0, F.lit(False))
     known = (labels.filter(train & F.col("quality").isNotNull()).groupBy("doc_id")
@@ -211,21 +237,24 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, max_fit_rows: int =
     if not stats["n"]:
         return 0.5
     prior = min(0.99, max(0.01, stats["p"] / stats["n"]))
-    place = F.xxhash64(F.col("doc_id"))
-
-    def sample(ids: DataFrame, n: int) -> DataFrame:
-        """About ``max_fit_rows`` of n ids, by hash: the same at every run."""
-        share = min(1.0, max_fit_rows / max(1, n))
-        return ids.filter(F.pmod(place, F.lit(1 << 30)) < int(share * (1 << 30)))
-
+    # about max_fit_rows of the labelled positives, by a hash of the id
+    share = min(1.0, max_fit_rows / max(1, stats["p"] or 0))
+    chosen = known.filter("quality = 1").filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30))).select("doc_id")
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    chosen = sample(known.filter("quality = 1").select("doc_id"), stats["p"] or 0)
-    positive = _features_of(texts.join(F.broadcast(chosen), "doc_id", "left_semi"))  # at most about max_fit_rows ids
-    n_docs = docs.count()
-    unlabelled = _features_of(sample(texts.filter(train), n_docs))
-    if not len(positive) or not len(unlabelled):
+    found = feature_table(texts.join(F.broadcast(chosen), "doc_id", "left_semi")).toArrow().column("x")
+    positive = np.concatenate([np.zeros((0, N_FEATURES), np.float32), *[_matrix(x) for x in found]])
+    table = feature_table(texts.filter(train))
+    tasks = table.rdd.getNumPartitions()
+    total = summed(table, tasks, _moments, 1 + 2 * N_FEATURES)
+    if not len(positive) or not total[0]:
         return prior
-    return fit_nnpu(positive, unlabelled, prior, moments=feature_moments(texts.filter(train)))
+    mean = total[1 : 1 + N_FEATURES] / total[0]
+    std = np.sqrt(np.maximum(total[1 + N_FEATURES :] / total[0] - mean * mean, 0.0))
+
+    def unlabelled(net: Network) -> np.ndarray:
+        return summed(table, tasks, net.sums, 2 + net.weights().size)  # weights go with the tasks
+
+    return fit_nnpu(positive, unlabelled, prior, (mean, std), steps=steps)
 
 
 def scored(docs: DataFrame, model: Network | float, name: str = "quality_score") -> DataFrame:
