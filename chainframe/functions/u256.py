@@ -137,33 +137,42 @@ def limb_sums(col, name: str) -> list[Column]:
     return [F.sum(limb).alias(f"{name}_l{k}") for k, limb in enumerate(to_limbs(col))]
 
 
+def _low_half(p32: Column) -> Column:
+    """32 hex digits, of which the first is 0, as decimal text."""
+    hi, lo = (F.conv(F.substring(p32, i, 16), 16, 10).cast(DEC) for i in (1, 17))
+    return (hi * F.lit(str(_TWO64)).cast(DEC) + lo).cast(DEC).cast("string")
+
+
+def _whole(p64: Column) -> Column:
+    """64 hex digits as decimal text: Horner in limb space over four 64-bit words."""
+    words = F.array(*[F.conv(F.substring(p64, 16 * i + 1, 16), 16, 10).cast(DEC) for i in range(4)])
+    two64, zero = F.lit(str(_TWO64)).cast(DEC), F.lit(0).cast(DEC)
+
+    def step(acc, w):  # acc·2^64 + w, re-normalised; one aggregate, no unrolled copies
+        raw = F.transform(acc, lambda x, i: (x * two64 + F.when(i == 0, w).otherwise(zero)).cast(DEC))
+        return _normalize(raw)["o"]
+
+    limbs = F.aggregate(words, F.array(*[zero] * NLIMBS), step)
+    return _render(F.struct(zero.alias("c"), limbs.alias("o")))
+
+
+def word_to_u256(w: Column) -> Column:
+    """Decimal text of a clean 32-byte word (64 lower-case hex digits, not checked)."""
+    return F.when(F.substring(w, 1, 33) == F.lit("0" * 33), _low_half(F.substring(w, 33, 32))).otherwise(_whole(w))
+
+
 def hex_to_u256(col, strict: bool = False) -> Column:
     """Hex text (optional 0x, any case, up to 64 digits) → canonical decimal string.
 
     Invalid input (non-hex digits, more than 64 digits, empty) gives NULL, or raises with
-    ``strict=True``. Horner in limb space over four 64-bit words, each converted with ``conv``.
+    ``strict=True``.
     """
     c = _c(col)
     body = F.regexp_replace(F.trim(c), r"^0[xX]", "")
     valid = body.rlike(r"^[0-9a-fA-F]{1,64}$")
-    padded = F.lpad(body, 64, "0")
-    words = F.array(*[F.conv(F.substring(padded, 16 * i + 1, 16), 16, 10).cast(DEC) for i in range(4)])
-    two64 = F.lit(str(_TWO64)).cast(DEC)
-    zero = F.lit(0).cast(DEC)
-    init = F.array(*[zero] * NLIMBS)
-
-    def step(acc, w):  # acc·2^64 + w, re-normalised; one aggregate, no unrolled copies
-        raw = F.transform(acc, lambda x, i: (x * two64 + F.when(i == 0, w).otherwise(zero)).cast(DEC))
-        return _normalize(raw)["o"]
-
-    limbs = F.aggregate(words, init, step)
-    slow = _render(F.struct(zero.alias("c"), limbs.alias("o")))
     # fast path: < 2^124 (31 significant hex digits) fits DECIMAL(38,0): hi·2^64 + lo, codegen'd
     sig = F.regexp_replace(body, r"^0+", "")
-    p32 = F.lpad(sig, 32, "0")
-    hi = F.conv(F.substring(p32, 1, 16), 16, 10).cast(DEC)
-    lo = F.conv(F.substring(p32, 17, 16), 16, 10).cast(DEC)
-    fast = (hi * two64 + lo).cast(DEC).cast("string")
+    fast, slow = _low_half(F.lpad(sig, 32, "0")), _whole(F.lpad(body, 64, "0"))
     out = F.when(F.length(sig) <= 31, fast).otherwise(slow)
     if strict:
         return F.when(c.isNull(), None).when(valid, out).otherwise(

@@ -1,10 +1,13 @@
 """ABI decoding as Spark jobs.
 
-The signature lookup (one SQL query per row in the reference) is a de-duplicated equi-join;
-ABIs are parsed once per distinct signature. ABIs of one-word types, arrays of them, bytes and
-string are decoded natively (word slicing, exact hex → decimal, JSON text by concatenation);
-only tuples, fixed arrays and arrays of byte strings are left to a per-row kernel in Python, in
-Arrow batches.
+The signature lookup (one SQL query per row in the reference) is a de-duplicated equi-join.
+Every distinct shape of an ABI (its types and component names) is compiled once, when the plan is
+built, to a program: a flat list of steps (head position, kind), each a column expression whose
+types, positions and masks are constants (``functions/abi_program.py``). Tuples, fixed arrays,
+arrays of byte strings and their nestings are steps like any others. Rows carry the number of
+their program and are decoded in one projection; names and method texts are fragments joined from
+the signature table. A per-row kernel in Python is left for strings and names that JSON must
+escape, names that repeat, and shapes beyond the ``MOST_PROGRAMS`` most frequent.
 """
 
 from __future__ import annotations
@@ -17,9 +20,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from chainframe.functions import abi as K
+from chainframe.functions import abi_program as P
 from chainframe.functions import evm as E
 from chainframe.functions import u256 as U
 from chainframe.operators import derive as DV
+from chainframe.session import stored
 
 
 def dedupe_signatures(sigs: DataFrame) -> DataFrame:
@@ -38,124 +43,85 @@ def signature_join(rows: DataFrame, sigs: DataFrame, address: Column, selector:
     return _attach(rows, dedupe_signatures(sigs), ["abi", "prototype"], address, selector)
 
 
-def _join_parsed(rows: DataFrame, sigs: DataFrame, address: Column, selector: Column) -> DataFrame:
-    return _attach(rows, _parsed(sigs), ["abi", "prototype", "__f", "__native"], address, selector)
-
-
 def _attach(rows: DataFrame, sigs: DataFrame, cols: list[str], address: Column, selector: Column) -> DataFrame:
     s = sigs.select(F.col("address").alias("__sa"), F.col("byte_sign").alias("__sb"), *cols)
     r = rows.withColumn("__ra", address).withColumn("__rs", selector)
     return r.join(s, (r["__ra"] == s["__sa"]) & (r["__rs"] == s["__sb"]), "left").drop("__ra", "__rs", "__sa", "__sb")
 
 
-# --- native decoding ------------------------------------------------------------------------
-# Payload words are sliced from the hex text by position and turned into JSON text by Spark
-# functions. ABIs whose inputs are one-word types, arrays of them, bytes or string take this
-# path; tuples, fixed arrays and arrays of byte strings are left to the Python kernel.
+# --- programs -------------------------------------------------------------------------------
 
-_INPUTS = "array<struct<name: string, type: string, indexed: boolean>>"
-_ABI = f"name string, type string, inputs {_INPUTS}"
-_ONE_WORD = r"(address|bool|u?int[0-9]*|bytes[0-9]+)"
-_NATIVE = rf"^({_ONE_WORD}|bytes|string|(address|bool|u?int[0-9]*)\[\])$"
+MOST_PROGRAMS = 64  # shapes compiled at once; a program is one branch of a projection
+_DEPTH = 5  # nested components that signatures are parsed to
+_NAME = r"^[A-Za-z_$][A-Za-z0-9_$]*$"
 _PLAIN = r"^[ !#-\[\]-~]*$"  # printable ASCII that JSON text holds unescaped
-_PLAIN_HEX = r"^(2[013-9a-f]|[34][0-9a-f]|5[0-9abdef]|6[0-9a-f]|7[0-9a-e])*$"
-
-
-def _quoted(c: Column) -> Column:
-    return F.concat(F.lit('"'), c, F.lit('"'))
-
-
-def _let(value: Column, fn) -> Column:
-    """``fn`` of a value that is written and computed once."""
-    return F.element_at(F.transform(F.array(value), fn), 1)
-
-
-def _int_text(w: Column, bits: Column) -> Column:
-    """Signed word as decimal text; NULL where the sign extension is wrong."""
-    fill = ((256 - bits) / 4).cast("int")
-    negative = F.substring(w, 1, 1) >= "8"
-    body = F.substr(w, fill + 1, F.lit(1)) >= "8"
-    ok = (fill == 0) | (F.substr(w, F.lit(1), fill) == F.when(body, F.repeat(F.lit("f"), fill)).otherwise(F.repeat(F.lit("0"), fill)))
-    below = _let(U.hex_to_u256(F.translate(w, "0123456789abcdef", "fedcba9876543210")),
-                 lambda x: U.limbs_to_string([-l - (1 if k == 0 else 0) for k, l in enumerate(U.to_limbs(x))]))
-    return F.when(ok, F.when(negative, below).otherwise(U.hex_to_u256(w)))
-
-
-def _word_json(t: Column, word: Column) -> Column:
-    """JSON text of a one-word type; NULL for dirty padding or a short word."""
-    zeros = lambda w, at, n: F.substr(w, at, n) == F.repeat(F.lit("0"), n)
-
-    def value(w, size):
-        bits, used = F.coalesce(size, F.lit(256)), F.coalesce(size, F.lit(32)) * 2
-        high = ((256 - bits) / 4).cast("int")
-        text = (F.when(t == "address", F.when(F.substring(w, 1, 24) == F.lit("0" * 24), _quoted(F.concat(F.lit("0x"), F.substring(w, 25, 40)))))
-                .when(t == "bool", F.when(w == F.lit("0" * 64), F.lit("false")).when(w == F.lit("0" * 63 + "1"), F.lit("true")))
-                .when(t.startswith("uint"), F.when((high == 0) | zeros(w, F.lit(1), high), U.hex_to_u256(w)))
-                .when(t.startswith("int"), _int_text(w, bits))
-                .when(t.startswith("bytes"), F.when((used == 64) | zeros(w, used + 1, 64 - used), _quoted(F.substr(w, F.lit(1), used)))))
-        return F.when(F.length(w) == 64, text)
-
-    return _let(word, lambda w: _let(F.regexp_extract(t, "([0-9]+)", 1).try_cast("int"), lambda size: value(w, size)))
 
 
-def _place(word: Column) -> Column:
-    """An offset or length in bytes; NULL unless it is a whole word below 2^31."""
-    return _let(word, lambda w: F.when((F.length(w) == 64) & (F.substring(w, 1, 57) == F.lit("0" * 57)),
-                                       F.conv(F.substring(w, 58, 7), 16, 10).try_cast("int")))
+def _input_type(depth: int) -> str:
+    inner = f", components: array<{_input_type(depth - 1)}>" if depth else ""
+    return f"struct<name: string, type: string, indexed: boolean{inner}>"
 
 
-def _tail_json(t: Column, payload: Column, head: Column) -> Column:
-    """JSON text of bytes, string or T[] whose offset is the word ``head``."""
-    item = F.regexp_replace(t, r"\[\]$", "")
+def _shape(p: Column, depth: int, top: bool) -> Column:
+    """A parameter without its own name at the top: what a program depends on."""
+    parts = [p["type"].alias("t")] + ([] if top else [p["name"].alias("n")])
+    if depth:
+        parts.append(F.transform(p["components"], lambda c: _shape(c, depth - 1, False)).alias("c"))
+    return F.struct(*parts)
 
-    def array(at, n):
-        items = F.transform(F.sequence(F.lit(0), n - 1), lambda k: _word_json(item, F.substr(payload, at + 64 + k * 64, F.lit(64))))
-        joined = _let(items, lambda x: F.when(F.forall(x, lambda v: v.isNotNull()), F.concat(F.lit("["), F.array_join(x, ", "), F.lit("]"))))
-        return F.when(n == 0, F.lit("[]")).when(n <= (F.length(payload) - at - 63) / 64, joined)
 
-    def text(at, n):
-        def shown(raw):
-            plain = F.when(raw.rlike(_PLAIN_HEX), _quoted(F.decode(F.unhex(raw), "UTF-8")))
-            return F.when(F.length(raw) == n * 2, F.when(t == "bytes", _quoted(raw)).otherwise(plain))
+def _params(shape: list | None) -> list[dict]:
+    return [{"type": p.get("t"), "name": p.get("n"), "components": _params(p.get("c"))} for p in shape or []]
 
-        return F.when(n <= (F.length(payload) - at - 63) / 2, _let(F.substr(payload, at + 64, n * 2), shown))
-
-    # at: position of the length word in the hex text
-    return _let(_place(head) * 2 + 1, lambda at: _let(
-        _place(F.substr(payload, at, F.lit(64))), lambda n: F.when(t.endswith("[]"), array(at, n)).otherwise(text(at, n))))
 
+def _quoted(c: Column) -> Column:
+    return F.concat(F.lit('"'), c, F.lit('"'))
 
-def _values(inputs: Column, payload: Column) -> Column:
-    """JSON texts of a payload's inputs (NULL: not decodable); every native type has one head word."""
-    def value(p, i):
-        return _let(F.substr(payload, i * 64 + 1, F.lit(64)), lambda head: F.when(
-            p["type"].rlike(f"^{_ONE_WORD}$"), _word_json(p["type"], head)).otherwise(_tail_json(p["type"], payload, head)))
 
-    return F.transform(inputs, value)
+def _parsed(sigs: DataFrame, events: bool) -> DataFrame:
+    """One row per (address, byte_sign) with its ABI's name, type, inputs (for events the indexed
+    ones first), shape and whether names are plain and differ."""
+    inputs_type = f"array<{_input_type(_DEPTH)}>"
+    s = dedupe_signatures(sigs).withColumn("__f", F.from_json("abi", f"name string, type string, inputs {inputs_type}"))
+    inputs = F.coalesce(F.col("__f.inputs"), F.array().cast(inputs_type))
+    if events:
+        indexed = lambda p: F.coalesce(p["indexed"], F.lit(False))
+        inputs = F.concat(F.filter(inputs, indexed), F.filter(inputs, lambda p: ~indexed(p)))
+    s = s.withColumn("__inputs", inputs).withColumn("__names", F.col("__inputs.name"))
+    plain = F.forall("__names", lambda n: F.coalesce(n.rlike(_NAME) & ~n.startswith("__idx_"), F.lit(False)))
+    ok = (F.col("__f.name").rlike(r"^[A-Za-z0-9_$]+$") & plain & (F.size(F.array_distinct("__names")) == F.size("__names"))
+          & F.coalesce(F.col("prototype"), F.lit("")).rlike(_PLAIN))
+    shape = F.to_json(F.transform("__inputs", lambda p: _shape(p, _DEPTH, True)))
+    return s.withColumn("__plain", F.coalesce(ok, F.lit(False))).withColumn("__shape", F.when(F.col("__plain"), shape))
+
+
+def _compiled(parsed: DataFrame, typed: bool) -> tuple[DataFrame, list[P.Program], bool]:
+    """``parsed`` with ``__prog`` (NULL: none) and ``__types`` (the method's types), the programs,
+    and whether any row may need the kernel."""
+    spark = parsed.sparkSession
+    counts = parsed.filter("__shape is not null").groupBy("__shape").agg(F.count(F.lit(1)).alias("c"))
+    shapes = [r["__shape"] for r in counts.orderBy(F.desc("c"), "__shape").limit(MOST_PROGRAMS).collect()]
+    programs = [p for p in (P.compile_program(_params(json.loads(x)), typed, shape=x) for x in shapes) if p is not None]
+    table = spark.createDataFrame([(p.shape, k, p.types) for k, p in enumerate(programs)], "__shape string, __prog int, __types string")
+    out = parsed.join(F.broadcast(table), "__shape", "left")
+    others = out.filter("__prog is null").limit(1).count() > 0
+    return out, programs, others or any(p.strings for p in programs)
+
+
+def _fragments(method: Column, aliases: bool) -> list[Column]:
+    """``__head`` and ``__frags``: the JSON text around the values, once a signature."""
+    head = F.concat(F.lit('{"method": "'), method, F.lit('", "parameter": {'))
+    frags = F.transform("__names", lambda n: F.concat(_quoted(n), F.lit(": ")))
+    if aliases:
+        frags = F.concat(frags, F.transform("__names", lambda n, i: F.concat(F.lit('"__idx_'), i.cast("string"), F.lit('": '))))
+    return [head.alias("__head"), frags.alias("__frags")]
 
 
-def _document(method: Column, names: Column, values: Column, aliases: bool) -> Column:
-    """``{"method": ..., "parameter": {...}}`` as the JSON library prints it; NULL if a value is."""
-    pairs = F.zip_with(names, values, lambda n, v: F.concat(_quoted(n), F.lit(": "), v))
-    if aliases:
-        pairs = F.concat(pairs, F.transform(values, lambda v, i: F.concat(F.lit('"__idx_'), i.cast("string"), F.lit('": '), v)))
-    return F.when(F.forall(values, lambda v: v.isNotNull()),
-                  F.concat(F.lit('{"method": "'), method, F.lit('", "parameter": {'), F.array_join(pairs, ", "), F.lit("}}")))
-
-
-def _parsed(sigs: DataFrame) -> DataFrame:
-    """Signatures with the parsed ABI ``__f`` and whether the native path may take it, once per
-    distinct signature: native types, distinct plain names."""
-    f = F.from_json("abi", _ABI)
-    s = dedupe_signatures(sigs).withColumn("__f", f)
-    inputs = F.coalesce(F.col("__f.inputs"), F.array().cast(_INPUTS))
-    s = s.withColumn("__f", F.struct(F.col("__f.name").alias("name"), F.col("__f.type").alias("type"), inputs.alias("inputs")))
-    names = F.col("__f.inputs.name")
-    plain = F.forall("__f.inputs", lambda p: F.coalesce(
-        p["type"].rlike(_NATIVE) & p["name"].rlike(r"^[A-Za-z_$][A-Za-z0-9_$]*$") & ~p["name"].startswith("__idx_"), F.lit(False)))
-    ok = (F.col("__f.name").rlike(r"^[A-Za-z0-9_$]+$") & plain & (F.size(F.array_distinct(names)) == F.size(names))
-          & F.coalesce(F.col("prototype"), F.lit("")).rlike(_PLAIN))
-    return s.withColumn("__native", F.coalesce(ok, F.lit(False)))
+def _document(values: Column, aliases: bool) -> Column:
+    """The JSON text of a row; NULL if a value is."""
+    every = F.concat(values, values) if aliases else values
+    body = F.array_join(F.zip_with("__frags", every, lambda f, v: F.concat(f, v)), ", ")
+    return F.when(F.forall(values, lambda v: v.isNotNull()), F.concat("__head", body, F.lit("}}")))
 
 
 def _clean_hex(c: Column) -> Column:
@@ -174,39 +140,52 @@ def _safe(fn, on_error: str):
     return run
 
 
-def _decoded(j: DataFrame, native: Column, text: Column, kernel, args: list[str], on_error: str) -> DataFrame:
-    """``decoded`` of joined rows: ``text`` where ``native`` (``{}`` or an error where it is NULL),
-    the Python kernel in Arrow batches for the rest; also for rows with strings that need JSON
-    escapes, whose text is NULL too."""
-    j = j.withColumn("__text", text)
-    strings = F.exists(F.coalesce("__f.inputs", F.array().cast(_INPUTS)), lambda p: p["type"] == "string")
-    native, text = native & (F.col("__text").isNotNull() | ~strings), F.col("__text")
+def _branches(cases: list[tuple[Column, Column]]) -> Column:
+    """The value of the first case that holds, NULL if none."""
+    out = F.lit(None).cast("array<string>")
+    for condition, value in reversed(cases):
+        out = F.when(condition, value).otherwise(out)
+    return out
+
+
+def _decoded(j: DataFrame, none: Column, known: Column, texts: Column, strings: Column, needs_kernel: bool, kernel, args: list[str],
+             on_error: str, keep: list[str]) -> DataFrame:
+    """``decoded``: ``{}`` where ``none``; where ``known`` the text of the program (``{}`` or an error
+    where it is NULL); the Python kernel in Arrow batches for the rest, also for NULL texts of
+    programs with ``strings``. Only where some signature may need the kernel are rows stored, once,
+    and taken apart."""
     failed = F.lit("{}") if on_error != "raise" else F.raise_error(F.lit("not decodable by its ABI")).cast("string")
+    if not needs_kernel:
+        return j.withColumn("decoded", F.when(none, F.lit("{}")).otherwise(F.coalesce(texts, failed))).select(*keep, "decoded")
+    native = none | (F.coalesce(known, F.lit(False)) & (F.col("__text").isNotNull() | ~strings))
+    j = j.withColumn("__text", F.when(none, F.lit("{}")).when(known, texts))
+    j = stored(j.select(*dict.fromkeys([*keep, *args]), "__text", native.alias("__native")), "abi-rows")
     run = _safe(kernel, on_error)
 
     @F.pandas_udf(T.StringType())
     def udf(*cols: pd.Series) -> pd.Series:
         return pd.Series([run(*row) for row in zip(*cols)], dtype=object)
 
-    own = j.filter(native).withColumn("decoded", F.coalesce(text, failed))
-    rest = j.filter(~native).withColumn("decoded", udf(*[F.col(c) for c in args]))
-    return own.unionByName(rest).drop("__f", "__native", "__p", "__v", "__text")
+    own = j.filter("__native").withColumn("decoded", F.coalesce("__text", failed))
+    rest = j.filter("not __native").withColumn("decoded", udf(*[F.col(c) for c in args]))
+    return own.unionByName(rest).select(*keep, "decoded")
 
 
 def decode_inputs(txs: DataFrame, sigs: DataFrame, *, mode: str = "typed", on_error: str = "empty") -> DataFrame:
     """Decoded transaction input as JSON text (``{}`` when no signature or on error
     in safe mode). ``mode``: ``typed`` (nested, collapsed tuple types), ``indexed`` (flat with
     ``__idx_n`` aliases) or ``lookup`` (indexed, method text = stored prototype)."""
-    j = _join_parsed(txs, sigs, F.col("to_address"), F.substring("input", 1, 10))
-    inputs = F.col("__f.inputs")
-    types = F.transform(inputs, lambda p: p["type"])
-    named = F.transform(inputs, lambda p: F.concat(p["type"], F.lit(" "), p["name"]))
-    method = F.concat(F.col("__f.name"), F.lit("("), F.array_join(types, ",") if mode == "typed" else F.array_join(named, ", "), F.lit(")"))
+    typed, aliases = mode == "typed", mode != "typed"
+    parsed, programs, needs_kernel = _compiled(_parsed(sigs, events=False), typed)
+    named = F.array_join(F.transform("__inputs", lambda p: F.concat(p["type"], F.lit(" "), p["name"])), ", ")
+    method = F.concat(F.col("__f.name"), F.lit("("), F.col("__types") if typed else named, F.lit(")"))
     if mode == "lookup":
         method = F.coalesce("prototype", method)
+    s = parsed.select("address", "byte_sign", "abi", "prototype", "__prog", *_fragments(method, aliases))
+    j = _attach(txs, s, ["abi", "prototype", "__prog", "__head", "__frags"], F.col("to_address"), F.substring("input", 1, 10))
     j = j.withColumn("__p", _clean_hex(F.expr("substring(input, 11)")))
-    j = j.withColumn("__v", F.when(F.col("__native"), _values(inputs, F.col("__p"))))
-    text = _document(method, F.transform(inputs, lambda p: p["name"]), F.col("__v"), aliases=mode != "typed")
+    payload, at = F.col("__p"), F.col("__prog")
+    j = j.withColumn("__v", _branches([(at == k, P.arguments(p, payload)) for k, p in enumerate(programs)]))
     none = F.col("abi").isNull() | F.col("input").isNull()
 
     def kernel(abi, data, proto):
@@ -214,41 +193,46 @@ def decode_inputs(txs: DataFrame, sigs: DataFrame, *, mode: str = "typed", on_er
             return K.decode_input_typed(abi, data)
         return K.decode_input_indexed(abi, data, proto if mode == "lookup" else None)
 
-    return _decoded(j, none | F.col("__native"), F.when(none, F.lit("{}")).otherwise(text), kernel, ["abi", "input", "prototype"], on_error)
+    strings = at.isin([k for k, p in enumerate(programs) if p.strings])
+    return _decoded(j, none, at.isNotNull(), _document(F.col("__v"), aliases), strings, needs_kernel, kernel,
+                    ["abi", "input", "prototype"], on_error, [*txs.columns, "abi", "prototype"])
 
 
 def decode_logs(logs: DataFrame, sigs: DataFrame, *, on_error: str = "empty", lookup: bool = False) -> DataFrame:
     """Decoded event log as JSON text; signatures by (address, topics_0). The lookup
     variant uses the stored prototype and, like the reference, does not check ``type``. Indexed
     inputs come first; as many inputs as there are further topics are read from them."""
-    j = _join_parsed(logs, sigs, F.col("address"), F.element_at(E.split_topics(F.col("topics")), 1))
-    j = j.withColumn("__f", F.when(F.col("__f").isNotNull(), F.col("__f").withField("inputs", F.concat(
-        F.filter("__f.inputs", lambda p: F.coalesce(p["indexed"], F.lit(False))),
-        F.filter("__f.inputs", lambda p: ~F.coalesce(p["indexed"], F.lit(False)))))))
-    inputs = F.col("__f.inputs")
-    topics = E.split_topics(F.col("topics"))
-    words = F.slice(topics, F.lit(2), F.greatest(F.size(topics) - 1, F.lit(0)))
-    n = F.least(F.size(words), F.size(inputs))
-    in_topics, in_data = F.slice(inputs, F.lit(1), n), F.slice(inputs, n + 1, F.size(inputs) - n)
-    from_topics = F.zip_with(in_topics, F.slice(words, F.lit(1), n), lambda p, w: _word_json(p["type"], _clean_hex(F.substring(w, 3, 1 << 20))))
-    j = j.withColumn("__p", _clean_hex(F.expr("substring(data, 3)")))
-    j = j.withColumn("__v", F.when(F.col("__native") & F.col("__p").isNotNull(), F.concat(from_topics, _values(in_data, F.col("__p")))))
-    named = F.transform(inputs, lambda p: F.concat(p["type"], F.lit(" "), p["name"]))
-    method = F.concat(F.col("__f.name"), F.lit("("), F.array_join(named, ", "), F.lit(")"))
+    parsed, programs, needs_kernel = _compiled(_parsed(sigs, events=True), typed=False)
+    named = F.array_join(F.transform("__inputs", lambda p: F.concat(p["type"], F.lit(" "), p["name"])), ", ")
+    method = F.concat(F.col("__f.name"), F.lit("("), named, F.lit(")"))
     if lookup:
         method = F.coalesce("prototype", method)
-    text = _document(method, F.transform(inputs, lambda p: p["name"]), F.col("__v"), aliases=True)
+    s = parsed.select("address", "byte_sign", "abi", "prototype", "__prog", F.col("__f.type").alias("__kind"), *_fragments(method, True))
+    topics = E.split_topics(F.col("topics"))
+    j = _attach(logs, s, ["abi", "prototype", "__prog", "__kind", "__head", "__frags"], F.col("address"), F.element_at(topics, 1))
+    j = j.withColumn("__p", _clean_hex(F.expr("substring(data, 3)")))
+    j = j.withColumn("__w", F.transform(topics, lambda w: _clean_hex(F.substring(w, 3, 1 << 20))))
+    payload, at, words = F.col("__p"), F.col("__prog"), F.col("__w")
+    cases, most = [], 3  # further topics of a log: at most three
+    for k, p in enumerate(programs):
+        for n in range(min(most, len(p.params)) + 1):
+            # the last case takes all the topics there are
+            enough = F.size(words) - 1 >= n if n == len(p.params) else F.size(words) - 1 == n
+            cases.append(((at == k) & enough, P.event(p, [F.get(words, i + 1) for i in range(n)], payload)))
+    j = j.withColumn("__v", _branches(cases))
+    text = _document(F.col("__v"), True)
     if not lookup:
-        text = F.when(F.col("__f.type") == "event", text).otherwise(F.lit("{}"))
+        text = F.when(F.col("__kind") == "event", text).otherwise(F.lit("{}"))
     none = F.col("abi").isNull() | F.col("topics").isNull() | F.col("data").isNull()
-    # a dynamic type in a topic is a hash: left to the kernel's rules
-    native = F.col("__native") & F.forall(in_topics, lambda p: p["type"].rlike(f"^{_ONE_WORD}$"))
+    sizes = F.create_map(*[x for k, p in enumerate(programs) for x in (F.lit(k), F.lit(len(p.params)))]) if programs else None
+    known = at.isNotNull() & ((F.size(words) - 1 <= most) | (sizes[at] <= most)) if programs else F.lit(False)
 
     def kernel(abi, topics, data, proto):
         return K.decode_log(abi, topics, data, proto if lookup else None, check_type=not lookup)
 
-    return _decoded(j, none | F.coalesce(native, F.lit(False)), F.when(none, F.lit("{}")).otherwise(text), kernel,
-                    ["abi", "topics", "data", "prototype"], on_error)
+    strings = at.isin([k for k, p in enumerate(programs) if p.strings]) | ~known
+    return _decoded(j, none, known, text, strings, needs_kernel or any(len(p.params) > most for p in programs), kernel,
+                    ["abi", "topics", "data", "prototype"], on_error, [*logs.columns, "abi", "prototype"])
 
 
 def decode_coverage(decoded: DataFrame, by: str = "byte_sign_seen") -> DataFrame:

@@ -109,16 +109,30 @@ NATIVE_CASES = [
     (["bytes", "string", "uint16[]"], [b"\x00\xff" * 40, "plain text (ASCII) {}", [1, 2, 65535]]),
     (["address[]", "int32[]", "bool[]", "bytes"], [["0x" + "01" * 20], [-1, 5], [], b""]),
     (["string", "uint8"], ["quote \" and back\\slash", 3]),  # left to the kernel
-    (["(address,uint256)", "bytes32[]"], [("0x" + "02" * 20, 9), [b"\x01" * 32, b"\x02" * 32]]),  # left to the kernel
+    (["(address,uint256)", "bytes32[]"], [("0x" + "02" * 20, 9), [b"\x01" * 32, b"\x02" * 32]]),
+    (["(address,(bool,bytes)[],uint8)", "int24"], [("0x" + "03" * 20, [(True, b"ab"), (False, b"")], 7), -5]),
+    (["uint256[2][]", "bytes[]", "int128[3]"], [[[1, 2 ** 255], [3, 4]], [b"\x05" * 33, b"", b"z"], [-1, 0, 2 ** 127 - 1]]),
+    (["bytes4[2]", "(uint8,(uint8,bytes3))[2]", "bool[9]"], [[b"abcd", b"efgh"], [(1, (2, b"xyz")), (3, (4, b"abc"))], [True] * 9]),
+    (["uint8[][]", "(string,string[])"], [[[1], [], [2, 3]], ("in a tuple", ["a", "b c"])]),
+    (["bytes2[][]", "int64", "int56"], [[[b"ab"]], -(2 ** 63), 2 ** 55 - 1]),
+    ([], []),
 ]
 
 
+def _tuple(name, t):
+    """A parameter of a canonical type; tuples with named components."""
+    if not t.startswith("("):
+        return {"name": name, "type": t}
+    end = t.rindex(")") + 1
+    return {"name": name, "type": "tuple" + t[end:], "components": [_tuple(f"c{k}", x) for k, x in enumerate(K._split_tuple(t[:end]))]}
+
+
 def _abi(types):
     inputs = []
     for i, t in enumerate(types):
         p = {"name": f"p{i}", "type": t}
         if t.startswith("("):
-            p = {"name": f"p{i}", "type": "tuple", "components": [{"name": f"c{k}", "type": x} for k, x in enumerate(K._split_tuple(t))]}
+            p = _tuple(f"p{i}", t)
         inputs.append(p)
     return json.dumps({"name": "f", "type": "function", "inputs": inputs})
 
@@ -150,6 +164,61 @@ def test_native_decoding_equals_the_kernel(spark):
             assert got[h] == want, (mode, h, data)
 
 
+def test_only_escapes_repeated_names_and_rare_shapes_reach_the_kernel(spark, monkeypatch):
+    from chainframe.operators import abi_jobs as AJ
+
+    def plan(cases, names=None):
+        sigs = [(f"0x{n:040x}", "0x12345678", names or _abi(types), "f(...)") for n, (types, _) in enumerate(cases)]
+        s = spark.createDataFrame(sigs, "address string, byte_sign string, abi string, prototype string")
+        t = spark.createDataFrame([("h", "0x" + "0" * 40, "0x12345678")], "txhash string, to_address string, input string")
+        return AJ.decode_inputs(t, s)._jdf.queryExecution().executedPlan().toString()
+
+    without = [c for c in NATIVE_CASES if not any("string" in t for t in c[0])]
+    assert "ArrowEvalPython" not in plan(without) and len(without) > 7
+    assert "ArrowEvalPython" in plan([(["string"], [""])])
+    twice = json.dumps({"name": "f", "inputs": [{"name": "a", "type": "bool"}] * 2})
+    assert "ArrowEvalPython" in plan([(["bool"], [True])], twice)
+    monkeypatch.setattr(AJ, "MOST_PROGRAMS", 2)
+    assert "ArrowEvalPython" in plan(without)
+
+
+def test_events_equal_the_kernel(spark):
+    from chainframe.operators import abi_jobs as AJ
+
+    word = "0x" + "00" * 12 + "aa" * 20
+    events = {
+        "plain": [("from", "address", True), ("to", "address", True), ("value", "uint256", False)],
+        "hashed": [("s", "string", True), ("xs", "uint8[]", True), ("n", "int16", False), ("b", "bytes", False)],
+        "nested": [("rows", "uint256[2][]", False), ("who", "address", True)],
+        "four": [("a", "bool", False), ("b", "bool", False), ("c", "bool", False), ("d", "uint8", False)],
+        "none": [],
+    }
+    bodies = {"plain": enc(["uint256"], [7]), "hashed": enc(["int16", "bytes"], [-3, b"xy"]), "nested": enc(["uint256[2][]"], [[[1, 2]]]),
+              "four": enc(["bool"] * 3 + ["uint8"], [True, False, True, 9]), "none": b""}
+    sigs, logs = [], []
+    for k, (name, inputs) in enumerate(events.items()):
+        kind = "event" if name != "four" else "function"
+        abi = json.dumps({"name": name, "type": kind, "inputs": [{"name": n, "type": t, "indexed": i} for n, t, i in inputs]})
+        sigs.append((f"0x{k}", "0xdd", abi, f"{name}(...)"))
+        for n in range(6):
+            for data in ("0x" + bodies[name].hex(), "0x", "0xzz", "0x" + "00" * 160):
+                for zero in (word, "0x" + "00" * 32, "0x12"):
+                    logs.append((len(logs), f"0x{k}", "[" + ",".join(["0xdd", *[zero] * n]) + "]", data))
+    logs.append((len(logs), "0x0", None, "0x"))
+    s = spark.createDataFrame(sigs, "address string, byte_sign string, abi string, prototype string")
+    x = spark.createDataFrame(logs, "id long, address string, topics string, data string")
+    abi_of = {a: (b, p) for a, _, b, p in sigs}
+    for lookup in (False, True):
+        got = {r.id: r.decoded for r in AJ.decode_logs(x, s, lookup=lookup).collect()}
+        for i, address, topics, data in logs:
+            abi, proto = abi_of[address]
+            try:
+                want = K.decode_log(abi, topics, data, proto if lookup else None, check_type=not lookup)
+            except Exception:  # noqa: BLE001
+                want = "{}"
+            assert got[i] == want, (lookup, address, topics, data)
+
+
 def test_byte_arrays_are_lists():
     out = json.loads(K.decode_input_typed(_abi(["bytes32[]", "bytes[]"]), "0x12345678" + enc(
         ["bytes32[]", "bytes[]"], [[b"\x01" * 32, b"\x02" * 32], [b"\x03" * 33]]).hex()))
