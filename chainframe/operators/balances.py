@@ -3,14 +3,16 @@
 Plan shape (no ``count(DISTINCT …)`` Expand, no per-address task):
 
     role fan-out (explode out/vin[/cnb/fee])
-      → group (address, token, blknum, txhash)   per-tx partials: per role xfers, limb sums, ts
-      → group (address, token, blknum)           a block and a tx count once per role
-      → group (address, token)                   sums, first and last
+      → group (address, token, role, blknum, txhash)   per-tx partials: xfers, limb sums, ts
+      → group (address, token, role, blknum)           a block and a tx count once per role
+      → group (address, token, role)                   sums, first and last
+      → group (address, token)                         roles to columns: one row a key and role
       → carry pass → exact decimal strings
 
-Every stage is an algebraic aggregate with the roles as conditional sums, so Spark combines
-map-side before each shuffle and an address holding a third of all transfers costs one partial
-row per task in the last stage.
+Every stage is an algebraic aggregate, so Spark combines map-side before each shuffle and an
+address holding a third of all transfers costs one partial row per task in the later stages. Rows
+stay narrow (one role each) until the last one. History needs no transactions where it counts
+transfers only: one aggregation by block.
 
 ``value = vin - out`` (tokens) and ``cnb + vin - out - fee`` (native) are exact signed
 256-bit results. ``balance`` (fetched from a node) is not computed here and stays NULL.
@@ -40,52 +42,46 @@ def _fan_out(df: DataFrame, roles: dict[str, str], keys: list[str]) -> DataFrame
         .filter(F.col("address").isNotNull())
 
 
-def tx_partials(rows: DataFrame, keys: list[str], roles: list[str]) -> DataFrame:
-    """(address, *keys, blknum, txhash) partials of role rows: per role r the number of
-    transfers ``r_n``, limb sums ``r_v<k>`` and first and last time. Partials of any split of
-    the input add up, so they can be stored and merged."""
+def tx_partials(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """(address, *keys, role, blknum, txhash) partials of role rows: the number of transfers
+    ``n``, limb sums ``v<k>`` and first and last time. Partials of any split of the input add up,
+    so they can be stored and merged."""
     limbs = U.to_limbs(F.col("value"))
     flat = rows.select("address", *keys, "role", "blknum", "txhash", "block_timestamp",
                        *[F.coalesce(l, F.lit(0).cast(U.DEC)).alias(f"__v{k}") for k, l in enumerate(limbs)])
-    aggs = []
-    for r in roles:
-        mine = F.col("role") == r
-        aggs += [F.count_if(mine).alias(f"{r}_n"), F.min(F.when(mine, F.col("block_timestamp"))).alias(f"{r}_t1"),
-                 F.max(F.when(mine, F.col("block_timestamp"))).alias(f"{r}_tn")]
-        aggs += [F.sum(F.when(mine, F.col(f"__v{k}")).otherwise(F.lit(0).cast(U.DEC))).cast(U.DEC).alias(f"{r}_v{k}") for k in range(NL)]
-    return flat.groupBy("address", *keys, "blknum", "txhash").agg(*aggs)
+    return flat.groupBy("address", *keys, "role", "blknum", "txhash").agg(
+        F.count(F.lit(1)).alias("n"), F.min("block_timestamp").alias("t1"), F.max("block_timestamp").alias("tn"),
+        *[F.sum(f"__v{k}").cast(U.DEC).alias(f"v{k}") for k in range(NL)])
 
 
-def merge_partials(partials: DataFrame, keys: list[str], roles: list[str]) -> DataFrame:
-    """One row per (address, *keys, blknum, txhash) of partials that several loads hold."""
-    aggs = []
-    for r in roles:
-        aggs += [F.sum(f"{r}_n").alias(f"{r}_n"), F.min(f"{r}_t1").alias(f"{r}_t1"), F.max(f"{r}_tn").alias(f"{r}_tn")]
-        aggs += [F.sum(f"{r}_v{k}").cast(U.DEC).alias(f"{r}_v{k}") for k in range(NL)]
-    return partials.groupBy("address", *keys, "blknum", "txhash").agg(*aggs)
+def merge_partials(partials: DataFrame, keys: list[str]) -> DataFrame:
+    """One row per (address, *keys, role, blknum, txhash) of partials that several loads hold."""
+    return partials.groupBy("address", *keys, "role", "blknum", "txhash").agg(
+        F.sum("n").alias("n"), F.min("t1").alias("t1"), F.max("tn").alias("tn"),
+        *[F.sum(f"v{k}").cast(U.DEC).alias(f"v{k}") for k in range(NL)])
 
 
-def block_stats(partials: DataFrame, keys: list[str], roles: list[str]) -> DataFrame:
-    """(address, *keys, blknum): per role whether it occurs, txs, transfers, limb sums, times."""
-    aggs = []
-    for r in roles:
-        has = F.col(f"{r}_n") > 0
-        aggs += [F.max(F.when(has & F.col("blknum").isNotNull(), 1).otherwise(0)).alias(f"{r}_blocks"),
-                 F.count_if(has & F.col("txhash").isNotNull()).alias(f"{r}_txs"), F.sum(f"{r}_n").alias(f"{r}_xfers"),
-                 F.min(f"{r}_t1").alias(f"{r}_t1"), F.max(f"{r}_tn").alias(f"{r}_tn")]
-        aggs += [F.sum(f"{r}_v{k}").cast(U.DEC).alias(f"{r}_v{k}") for k in range(NL)]
-    return partials.groupBy("address", *keys, "blknum").agg(*aggs)
+def block_stats(partials: DataFrame, keys: list[str]) -> DataFrame:
+    """(address, *keys, role, blknum): blocks (1, or 0 without a number), txs, xfers, limb sums,
+    times."""
+    return partials.groupBy("address", *keys, "role", "blknum").agg(
+        F.count("txhash").alias("txs"), F.sum("n").alias("xfers"), F.min("t1").alias("t1"), F.max("tn").alias("tn"),
+        *[F.sum(f"v{k}").cast(U.DEC).alias(f"v{k}") for k in range(NL)]) \
+        .withColumn("blocks", F.when(F.col("blknum").isNotNull(), 1).otherwise(0))
 
 
 def _totals(partials: DataFrame, keys: list[str], roles: list[str]) -> DataFrame:
-    aggs = [F.max("blknum").alias("blknum")]
+    by_role = block_stats(partials, keys).groupBy("address", *keys, "role").agg(
+        *[F.sum(m).alias(m) for m in ("blocks", "txs", "xfers")], F.min("t1").alias("t1"), F.max("tn").alias("tn"),
+        F.min("blknum").alias("b1"), F.max("blknum").alias("bn"), *[F.sum(f"v{k}").cast(U.DEC).alias(f"v{k}") for k in range(NL)])
+    aggs = [F.max("bn").alias("blknum")]
     for r in roles:
-        aggs += [F.sum(f"{r}_{m}").alias(f"{r}_{m}") for m in ("blocks", "txs", "xfers")]
-        aggs += [F.sum(f"{r}_v{k}").cast(U.DEC).alias(f"__{r}_v{k}") for k in range(NL)]
-        seen = F.when(F.col(f"{r}_xfers") > 0, F.col("blknum"))
-        aggs += [F.min(f"{r}_t1").alias(f"__{r}_t1"), F.max(f"{r}_tn").alias(f"__{r}_tn"),
-                 F.min(seen).alias(f"{r}_1th_blknum"), F.max(seen).alias(f"{r}_nth_blknum")]
-    return block_stats(partials, keys, roles).groupBy("address", *keys).agg(*aggs)
+        mine = lambda c: F.max(F.when(F.col("role") == r, F.col(c)))  # noqa: E731, B023  one row a role
+        aggs += [F.coalesce(mine(m), F.lit(0)).alias(f"{r}_{m}") for m in ("blocks", "txs", "xfers")]
+        aggs += [F.coalesce(mine(f"v{k}"), F.lit(0).cast(U.DEC)).alias(f"__{r}_v{k}") for k in range(NL)]
+        aggs += [mine("t1").alias(f"__{r}_t1"), mine("tn").alias(f"__{r}_tn"),
+                 mine("b1").alias(f"{r}_1th_blknum"), mine("bn").alias(f"{r}_nth_blknum")]
+    return by_role.groupBy("address", *keys).agg(*aggs)
 
 
 def balances_of(partials: DataFrame, keys: list[str], roles: list[str], plus: list[str], minus: list[str]) -> DataFrame:
@@ -105,7 +101,7 @@ def balances_of(partials: DataFrame, keys: list[str], roles: list[str], plus: li
 
 def token_partials(xfers: DataFrame) -> DataFrame:
     rows = _fan_out(xfers, {"out": "from_address", "vin": "to_address"}, ["token_address"])
-    return tx_partials(rows, ["token_address"], ["out", "vin"])
+    return tx_partials(rows, ["token_address"])
 
 
 def token_balances(xfers: DataFrame, tokens: DataFrame | None = None, *, upto: int | None = None) -> DataFrame:
@@ -149,7 +145,7 @@ def native_roles(traces: DataFrame, txs: DataFrame) -> DataFrame:
 
 def native_balances(traces: DataFrame, txs: DataFrame) -> DataFrame:
     """A10: ``value = cnb + vin - out - fee`` per address, with per-role activity stats."""
-    out = balances_of(tx_partials(native_roles(traces, txs), [], NATIVE_ROLES), [], NATIVE_ROLES, ["cnb", "vin"], ["out", "fee"])
+    out = balances_of(tx_partials(native_roles(traces, txs), []), [], NATIVE_ROLES, ["cnb", "vin"], ["out", "fee"])
     keep = [c for c in out.columns if not c.startswith("fee_") or c == "fee_value"]
     return out.select(*keep).withColumn("balance", F.lit(None).cast("string"))
 
@@ -160,38 +156,51 @@ def fee_by_sender(txs: DataFrame) -> DataFrame:
     return txs.groupBy("from_address").agg(F.sum(fee).cast("decimal(38,0)").cast("string").alias("fee_value"))
 
 
-def _running(partials: DataFrame, keys: list[str], roles: list[str], width: int) -> DataFrame:
-    per_block = block_stats(partials, keys, roles)
-    cols = [f"{r}_{m}" for r in roles for m in ("blocks", "txs", "xfers", *[f"v{k}" for k in range(NL)])]
+def _running(per_block: DataFrame, keys: list[str], cols: list[str], width: int) -> DataFrame:
     # the carry reads these rows a second time: store them instead of aggregating twice
     per_block = stored(per_block.select("address", *keys, "blknum", *cols), "block-stats")
     return bucketed_running_sum(per_block, ["address", *keys], "blknum", cols, width=width)
 
 
-def _cum_value(plus: list[str], minus: list[str]) -> Column:
-    zero = F.lit(0).cast(U.DEC)
-    return U.limbs_to_string([sum((F.col(f"cum_{r}_v{k}") for r in plus), zero) - sum((F.col(f"cum_{r}_v{k}") for r in minus), zero)
-                              for k in range(NL)])
+def _limbs(names: list[str]) -> list[Column]:
+    return [F.col(c) for c in names]
 
 
 def balance_history(xfers: DataFrame, *, width: int = 1_000_000) -> DataFrame:
     """Running totals per (address, token) at every block where it changed.
 
-    Per-block partials first (one row per address, token, block), then bucketed running sums
-    per limb, so a hot address is split by block range."""
-    run = _running(token_partials(xfers), ["token_address"], ["out", "vin"], width)
+    Per-block transfers and net limbs first (one row per address, token, block), then bucketed
+    running sums of those alone, so a hot address is split by block range."""
+    rows = _fan_out(xfers, {"out": "from_address", "vin": "to_address"}, ["token_address"])
+    sign = F.when(F.col("role") == "vin", 1).otherwise(-1)
+    net = [f"net{k}" for k in range(NL)]
+    limbs = [F.coalesce(l, F.lit(0).cast(U.DEC)) for l in U.to_limbs(F.col("value"))]
+    flat = rows.select("address", "token_address", "role", "blknum",
+                       *[F.when(sign > 0, l).otherwise(-l).alias(c) for c, l in zip(net, limbs)])
+    per_block = flat.groupBy("address", "token_address", "blknum").agg(
+        F.count_if(F.col("role") == "out").alias("out_xfers"), F.count_if(F.col("role") == "vin").alias("vin_xfers"),
+        *[F.sum(c).cast(U.DEC).alias(c) for c in net])
+    run = _running(per_block, ["token_address"], ["out_xfers", "vin_xfers", *net], width)
     return run.select("address", "token_address", "blknum", F.col("cum_out_xfers").cast("long").alias("out_xfers"),
-                      F.col("cum_vin_xfers").cast("long").alias("vin_xfers"), _cum_value(["vin"], ["out"]).alias("value"))
+                      F.col("cum_vin_xfers").cast("long").alias("vin_xfers"), U.limbs_to_string(_limbs([f"cum_{c}" for c in net])).alias("value"))
 
 
 def native_balance_history(traces: DataFrame, txs: DataFrame, *, width: int = 1_000_000) -> DataFrame:
     """Running native balance per address at every block where it changed: blocks, txs and
     transfers of out, vin and cnb, the value of each and of fees, and
     ``value = cnb + vin - out - fee``."""
-    run = _running(tx_partials(native_roles(traces, txs), [], NATIVE_ROLES), [], NATIVE_ROLES, width)
-    counts = [F.col(f"cum_{r}_{m}").cast("long").alias(f"{r}_{m}") for m in ("blocks", "txs", "xfers") for r in ("out", "vin", "cnb")]
-    values = [_cum_value([r], []).alias(f"{r}_value") for r in ("out", "fee", "vin", "cnb")]
-    return run.select("address", "blknum", *counts, *values, _cum_value(["cnb", "vin"], ["out", "fee"]).alias("value"))
+    per_role = block_stats(tx_partials(native_roles(traces, txs), []), [])
+    counted, zero = [f"{r}_{m}" for m in ("blocks", "txs", "xfers") for r in ("out", "vin", "cnb")], F.lit(0).cast(U.DEC)
+    limbs = {r: [f"{r}_v{k}" for k in range(NL)] for r in NATIVE_ROLES}
+    of = lambda c: F.max(F.when(F.col("role") == c.split("_")[0], F.col(c.split("_")[1])))  # noqa: E731  one row a role and block
+    per_block = per_role.groupBy("address", "blknum").agg(
+        *[F.coalesce(of(c), F.lit(0)).alias(c) for c in counted], *[F.coalesce(of(c), zero).alias(c) for own in limbs.values() for c in own])
+    run = _running(per_block, [], [*counted, *[c for own in limbs.values() for c in own]], width)
+    cum = {r: _limbs([f"cum_{c}" for c in own]) for r, own in limbs.items()}
+    net = [cum["cnb"][k] + cum["vin"][k] - cum["out"][k] - cum["fee"][k] for k in range(NL)]
+    return run.select("address", "blknum", *[F.col(f"cum_{c}").cast("long").alias(c) for c in counted],
+                      *[U.limbs_to_string(cum[r]).alias(f"{r}_value") for r in ("out", "fee", "vin", "cnb")],
+                      U.limbs_to_string(net).alias("value"))
 
 
 def merge_balances(state: DataFrame, delta: DataFrame, keys=("address", "token_address"), roles=("out", "vin"),

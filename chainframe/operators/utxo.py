@@ -77,4 +77,4 @@ def balances(traces: DataFrame) -> DataFrame:
     out = sp.select("blknum", "txhash", "block_timestamp", F.col("spent_address").alias("address"),
                     F.col("spent_value").cast("string").alias("value"), F.lit("out").alias("role"))
     rows = vin.unionByName(cnb).unionByName(out).filter(F.col("address").isNotNull())
-    return BL.balances_of(BL.tx_partials(rows, [], ["out", "vin", "cnb"]), [], ["out", "vin", "cnb"], ["cnb", "vin"], ["out"])
+    return BL.balances_of(BL.tx_partials(rows, []), [], ["out", "vin", "cnb"], ["cnb", "vin"], ["out"])

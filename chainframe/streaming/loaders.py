@@ -89,39 +89,59 @@ def store_partials(xfers: DataFrame, state_path: str, epoch: int) -> None:
     BL.token_partials(xfers).write.mode("overwrite").parquet(f"{state_path.rstrip('/')}/partials/epoch={epoch}")
 
 
-def _folded(spark: SparkSession, state_path: str) -> int | None:
-    """The last block of the folded state, if there is one."""
+def _partials(spark: SparkSession, state_path: str) -> DataFrame:
+    return spark.read.parquet(f"{state_path.rstrip('/')}/partials").withColumn("epoch", F.col("epoch").cast("long"))
+
+
+def _folded(spark: SparkSession, state_path: str) -> tuple[int, int] | None:
+    """The last block and the last epoch of the newest folded state, if there is one."""
     path = f"{state_path.rstrip('/')}/folded"
-    return spark.read.parquet(path).agg(F.max("upto")).first()[0] if _exists(spark, path) else None
+    if not _exists(spark, path):
+        return None
+    newest = spark.read.parquet(path).agg(F.max(F.struct(F.col("upto").cast("long"), F.col("epoch").cast("long"))).alias("m")).first()["m"]
+    return tuple(newest) if newest is not None else None
 
 
 def fold_partials(spark: SparkSession, state_path: str, upto: int) -> None:
-    """Folds blocks up to ``upto``, which must be complete, into stored balances, so that reads
-    aggregate later blocks only. Written under the block number: folding again changes nothing."""
-    last = _folded(spark, state_path)
-    if last is not None and upto <= last:
+    """Folds what the stored epochs hold of blocks up to ``upto`` into stored balances, so that
+    reads aggregate later blocks only. The state names its last block and epoch: folding the same
+    epochs again changes nothing, and rows of those blocks that come in later epochs are known as
+    late."""
+    last, epoch = _folded(spark, state_path), _partials(spark, state_path).agg(F.max("epoch")).first()[0]
+    if epoch is None or (last is not None and (upto, epoch) <= last):
         return
-    merged = _merged_balances(spark, state_path, upto)
-    merged.write.mode("overwrite").parquet(f"{state_path.rstrip('/')}/folded/upto={upto}")
+    merged = _merged_balances(spark, state_path, max(upto, last[0]) if last else upto)
+    merged.write.mode("overwrite").parquet(f"{state_path.rstrip('/')}/folded/upto={max(upto, last[0]) if last else upto}/epoch={epoch}")
 
 
 def _merged_balances(spark: SparkSession, state_path: str, upto: int | None = None) -> DataFrame:
-    last = _folded(spark, state_path)
+    """Balances of all partials (of blocks up to ``upto``: with those of rows without a block number
+    left for the read). A folded state stands for its blocks; keys with late rows, of folded blocks
+    but later epochs, are computed anew from all their partials, so nothing is lost or counted
+    twice."""
     keys, roles = _TOKEN
-    parts = spark.read.parquet(f"{state_path.rstrip('/')}/partials").drop("epoch")
-    if last is not None:
-        parts = parts.filter(F.col("blknum") > last)
+    names = ["address", *keys]
+    parts = _partials(spark, state_path)
     if upto is not None:
         parts = parts.filter(F.col("blknum") <= upto)
-    new = BL.balances_of(BL.merge_partials(parts, keys, roles), keys, roles, ["vin"], ["out"])
+
+    def balances(rows: DataFrame) -> DataFrame:
+        return BL.balances_of(BL.merge_partials(rows.drop("epoch"), keys), keys, roles, ["vin"], ["out"])
+
+    last = _folded(spark, state_path)
     if last is None:
-        return new
-    state = spark.read.parquet(f"{state_path.rstrip('/')}/folded").filter(F.col("upto") == last).drop("upto")
-    return BL.merge_balances(state, new)  # block-disjoint by the filter above
+        return balances(parts)
+    state = (spark.read.parquet(f"{state_path.rstrip('/')}/folded").filter((F.col("upto") == last[0]) & (F.col("epoch") == last[1]))
+             .drop("upto", "epoch"))
+    folded = F.coalesce(F.col("blknum") <= last[0], F.lit(False))
+    late = parts.filter(folded & (F.col("epoch") > last[1])).select(*names).distinct()
+    rest = BL.merge_balances(state.join(late, names, "left_anti"), balances(parts.filter(~folded).join(late, names, "left_anti")))
+    return rest.unionByName(balances(parts.join(late, names, "left_semi")))
 
 
 def streamed_balances(spark: SparkSession, state_path: str) -> DataFrame:
-    """Latest balances of all stored epochs; equals ``token_balances`` of all their transfers."""
+    """Latest balances of all stored epochs; equals ``token_balances`` of all their transfers,
+    late blocks and transfers without a block number included."""
     return _merged_balances(spark, state_path)
 
 

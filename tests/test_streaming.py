@@ -136,3 +136,21 @@ def test_over_time_stream_equals_batch(spark, tmp_dir):
     # everything the watermark has passed is there
     last = max(t for _, t in got)
     assert {k for k in want if k[1] <= last} == set(got)
+
+
+def test_late_and_unnumbered_blocks_after_a_fold(spark, tmp_dir):
+    rows, state = _xfers(), os.path.join(tmp_dir, "late")
+    none = (T0, None, "tn", "tok0", "a0", "a2", "100")
+    late = [(T0 + timedelta(minutes=2), 2, "t2-0", "tok0", "a0", "a1", "7"), (T0 + timedelta(minutes=2), 2, "t2-9", "tok1", "new", "a1", "5"), none]
+    df = lambda r: spark.createDataFrame(r, XFER)
+    ST.store_partials(df(rows[:16] + [none]), state, 0)
+    ST.fold_partials(spark, state, 3)
+    assert _sorted(ST.streamed_balances(spark, state)) == _sorted(BL.token_balances(df(rows[:16] + [none])))
+    ST.store_partials(df(rows[16:] + late), state, 1)  # a known transaction, a new one, and a row without a block
+    want = _sorted(BL.token_balances(df(rows + [none] + late)))
+    assert _sorted(ST.streamed_balances(spark, state)) == want
+    ST.fold_partials(spark, state, 3)  # the late rows are folded now
+    assert _sorted(ST.streamed_balances(spark, state)) == want
+    ST.store_partials(df(late), state, 2)
+    ST.fold_partials(spark, state, 5)
+    assert _sorted(ST.streamed_balances(spark, state)) == _sorted(BL.token_balances(df(rows + [none] + late * 2)))
