@@ -117,14 +117,21 @@ def erc1155_transfers(logs: DataFrame, tokens: DataFrame | None = None) -> DataF
 
     Batch payloads hold two dynamic arrays addressed by byte offsets. Offsets and lengths are
     checked against the payload first (chain data is hostile: malformed logs give no rows, see
-    ``erc1155_rejects``), then positions are exploded and each id/value word is sliced and
-    converted once per output row; all native, no Python. ``id_pos`` is 0-based."""
+    ``erc1155_rejects``), then the words of both arrays are paired and exploded and converted once
+    per output row; all native, no Python. ``id_pos`` is 0-based."""
     b = _erc1155_logs(logs)
-    d, pos = F.col("__d"), F.col("__p").cast("long")
-    places = F.when(F.col("id_cnt") >= 1, F.sequence(F.lit(0).cast("long"), F.greatest(F.col("id_cnt") - 1, F.lit(0).cast("long"))))
-    x = b.select("*", F.explode(places).alias("__p"))
-    word = lambda k: F.when(F.col("__batch"), E.word_at(d, F.col("__at")[k] + 1 + pos)).otherwise(E.word(d, k))
-    x = x.select("*", word(0).alias("__id"), word(1).alias("__value"))
+    # a payload is cut into words once and left behind: a batch of n ids costs n words, not n payloads
+    words, at = F.col("__words"), F.col("__at")
+    b = b.withColumn("__words", F.regexp_extract_all("__d", F.lit(r"([\s\S]{64})"), 1)).drop("__d")
+    start = lambda k: F.when(F.col("__batch"), at[k] + 1).otherwise(F.lit(k).cast("long"))
+    item = lambda p: F.struct(p.alias("pos"), F.get(words, (start(0) + p).cast("int")).alias("id"),
+                              F.get(words, (start(1) + p).cast("int")).alias("value"))
+    places = F.sequence(F.lit(0).cast("long"), F.greatest(F.col("id_cnt") - 1, F.lit(0).cast("long")))
+    items = F.when(F.col("id_cnt") >= 1, F.transform(places, item))
+    base = ["block_timestamp", "blknum", "txhash", "txpos", "logpos", "token_address", "__t", "__batch", "id_cnt"]
+    x = b.select(*base, F.explode(items).alias("__i")).select(
+        *base, F.col("__i.pos").alias("__p"), F.col("__i.id").alias("__id"), F.col("__i.value").alias("__value"))
+    pos = F.col("__p")
     x = x.select(
         "block_timestamp", "blknum", "txhash", "txpos", "logpos", "token_address",
         E.topic_address(F.element_at("__t", 2)).alias("operator"),

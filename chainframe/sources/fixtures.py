@@ -7,12 +7,19 @@ bound to DataFrames through ``spark.sql(sql, **frames)`` (no global temp views,
 scale factors can share one session); for DuckDB they become CTE names.
 
 Two engine-specific tokens exist: ``{fanout3}`` (a 3-way row fan-out, ``explode`` vs
-``unnest``), and nothing else; all other syntax is common to both engines.
+``unnest``) and ``{epoch_open}``; all other syntax is common to both engines. A fixture whose SQL
+would put a whole key into one Spark task (a running sum) has a Spark builder instead; its SQL is
+then the oracle's alone.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from chainframe.operators.windows import bucketed_running_sum
 
 BASE_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
                "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
@@ -34,11 +41,14 @@ TRANSFER_TOPIC = "0xddf252ad1be2c89b69c2b068fc378daa952ba7f163c4a11628f55a4df523
 
 SQL: dict[str, str] = {}
 DEPS: dict[str, tuple[str, ...]] = {}
+BUILD: dict[str, Callable[[dict[str, DataFrame]], DataFrame]] = {}
 
 
-def _fixture(name: str, deps: tuple[str, ...], sql: str) -> None:
+def _fixture(name: str, deps: tuple[str, ...], sql: str, build: Callable[[dict[str, DataFrame]], DataFrame] | None = None) -> None:
     SQL[name] = sql
     DEPS[name] = deps
+    if build is not None:
+        BUILD[name] = build
 
 
 _fixture("blocks_a", ("orders",), f"""
@@ -127,12 +137,23 @@ SELECT l.l_shipdate AS block_timestamp, l.l_orderkey AS blknum,
   CAST(CAST(round(l.l_extendedprice * 100) AS BIGINT) AS STRING) || '000000000000000000000000000000000000000000' AS value
 FROM {{lineitem}} l JOIN {{orders}} o ON l.l_orderkey = o.o_orderkey""")
 
+def _daily_counter(frames: dict[str, DataFrame]) -> DataFrame:
+    """Counters that start anew each day: a running sum in buckets of an hour."""
+    epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    e = frames["events"].select(
+        F.lit("requests_total").alias("name"), F.col("event_type").alias("job"), (F.col("user_id") % 4).cast("string").alias("instance"),
+        "ts", "event_id", F.round(F.col("value") * 100).cast("long").alias("value"),
+        F.timestamp_diff("MICROSECOND", epoch, F.col("ts")).alias("us"), F.to_date("ts").alias("day"))
+    d = bucketed_running_sum(e, ["name", "job", "instance", "day"], "us", ["value"], width=3_600_000_000, tiebreak=["event_id"])
+    return d.select("name", "job", "instance", "ts", F.col("cum_value").cast("long").alias("value"))
+
+
 _fixture("metric_counter", ("events",), """
 SELECT 'requests_total' AS name, event_type AS job, CAST(user_id % 4 AS STRING) AS instance, ts,
   CAST(sum(CAST(round(value * 100) AS BIGINT)) OVER (
-    PARTITION BY event_type, user_id % 4, date_trunc('hour', ts) ORDER BY ts, event_id
+    PARTITION BY event_type, user_id % 4, date_trunc('day', ts) ORDER BY ts, event_id
     ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS value
-FROM {events}""")
+FROM {events}""", _daily_counter)
 
 _fixture("metric_gauge", ("events",), """
 SELECT 'queue_length' AS name, event_type AS job, CAST(user_id % 4 AS STRING) AS instance, ts,
@@ -303,6 +324,9 @@ def load(spark: SparkSession, sf_dir: str, name: str, _memo: dict | None = None)
         df = load_base(spark, sf_dir, name)
     else:
         frames = {d: load(spark, sf_dir, d, memo) for d in DEPS[name]}
+        if name in BUILD:
+            memo[name] = BUILD[name](frames)
+            return memo[name]
         text = SQL[name]
         for tok, val in ENGINE_TOKENS["spark"].items():
             text = text.replace("{" + tok + "}", val)

@@ -91,14 +91,17 @@ def replacing_dedup(df: DataFrame, key: list[str], version: str, *, ts: str = "b
 def merge_batch(target: DataFrame, batch: DataFrame, key: list[str], version: str | None = None) -> DataFrame:
     """Upsert on a unique key: batch rows replace target rows with the same key.
 
-    The batch is first de-duplicated (last ``version`` wins), then
-    ``target ⟕anti batch ∪ batch``. Both joins are equi-joins on the key, so Spark hash
+    The batch is first de-duplicated (the largest ``version`` wins; without one the largest row
+    by its other columns, which must be orderable), then ``target ⟕anti batch ∪ batch``. Both joins are equi-joins on the key, so Spark hash
     partitions them (or broadcasts a batch whose size estimate is small).
     """
-    if version:
-        rest = [c for c in batch.columns if c not in key and c != version]
-        top = batch.groupBy(*key).agg(F.max(F.struct(version, *rest)).alias("__top"))
-        batch = top.select(*[F.col(c) if c in key else F.col("__top")[c].alias(c) for c in batch.columns if c != version])
+    rest = [*([version] if version else []), *[c for c in batch.columns if c not in key and c != version]]
+    names = [c for c in batch.columns if c != version]
+    if rest:
+        top = batch.groupBy(*key).agg(F.max(F.struct(*rest)).alias("__top"))
+        batch = top.select(*[F.col(c) if c in key else F.col("__top")[c].alias(c) for c in names])
+    else:
+        batch = batch.distinct()
     kept = target.join(batch.select(*key), on=key, how="left_anti")
     return kept.unionByName(batch.select(*target.columns))
 
