@@ -4,18 +4,23 @@ Scalable form (never a grid × samples join):
 
 1. one ``lag`` per series (bucketed by day, so a long series is not one task) gives the
    counter increment ``inc`` (reset-aware) and the change flag ``chg`` of every sample;
-2. each sample is exploded into exactly the eval steps whose closed window ``[t-w, t]``
-   contains it (``sequence(first_step, last_step)``; fan-out = w / step);
-3. one ``groupBy(series, step)`` with algebraic aggregates on numbers only (count, min/max,
-   min_by/max_by, sum, regr_*), so Spark combines map-side in a hash table; name and labels
-   are part of the key (labels as sorted entries), not aggregates;
-4. extrapolation and the final formula are a projection.
+2. samples are folded, where they are, into *segments*: those inside a pane, and those exactly on
+   its right edge (windows are closed on both sides). A pane is the greatest common divisor of
+   window and step. A segment is mergeable: count, first and last sample, increase, changes, sums
+   of values and of a regression, extremes;
+3. each segment is exploded into the eval steps whose closed window ``[t-w, t]`` contains it
+   (fan-out = w / step, of panes, however many samples they hold);
+4. one ``groupBy(series, step)`` with algebraic aggregates on numbers only merges the segments, so
+   Spark combines map-side and shuffles one row a series and step; name and labels are part of the
+   key (labels as sorted entries), not aggregates;
+5. extrapolation and the final formula are a projection.
 
 Output frame: ``name, labels, series_key, eval_ts, value``.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 from datetime import datetime, timedelta
 
@@ -25,6 +30,7 @@ from pyspark.sql import functions as F
 from chainframe.operators.windows import bucketed_lag
 
 DAY_US = 86_400_000_000
+_WHOLE = "decimal(18,0)"  # microseconds, for squares of them
 
 
 def _ntz(v) -> Column:
@@ -104,15 +110,39 @@ def entries(m: DataFrame) -> DataFrame:
 
 
 def _prepared(m: DataFrame, grid: Grid) -> DataFrame:
-    """Samples with microsecond offset ``__t``, previous value (bucketed lag), inc and chg."""
+    """Samples with microsecond offset ``__t``, previous value (bucketed lag), inc and chg, and the
+    bucket ``__b`` by which they lie together."""
     d = m.withColumn("__t", grid.offset_us(F.col("ts")))
-    d = bucketed_lag(d, ["series_key"], "__t", ["value", "__t"], width=DAY_US, tiebreak=["value"], prefix="__prev_")
+    d = bucketed_lag(d, ["series_key"], "__t", ["value", "__t"], width=DAY_US, tiebreak=["value"], prefix="__prev_", keep_bucket=True)
     prev = F.col("__prev_value")
     d = d.withColumn("__inc", F.when(prev.isNull(), F.lit(0.0))
                      .when(F.col("value") >= prev, F.col("value") - prev).otherwise(F.col("value")))
     return d.withColumn("__chg", F.when(prev.isNull(), F.lit(0)).when(F.col("value") != prev, F.lit(1)).otherwise(F.lit(0)))
 
 
+def segments(m: DataFrame, grid: Grid, pane_s: int, offset_s: int = 0) -> DataFrame:
+    """One row per series, pane and edge: ``__pane`` covers the times ``((p-1)·w, p·w]``, its edge
+    ``p·w`` apart. ``__x`` counts microseconds from the edge, whose sums are whole numbers, so that
+    moving them to another origin loses nothing; ``__inc1`` and ``__chg1`` are the first
+    sample's, which a window that begins with it leaves out."""
+    pane_us = pane_s * 1_000_000
+    d = entries(_prepared(m, grid)).withColumn("__t", F.col("__t") + F.lit(offset_s * 1_000_000))
+    d = d.withColumn("__pane", F.ceil(F.col("__t") / F.lit(pane_us)).cast("long"))
+    d = d.withColumn("__edge", F.col("__t") == F.col("__pane") * F.lit(pane_us))
+    d = d.withColumn("__x", F.col("__t") - F.col("__pane") * F.lit(pane_us))
+    gap = (F.col("__t") - F.lit(offset_s * 1_000_000) - F.col("__prev___t")) / F.lit(1e6)
+    v, x, t = F.col("value"), F.col("__x"), F.col("__t")
+    return d.groupBy("series_key", "__b", "name", "__e", "__pane", "__edge").agg(
+        F.count(F.lit(1)).alias("__n"), F.min(t).alias("__t1"), F.max(t).alias("__tn"),
+        F.min_by(v, t).alias("__v1"), F.max_by(v, t).alias("__vn"),
+        F.sum("__inc").alias("__inc"), F.min_by("__inc", t).alias("__inc1"),
+        F.sum("__chg").alias("__chg"), F.min_by("__chg", t).alias("__chg1"),
+        F.max_by("__prev_value", t).alias("__pv"), F.max_by(gap, t).alias("__dt"),
+        F.max(v).alias("__max"), F.min(v).alias("__min"), F.sum(v).alias("__sv"),
+        F.sum(x).alias("__sx"), F.sum(x.cast(_WHOLE) * x.cast(_WHOLE)).cast("decimal(38,0)").alias("__sxx"),
+        F.sum(x * v).alias("__sxv"))
+
+
 def _assign_steps(d: DataFrame, grid: Grid, window_s: int, offset_s: int = 0) -> DataFrame:
     """Explode each sample into the steps k whose window [t_k - off - w, t_k - off] holds it."""
     step_us = grid.step * 1_000_000
@@ -123,23 +153,37 @@ def _assign_steps(d: DataFrame, grid: Grid, window_s: int, offset_s: int = 0) ->
     return d.withColumn("__k", F.explode(F.sequence(lo, hi)))
 
 
-def _window_stats(m: DataFrame, grid: Grid, window, extra: list[Column] = (), offset=0) -> DataFrame:
+def _window_stats(m: DataFrame, grid: Grid, window, offset=0) -> DataFrame:
     w = seconds(window)
-    d = _assign_steps(entries(_prepared(m, grid)), grid, w, seconds(offset))
-    # x = seconds relative to the eval instant (precision and predict_linear's intercept)
-    step_us = grid.step * 1_000_000
-    x = (F.col("__t") - F.col("__k") * F.lit(step_us) + F.lit(seconds(offset) * 1_000_000)) / F.lit(1e6)
-    d = d.withColumn("__x", x)
-    return d.groupBy("series_key", "name", "__e", "__k").agg(
-        F.count(F.lit(1)).alias("__n"), F.min("__x").alias("__x1"), F.max("__x").alias("__xn"),
-        F.min_by("value", "__t").alias("__v1"), F.max_by("value", "__t").alias("__vn"),
-        (F.sum("__inc") - F.min_by("__inc", "__t")).alias("__res"),
-        (F.sum("__chg") - F.min_by("__chg", "__t")).alias("__changes"),
-        F.avg("value").alias("__avg"), F.max("value").alias("__max"), F.min("value").alias("__min"),
-        F.max_by("__prev_value", "__t").alias("__pv"),
-        F.max_by((F.col("__t") - F.col("__prev___t")) / F.lit(1e6), "__t").alias("__dt"),
-        F.regr_slope("value", "__x").alias("__slope"), F.regr_intercept("value", "__x").alias("__icpt"),
-        *extra)
+    pane_s = math.gcd(w, grid.step) or 1
+    d = segments(m, grid, pane_s, seconds(offset))
+    # the steps whose window holds the segment; one on an edge is also in the window that begins there
+    at, step, wide = F.col("__pane") * F.lit(pane_s), F.lit(grid.step), F.lit(w)
+    lo = F.greatest(F.ceil(at / step), F.lit(0)).cast("long")
+    last = F.when(F.col("__edge"), F.floor((at + wide) / step)).otherwise(F.ceil((at + wide) / step) - 1)
+    hi = F.least(last, F.lit(grid.n)).cast("long")
+    d = d.filter(lo <= hi).withColumn("__k", F.explode(F.sequence(lo, hi)))
+    # from the pane's edge to the eval instant: regression sums move there, for the intercept is the
+    # instant's
+    c = (at - F.col("__k") * step) * F.lit(1_000_000)
+    n, sx, sv = F.col("__n"), F.col("__sx"), F.col("__sv")
+    us = F.col("__k") * F.lit(grid.step * 1_000_000)
+    moved = (F.col("__sxx") + ((2 * sx + n * c).cast(_WHOLE) * c.cast(_WHOLE))).cast("decimal(38,0)")
+    d = d.withColumns({"__sxx": moved, "__sxv": F.col("__sxv") + c * sv, "__sx": sx + n * c,
+                       "__x1": (F.col("__t1") - us) / F.lit(1e6), "__xn": (F.col("__tn") - us) / F.lit(1e6)})
+    g = d.groupBy("series_key", "name", "__e", "__k").agg(
+        F.sum("__n").alias("__n"), F.min("__x1").alias("__x1"), F.max("__xn").alias("__xn"),
+        F.min_by("__v1", "__t1").alias("__v1"), F.max_by("__vn", "__tn").alias("__vn"),
+        (F.sum("__inc") - F.min_by("__inc1", "__t1")).alias("__res"),
+        (F.sum("__chg") - F.min_by("__chg1", "__t1")).alias("__changes"),
+        F.max("__max").alias("__max"), F.min("__min").alias("__min"),
+        F.max_by("__pv", "__tn").alias("__pv"), F.max_by("__dt", "__tn").alias("__dt"),
+        *[F.sum(x).alias(x) for x in ("__sv", "__sx", "__sxx", "__sxv")])
+    n, sx, sv = F.col("__n"), F.col("__sx"), F.col("__sv")
+    spread = (n.cast(_WHOLE) * F.col("__sxx") - (sx.cast(_WHOLE) * sx.cast(_WHOLE))).cast("double")  # 0 at one instant
+    slope = F.try_divide(n * F.col("__sxv") - sx * sv, F.when(spread > 0, spread))
+    return (g.withColumn("__avg", sv / n).withColumn("__slope", slope * F.lit(1e6))
+            .withColumn("__icpt", (sv - F.col("__slope") / F.lit(1e6) * sx) / n))
 
 
 def _out(g: DataFrame, grid: Grid, value: Column, cond: Column | None = None) -> DataFrame:

@@ -24,9 +24,10 @@ def _bucket(order_col: str, width: int) -> Column:
 
 
 def bucketed_lag(df: DataFrame, keys: list[str], order_col: str, cols: list[str], *, width: int,
-                 tiebreak: list[str] = (), prefix: str = "prev_") -> DataFrame:
+                 tiebreak: list[str] = (), prefix: str = "prev_", keep_bucket: bool = False) -> DataFrame:
     """``lag(c) over (partition by keys order by order_col, tiebreak)`` for each ``c`` in
-    ``cols``, computed in buckets of ``width`` units of the (numeric) ordering column."""
+    ``cols``, computed in buckets of ``width`` units of the (numeric) ordering column. With
+    ``keep_bucket`` the bucket stays as ``__b``: grouping by it needs no further shuffle."""
     order = [F.col(order_col)] + [F.col(t) for t in tiebreak]
     d = df.withColumn("__b", _bucket(order_col, width))
     w = Window.partitionBy(*keys, "__b").orderBy(*order)
@@ -41,7 +42,7 @@ def bucketed_lag(df: DataFrame, keys: list[str], order_col: str, cols: list[str]
     d = d.join(carry, on=[*keys, "__b"], how="left")
     for c in cols:
         d = d.withColumn(prefix + c, F.when(F.col("__first"), F.col("__carry")[c]).otherwise(F.col(prefix + c)))
-    return d.drop("__b", "__first", "__carry")
+    return d.drop("__first", "__carry") if keep_bucket else d.drop("__b", "__first", "__carry")
 
 
 def bucketed_running_sum(df: DataFrame, keys: list[str], order_col: str, cols: list[str], *, width: int,
