@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from chainframe.session import stored
 from chainframe.sources import schemas as S
 
 
@@ -200,8 +201,12 @@ def dataset_diff(a: DataFrame, b: DataFrame, spec: DiffSpec | str, start, end, *
     if isinstance(spec, str):
         spec = SPECS[spec]
     st, et = slice_bounds(start, end, slice_hours)
-    left = _side(a, spec, st, et, "a")
-    right = _side(b, spec, st, et, "b")
+    return _classified(_side(a, spec, st, et, "a"), _side(b, spec, st, et, "b"), spec, st, slice_hours, include_unmatched)
+
+
+def _classified(left: DataFrame, right: DataFrame, spec: DiffSpec, st: datetime, slice_hours: int,
+                include_unmatched: str = "reference") -> DataFrame:
+    """The join of two sides (``_side``) and its classification."""
     keys = (spec.ts_col,) + spec.keys
     cond = functools.reduce(lambda x, y: x & y, [left[f"a_{k}"] == right[f"b_{k}"] for k in keys])
     j = left.join(right, cond, "left")
@@ -233,6 +238,82 @@ def dataset_diff(a: DataFrame, b: DataFrame, spec: DiffSpec | str, start, end, *
     return j.select(*cols)
 
 
+@dataclass(frozen=True)
+class DigestDiff:
+    """A digest-first comparison: slices' counts of equal rows, and the classified rows of the
+    buckets that differ."""
+
+    clean: DataFrame  # slice_start, same
+    rows: DataFrame  # as of ``dataset_diff``
+
+    def summary(self) -> DataFrame:
+        other = diff_summary(self.rows).select("slice_start", "same", "diff")
+        both = other.unionByName(self.clean.withColumn("diff", F.lit(0).cast("long")))
+        return both.groupBy("slice_start").agg(F.sum("same").alias("same"), F.sum("diff").alias("diff"))
+
+
+_MOST_DIRTY = 100_000  # (slice, bucket) pairs, 12 bytes each, that may be broadcast
+
+
+def digest_diff(a: DataFrame, b: DataFrame, spec: DiffSpec | str, start, end, *, slice_hours: int = 1, buckets: int = 64) -> DigestDiff:
+    """``dataset_diff`` of two tables whose keys are unique, without joining what is equal.
+
+    Both sides are read once into order-free digests by slice and bucket of the key's hash (row
+    count, xor of one 64-bit hash, sum of another: a few numbers a slice, combined before the
+    shuffle). Where both digests agree, the rows are the same on both sides: those without a NULL
+    in a compared column count as same, none differs. Only the rows of the other buckets are read
+    again and joined. Equal tables cost one scan and no join. Two different buckets pass as equal
+    only if count, xor and sum of their 128 bits of hashes agree by chance."""
+    if isinstance(spec, str):
+        spec = SPECS[spec]
+    st, et = slice_bounds(start, end, slice_hours)
+    types = {f.name: f.dataType for f in spec.schema.fields}
+    keys = (spec.ts_col,) + spec.keys
+    width = F.lit(3600 * slice_hours)
+
+    def marked(df: DataFrame, side: str) -> DataFrame:
+        d = _side(df, spec, st, et, side)
+        number = F.floor(F.timestamp_diff("SECOND", _as_ntz(st), F.col(f"{side}_{spec.ts_col}")) / width).cast("int")
+        bucket = F.pmod(F.xxhash64(*[F.col(f"{side}_{k}") for k in keys]), F.lit(buckets)).cast("int")
+        return d.withColumn("__slice", number).withColumn("__bucket", bucket)
+
+    def digests(d: DataFrame, side: str) -> DataFrame:
+        every = tuple(dict.fromkeys((*spec.compare, *spec.reasons)))
+        values = [_compared(F.col(f"{side}_{c}"), spec, c, types[c]) for c in every]
+        nulls = [v.isNull().cast("int") for v in values]  # xxhash64 skips NULLs
+        own = [F.col(f"{side}_{k}") for k in keys]
+        d = d.select("__slice", "__bucket", F.xxhash64(*own, *values, *nulls).alias("h"),
+                     F.xxhash64(F.lit(1), *nulls, *values, *own).alias("g"),
+                     functools.reduce(lambda x, y: x & y, [v.isNotNull() for v in (*own, *[
+                         _compared(F.col(f"{side}_{c}"), spec, c, types[c]) for c in spec.compare])]).alias("known"),
+                     functools.reduce(lambda x, y: x | y, [k.isNull() for k in own]).alias("keyless"))
+        return d.groupBy("__slice", "__bucket").agg(
+            F.count(F.lit(1)).alias(f"{side}_n"), F.bit_xor("h").alias(f"{side}_x"),
+            F.sum(F.col("g").cast("decimal(20,0)")).alias(f"{side}_s"), F.count_if("known").alias(f"{side}_known"),
+            F.count_if("keyless").alias(f"{side}_keyless"))
+
+    left, right = marked(a, "a"), marked(b, "b")
+    both = stored(digests(left, "a").join(digests(right, "b"), ["__slice", "__bucket"], "left"), "diff-digests")
+    equal = F.coalesce((F.col("a_n") == F.col("b_n")) & (F.col("a_x") == F.col("b_x")) & (F.col("a_s") == F.col("b_s"))
+                       & (F.col("a_keyless") == 0), F.lit(False))  # a NULL key matches nothing, not even itself
+    start_of = F.timestamp_add("HOUR", F.col("__slice") * F.lit(slice_hours), _as_ntz(st))
+    clean = both.filter(equal).groupBy(start_of.alias("slice_start")).agg(F.sum("a_known").alias("same"))
+    dirty = both.filter(~equal).select("__slice", "__bucket")
+    n, lo, hi = dirty.agg(F.count(F.lit(1)), F.min("__slice"), F.max("__slice")).first()
+    if not n:
+        first = past = datetime(1970, 1, 1)
+    else:  # the time range that holds the differing slices, for the scan
+        first, past = st + timedelta(hours=lo * slice_hours), st + timedelta(hours=(hi + 1) * slice_hours)
+    known = F.broadcast(dirty) if n <= _MOST_DIRTY else dirty
+
+    def unlike(df: DataFrame, side: str) -> DataFrame:
+        ts = F.col(f"{side}_{spec.ts_col}")
+        d = marked(df, side).filter((ts >= _as_ntz(first)) & (ts < _as_ntz(past))).join(known, ["__slice", "__bucket"], "left_semi")
+        return d.drop("__slice", "__bucket")
+
+    return DigestDiff(clean, _classified(unlike(a, "a"), unlike(b, "b"), spec, st, slice_hours))
+
+
 def diff_summary(j: DataFrame) -> DataFrame:
     """Per slice: rows that are the same and rows that differ (one pass, no second scan)."""
     return j.groupBy("slice_start").agg(

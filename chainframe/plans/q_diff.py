@@ -107,6 +107,15 @@ def _register(case: str):
         return D.diff_reasons(joined(spark, sf_dir, case))
 
 
+    @query(f"diff_{case}_digest", _oracle_summary(case), fixtures)
+    def _digest(spark, sf_dir):
+        """The summary, digest first: only buckets that differ are joined."""
+        spec, fa, fb, _ = CASES[case]
+        memo: dict = {}
+        a, b = FX.load(spark, sf_dir, fa, memo), FX.load(spark, sf_dir, fb, memo)
+        return D.digest_diff(a, b, spec, *D.whole_slices(a)).summary()
+
+
 for _c in CASES:
     _register(_c)
 

@@ -1,6 +1,6 @@
 """Three-valued-logic edge cases of the differ on hand-built rows."""
 
-from datetime import datetime
+from datetime import datetime, timedelta
 
 from chainframe.operators import diff as D
 
@@ -56,3 +56,22 @@ def test_detail_keeps_every_difference_of_a_slice(spark):
     d = D.diff_detail(j)
     assert d.count() == n
     assert d.select("a_blknum").distinct().count() == n
+
+
+def test_digest_first_equals_the_plain_join(spark):
+    rows = []
+    for k in range(300):
+        at = T0 + timedelta(minutes=7 * k)
+        rows.append((at, k, None if k % 50 == 7 else f"h{k}", None if k % 9 == 0 else f"p{k}", f"n{k}", "b", k))
+    changed = [(*r[:6], -5) if r[1] in (3, 150) else r for r in rows if r[1] not in (40, 41)] + [(T0, 9999, "h", "p", "n", "b", 1)]
+    keyless = (T0 + timedelta(hours=20), None, "h", "p", "n", "b", 1)
+    end = "2024-01-03 00:00:00"
+    for left, right in ((rows, changed), (rows, rows), ([*rows, keyless], [*rows, keyless]), (rows, rows[:0])):
+        a, b = _blocks(spark, left), _blocks(spark, right)
+        plain = D.dataset_diff(a, b, "block", "2024-01-01 00:00:00", end)
+        fast = D.digest_diff(a, b, "block", "2024-01-01 00:00:00", end, buckets=4)
+        key = lambda df: sorted(map(tuple, df.collect()), key=str)
+        assert key(fast.summary().select("slice_start", "same", "diff")) == key(D.diff_summary(plain))
+        assert key(D.diff_detail(fast.rows)) == key(D.diff_detail(plain))
+        assert key(D.diff_reasons(fast.rows)) == key(D.diff_reasons(plain))
+    assert D.digest_diff(_blocks(spark, rows), _blocks(spark, rows), "block", "2024-01-01 00:00:00", end).rows.count() == 0
