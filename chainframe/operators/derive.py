@@ -285,3 +285,25 @@ def txpool_mined(pool: DataFrame, txs: DataFrame) -> DataFrame:
     j = pool.join(m, pool["txhash"] == m["__h"], "left").drop("__h")
     return j.withColumn("is_mined", F.col("mined_at").isNotNull()) \
         .withColumn("wait_seconds", F.timestamp_diff("SECOND", F.col("block_timestamp"), F.col("mined_at")))
+
+
+def txpool_key(df: DataFrame) -> Column:
+    """What a sender may use once: sender and nonce, or the hash where either is missing."""
+    return F.coalesce(F.concat("from_address", F.lit(":"), F.col("nonce").cast("string")), F.col("txhash"))
+
+
+def txpool_columns() -> list[Column]:
+    """Outcome of a joined mempool row: ``mined``, ``replaced`` (its sender's nonce was mined under
+    another hash) or ``expired``."""
+    mined = F.col("mined_txhash")
+    return [F.col("txhash"), mined, F.when(mined.isNull(), "expired").when(mined == F.col("txhash"), "mined").otherwise("replaced").alias("outcome"),
+            F.timestamp_diff("SECOND", F.col("seen_at"), F.col("mined_at")).alias("wait_seconds")]
+
+
+def txpool_outcome(pool: DataFrame, txs: DataFrame, retention: str = "6 hours") -> DataFrame:
+    """What became of each mempool row within the retention: txhash, mined_txhash, outcome,
+    wait_seconds. Streams: ``streaming.loaders.txpool_outcome_stream``."""
+    p = pool.select("txhash", F.col("block_timestamp").alias("seen_at"), txpool_key(pool).alias("__p"))
+    m = txs.select(F.col("txhash").alias("mined_txhash"), F.col("block_timestamp").alias("mined_at"), txpool_key(txs).alias("__m"))
+    near = (F.col("mined_at") >= F.col("seen_at")) & (F.col("mined_at") <= F.col("seen_at") + F.expr(f"INTERVAL {retention}"))
+    return p.join(m, (F.col("__p") == F.col("__m")) & near, "left").select(*txpool_columns())

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from chainframe.functions import evm as E
 from chainframe.operators import derive as DV
+from chainframe.operators import lookups as LK
 from chainframe.plans.registry import query
 from chainframe.sources import fixtures as FX
 
@@ -75,10 +76,8 @@ SELECT token_id, block_timestamp, from_address, to_address, txhash FROM (
 WHERE address = '0x' || md5('nftc3') || substr(md5('nftc#3'), 1, 8)""", ("nft_logs",))
 def nft_history(spark, sf_dir):
     """Transfer history of one collection, by (token id, time) — the NFT index path."""
-    x = DV.erc721_transfers(FX.load(spark, sf_dir, "nft_logs"))
     addr = F.concat(F.lit("0x"), F.md5(F.lit("nftc3")), F.substring(F.md5(F.lit("nftc#3")), 1, 8))
-    return x.filter(F.col("token_address") == addr).select("token_id", "block_timestamp", "from_address", "to_address", "txhash") \
-        .orderBy("token_id", "block_timestamp")
+    return LK.nft_history(DV.erc721_transfers(FX.load(spark, sf_dir, "nft_logs")), addr)
 
 
 def _small(w: str) -> str:
@@ -298,12 +297,8 @@ WHERE (from_address = {_USER7} OR to_address = {_USER7})
   AND block_timestamp >= TIMESTAMP '2024-01-01' AND block_timestamp < TIMESTAMP '2024-02-01'""", ("txs_a",))
 def address_activity(spark, sf_dir):
     """One address's transactions in a time range, with its role."""
-    t = FX.load(spark, sf_dir, "txs_a")
     a = F.concat(F.lit("0x"), F.md5(F.lit("u7")), F.substring(F.md5(F.lit("u#7")), 1, 8))
-    ts = F.col("block_timestamp")
-    t = t.filter(((F.col("from_address") == a) | (F.col("to_address") == a))
-                 & (ts >= F.lit("2024-01-01").cast("timestamp_ntz")) & (ts < F.lit("2024-02-01").cast("timestamp_ntz")))
-    return t.select("block_timestamp", "txhash", F.when(F.col("from_address") == a, "out").otherwise("vin").alias("role"))
+    return LK.address_activity(FX.load(spark, sf_dir, "txs_a"), a, "2024-01-01", "2024-02-01").select("block_timestamp", "txhash", "role")
 
 
 _TX42 = "'0x' || md5('tx42') || md5('tx#42')"
@@ -318,10 +313,17 @@ def tx_bundle(spark, sf_dir):
     """P10: a transaction with its traces and logs (hash point lookup on each table)."""
     memo: dict = {}
     h = F.concat(F.lit("0x"), F.md5(F.lit("tx42")), F.md5(F.lit("tx#42")))
-    tx = FX.load(spark, sf_dir, "txs_a", memo).filter(F.col("txhash") == h).select(
-        F.lit("tx").alias("kind"), "txhash", F.col("txpos").cast("long").alias("pos"), F.lit(None).cast("string").alias("path"))
-    tr = FX.load(spark, sf_dir, "traces_a", memo).filter(F.col("txhash") == h).select(
-        F.lit("trace").alias("kind"), "txhash", F.col("txpos").cast("long").alias("pos"), F.col("trace_address").alias("path"))
-    lg = FX.load(spark, sf_dir, "logs_a", memo).filter(F.col("txhash") == h).select(
-        F.lit("log").alias("kind"), "txhash", F.col("logpos").cast("long").alias("pos"), F.lit(None).cast("string").alias("path"))
-    return tx.unionByName(tr).unionByName(lg)
+    return LK.tx_bundle(*[FX.load(spark, sf_dir, t, memo) for t in ("txs_a", "traces_a", "logs_a")], h)
+
+
+@query("txpool_outcome", """
+WITH p AS (SELECT * FROM txpools), m AS (SELECT from_address, nonce, txhash, block_timestamp FROM txs_b)
+SELECT p.txhash, m.txhash AS mined_txhash, CASE WHEN m.txhash IS NULL THEN 'expired' WHEN m.txhash = p.txhash THEN 'mined' ELSE 'replaced' END AS outcome,
+  date_diff('second', p.block_timestamp, m.block_timestamp) AS wait_seconds
+FROM p LEFT JOIN m ON COALESCE(p.from_address || ':' || CAST(p.nonce AS VARCHAR), p.txhash) = COALESCE(m.from_address || ':' || CAST(m.nonce AS VARCHAR), m.txhash)
+  AND m.block_timestamp >= p.block_timestamp AND m.block_timestamp <= p.block_timestamp + INTERVAL 6 HOUR""", ("txpools", "txs_b"))
+def txpool_outcome(spark, sf_dir):
+    """Mempool entries that were mined, replaced by another transaction of their sender's
+    nonce, or expired (the batch form of the stream join)."""
+    memo: dict = {}
+    return DV.txpool_outcome(FX.load(spark, sf_dir, "txpools", memo), FX.load(spark, sf_dir, "txs_b", memo))
