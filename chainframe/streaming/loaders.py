@@ -7,13 +7,16 @@ from __future__ import annotations
 
 import os
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
 from chainframe.operators import balances as BL
+from chainframe.operators import derive as DV
 from chainframe.sources import layout as LY
 
 
@@ -65,6 +68,18 @@ def mempool_stream(pool: DataFrame, retention: str = "6 hours") -> DataFrame:
             .dropDuplicatesWithinWatermark(["txhash"]).drop("__event_time"))
 
 
+def txpool_outcome_stream(pool: DataFrame, mined: DataFrame, retention: str = "6 hours", lateness: str = "10 minutes") -> DataFrame:
+    """D13 on streams: mempool rows joined to mined transactions of the same sender and nonce. A row
+    leaves as soon as its match arrives, or as ``expired`` once the watermarks (``lateness`` behind
+    the newest rows) have passed its retention; state is dropped with it."""
+    p = pool.select("txhash", F.col("block_timestamp").alias("seen_at"), DV.txpool_key(pool).alias("__p"),
+                    F.col("block_timestamp").cast("timestamp").alias("__seen")).withWatermark("__seen", lateness)
+    m = mined.select(F.col("txhash").alias("mined_txhash"), F.col("block_timestamp").alias("mined_at"), DV.txpool_key(mined).alias("__m"),
+                     F.col("block_timestamp").cast("timestamp").alias("__mined")).withWatermark("__mined", lateness)
+    near = (F.col("__mined") >= F.col("__seen")) & (F.col("__mined") <= F.col("__seen") + F.expr(f"INTERVAL {retention}"))
+    return p.join(m, (F.col("__p") == F.col("__m")) & near, "leftOuter").select(*DV.txpool_columns())
+
+
 def with_event_time(df: DataFrame, col: str) -> DataFrame:
     """Watermarks need TIMESTAMP; chain times are TIMESTAMP_NTZ. The cast is a constant
     shift in a fixed-offset session zone (UTC here), so watermark delays are unchanged."""
@@ -166,6 +181,88 @@ def over_time_stream(samples: DataFrame, fn: str, window_s: int, step_s: int, la
                     F.col("__event_time").cast("timestamp_ntz").alias("eval_ts"), "value")
 
 
+_RANGE_STATE = T.StructType([T.StructField("us", T.ArrayType(T.LongType())), T.StructField("value", T.ArrayType(T.DoubleType())),
+                             T.StructField("next_us", T.LongType())])
+_RANGE_OUT = T.StructType([T.StructField("name", T.StringType()), T.StructField("__l", T.StringType()),
+                           T.StructField("series_key", T.StringType()), T.StructField("eval_ts", T.TimestampNTZType()),
+                           T.StructField("value", T.DoubleType())])
+
+
+def window_value(fn: str, t: np.ndarray, v: np.ndarray, window_s: float) -> float | None:
+    """``rate``, ``increase``, ``irate``, ``deriv`` or ``changes`` of one window's samples: ``t`` in
+    seconds relative to the instant, ascending. None where the batch form gives no row or NULL."""
+    if fn == "changes":
+        return float((np.diff(v) != 0).sum())
+    if len(t) < 2:
+        return None
+    steps = np.diff(v)
+    if fn == "irate":
+        gap = t[-1] - t[-2]
+        return None if gap == 0 else float((v[-1] if steps[-1] < 0 else steps[-1]) / gap)
+    if fn == "deriv":
+        x, y = t - t.mean(), v - v.mean()
+        return None if t[-1] == t[0] else float((x * y).sum() / (x * x).sum())
+    grown = float(np.where(steps >= 0, steps, v[1:]).sum())
+    sampled = t[-1] - t[0]
+    if sampled == 0:
+        return None
+    gap = sampled / (len(t) - 1)
+    before, after = t[0] + window_s, -t[-1]
+    if grown > 0 and v[0] >= 0:  # a counter cannot have been below zero
+        before = min(before, sampled * v[0] / grown)
+    covered = sampled + sum(x if x < 1.1 * gap else gap / 2 for x in (before, after))
+    out = grown * covered / sampled
+    return out / window_s if fn == "rate" else out
+
+
+def range_stream(samples: DataFrame, fn: str, window_s: int, step_s: int, lateness_s: int = 60) -> DataFrame:
+    """T6 for functions of neighbouring samples (``rate``, ``increase``, ``irate``, ``deriv``,
+    ``changes``) at instants that are multiples of ``step_s``. A series' state holds the samples that
+    instants to come may need, at most a window and the lateness long; an instant is computed once
+    the watermark has passed it, so samples may come in any order within the lateness, and equal
+    (time, value) pairs delivered again count once. Late instants are emitted by event-time timers
+    even if no sample follows."""
+    from chainframe.operators.metrics.ranges import entries
+
+    step, window = step_s * 1_000_000, window_s * 1_000_000
+
+    def run(key, pdfs, state):
+        us, value, following = (list(x) if k < 2 else x for k, x in enumerate(state.get)) if state.exists else ([], [], None)
+        if not state.hasTimedOut:
+            pairs = set(zip(us, value))
+            for pdf in pdfs:
+                pairs.update(zip(pdf["us"].tolist(), pdf["value"].tolist()))
+            us, value = map(list, zip(*sorted(pairs))) if pairs else ([], [])
+        passed = state.getCurrentWatermarkMs() * 1000  # instants up to here are complete
+        if us and following is None:
+            following = -(-us[0] // step) * step
+        elif us:
+            following = max(following, 0) if following > 0 else following
+        t, v, rows = np.array(us, np.int64), np.array(value), []
+        while us and following is not None and following <= min(passed, us[-1] + window):
+            a, b = np.searchsorted(t, following - window, "left"), np.searchsorted(t, following, "right")
+            if a < b:
+                got = window_value(fn, (t[a:b] - following) / 1e6, v[a:b], float(window_s))
+                if got is not None:
+                    rows.append((key[1], key[2], key[0], pd.Timestamp(following, unit="us"), got))
+            following += step
+        keep = t > (following if following is not None else 0) - window - 1
+        us, value = t[keep].tolist(), v[keep].tolist()
+        if us:
+            state.update((us, value, following))
+            state.setTimeoutTimestamp(max(passed // 1000 + 1, following // 1000))
+        else:
+            state.remove()
+        yield pd.DataFrame(rows, columns=[f.name for f in _RANGE_OUT.fields])
+
+    epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    d = entries(samples).select("series_key", "name", F.to_json(F.map_from_entries("__e")).alias("__l"), F.col("value").cast("double").alias("value"),
+                                F.timestamp_diff("MICROSECOND", epoch, F.col("ts")).alias("us"), F.col("ts").cast("timestamp").alias("__event_time"))
+    out = (d.withWatermark("__event_time", f"{lateness_s} seconds").groupBy("series_key", "name", "__l")
+           .applyInPandasWithState(run, _RANGE_OUT, _RANGE_STATE, "append", GroupStateTimeout.EventTimeTimeout))
+    return out.select("name", F.from_json("__l", "map<string,string>").alias("labels"), "series_key", "eval_ts", "value")
+
+
 ALERT_OUT = T.StructType([
     T.StructField("rule_id", T.StringType()), T.StructField("series_key", T.StringType()),
     T.StructField("eval_ts", T.TimestampNTZType()), T.StructField("state", T.StringType()),
@@ -175,6 +272,61 @@ ALERT_STATE = T.StructType([T.StructField("since_us", T.LongType()), T.StructFie
                             T.StructField("fired", T.BooleanType())])
 
 
+class _Episodes(StatefulProcessor):
+    """Pending, firing and resolved rows of one (rule, series): the open episode is a value state,
+    its end an event-time timer."""
+
+    def __init__(self, for_us: int, step_us: int) -> None:
+        self._for, self._step = for_us, step_us
+
+    def init(self, handle) -> None:
+        self._handle = handle
+        self._open = handle.getValueState("open", ALERT_STATE)
+
+    def _row(self, key, us: int, state: str, since: int) -> tuple:
+        return (key[0], key[1], pd.Timestamp(us, unit="us"), state, pd.Timestamp(since, unit="us"))
+
+    def handleInputRows(self, key, rows, timerValues):  # noqa: N802, N803
+        since, last, fired = self._open.get() if self._open.exists() else (None, None, False)
+        for timer in list(self._handle.listTimers()):
+            self._handle.deleteTimer(timer)
+        out = []
+        for t in sorted(int(x.value // 1000) for pdf in rows for x in pd.to_datetime(pdf["eval_ts"])):
+            if last is not None and t <= last:
+                continue
+            if last is None or t - last > self._step:
+                if fired:
+                    out.append(self._row(key, last + self._step, "resolved", since))
+                since, fired = t, False
+            state = "firing" if t - since >= self._for else "pending"
+            fired = fired or state == "firing"
+            out.append(self._row(key, t, state, since))
+            last = t
+        self._open.update((since, last, fired))
+        # passed by the watermark without a later sample: the episode is over
+        self._handle.registerTimer((last + 2 * self._step) // 1000)
+        yield pd.DataFrame(out, columns=[f.name for f in ALERT_OUT.fields])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):  # noqa: N802, N803
+        out = []
+        if self._open.exists():
+            since, last, fired = self._open.get()
+            if fired:
+                out.append(self._row(key, last + self._step, "resolved", since))
+            self._open.clear()
+        yield pd.DataFrame(out, columns=[f.name for f in ALERT_OUT.fields])
+
+    def close(self) -> None:
+        pass
+
+
+def alert_episodes(active: DataFrame, for_seconds: int, step_seconds: int, watermark: str = "10 minutes") -> DataFrame:
+    """T4 by ``transformWithState``: the rows of ``alert_stream``, with a value state and a timer a
+    (rule, series). Needs the RocksDB state store (``spark.sql.streaming.stateStore.providerClass``)."""
+    return (with_event_time(active, "eval_ts").withWatermark("__event_time", watermark).groupBy("rule_id", "series_key")
+            .transformWithStateInPandas(_Episodes(for_seconds * 1_000_000, step_seconds * 1_000_000), ALERT_OUT, "Append", "EventTime"))
+
+
 def alert_stream(active: DataFrame, for_seconds: int, step_seconds: int, watermark: str = "10 minutes") -> DataFrame:
     """T4/T5: streaming ``for`` state per (rule, series) with ``applyInPandasWithState``.
 

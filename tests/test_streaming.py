@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from chainframe.operators import alerts as AL
 from chainframe.operators import balances as BL
+from chainframe.operators import derive as DV
 from chainframe.operators.metrics import ranges as R
 from chainframe.operators.metrics.ranges import Grid
 from chainframe.sources import layout as LY
@@ -154,3 +155,97 @@ def test_late_and_unnumbered_blocks_after_a_fold(spark, tmp_dir):
     ST.store_partials(df(late), state, 2)
     ST.fold_partials(spark, state, 5)
     assert _sorted(ST.streamed_balances(spark, state)) == _sorted(BL.token_balances(df(rows + [none] + late * 2)))
+
+
+def _stream(spark, rows, cols, path, parts):
+    """A stream that reads the rows in ``parts`` batches, in their order."""
+    for k in range(parts):
+        own = rows[len(rows) * k // parts : len(rows) * (k + 1) // parts]
+        spark.createDataFrame(own, cols).coalesce(1).write.parquet(os.path.join(path, f"part={k:02d}"))
+    schema = spark.createDataFrame([], cols).schema
+    return schema
+
+
+def test_range_functions_on_a_disordered_stream_equal_batch(spark, tmp_dir):
+    import random
+
+    rng = random.Random(3)
+    rows, v = [], 0.0
+    for i in range(240):
+        v = rng.random() * 5 if rng.random() < 0.05 else v + rng.randint(0, 9)  # resets
+        rows.append(("m", "a", T0 + timedelta(seconds=15 * i), v))
+        if i % 3 == 0:
+            rows.append(("m", "b", T0 + timedelta(seconds=15 * i), float(i % 7)))
+    cols = "name string, job string, ts timestamp_ntz, value double"
+    m = metrics_frame(spark.createDataFrame(rows, cols), F.col("name"), ["job"], "ts", "value")
+    mixed = sorted(rows, key=lambda r: r[2] + timedelta(seconds=rng.randint(0, 100)))  # out of order, within the lateness
+    mixed = [x for k, r in enumerate(mixed) for x in ([r, r] if k % 10 == 0 else [r])]  # some delivered twice
+    src = os.path.join(tmp_dir, "r")
+    schema = _stream(spark, mixed, cols, src, 4)
+    grid = Grid.of("2024-01-01 00:00:00", "2024-01-01 01:00:00", "1m")
+    batch = {"rate": lambda: R.rate(m, "5m", grid), "changes": lambda: R.changes(m, "5m", grid), "deriv": lambda: R.deriv(m, "5m", grid),
+             "irate": lambda: R.irate(m, "5m", grid), "increase": lambda: R.increase(m, "5m", grid)}
+    for fn in ("rate", "irate", "deriv", "changes"):
+        raw = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(os.path.join(src, "*"))
+        stream = metrics_frame(raw, F.col("name"), ["job"], "ts", "value")
+        q = (ST.range_stream(stream, fn, 300, 60, 120).writeStream.format("memory").queryName(f"range_{fn}").outputMode("append")
+             .option("checkpointLocation", os.path.join(tmp_dir, f"c_{fn}")).trigger(availableNow=True).start())
+        q.awaitTermination()
+        got = {(r.series_key, r.eval_ts): r.value for r in spark.sql(f"SELECT * FROM range_{fn}").collect()}
+        want = {(r.series_key, r.eval_ts): r.value for r in batch[fn]().collect() if r.value is not None}
+        last = max(t for _, t in got)
+        assert last >= T0 + timedelta(minutes=50)
+        due = {k: x for k, x in want.items() if k[1] <= last}
+        assert set(got) == set(due), fn
+        assert all(abs(got[k] - x) < 1e-9 * max(1, abs(x)) for k, x in due.items()), fn
+
+
+POOL = "block_timestamp timestamp_ntz, txhash string, from_address string, nonce long"
+
+
+def test_mempool_outcomes_on_streams_equal_batch(spark, tmp_dir):
+    at = lambda m: T0 + timedelta(minutes=m)
+    pool = [(at(0), "mined", "a", 1), (at(1), "replaced", "a", 2), (at(2), "expired", "a", 3), (at(3), "late", "b", 1),
+            (at(4), "by hash", None, None), (at(5), "too late", "b", 2), (at(900), "newest", "z", 1)]
+    mined = [(at(10), "mined", "a", 1), (at(12), "other", "a", 2), (at(20), "late", "b", 1), (at(15), "by hash", None, None),
+             (at(5 + 361), "too late", "b", 2), (at(1), "before", "a", 3), (at(900), "unrelated", "q", 1)]
+    want = sorted(tuple(r) for r in DV.txpool_outcome(spark.createDataFrame(pool, POOL), spark.createDataFrame(mined, POOL)).collect())
+    assert {r[0]: r[2] for r in want} == {"mined": "mined", "replaced": "replaced", "expired": "expired", "late": "mined", "by hash": "mined",
+                                          "too late": "expired", "newest": "expired"}
+    ps, ms = os.path.join(tmp_dir, "p"), os.path.join(tmp_dir, "m")
+    schema = spark.createDataFrame([], POOL).schema
+    for k, (p, m) in enumerate(((pool[:6], [mined[0], mined[5]]), ([], [mined[1], mined[3], mined[2]]), ([], [mined[4]]), (pool[6:], mined[6:]))):
+        for path, own in ((ps, p), (ms, m)):
+            if own:
+                spark.createDataFrame(own, POOL).coalesce(1).write.mode("append").parquet(path)
+        read = lambda path: spark.readStream.schema(schema).parquet(path)
+        q = (ST.txpool_outcome_stream(read(ps), read(ms)).writeStream.format("parquet").option("path", os.path.join(tmp_dir, "out"))
+             .option("checkpointLocation", os.path.join(tmp_dir, "cj")).trigger(availableNow=True).start())
+        q.awaitTermination()
+    got = sorted((tuple(r) for r in spark.read.parquet(os.path.join(tmp_dir, "out")).collect()))
+    assert got == [r for r in want if r[0] != "newest"]  # its retention has not passed
+
+
+def test_episodes_by_timers_equal_batch_under_restart(spark, tmp_dir):
+    grid = Grid.of("2024-01-01 00:00:00", "2024-01-01 08:00:00", "5m")
+    steps = [1, 2, 3, 4, 5, 6, 10, 11, 20, 21, 22, 23, 24]
+    rows = [("r1", "s1", T0 + timedelta(minutes=5 * k)) for k in steps] + [("r1", "s2", T0 + timedelta(minutes=5 * k)) for k in (2, 3, 4, 90)]
+    rows.sort(key=lambda r: r[2])
+    cols = "rule_id string, series_key string, eval_ts timestamp_ntz"
+    full = spark.createDataFrame([(*r, 1.0, 600) for r in rows], cols + ", value double, for_seconds int").withColumn("labels", F.create_map())
+    batch = sorted((r.series_key, r.eval_ts, r.state, r.active_since) for r in AL.alert_states(full, grid).collect())
+    src, out = os.path.join(tmp_dir, "e"), os.path.join(tmp_dir, "eo")
+    schema = spark.createDataFrame([], cols).schema
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        for part in (rows[:5], rows[5:12], rows[12:]):  # each run goes on from the checkpoint
+            spark.createDataFrame(part, cols).coalesce(1).write.mode("append").parquet(src)
+            q = (ST.alert_episodes(spark.readStream.schema(schema).parquet(src), 600, 300).writeStream.format("parquet").option("path", out)
+                 .outputMode("append").option("checkpointLocation", os.path.join(tmp_dir, "ce")).trigger(availableNow=True).start())
+            q.awaitTermination()
+    finally:
+        spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+    got = sorted((r.series_key, r.eval_ts, r.state, r.active_since) for r in spark.read.parquet(out).collect())
+    newest = ("s2", T0 + timedelta(minutes=450))  # its episode is still open
+    assert got == [r for r in batch if (r[0], r[1]) <= newest or r[0] != "s2"]
+    assert ("s1", T0 + timedelta(minutes=125), "resolved", T0 + timedelta(minutes=100)) in got  # by a timer
