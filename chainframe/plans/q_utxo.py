@@ -14,15 +14,22 @@ FROM (SELECT * FROM btc_traces WHERE is_in) i LEFT JOIN (SELECT * FROM btc_trace
 ON i.pxhash = o.txhash AND i.vout_idx = o.vout_idx"""
 
 
-@query("btc_spend_link", _LINK, ("btc_traces",))
+# the fixture is built once, and an output and the inputs that spend it share a key
+_BY_OUTPUT = """SELECT *, count(*) FILTER (WHERE is_in) OVER (PARTITION BY CASE WHEN is_in THEN pxhash ELSE txhash END, vout_idx) AS spends
+FROM btc_traces"""
+
+
+@query("btc_spend_link", """WITH once AS MATERIALIZED (SELECT is_in, txhash, pxhash, vout_idx, address, value FROM btc_traces),
+i AS MATERIALIZED (SELECT txhash, pxhash, vout_idx FROM once WHERE is_in),
+o AS MATERIALIZED (SELECT txhash AS of_tx, vout_idx AS of_idx, address, value FROM once WHERE NOT is_in)
+SELECT txhash, pxhash, vout_idx, address AS spent_address, value AS spent_value FROM i LEFT JOIN o ON pxhash = of_tx AND vout_idx = of_idx""",
+       ("btc_traces",))
 def btc_spend_link(spark, sf_dir):
     """Inputs linked to the outputs they spend."""
     return UT.spend_link(FX.load(spark, sf_dir, "btc_traces")).select("txhash", "pxhash", "vout_idx", "spent_address", "spent_value")
 
 
-@query("btc_utxo", """
-SELECT o.txhash, o.vout_idx, o.address, o.value FROM (SELECT * FROM btc_traces WHERE NOT is_in) o
-ANTI JOIN (SELECT pxhash, vout_idx FROM btc_traces WHERE is_in) i ON i.pxhash = o.txhash AND i.vout_idx = o.vout_idx""", ("btc_traces",))
+@query("btc_utxo", f"""SELECT txhash, vout_idx, address, value FROM ({_BY_OUTPUT}) WHERE NOT is_in AND spends = 0""", ("btc_traces",))
 def btc_utxo(spark, sf_dir):
     """The unspent output set."""
     return UT.utxo_set(FX.load(spark, sf_dir, "btc_traces")).select("txhash", "vout_idx", "address", "value")
