@@ -127,10 +127,10 @@ def bpe(piece: bytes, ranks: dict[bytes, int], queue: RankQueue) -> list[int]:
 def bpe_encoder(ranks: dict[bytes, int], pattern: str) -> ChunkEncoder:
     queue = RankQueue(max(ranks.values()) + 1)
 
-    def encode(matches: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    def encode(matches: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         own = [bpe(m.encode("utf-8"), ranks, queue) for m in matches]
         lens = np.fromiter(map(len, own), np.int64, len(own))
-        return matches, np.fromiter((i for ids in own for i in ids), np.int32, int(lens.sum())), lens
+        return np.arange(len(own)), np.fromiter((i for ids in own for i in ids), np.int32, int(lens.sum())), lens
 
     return ChunkEncoder(encode, pattern)
 

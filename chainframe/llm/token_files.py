@@ -20,7 +20,7 @@ table: a container that every store Spark can write to accepts. A file closes at
 document end after ``file_ids`` ids, which bounds a task's memory by that and its longest text.
 
 Defined results: a null or empty text is its end id alone; rows without doc_id come first;
-repeated ids are ordered by text; an empty table gives no files and no rows.
+repeated ids are ordered by the hash of their text; an empty table gives no files and no rows.
 """
 
 from __future__ import annotations
@@ -181,7 +181,7 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, pattern: str, end_
                 names=["part", "seq", "n_docs", "n_ids", "payload"])
 
         for batch in batches:
-            for rows in slices(batch, most_bytes=16 << 20):
+            for rows in slices(batch):
                 ids, counts = with_end(*encoder.ids(rows.column("text")), end_id)
                 names, ends = rows.column("doc_id").to_pylist(), np.append(0, np.cumsum(counts))
                 at = 0
@@ -195,7 +195,11 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, pattern: str, end_
         if held:
             yield closed()
 
-    ordered = whole_text(docs).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    # rows with one id or without any go by the hash of their text, then by their row number, so
+    # that many of them are dealt over several tasks
+    order = ["doc_id", "hash", "row"]
+    rows = whole_text(docs).select("*", F.xxhash64("text").alias("hash"), F.monotonically_increasing_id().alias("row"))
+    ordered = rows.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text")
     ordered.mapInArrow(run, FILES).write.option("parquet.block.size", str(16 << 20)).option("compression", "none").parquet(path)
 
 

@@ -21,7 +21,7 @@ def _frame(spark, rows):
 
 
 def _edit(rows):
-    rows = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))
+    rows = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))  # one row an id
     out = {}
     for k, (i, t) in enumerate(rows):
         t, nxt = t or "", rows[(k + 1) % len(rows)][1] or ""
@@ -73,6 +73,42 @@ def test_differences_are_located(spark):
     assert [tuple(r[0]) for r in df.select(at).collect()] == [(1, 1), (-1, -1), (2, 0), (2, 0)]
 
 
+def _plain_root(text):
+    import re
+
+    h = lambda *parts: hashlib.sha256("".join(parts).encode()).hexdigest()
+    def cut(t, ends):
+        out = re.split(ends, t)
+        return out
+    sections = []
+    for s in cut(text, r"(?<=\n\n)"):
+        sections.append(h(*[h(*[h(x) for x in cut(p, r"(?<=[^a-rA-R][ \n])|(?<=\n)")]) for p in cut(s, r"(?<=\n)")]))
+    return h(*sections)
+
+
+def test_roots_and_likeness_of_texts_without_spaces(spark):
+    rng = random.Random(12)
+    chinese = "".join(chr(rng.randint(0x4E00, 0x9FFF)) for _ in range(400))
+    rows = [(1, chinese), (2, "".join(chr(rng.randint(0x4E00, 0x9FFF)) for _ in range(400))), (3, "QUJD" * 3 + "x" * 900), (4, "one two.\n\nthree")]
+    got = {r.doc_id: r for r in fingerprint.edited_fingerprints(_frame(spark, rows)).collect()}
+    assert 0.3 < got[1].near_edited < 0.7 and got[1].near_next < 0.05
+    for i, t in rows:
+        assert got[i].fingerprint == _plain_root(t)
+        assert got[i].edited_fingerprint == _plain_root(_edit(rows)[i][1])
+
+
+def test_many_rows_without_id_or_with_one_are_cut(spark):
+    rows = [(None, f"none {k % 40}") for k in range(150)] + [(7, f"seven {k}") for k in range(150)] + [(10 ** 15, "far")] + [(20 + k, f"t{k}") for k in range(150)]
+    got = fingerprint.with_next(_frame(spark, rows), per_bucket=4)
+    pairs = sorted((r.doc_id is not None, r.doc_id or 0, r.text, r.next_text) for r in got.collect())
+    # successors of an id's rows are one cycle through all rows: each text follows as often as it occurs
+    assert sorted(t for *_, t in pairs) == sorted(t for _, t in rows)
+    hashed = {r.t: r.h for r in spark.createDataFrame([(t,) for _, t in rows], "t string").select("t", F.xxhash64("t").alias("h")).collect()}
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, hashed[r[1]]))
+    want = sorted((i is not None, i or 0, t, order[(k + 1) % len(order)][1]) for k, (i, t) in enumerate(order))
+    assert pairs == want
+
+
 def test_empty_table(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert fingerprint.edited_fingerprints(empty).count() == 0
@@ -143,7 +179,7 @@ def test_rank_queue_gives_ranks_in_order():
 def test_caches_start_anew_without_changing_results(reference):
     with open(public_tokenizers.path("byte_bpe_50k.json"), "rb") as f:
         encode = library_encode(f.read())
-    encoder = ChunkEncoder(encode, public_tokenizers.PATTERN, most_chunks=50, most_matches=30)
+    encoder = ChunkEncoder(encode, public_tokenizers.PATTERN, most_bytes=500_000)  # starts anew now and then
     texts = _odd_texts()
     for k in range(0, len(texts), 40):
         ids, counts = encoder.ids(pa.array(texts[k : k + 40]))
