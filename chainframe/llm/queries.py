@@ -12,6 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
+from chainframe.llm import oracles
 from chainframe.llm.bpe import encode_documents
 from chainframe.llm.exact_dedup import exact_groups
 from chainframe.llm.fingerprint import edited_fingerprints
@@ -57,18 +58,7 @@ def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linked_components(documents(spark, sf_dir), width=3, num=90, den=100)
 
 
-_EXACT_SQL = r"""
-WITH n AS (
-  SELECT doc_id, length(coalesce(text, '')) AS n,
-         regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS norm FROM documents),
-k AS (
-  SELECT doc_id, norm, first_value(doc_id) OVER (PARTITION BY norm ORDER BY n DESC, doc_id) AS keep_id,
-         count(*) OVER (PARTITION BY norm) AS group_size FROM n)
-SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(norm) AS text_sha256 FROM k
-"""
-
-
-@_query("op4_exact_dedup", _EXACT_SQL)
+@_query("op4_exact_dedup", oracles.EXACT_DEDUP)
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(documents(spark, sf_dir))
 
@@ -105,12 +95,12 @@ def op10_ppm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(documents(spark, sf_dir))
 
 
-@_query("op11_manifest")
+@_query("op11_manifest", oracles.manifest())
 def op11_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tampered_proofs(documents(spark, sf_dir))
 
 
-@_query("op12_importance")
+@_query("op12_importance", oracles.importance())
 def op12_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     target = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     out = drawn(documents(spark, sf_dir), target, percent=25, min_words=20, buckets=10_000, seed=7)
