@@ -54,6 +54,25 @@ def test_the_longest_original_stays_and_all_columns_with_it(spark):
     assert sorted((r.doc_id or 0, r.h, r.norm) for r in kept) == [(0, "clash", 1), (2, "clash", 1)]
 
 
+def test_one_row_of_each_class_stays_whatever_the_ids(spark):
+    rows = [(0, "other  "), (1, "aaaa"), (1, "other"), (5, "x y"), (5, "x y"), (5, "xy "), (None, "n"), (None, "n"), (None, " m "), (None, "m")]
+    got = exact_dedup.exact_groups(_frame(spark, rows)).collect()
+    kept = sorted((r.doc_id if r.doc_id is not None else -1, r.keep_id if r.keep_id is not None else -1, r.group_size) for r in got if r.kept)
+    assert len(got) == len(rows) and kept == [(-1, -1, 2), (-1, -1, 2), (0, 0, 2), (1, 1, 1), (5, 5, 3)]
+    stay = sorted((str(r.doc_id), r.text) for r in exact_dedup.drop_copies(_frame(spark, rows)).collect())
+    assert [i for i, _ in stay] == ["0", "1", "5", "None", "None"] and {t for _, t in stay} - {"x y", "xy "} == {"other  ", "aaaa", "n", " m "}
+
+
+def test_one_document_of_each_component_stays_whatever_the_ids(spark):
+    words = [f"w{k}" for k in range(60)]
+    near = " ".join([*words[:30], "changed", *words[31:]])
+    rows = [(5, " ".join(words)), (5, " ".join(words)), (7, near), (5, "another text altogether " * 9), (None, near), (None, ""), (None, None), (9, "a b")]
+    for parts in (1, 4):
+        kept = ngram_join.keep_one_of_each(_frame(spark, rows, parts), width=3, num=80, den=100).collect()
+        assert sorted((str(r.doc_id), r.text) for r in kept if r.text) == [("5", "another text altogether " * 9), ("9", "a b"), ("None", near)]
+        assert sum(not r.text for r in kept) == 2 and kept[0].h == "clash"
+
+
 def test_empty_tables(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert exact_dedup.exact_groups(empty).count() == 0
@@ -115,6 +134,36 @@ def test_rows_without_id_and_repeated_rows(spark):
         (False, 0, 0), (True, 4, 0), (True, 4, 0), (True, 9, 9)]
 
 
+def _large_family(seed, num, den):
+    """Sets of 500 to 5,000 shingles with pairs around the threshold."""
+    rng = random.Random(seed)
+    rows, i = [], 0
+    for size in (510, 900, 2000, 5000):
+        base = [f"w{rng.randrange(10 ** 6)}" for _ in range(size)]
+        for k in range(5):
+            w = list(base)
+            most = int(size * (den - num) / (den + num) / 3)  # each change is three shingles of either set
+            for at in rng.sample(range(0, size, 4), min(size // 4, max(1, most + rng.randint(-6, 6) if k % 2 else rng.randint(0, 9)))):
+                w[at] = f"x{rng.randrange(10 ** 9)}"
+            rows.append((i, " ".join(w)))
+            i += 1
+    return rows
+
+
+def test_large_sets_around_the_threshold(spark):
+    rows = _large_family(3, 90, 100)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.linked_components(_frame(spark, rows)).collect()}
+    assert got == _linked(rows, 3, 90, 100)
+    assert min(n for n, _ in got.values()) > 500 and len({c for _, c in got.values()}) > 4
+
+
+def test_links_that_only_the_sketches_claim_are_not_taken(spark, monkeypatch):
+    rows = _large_family(4, 90, 100)
+    monkeypatch.setattr(ngram_join, "verdict", lambda n, m, x, y, num, den: 1)  # claims every link
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.linked_components(_frame(spark, rows)).collect()}
+    assert got == _linked(rows, 3, 90, 100)
+
+
 def test_verdicts_are_never_wrong():
     rng = np.random.default_rng(0)
     seen = set()

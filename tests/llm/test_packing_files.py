@@ -137,6 +137,51 @@ def test_shards_are_equal_where_pieces_exceed_a_partitions_share(spark):
     assert max(loads.values()) - min(loads.values()) <= 0.005 * max(loads.values())
 
 
+def test_copies_under_one_id_are_split_like_others(spark):
+    rng = random.Random(7)
+    rows = [(i, f"{i} " + "w" * rng.randint(0, 200)) for i in range(6_000)] + [(77, "a hot text under one id " * 4)] * 3_000 + [(None, "no id")] * 500
+    got = sharding.shard_documents(_frame(spark, rows), 6, 500).collect()
+    loads = {}
+    for r in got:
+        loads[r.shard] = loads.get(r.shard, 0) + r.size
+    assert len(got) == len(rows) and max(loads.values()) - min(loads.values()) <= 0.005 * max(loads.values())
+
+
+def test_placing_follows_the_dot_product_rule():
+    rng = np.random.default_rng(4)
+    units = np.stack([rng.integers(8, 500, 300), rng.integers(1, 90, 300), rng.integers(1, 4, 300)], axis=1).astype(float)
+    shards, got = 5, sharding.place(units, 5, 2)
+    capacity = [sum(u[k] for u in units) / shards for k in range(3)]
+    left = [[1.0] * 3 for _ in range(shards)]
+    seen, total, want = 0.0, sum(u[0] for u in units), {}
+    for i in sorted(range(300), key=lambda i: -units[i][0]):
+        v = [units[i][k] / max(capacity[k], 1) for k in range(3)]
+        w = sharding.WEIGHTS if seen < total * (1 - sharding.TAIL) else sharding.TAIL_WEIGHTS
+        fits = [s for s in range(shards) if left[s][0] >= v[0]]
+        if fits:
+            best = max(fits, key=lambda s: (sum(w[k] * v[k] * left[s][k] for k in range(3)), -s))
+        else:
+            best = max(range(shards), key=lambda s: (left[s][0], -s))
+        for k in range(3):
+            left[best][k] -= v[k]
+        seen += units[i][0]
+        want[i] = (best + 2) % shards
+    assert [want[i] for i in range(300)] == got.tolist()
+
+
+def test_many_rows_without_id_are_dealt_over_tasks(spark, ids_of):
+    rows = [(None, f"text {k}") for k in range(300)] + [(k, "other") for k in range(300)]
+    got = packing.pack_documents(_frame(spark, rows), VOCABULARY, public_tokenizers.PATTERN, 64, 0, 50).collect()
+    assert sum(r.length for r in got) == sum(len(ids_of(t)) + 1 for _, t in rows) and len(got) == len(rows)
+    bound = -(-sum(r.length for r in got) // 64)
+    assert len({r.sequence_id for r in got}) <= bound + 2
+    whole = token_files.token_files(_frame(spark, rows), VOCABULARY, public_tokenizers.PATTERN).collect()
+    assert sorted(r.start for r in whole)[0] == 0 and sum(r.n_tokens for r in whole) == sum(len(ids_of(t)) + 1 for _, t in rows)
+    spans = sorted((r.start, r.n_tokens) for r in whole)
+    assert all(a + n == b for (a, n), (b, _) in zip(spans, spans[1:]))
+    assert max(r.start for r in whole if r.doc_id is None) < min(r.start for r in whole if r.doc_id is not None)
+
+
 @pytest.mark.parametrize("n,most", [(0, 9), (1, 9), (127, 4), (128, 0), (129, 50257), (70_000, 50257), (5_000, 2 ** 32 - 1)])
 def test_token_file_round_trip(n, most):
     rng = np.random.default_rng(n)
