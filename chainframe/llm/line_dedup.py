@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from chainframe.llm.chunks import release_encoder, slices
 from chainframe.llm.components import components, joined
-from chainframe.llm.text import IdFilter, written
+from chainframe.llm.text import HOT_SHARE, IdFilter, spread_join, written
 
 _RUN = 2 << 20
 _BASE = 0x9E3779B97F4A7C15  # odd, so that it has an inverse modulo 2^64
@@ -256,10 +256,11 @@ def line_classes(docs: DataFrame, lines: DataFrame, tau: int, min_bytes: int) ->
     seen = Window.partitionBy("key")
     line = F.shiftrightunsigned("line", 2)
     # a key stays if it has different lines, one of them indexed
-    live = (keyed_lines(docs, tau, min_bytes).select("key", line.alias("line"), F.col("line").bitwiseAND(3).alias("role"))
+    # (copies of a common line are combined first, where they are read)
+    live = (keyed_lines(docs, tau, min_bytes).select("key", line.alias("line"), F.col("line").bitwiseAND(3).alias("role")).distinct()
             .withColumn("least", F.min("line").over(seen)).withColumn("most", F.max("line").over(seen))
             .withColumn("roles", F.expr("bit_or(role) over (partition by key)"))
-            .filter("least <> most and roles = 3").select("key", "line", "role").distinct())
+            .filter("least <> most and roles = 3").select("key", "line", "role"))
     live = written(live, "line-keys")
     linked = live.select("line").distinct()
     where = (lines.select("doc_id", F.explode("lines.id").alias("line")).join(linked, "line", "left_semi")
@@ -288,12 +289,16 @@ def line_decisions(docs: DataFrame, tau: int = 2, min_bytes: int = 16) -> DataFr
     texts = docs.select(F.coalesce("doc_id", F.lit(_NO_ID)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     lines = written(line_table(texts), "lines")
     classes = line_classes(texts, lines, tau, min_bytes)
-    at = (lines.select("doc_id", F.explode("lines").alias("l")).select("doc_id", F.col("l.number").alias("number"), F.col("l.id").alias("line"))
-          .join(classes, "line", "left").withColumn("root", F.coalesce("root", "line")))
+    at = lines.select("doc_id", F.explode("lines").alias("l")).select("doc_id", F.col("l.number").alias("number"), F.col("l.id").alias("line"))
+    # one row a distinct line: where it and its class begin, and how often it occurs
     place = F.struct("doc_id", "number")
-    first_of = at.groupBy("root").agg(F.min(place).alias("first"))
-    first_equal = at.groupBy("line").agg(F.min(place).alias("equal"))
-    judged = at.join(first_of, "root").join(first_equal, "line").select(
+    per_line = written(at.groupBy("line").agg(F.min(place).alias("equal"), F.count(F.lit(1)).alias("c")), "line-first")
+    per_line = per_line.join(classes, "line", "left").withColumn("root", F.coalesce("root", "line"))
+    facts = written(per_line.join(per_line.groupBy("root").agg(F.min("equal").alias("first")), "root")
+                    .select("line", "equal", "first", "c"), "line-facts")
+    total = facts.agg(F.sum("c")).first()[0] or 0
+    hot = facts.filter(F.col("c") > max(16, total // HOT_SHARE)).select("line")
+    judged = spread_join(at, facts.drop("c"), "line", hot).select(
         "doc_id", "number", (place == F.col("first")).alias("keep"), (place == F.col("equal")).alias("new"),
         F.col("first.doc_id").alias("class_doc"))
     count = lambda c: F.sum(F.when(c, 1).otherwise(0)).cast("long")

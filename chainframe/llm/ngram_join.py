@@ -52,14 +52,13 @@ from chainframe.llm.chunks import release_encoder, slices
 from chainframe.llm.components import components, joined
 from chainframe.llm.ppm import words_of
 from chainframe.llm.order import numbered_rows
-from chainframe.llm.text import IdFilter, free_name, written
+from chainframe.llm.text import HOT_SHARE, IdFilter, free_name, spread_join, written
 
 SLOTS = 1 << 20
 _PART = 1 << 14
 _NO_ID = -(1 << 63)
 LANES = tuple(f"s{k}" for k in range(1, 9))  # a 512-bit sketch
 NEVER = 1e-18
-HOT_SHARE = 1000  # a key with more than this part of all rows is hot
 EXACT = 512  # sets of at most so many shingles travel whole instead of a longer sketch
 
 
@@ -291,15 +290,6 @@ def spanned(roots: DataFrame, links: DataFrame, sets: DataFrame, num: int, den:
         links = links.select("a", "b").join(one, ["a", "b"], "left_anti")
 
 
-def _by_hot_keys(rows: DataFrame, small: DataFrame, key: str, hot: DataFrame) -> DataFrame:
-    """``rows`` left-joined to ``small`` (unique in ``key``). ``hot`` lists the keys of many rows,
-    fewer than ``HOT_SHARE`` of them: their part of ``small`` is broadcast."""
-    tagged = rows.join(F.broadcast(hot.select(key, F.lit(True).alias("_hot"))), key, "left")
-    large = F.broadcast(small.join(F.broadcast(hot), key, "left_semi"))
-    return (tagged.filter("_hot").drop("_hot").join(large, key, "left")
-            .unionByName(tagged.filter("_hot is null").drop("_hot").join(small, key, "left")))
-
-
 def _hot_keys(rows: DataFrame, key: str, total: int) -> DataFrame:
     counts = rows.groupBy(key).agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") > max(16, total // HOT_SHARE))
     return written(counts.select(key), "ngram-hot")
@@ -374,11 +364,11 @@ def _placed(docs: DataFrame, row: Column, width: int, num: int, den: int) -> Dat
 
     total = d.count()
     light = d.select("row", "doc_id", "n", "sid")
-    placed = _by_hot_keys(light, roots.withColumnRenamed("id", "sid"), "sid", _hot_keys(light, "sid", total))
+    placed = spread_join(light, roots.withColumnRenamed("id", "sid"), "sid", _hot_keys(light, "sid", total))
     placed = written(placed.withColumn("root", F.coalesce("root", "sid")), "ngram-placed")
     some = placed.filter("n > 0")
     least = some.groupBy("root").agg(F.min(F.struct("doc_id", "row")).alias("l")).select("root", F.col("l.doc_id").alias("least"), F.col("l.row").alias("first"))
-    some = _by_hot_keys(some, least, "root", _hot_keys(some, "root", total))
+    some = spread_join(some, least, "root", _hot_keys(some, "root", total))
     none = placed.filter("n = 0").withColumn("least", F.col("doc_id")).withColumn("first", F.col("row"))
     return some.unionByName(none).select("row", "doc_id", "n", "least", (F.col("row") == F.col("first")).alias("kept"))
 

@@ -44,6 +44,20 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: a key that holds more than this part of all rows is hot; there are fewer such keys
+HOT_SHARE = 1000
+
+
+def spread_join(rows: DataFrame, small: DataFrame, key: str, hot: DataFrame) -> DataFrame:
+    """``rows`` left-joined to ``small`` (unique in ``key``). ``hot`` lists the keys of many rows,
+    fewer than ``HOT_SHARE`` of them: their part of ``small`` is broadcast, so a hot key stays dealt
+    over the tasks that hold it."""
+    tagged = rows.join(F.broadcast(hot.select(key, F.lit(True).alias("_hot"))), key, "left")
+    large = F.broadcast(small.join(F.broadcast(hot), key, "left_semi"))
+    return (tagged.filter("_hot").drop("_hot").join(large, key, "left")
+            .unionByName(tagged.filter("_hot is null").drop("_hot").join(small, key, "left")))
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """``name``, after underscores if ``df`` has such a column."""
     taken = {c.lower() for c in df.columns}
