@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chainframe.operators.metrics.ranges import Grid
+from chainframe.operators.metrics.shared import Vectors
 from chainframe.operators.windows import asof_join
 from chainframe.session import stored
 from chainframe.sources.ingest import series_key
@@ -32,7 +33,7 @@ from chainframe.sources.ingest import series_key
 @dataclass(frozen=True)
 class Rule:
     name: str
-    expr: Callable  # (metrics DataFrame, Grid, SparkSession) -> instant vector DataFrame
+    expr: Callable  # (metrics DataFrame or Vectors, Grid, SparkSession) -> instant vector DataFrame
     for_seconds: int = 0
     labels: dict = field(default_factory=dict)
     annotations: dict = field(default_factory=dict)
@@ -61,6 +62,15 @@ def evaluate(rules: list[Rule], metrics: DataFrame, grid: Grid, spark) -> DataFr
     return stored(out, "active-alerts")
 
 
+def evaluate_shared(rules: list[Rule], metrics: DataFrame, grid: Grid, spark) -> DataFrame:
+    """``evaluate`` for rules whose expressions take ``Vectors``: what they read is computed once for
+    all of them, from one scan of the metrics."""
+    vectors = Vectors(metrics, grid)
+    for r in rules:
+        r.expr(vectors, grid, spark)  # notes what the rule reads
+    return evaluate(rules, vectors.prepare(), grid, spark)
+
+
 def alert_states(active: DataFrame, grid: Grid) -> DataFrame:
     """L2: per (rule, series, step): ``pending``/``firing`` while active and ``resolved`` at
     the first inactive step after firing. Columns: rule_id, series_key, eval_ts, state,

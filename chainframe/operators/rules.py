@@ -1,77 +1,68 @@
-"""Alert rule catalogue: the reference's alerting rules as Python functions over metric
-frames (no expression parser). Each entry keeps the rule's group file and line as identity.
+"""Alert rule catalogue: the reference's alerting rules as Python functions over shared vectors
+(no expression parser). Each entry keeps the rule's group file and line as identity.
 
-This round covers one or more rules of every expression family used by the reference
-(instant compare, or, range average/max, rate/increase/changes, aggregation by labels,
-vector division, absent, count of count_values, time() arithmetic); the remaining rules of
-the catalogue reuse the same operators.
+It covers one or more rules of every expression family used by the reference (instant compare, or,
+range average/max, rate/increase/changes, aggregation by labels, vector division, absent, count of
+count_values, time() arithmetic); the remaining rules of the catalogue reuse the same operators.
+Evaluate it with ``alerts.evaluate_shared``: the metrics are scanned once for all rules.
 """
 
 from __future__ import annotations
 
-from chainframe.operators import metrics as M
 from chainframe.operators.alerts import Rule
 from chainframe.operators.metrics import vector as V
 
 
-def _sel(name, *matchers):
-    return lambda m: M.select(m, name, list(matchers))
-
-
-def _inst(name, *matchers):
-    return lambda m, g: M.instant(_sel(name, *matchers)(m), g)
-
-
-def _cpu_load(m, g):
-    idle = M.rate(_sel("node_cpu_seconds_total", ("mode", "=", "idle"))(m), "2m", g)
+def _cpu_load(x):
+    idle = x.get("rate", "2m", "node_cpu_seconds_total", ("mode", "=", "idle"))
     busy = V.scalar_op(V.scalar_op(V.aggregate(idle, "avg", ["instance"]), "*", 100), "-", 100, scalar_left=True)
     return V.compare(busy, ">", 90)
 
 
-def _load5(m, g):
-    cpus = V.aggregate(_inst("node_cpu_seconds_total", ("mode", "=", "idle"))(m, g), "count", ["instance", "job"])
-    return V.compare(V.binary_op(_inst("node_load5")(m, g), cpus, "/"), ">=", 1.6)
+def _load5(x):
+    cpus = V.aggregate(x.instant("node_cpu_seconds_total", ("mode", "=", "idle")), "count", ["instance", "job"])
+    return V.compare(V.binary_op(x.instant("node_load5"), cpus, "/"), ">=", 1.6)
 
 
-def _config_not_synced(m, g):
-    return V.compare(V.aggregate(V.count_values(_inst("alertmanager_config_hash")(m, g), "config_hash"), "count"), ">", 1)
+def _config_not_synced(x):
+    return V.compare(V.aggregate(V.count_values(x.instant("alertmanager_config_hash"), "config_hash"), "count"), ">", 1)
 
 
 # fixed values: rule names, thresholds, windows, `for` durations and severities of the
 # reference's alerting rules (group, line, name, expression, for seconds, severity)
 CATALOG = [
-    ("bbox", 4, "BlackboxProbeFailed", lambda m, g, s: V.compare(_inst("probe_success")(m, g), "==", 0), 0, "critical"),
+    ("bbox", 4, "BlackboxProbeFailed", lambda x, g, s: V.compare(x.instant("probe_success"), "==", 0), 0, "critical"),
     ("bbox", 14, "BlackboxSlowProbe",
-     lambda m, g, s: V.compare(M.avg_over_time(_sel("probe_duration_seconds")(m), "1m", g), ">", 1), 60, "warning"),
+     lambda x, g, s: V.compare(x.get("avg_over_time", "1m", "probe_duration_seconds"), ">", 1), 60, "warning"),
     ("bbox", 24, "BlackboxProbeHttpFailure",
-     lambda m, g, s: V.vector_or(V.compare(_inst("probe_http_status_code")(m, g), "<=", 199),
-                                 V.compare(_inst("probe_http_status_code")(m, g), ">=", 500)), 0, "critical"),
+     lambda x, g, s: V.vector_or(V.compare(x.instant("probe_http_status_code"), "<=", 199),
+                                 V.compare(x.instant("probe_http_status_code"), ">=", 500)), 0, "critical"),
     ("cetl", 16, "ChainLoadPending",
-     lambda m, g, s: V.compare(V.aggregate(_inst("redis_stream_group_consumer_messages_pending")(m, g), "sum",
+     lambda x, g, s: V.compare(V.aggregate(x.instant("redis_stream_group_consumer_messages_pending"), "sum",
                                            ["db", "group", "instance", "stream"]), ">", 0), 1800, "warning"),
     ("geth", 4, "GethChainInsertsOutOfTime",
-     lambda m, g, s: V.compare(V.scalar_op(M.max_over_time(_sel("chain_inserts", ("quantile", "=", "0.95"))(m), "10m", g),
+     lambda x, g, s: V.compare(V.scalar_op(x.get("max_over_time", "10m", "chain_inserts", ("quantile", "=", "0.95")),
                                            "/", 1e9), ">", 10), 600, "warning"),
     ("geth", 41, "GethChainNoPeers",
-     lambda m, g, s: V.compare(_inst("p2p_peers", ("discover", "!=", "no"))(m, g), "<", 5), 600, "critical"),
-    ("host", 4, "HostHighCpuLoad", lambda m, g, s: _cpu_load(m, g), 0, "warning"),
-    ("host", 15, "HostHighLoad5m", lambda m, g, s: _load5(m, g), 120, "warning"),
+     lambda x, g, s: V.compare(x.instant("p2p_peers", ("discover", "!=", "no")), "<", 5), 600, "critical"),
+    ("host", 4, "HostHighCpuLoad", lambda x, g, s: _cpu_load(x), 0, "warning"),
+    ("host", 15, "HostHighLoad5m", lambda x, g, s: _load5(x), 120, "warning"),
     ("host", 130, "HostOomKillDetected",
-     lambda m, g, s: V.compare(M.increase(_sel("node_vmstat_oom_kill")(m), "1m", g), ">", 0), 0, "warning"),
+     lambda x, g, s: V.compare(x.get("increase", "1m", "node_vmstat_oom_kill"), ">", 0), 0, "warning"),
     ("prom", 4, "PrometheusJobMissing",
-     lambda m, g, s: V.absent(_inst("up", ("job", "=", "prometheus"))(m, g), g, s, {"job": "prometheus"}), 0, "critical"),
-    ("prom", 14, "PrometheusTargetMissing", lambda m, g, s: V.compare(_inst("up")(m, g), "==", 0), 0, "critical"),
+     lambda x, g, s: V.absent(x.instant("up", ("job", "=", "prometheus")), g, s, {"job": "prometheus"}), 0, "critical"),
+    ("prom", 14, "PrometheusTargetMissing", lambda x, g, s: V.compare(x.instant("up"), "==", 0), 0, "critical"),
     ("prom", 44, "PrometheusTooManyRestarts",
-     lambda m, g, s: V.compare(M.changes(_sel("process_start_time_seconds",
-                                              ("job", "=~", "prometheus|pushgateway|alertmanager"))(m), "15m", g), ">", 2),
+     lambda x, g, s: V.compare(x.get("changes", "15m", "process_start_time_seconds",
+                                       ("job", "=~", "prometheus|pushgateway|alertmanager")), ">", 2),
      0, "warning"),
-    ("prom", 64, "PrometheusAlertmanagerConfigNotSynced", lambda m, g, s: _config_not_synced(m, g), 0, "warning"),
-    ("psql", 4, "PostgresqlDown", lambda m, g, s: V.compare(_inst("pg_up")(m, g), "==", 0), 0, "critical"),
+    ("prom", 64, "PrometheusAlertmanagerConfigNotSynced", lambda x, g, s: _config_not_synced(x), 0, "warning"),
+    ("psql", 4, "PostgresqlDown", lambda x, g, s: V.compare(x.instant("pg_up"), "==", 0), 0, "critical"),
     ("psql", 13, "PostgresqlRestarted",
-     lambda m, g, s: V.compare(V.time_minus(_inst("pg_postmaster_start_time_seconds")(m, g)), "<", 60), 0, "critical"),
-    ("reds", 4, "RedisDown", lambda m, g, s: V.compare(_inst("redis_up")(m, g), "==", 0), 300, "critical"),
+     lambda x, g, s: V.compare(V.time_minus(x.instant("pg_postmaster_start_time_seconds")), "<", 60), 0, "critical"),
+    ("reds", 4, "RedisDown", lambda x, g, s: V.compare(x.instant("redis_up"), "==", 0), 300, "critical"),
     ("reds", 40, "RedisIncreaseTooManyConnections",
-     lambda m, g, s: V.compare(M.rate(_sel("redis_connected_clients")(m), "1m", g), ">", 100), 300, "warning"),
+     lambda x, g, s: V.compare(x.get("rate", "1m", "redis_connected_clients"), ">", 100), 300, "warning"),
 ]
 
 

@@ -6,9 +6,12 @@ from pyspark.sql import functions as F
 
 from chainframe.operators import alerts as AL
 from chainframe.operators import metrics as M
+from chainframe.operators import rules as RU
 from chainframe.operators.metrics import vector as V
 from chainframe.plans.q_metrics import GRID_SQL, STEP, W, extrapolated_sql, grid, instant_sql, samples, stats_sql
 from chainframe.plans.registry import query
+from chainframe.sources import fixtures as FX
+from chainframe.sources.ingest import metrics_frame
 from chainframe.session import stored
 
 
@@ -34,6 +37,16 @@ def _rules(queue=None, rate=None):
     ]
 
 
+_STATES_SQL = f"""isl AS (SELECT *, date_diff('second', TIMESTAMP '1970-01-01', t) // {STEP}
+          - row_number() OVER (PARTITION BY rule_id, job, instance ORDER BY t) AS island FROM act),
+sp AS (SELECT *, min(t) OVER (PARTITION BY rule_id, job, instance, island) AS since,
+          max(t) OVER (PARTITION BY rule_id, job, instance, island) AS last_t FROM isl),
+st AS (SELECT rule_id, alertname, severity, job, instance, t AS eval_ts,
+          CASE WHEN date_diff('second', since, t) >= for_s THEN 'firing' ELSE 'pending' END AS state, since AS active_since, value FROM sp
+       UNION ALL
+       SELECT rule_id, alertname, severity, job, instance, t + to_seconds({STEP}), 'resolved', since, value FROM sp
+       WHERE t = last_t AND date_diff('second', since, t) >= for_s AND t + to_seconds({STEP}) <= (SELECT max(t) FROM ({GRID_SQL})))"""
+
 _ACTIVE_SQL = f"""{stats_sql('metric_counter', W)},
 {instant_sql('metric_gauge')},
 act AS (
@@ -45,15 +58,7 @@ act AS (
   UNION ALL SELECT 'fixture:4:QueueLow', 'QueueLow', 'info', job, instance, t, value, 0 FROM i WHERE value < 300
   UNION ALL SELECT 'fixture:5:QueueNoted', 'QueueNoted', 'none', job, instance, t, value, 0 FROM i WHERE value < 100
   UNION ALL SELECT 'fixture:6:QueueBroken', 'QueueBroken', 'error', job, instance, t, value, 300 FROM i WHERE value > 4800),
-isl AS (SELECT *, date_diff('second', TIMESTAMP '1970-01-01', t) // {STEP}
-          - row_number() OVER (PARTITION BY rule_id, job, instance ORDER BY t) AS island FROM act),
-sp AS (SELECT *, min(t) OVER (PARTITION BY rule_id, job, instance, island) AS since,
-          max(t) OVER (PARTITION BY rule_id, job, instance, island) AS last_t FROM isl),
-st AS (SELECT rule_id, alertname, severity, job, instance, t AS eval_ts,
-          CASE WHEN date_diff('second', since, t) >= for_s THEN 'firing' ELSE 'pending' END AS state, since AS active_since, value FROM sp
-       UNION ALL
-       SELECT rule_id, alertname, severity, job, instance, t + to_seconds({STEP}), 'resolved', since, value FROM sp
-       WHERE t = last_t AND date_diff('second', since, t) >= for_s AND t + to_seconds({STEP}) <= (SELECT max(t) FROM ({GRID_SQL})))"""
+{_STATES_SQL}"""
 
 
 def _states(spark, sf_dir):
@@ -119,3 +124,32 @@ ON gg.receiver = c.receiver AND gg.eval_ts = c.eval_ts""", ("metric_counter", "m
 def alert_digest(spark, sf_dir):
     """Per receiver and step: firing/resolved counts and the common label set."""
     return AL.digest(AL.route(_states(spark, sf_dir)))
+
+
+# samples of some of the catalogue's metrics; the other rules find none
+FX.register("rule_samples", ("events",), """
+SELECT CASE event_type WHEN 'view' THEN 'up' WHEN 'purchase' THEN 'redis_up' WHEN 'click' THEN 'probe_http_status_code'
+    WHEN 'error' THEN 'p2p_peers' ELSE 'pg_up' END AS name,
+  event_type AS job, CAST(user_id % 4 AS STRING) AS instance, ts,
+  CASE event_type WHEN 'click' THEN CAST(100 + event_id % 500 AS BIGINT) WHEN 'error' THEN CAST(event_id % 10 AS BIGINT)
+    ELSE CAST(user_id % 3 % 2 AS BIGINT) END AS value
+FROM {events}""")
+
+
+@query("rule_catalog_states", f"""WITH g AS ({GRID_SQL}),
+i AS (SELECT s.name, s.job, s.instance, g.t, arg_max(CAST(s.value AS DOUBLE), s.ts) AS value FROM g JOIN rule_samples s
+  ON s.ts >= g.t - to_seconds(300) AND s.ts <= g.t GROUP BY s.name, s.job, s.instance, g.t),
+act AS (SELECT 'bbox:24:BlackboxProbeHttpFailure' AS rule_id, '' AS alertname, '' AS severity, job, instance, t, value, 0 AS for_s
+  FROM i WHERE name = 'probe_http_status_code' AND (value <= 199 OR value >= 500)
+  UNION ALL SELECT 'geth:41:GethChainNoPeers', '', '', job, instance, t, value, 600 FROM i WHERE name = 'p2p_peers' AND value < 5
+  UNION ALL SELECT 'prom:4:PrometheusJobMissing', '', '', 'prometheus', NULL, t, 1, 0 FROM g
+  UNION ALL SELECT 'prom:14:PrometheusTargetMissing', '', '', job, instance, t, value, 0 FROM i WHERE name = 'up' AND value = 0
+  UNION ALL SELECT 'psql:4:PostgresqlDown', '', '', job, instance, t, value, 0 FROM i WHERE name = 'pg_up' AND value = 0
+  UNION ALL SELECT 'reds:4:RedisDown', '', '', job, instance, t, value, 300 FROM i WHERE name = 'redis_up' AND value = 0),
+{{_STATES_SQL}}
+SELECT rule_id, job, instance, eval_ts, state FROM st""".replace("{_STATES_SQL}", _STATES_SQL), ("rule_samples",))
+def rule_catalog_states(spark, sf_dir):
+    """L1: all rules of the catalogue on shared vectors, from one scan of the samples."""
+    m = metrics_frame(FX.load(spark, sf_dir, "rule_samples"), F.col("name"), ["job", "instance"], "ts", "value")
+    g = grid(spark, sf_dir)
+    return _cols(AL.alert_states(AL.evaluate_shared(RU.rules(), m, g, spark), g))
