@@ -25,7 +25,7 @@ an empty training set gives every symbol 1/256 and N = 0; repeated rows are scor
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -144,49 +144,68 @@ def _probing_table(keys: np.ndarray, first_row: int) -> tuple[np.ndarray, np.nda
     return table, rows
 
 
-def build_trie(by_order: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> Trie:
+class _Order:
+    """The kept contexts of one order with their symbols' counts, as sorted sparse rows."""
+
+    def __init__(self, ctx: np.ndarray, column: np.ndarray, count: np.ndarray) -> None:
+        by = np.lexsort((column, ctx))
+        ctx, self.column, self.count = ctx[by], column[by], count[by]
+        first = np.flatnonzero(np.append(True, ctx[1:] != ctx[:-1])) if len(ctx) else np.zeros(0, np.int64)
+        self.keys, self.starts = ctx[first], np.append(first, len(ctx))
+
+    def dense(self, rows: np.ndarray, n: int) -> np.ndarray:
+        """Counts by symbol of some contexts."""
+        lens = self.starts[rows + 1] - self.starts[rows]
+        at = np.repeat(self.starts[rows] - (np.cumsum(lens) - lens), lens) + np.arange(lens.sum())
+        out = np.zeros((len(rows), n))
+        out[np.repeat(np.arange(len(rows)), lens), self.column[at]] = self.count[at]
+        return out
+
+
+def build_trie(by_order: Iterable[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> Trie:
     """From (context, symbol, count) of each order 0 to ORDER. The contexts of an order must
-    include the suffixes of those of the next."""
-    seen = np.unique(np.concatenate([s for _, s, _ in by_order])) if len(by_order[0][1]) else np.zeros(0, np.uint8)
-    n = len(seen) + 1  # the last column: any symbol never seen
-    symbol = np.full(256, n - 1, np.int16)
-    symbol[seen] = np.arange(len(seen))
-    blocks, bases, known = [], [], []
+    include the suffixes of those of the next. Orders are read one by one; counts stay sparse,
+    and rows are made in runs, so little but the finished rows is held."""
+    bases, known, above = [], [], None
     for order, (ctx, sym, count) in enumerate(by_order):
-        keys, own = np.unique(ctx, return_inverse=True)
-        if not len(keys):
-            if order:
-                known.append(keys)
-                bases.append(sum(map(len, blocks)))
-                blocks.append(np.zeros((0, n), np.float32))
-                continue
-            keys, own = np.zeros(1, np.uint64), np.zeros(0, np.int64)
-        c = np.zeros((len(keys), n))
-        np.add.at(c, (own, symbol[sym].astype(np.int64)), count)
-        log_p, after = np.empty((len(keys), n), np.float32), np.empty((len(keys), n))
-        for k in range(0, len(keys), 8192):  # in runs of rows, to spare the driver's memory
-            part = slice(k, k + 8192)
-            seen_here = c[part] > 0
-            total, distinct = c[part].sum(axis=1), seen_here.sum(axis=1)
+        if order == 0:
+            seen = np.unique(sym)
+            n = len(seen) + 1  # the last column: any symbol never seen
+            symbol = np.full(256, n - 1, np.int16)
+            symbol[seen] = np.arange(len(seen))
+            log_p = np.empty((0, n), np.float32)
+        own = _Order(ctx, symbol[sym], count)
+        if order == 0 and not len(own.keys):  # nothing seen: one row all the same
+            own.keys, own.starts = np.zeros(1, np.uint64), np.zeros(2, np.int64)
+        base = len(log_p)
+        finished, log_p = log_p, np.empty((base + len(own.keys), n), np.float32)
+        log_p[:base] = finished
+        for k in range(0, len(own.keys), 8192):
+            rows = np.arange(k, min(k + 8192, len(own.keys)))
+            c = own.dense(rows, n)
+            here = c > 0
+            total, distinct = c.sum(axis=1), here.sum(axis=1)
+            denominator = np.maximum(total + distinct, 1)[:, None]
+            escape = np.where(total > 0, distinct / denominator[:, 0], 1.0)[:, None]
             # after an escape from this context, the probability of each symbol not seen in it
             if order == 0:
-                after[part] = 1.0 / max(1, 256 - len(seen))
+                after = 1.0 / max(1, 256 - len(seen))
             else:
-                parent = np.searchsorted(known[-1], keys[part] & np.uint64((1 << (8 * (order - 1))) - 1))
-                above, escapes = counts[parent], escaped[parent]
-                left_total = (above * ~seen_here).sum(axis=1)
-                left_distinct = ((above > 0) & ~seen_here).sum(axis=1)
+                parent = np.searchsorted(above.keys, own.keys[rows] & np.uint64((1 << (8 * (order - 1))) - 1))
+                counts = above.dense(parent, n)
+                all_total, all_distinct = counts.sum(axis=1), (counts > 0).sum(axis=1)
+                beyond = np.where(all_total > 0, all_distinct / np.maximum(all_total + all_distinct, 1), 1.0)[:, None]
+                # what the parent gives to symbols unseen in it, without its own escape
+                lower = 10.0 ** log_p[bases[-1] + parent].astype(np.float64) / beyond
+                left_total = (counts * ~here).sum(axis=1)
+                left_distinct = ((counts > 0) & ~here).sum(axis=1)
                 whole = np.maximum(left_total + left_distinct, 1)[:, None]
-                escape = np.where(left_distinct == 0, 1.0, left_distinct / whole[:, 0])[:, None]
-                after[part] = np.where(above > 0, above / whole, escape * escapes)
-            denominator = np.maximum(total + distinct, 1)[:, None]
-            own_escape = np.where(total > 0, distinct / denominator[:, 0], 1.0)[:, None]
-            prob = np.where(seen_here, c[part] / denominator, own_escape * after[part])
-            log_p[part] = np.log10(np.maximum(prob, 1e-300))
-        counts, escaped = c, after
-        known.append(keys)
-        bases.append(sum(map(len, blocks)))
-        blocks.append(log_p)
+                further = np.where(left_distinct == 0, 1.0, left_distinct / whole[:, 0])[:, None]
+                after = np.where(counts > 0, counts / whole, further * lower)
+            log_p[base + rows] = np.log10(np.maximum(np.where(here, c / denominator, escape * after), 1e-300))
+        above = own
+        known.append(own.keys)
+        bases.append(base)
     pairs = np.arange(65536, dtype=np.uint64)
     short = np.zeros(65536, np.int32)
     for order in (1, 2):
@@ -195,7 +214,7 @@ def build_trie(by_order: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> Tri
         hit = (at < len(known[order])) & (np.take(known[order], at, mode="clip") == want if len(known[order]) else False)
         short[hit] = bases[order] + at[hit]
     tables = [_probing_table(known[o].astype(np.uint32), bases[o]) for o in range(3, ORDER + 1)]
-    return Trie(np.concatenate(blocks), symbol, short, [t[0] for t in tables], [t[1] for t in tables], bases[ORDER])
+    return Trie(log_p, symbol, short, [t[0] for t in tables], [t[1] for t in tables], bases[ORDER])
 
 
 # --- counting --------------------------------------------------------------------------------
@@ -361,18 +380,22 @@ def fit(training: DataFrame, max_contexts: int = 60_000, max_words: int = 1_000_
     for k in range(ORDER - 1, -1, -1):
         own = written(own.groupBy(_suffix("ctx", k).alias("ctx"), "sym").agg(F.sum("c").alias("c")), f"ppm-order{k}")
         orders.insert(0, own)
-    by_order, least_of = [], 1
-    for k, own in enumerate(orders):
-        if k >= 2:  # at most 256 contexts before
-            totals = own.groupBy("ctx").agg(F.sum("c").alias("n"))
-            # a rising threshold keeps the suffixes of kept contexts
-            least_of = max(least_of, _least_of_largest(totals, max_contexts))
-            own = own.join(totals.filter(F.col("n") >= least_of).select("ctx"), "ctx", "left_semi")
-        t = own.toArrow()  # at most max_contexts contexts of at most 256 symbols
-        by_order.append((t.column("ctx").to_numpy().astype(np.uint64), t.column("sym").to_numpy().astype(np.uint8),
-                         t.column("c").to_numpy()))
-    return Model(words, (stats["n"] or 0) + n_docs, stats["v"] + (n_docs > 0), n_docs, frequent, least, build_trie(by_order),
-                 orders, _chains(orders) if n_docs and least_of > 1 else None)
+    least_of = [1] * len(orders)
+    for k in range(2, len(orders)):  # orders 0 and 1 have at most 257 contexts
+        totals = orders[k].groupBy("ctx").agg(F.sum("c").alias("n"))
+        # a rising threshold keeps the suffixes of kept contexts
+        least_of[k] = max(least_of[k - 1], _least_of_largest(totals, max_contexts))
+
+    def kept() -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        for k, own in enumerate(orders):
+            if least_of[k] > 1:
+                totals = own.groupBy("ctx").agg(F.sum("c").alias("n")).filter(F.col("n") >= least_of[k])
+                own = own.join(totals.select("ctx"), "ctx", "left_semi")
+            t = own.toArrow()  # at most max_contexts contexts of at most 256 symbols
+            yield (t.column("ctx").to_numpy().astype(np.uint64), t.column("sym").to_numpy().astype(np.uint8), t.column("c").to_numpy())
+
+    return Model(words, (stats["n"] or 0) + n_docs, stats["v"] + (n_docs > 0), n_docs, frequent, least, build_trie(kept()),
+                 orders, _chains(orders) if n_docs and least_of[-1] > 1 else None)
 
 
 # --- scoring ---------------------------------------------------------------------------------
@@ -422,6 +445,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     first = written(numbered.mapInArrow(run, "row long, doc_id long, held_out boolean, n_tokens long, known long, "
                                              "base double, score double, rare array<struct<key: long, times: long>>, "
                                              "beyond array<struct<key: long, times: long>>"), "ppm-scores")
+    bound.destroy()  # the scores are stored
     rare = first.select("row", F.explode("rare").alias("w")).select("row", "w.key", "w.times")
     infrequent = model.words.filter(F.col("n") < F.lit(least))
     looked_up = (rare.join(infrequent, "key", "left")
@@ -507,7 +531,8 @@ class ContextTrie:
 
 
 def adaptive_scores(docs: DataFrame) -> DataFrame:
-    """doc_id, score: the log10 probability by a trie that starts empty for each text."""
+    """doc_id, score: the log10 probability by a trie that starts empty for each text. A plain
+    reference, a row and byte at a time, for small tables; no registered query uses it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -79,10 +79,55 @@ def test_features_do_not_depend_on_neighbours():
 def test_the_risk_is_clipped_at_zero():
     rng = np.random.default_rng(0)
     p, n = rng.normal(1, 1, (400, 5)), rng.normal(-1, 1, (300, 5))
-    net = quality.fit_nnpu(p[:200], np.concatenate([p[200:], n]), 0.4, epochs=40, batch=64)
+    u = np.concatenate([p[200:], n])
+    net = quality.fit_nnpu(p[:200], lambda net: net.sums(u), 0.4, (u.mean(axis=0), u.std(axis=0)))
     assert net.probability(p).mean() > 0.8 and net.probability(n).mean() < 0.2
 
 
+def test_gradients_are_those_of_the_risk():
+    rng = np.random.default_rng(3)
+    x = rng.normal(0, 1, (50, 4))
+    net = quality.Network(np.zeros(4), np.ones(4), rng.normal(0, 1, (4, 3)), rng.normal(0, 1, 3), rng.normal(0, 1, 3), 0.2)
+    got, w, step = net.sums(x, of_output=True), net.weights(), 1e-5
+
+    def plain(v):
+        a = net.with_weights(v)
+        z = [sum(a.w2[j] * np.tanh(sum(min(6, max(-6, r[i])) * a.w1[i, j] for i in range(4)) + a.b1[j]) for j in range(3)) + a.b2 for r in x]
+        return sum(np.log1p(np.exp(t)) for t in z), sum(z)
+
+    assert got[0] == 50 and np.isclose(got[1], plain(w)[0], rtol=1e-5)
+    for k in range(w.size):
+        e = np.eye(w.size)[k] * step
+        up, down = plain(w + e), plain(w - e)
+        assert np.isclose(got[2 + k], (up[0] - down[0]) / (2 * step), rtol=1e-3, atol=1e-3)
+        assert np.isclose(got[2 + w.size + k], (up[1] - down[1]) / (2 * step), rtol=1e-3, atol=1e-3)
+
+
+def test_features_against_plain_python():
+    classes = quality._CLASS
+    for text in ["Abc def!!\nx  abc abc\n\nx", "", "é日 é日 1,2\t|", "a", " \n "]:
+        raw, got = text.encode(), quality.features(pa.array([text]))[0]
+        pairs = Counter((classes[a], classes[b]) for a, b in zip(raw, raw[1:]))
+        want = [math.sqrt(pairs[a, b] / max(1, len(raw) - 1)) for a in range(16) for b in range(16)]
+        for pieces in (re.findall(r"[^\x20\x09-\x0d]+", text), [x for x in text.split("\n") if x]):
+            some = max(1, len(pieces))
+            want += [sum(a == b for a, b in zip(pieces, pieces[1:])) / some, len(set(pieces)) / some,
+                     math.log1p(sum(len(p.encode()) for p in pieces) / some), math.log1p(len(pieces))]
+        assert np.allclose(got, [*want, math.log1p(len(raw))], atol=1e-6), text
+
+
+def test_all_unlabelled_rows_count_whatever_the_bound(spark, monkeypatch):
+    rows, labels = _corpus(300, seed=4)
+    df, known = _frame(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int")
+    seen = []
+    monkeypatch.setattr(quality, "fit_nnpu", lambda p, u, prior, moments, steps: seen.append(u(quality.Network(
+        moments[0], moments[1] + 1e-3, np.ones((quality.N_FEATURES, 2)), np.zeros(2), np.ones(2), 0.0))) or 0.5)
+    monkeypatch.setattr(quality, "_FAN_IN", 2)
+    for most in (5, 30_000):
+        quality.fit(df, known, max_fit_rows=most)
+    assert seen[0][0] == sum(zlib.crc32(str(i).encode()) % 5 > 0 for i, _ in rows) and np.allclose(seen[0], seen[1])
+
+
 def test_mean_and_scale_are_those_of_all_training_rows(spark):
     rows, labels = _corpus(400, seed=3)
     net = quality.fit(_frame(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int"), max_fit_rows=40)
@@ -196,4 +241,4 @@ def test_exact_dedup_query_equals_its_sql(spark):
 
 
 def test_one_query_of_each_number_and_the_pipeline():
-    assert {n.split("_")[0] for n in queries.QUERIES} == {f"op{k}" for k in range(1, 11)} | {"pipeline"}
+    assert {n.split("_")[0] for n in queries.QUERIES} == {f"op{k}" for k in range(1, 14)} | {"pipeline"}
