@@ -30,7 +30,11 @@ def upsert_chunks(spark: SparkSession, batch: DataFrame, target: str, key: list[
                   interval: str = "7 days", epoch: int = 0, version: str | None = None) -> None:
     """Merge one batch into a chunk-partitioned Parquet table: only touched chunks are read,
     merged (batch wins on key; of several batch rows with one key the largest ``version``) and
-    rewritten via a staging folder (no read/overwrite of the same files inside one job)."""
+    rewritten via a staging folder (no read/overwrite of the same files inside one job).
+
+    A crash while the staging folder is copied over leaves some chunks new and others old; every row
+    is in one of them, and running the same batch again, as the stream does from its checkpoint,
+    makes all of them new."""
     b = LY.with_chunk(batch, ts, interval)
     staging = os.path.join(target, "_staging", f"epoch={epoch}")
     if _exists(spark, target) and _exists(spark, os.path.join(target, "_SUCCESS")):

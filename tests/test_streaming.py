@@ -249,3 +249,23 @@ def test_episodes_by_timers_equal_batch_under_restart(spark, tmp_dir):
     newest = ("s2", T0 + timedelta(minutes=450))  # its episode is still open
     assert got == [r for r in batch if (r[0], r[1]) <= newest or r[0] != "s2"]
     assert ("s1", T0 + timedelta(minutes=125), "resolved", T0 + timedelta(minutes=100)) in got  # by a timer
+
+
+def test_a_batch_run_again_repairs_half_copied_chunks(spark, tmp_dir):
+    import shutil
+
+    target, before = os.path.join(tmp_dir, "t"), os.path.join(tmp_dir, "before")
+    rows = lambda tag: spark.createDataFrame([(T0 + timedelta(days=8 * i), f"h{i}", 0, f"{tag}{i}") for i in range(4)], SCHEMA)
+    key = ["txhash", "txpos"]
+    ST.upsert_chunks(spark, rows("old"), target, key, epoch=0)
+    shutil.copytree(target, before)
+    ST.upsert_chunks(spark, rows("new"), target, key, epoch=1)
+    chunk = sorted(x for x in os.listdir(target) if x.startswith("chunk="))[1]
+    shutil.copytree(os.path.join(before, chunk), os.path.join(target, chunk, "..", f"{chunk}-old"))  # as if this one was not copied
+    shutil.rmtree(os.path.join(target, chunk))
+    os.rename(os.path.join(target, f"{chunk}-old"), os.path.join(target, chunk))
+    read = lambda: sorted(r.value for r in spark.read.parquet(target).select("txhash", "value").collect())
+    spark.catalog.clearCache()
+    assert sum(v.startswith("old") for v in read()) == 1
+    ST.upsert_chunks(spark, rows("new"), target, key, epoch=1)
+    assert read() == [f"new{i}" for i in range(4)]
