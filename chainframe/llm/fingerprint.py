@@ -3,9 +3,9 @@
 * A section ends after a blank line, a paragraph after a line feed; separators stay with the
   piece before them, so the pieces of a text always concatenate to the text.
 * Below the paragraphs lie phrases of a few words, the tree's leaves, cut where content says so
-  (after a word that does not end in a-r), so an inserted word moves no later boundary. A leaf's
-  digest is the SHA-256 of its bytes; a paragraph's is that of its leaves' digests, a section's that
-  of its paragraphs', the root that of its sections'. Equal roots mean equal texts; where roots
+  (after a word that does not end in a-r), so an inserted word moves no later boundary. A leaf is the
+  64-bit hash of its bytes, a paragraph's digest the SHA-256 of its bytes, a section's that of its
+  paragraphs' digests, the root that of its sections'. Equal roots mean equal texts; where roots
   differ, ``locate`` descends into the first differing section and paragraph.
 * ``likeness`` is the Dice share of the distinct leaves of two trees (1 for equal ones). Where a
   tree has fewer than ``FEW`` of them, or one for over ``COARSE`` code points, as in texts without
@@ -38,12 +38,12 @@ _MOST_HOT = 10_000  # hot buckets up to this number (16 bytes each) may be broad
 
 
 def _paragraphs(section: Column) -> Column:
-    leaves = F.transform(F.split(section, PARAGRAPH_END), lambda p: F.transform(F.split(p, PHRASE_END), lambda x: F.sha2(x, 256)))
-    return F.transform(leaves, lambda ls: F.struct(F.sha2(F.concat_ws("", ls), 256).alias("digest"), ls.alias("leaves")))
+    return F.transform(F.split(section, PARAGRAPH_END), lambda p: F.struct(
+        F.sha2(p, 256).alias("digest"), F.transform(F.split(p, PHRASE_END), lambda x: F.xxhash64(x)).alias("leaves")))
 
 
 def merkle_tree(text: Column) -> Column:
-    """array<struct<digest, paragraphs: array<struct<digest, leaves: array<digest>>>>>, one entry
+    """array<struct<digest, paragraphs: array<struct<digest, leaves: array<long>>>>>, one entry
     per section."""
     with_paragraphs = F.transform(F.split(text, SECTION_END), _paragraphs)
     return F.transform(with_paragraphs, lambda ps: F.struct(
@@ -55,16 +55,14 @@ def root(tree: Column) -> Column:
 
 
 def leaves(tree: Column) -> Column:
-    """Hashes of the distinct leaf digests of a tree."""
-    flat = F.flatten(F.flatten(tree["paragraphs"])["leaves"])
-    return F.array_distinct(F.transform(flat, lambda x: F.xxhash64(x)))
+    """The distinct leaves of a tree."""
+    return F.array_distinct(F.flatten(F.flatten(tree["paragraphs"])["leaves"]))
 
 
 def _windows(text: Column) -> Column:
     """Hashes of a text's distinct windows of code points (a shorter text: of the whole)."""
-    chars = F.split(text, "")
-    starts = F.sequence(F.lit(1), F.greatest(F.length(text) - WINDOW + 1, F.lit(1)))
-    return F.array_distinct(F.transform(starts, lambda i: F.xxhash64(F.slice(chars, i, WINDOW))))
+    every = F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{WINDOW}}}))"), 1)  # matches of no length, so they overlap
+    return F.array_distinct(F.transform(F.when(F.size(every) > 0, every).otherwise(F.array(text)), lambda w: F.xxhash64(w)))
 
 
 def _dice(a: Column, b: Column) -> Column:

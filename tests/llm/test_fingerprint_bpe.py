@@ -82,7 +82,7 @@ def _plain_root(text):
         return out
     sections = []
     for s in cut(text, r"(?<=\n\n)"):
-        sections.append(h(*[h(*[h(x) for x in cut(p, r"(?<=[^a-rA-R][ \n])|(?<=\n)")]) for p in cut(s, r"(?<=\n)")]))
+        sections.append(h(*[h(p) for p in cut(s, r"(?<=\n)")]))
     return h(*sections)
 
 
