@@ -18,7 +18,7 @@ ERC721_SELECTORS = ("0x70a08231", "0x6352211e", "0x42842e0e", "0xb88d4fde", "0x2
 
 
 def strip0x(c: Column) -> Column:
-    return F.regexp_replace(c, r"^0[xX]", "")
+    return F.when(c.startswith("0x") | c.startswith("0X"), F.substr(c, F.lit(3))).otherwise(c)
 
 
 def word(hexdata: Column, i: int) -> Column:
@@ -38,8 +38,11 @@ def topic_address(topic: Column) -> Column:
 
 def split_topics(topics: Column) -> Column:
     """``'[t0,t1,…]'`` text → ARRAY<STRING> (brackets stripped, split on commas, no trimming)."""
-    body = F.regexp_replace(F.regexp_replace(topics, r"^\[", ""), r"\]$", "")
-    return F.when(topics.isNull(), None).when(body == "", F.array().cast("array<string>")).otherwise(F.split(body, ","))
+    plain = topics.startswith("[") & topics.endswith("]")
+    body = F.when(plain, F.substr(topics, F.lit(2), F.length(topics) - 2)) \
+        .otherwise(F.regexp_replace(F.regexp_replace(topics, r"^\[", ""), r"\]$", ""))
+    empty = topics.isin("", "[", "]", "[]")
+    return F.when(topics.isNull(), None).when(empty, F.array().cast("array<string>")).otherwise(F.split(body, ","))
 
 
 def push4_selectors_py(code: str | None) -> list[str] | None:

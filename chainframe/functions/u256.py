@@ -168,16 +168,21 @@ def hex_to_u256(col, strict: bool = False) -> Column:
     ``strict=True``.
     """
     c = _c(col)
+    # a clean word needs no regular expression; below 2^64 conv() gives the text itself
+    low = F.substring(c, 49, 16)
+    tiny = (F.length(c) == 64) & c.startswith("0" * 48) & F.unhex(low).isNotNull()
+    clean = (F.length(c) == 64) & F.unhex(c).isNotNull()
     body = F.regexp_replace(F.trim(c), r"^0[xX]", "")
     valid = body.rlike(r"^[0-9a-fA-F]{1,64}$")
     # fast path: < 2^124 (31 significant hex digits) fits DECIMAL(38,0): hi·2^64 + lo, codegen'd
     sig = F.regexp_replace(body, r"^0+", "")
     fast, slow = _low_half(F.lpad(sig, 32, "0")), _whole(F.lpad(body, 64, "0"))
     out = F.when(F.length(sig) <= 31, fast).otherwise(slow)
+    words = F.when(tiny, F.conv(low, 16, 10)).when(clean, word_to_u256(c))
     if strict:
-        return F.when(c.isNull(), None).when(valid, out).otherwise(
+        return words.when(c.isNull(), None).when(valid, out).otherwise(
             F.raise_error(F.concat(F.lit("invalid hex for uint256: "), c)))
-    return F.when(valid, out)
+    return words.when(valid, out)
 
 
 def u256_to_double(col) -> Column:

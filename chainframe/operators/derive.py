@@ -48,10 +48,15 @@ def with_token_meta(xfers: DataFrame, tokens: DataFrame | None, cols=("name", "s
     return out
 
 
+def _first_topic_is(topics: Column, topic0: str) -> Column:
+    """``split_topics(topics)[0] = topic0`` without splitting: a plain prefix test for the scan."""
+    alone = [topic0, f"[{topic0}", f"{topic0}]", f"[{topic0}]"]
+    return topics.startswith(f"[{topic0},") | topics.startswith(f"{topic0},") | topics.isin(*alone)
+
+
 def _log_base(logs: DataFrame, topic0: str, n_topics: int) -> DataFrame:
-    arr = E.split_topics(F.col("topics"))
-    return (logs.filter((F.col("n_topics") == n_topics) & (F.element_at(arr, 1) == F.lit(topic0)))
-            .withColumn("__t", arr).withColumn("__d", E.strip0x(F.col("data"))))
+    return (logs.filter((F.col("n_topics") == n_topics) & _first_topic_is(F.col("topics"), topic0))
+            .withColumn("__t", E.split_topics(F.col("topics"))))
 
 
 def erc20_transfers(logs: DataFrame, tokens: DataFrame | None = None) -> DataFrame:
@@ -62,8 +67,9 @@ def erc20_transfers(logs: DataFrame, tokens: DataFrame | None = None) -> DataFra
         F.col("address").alias("token_address"),
         E.topic_address(F.element_at("__t", 2)).alias("from_address"),
         E.topic_address(F.element_at("__t", 3)).alias("to_address"),
-        U.hex_to_u256(E.word(F.col("__d"), 0)).alias("value"),
+        F.col("data").alias("__d"),
     )
+    x = x.withColumn("__w", E.word(E.strip0x(F.col("__d")), 0)).withColumn("value", U.hex_to_u256(F.col("__w"))).drop("__d", "__w")
     x = with_token_meta(x, tokens)
     return x.withColumn("item_id", item_id("token_xfer", "txhash", "logpos"))
 
@@ -76,8 +82,9 @@ def erc721_transfers(logs: DataFrame, tokens: DataFrame | None = None) -> DataFr
         F.col("address").alias("token_address"),
         E.topic_address(F.element_at("__t", 2)).alias("from_address"),
         E.topic_address(F.element_at("__t", 3)).alias("to_address"),
-        U.hex_to_u256(E.strip0x(F.element_at("__t", 4))).alias("token_id"),
+        F.element_at("__t", 4).alias("__t4"),
     )
+    x = x.withColumn("__w", E.strip0x(F.col("__t4"))).withColumn("token_id", U.hex_to_u256(F.col("__w"))).drop("__t4", "__w")
     x = with_token_meta(x, tokens, ("name", "symbol"))
     return x.withColumn("item_id", item_id("erc721_xfer", "txhash", "logpos"))
 
@@ -85,7 +92,7 @@ def erc721_transfers(logs: DataFrame, tokens: DataFrame | None = None) -> DataFr
 def _small_int(w: Column) -> Column:
     """An offset or length: the word as BIGINT, NULL unless it is a whole word below 2^63."""
     digits = F.conv(F.substring(w, 49, 16), 16, 10)
-    return F.when((F.length(w) == 64) & (F.substring(w, 1, 48) == F.lit("0" * 48)), digits.try_cast("long"))
+    return F.when((F.length(w) == 64) & w.startswith("0" * 48), digits.try_cast("long"))
 
 
 def _erc1155_logs(logs: DataFrame) -> DataFrame:
@@ -102,14 +109,20 @@ def _erc1155_logs(logs: DataFrame) -> DataFrame:
         F.when(F.lower(F.substring(hexed, 1, 2)) == "0x", F.expr("substring(data, 3)")).otherwise(hexed).alias("__d"))
     d = F.col("__d")
     b = b.withColumn("__words", F.floor(F.coalesce(F.length(d), F.lit(0)) / 64).cast("long"))
-    b = b.withColumn("__at", F.when(F.col("__batch"), F.array(_small_int(E.word(d, 0)), _small_int(E.word(d, 1)))))
-    fits = F.forall("__at", lambda o: F.coalesce((o % 32 == 0) & (o < F.col("__words") * 32), F.lit(False)))
-    b = b.withColumn("__at", F.when(fits, F.transform("__at", lambda o: (o / 32).cast("long"))))
-    b = b.withColumn("__n", F.transform("__at", lambda i: _small_int(E.word_at(d, i))))
-    whole = F.forall(F.zip_with("__at", "__n", lambda i, n: F.coalesce(n <= F.col("__words") - 1 - i, F.lit(False))), lambda x: x)
-    n = F.when(whole & (F.col("__n")[0] == F.col("__n")[1]), F.col("__n")[0])
-    single = F.when(F.col("__words") >= 2, F.lit(1)).otherwise(F.lit(0)).cast("long")
-    return b.withColumn("id_cnt", F.coalesce(F.when(~F.col("__batch"), single).otherwise(n), F.lit(0).cast("long")))
+    # one column a step: each value is computed once a row, by plain expressions
+    words = F.col("__words")
+    for k in (0, 1):
+        b = b.withColumn(f"__w{k}", E.word(d, k)).withColumn(f"__o{k}", F.when(F.col("__batch"), _small_int(F.col(f"__w{k}")))).drop(f"__w{k}")
+    fits = [(F.col(o) % 32 == 0) & (F.col(o) < words * 32) for o in ("__o0", "__o1")]
+    b = b.withColumn("__fits", F.coalesce(fits[0] & fits[1], F.lit(False)))
+    for k in (0, 1):
+        b = b.withColumn(f"__a{k}", F.when(F.col("__fits"), F.shiftright(f"__o{k}", 5)))
+        b = b.withColumn(f"__w{k}", E.word_at(d, F.col(f"__a{k}"))).withColumn(f"__n{k}", _small_int(F.col(f"__w{k}"))).drop(f"__w{k}")
+    whole = [F.col(f"__n{k}") <= words - 1 - F.col(f"__a{k}") for k in (0, 1)]
+    n = F.when(whole[0] & whole[1] & (F.col("__n0") == F.col("__n1")), F.col("__n0"))
+    single = F.when(words >= 2, F.lit(1)).otherwise(F.lit(0)).cast("long")
+    b = b.withColumn("id_cnt", F.coalesce(F.when(~F.col("__batch"), single).otherwise(n), F.lit(0).cast("long")))
+    return b.drop("__o0", "__o1", "__fits", "__n0", "__n1")
 
 
 def erc1155_transfers(logs: DataFrame, tokens: DataFrame | None = None) -> DataFrame:
@@ -120,17 +133,24 @@ def erc1155_transfers(logs: DataFrame, tokens: DataFrame | None = None) -> DataF
     ``erc1155_rejects``), then the words of both arrays are paired and exploded and converted once
     per output row; all native, no Python. ``id_pos`` is 0-based."""
     b = _erc1155_logs(logs)
-    # a payload is cut into words once and left behind: a batch of n ids costs n words, not n payloads
-    words, at = F.col("__words"), F.col("__at")
-    b = b.withColumn("__words", F.regexp_extract_all("__d", F.lit(r"([\s\S]{64})"), 1)).drop("__d")
-    start = lambda k: F.when(F.col("__batch"), at[k] + 1).otherwise(F.lit(k).cast("long"))
-    item = lambda p: F.struct(p.alias("pos"), F.get(words, (start(0) + p).cast("int")).alias("id"),
-                              F.get(words, (start(1) + p).cast("int")).alias("value"))
-    places = F.sequence(F.lit(0).cast("long"), F.greatest(F.col("id_cnt") - 1, F.lit(0).cast("long")))
-    items = F.when(F.col("id_cnt") >= 1, F.transform(places, item))
+    # words are cut from a payload's bytes, wherever they lie, in the generated code that fans a log out: a
+    # batch of n ids costs n words, not n payloads. Text beyond ASCII (malformed) is cut by characters.
+    d = F.col("__d")
+    b = b.withColumn("__bytes", F.when(F.octet_length(d) == F.length(d), d.cast("binary")))
+    b = b.withColumn("__cut", F.when(F.col("__bytes").isNull(), F.regexp_extract_all("__d", F.lit(r"([\s\S]{64})"), 1)))
+    for k in (0, 1):
+        b = b.withColumn(f"__s{k}", F.when(F.col("__batch"), F.col(f"__a{k}") + 1).otherwise(F.lit(k).cast("long")))
     base = ["block_timestamp", "blknum", "txhash", "txpos", "logpos", "token_address", "__t", "__batch", "id_cnt"]
-    x = b.select(*base, F.explode(items).alias("__i")).select(
-        *base, F.col("__i.pos").alias("__p"), F.col("__i.id").alias("__id"), F.col("__i.value").alias("__value"))
+    places = F.when(F.col("id_cnt") >= 1, F.sequence(F.lit(0).cast("long"), F.col("id_cnt") - 1))
+    # the outer form: Spark would filter the others by a copy of ``places`` below all of its steps
+    x = b.select(*base, "__bytes", "__cut", "__s0", "__s1", F.explode_outer(places).alias("__p")).filter(F.col("__p").isNotNull())
+
+    def cut(k: int) -> Column:
+        at = F.col(f"__s{k}") + F.col("__p")
+        own = F.substr("__bytes", (at * 64 + 1).cast("int"), F.lit(64)).cast("string")
+        return F.when(F.col("__cut").isNull(), own).otherwise(F.get("__cut", at.cast("int")))
+
+    x = x.select(*base, "__p", cut(0).alias("__id"), cut(1).alias("__value"))
     pos = F.col("__p")
     x = x.select(
         "block_timestamp", "blknum", "txhash", "txpos", "logpos", "token_address",
@@ -145,7 +165,9 @@ def erc1155_transfers(logs: DataFrame, tokens: DataFrame | None = None) -> DataF
 
 def erc1155_rejects(logs: DataFrame) -> DataFrame:
     """Transfer logs per collection whose payload gives no rows (malformed or empty batches)."""
-    return (_erc1155_logs(logs).filter("id_cnt = 0").groupBy("token_address").agg(F.count(F.lit(1)).alias("rejected")))
+    # counted, not filtered: a filter on id_cnt would be pushed below its steps, each of them copied into it many times
+    found = _erc1155_logs(logs).groupBy("token_address").agg(F.count_if(F.col("id_cnt") == 0).alias("rejected"))
+    return found.filter("rejected > 0")
 
 
 def contracts(traces: DataFrame) -> DataFrame:
