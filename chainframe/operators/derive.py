@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from chainframe.functions import evm as E
 from chainframe.functions import u256 as U
 from chainframe.operators.windows import bucketed_lag
+from chainframe.session import stored
 
 
 def item_id(table: str, *parts: str) -> Column:
@@ -185,10 +186,13 @@ def classify_contracts(cs: DataFrame) -> DataFrame:
     """D3: ``func_sighashes`` (PUSH4 operands, code order, distinct) and ERC-20/721 flags.
 
     The opcode walk is the only Python: it runs once per *distinct* bytecode (clones and
-    proxies share code) in Arrow batches, and is joined back on the code hash."""
+    proxies share code) in Arrow batches, and is joined back on the code hash. The selectors are
+    stored first, so that the join knows their size: few are broadcast, and where both sides are
+    shuffled, adaptive execution splits the contracts of a hot code between tasks."""
     code = cs.select(F.md5(F.col("bytecode")).alias("code_hash"), "bytecode").filter(F.col("bytecode").isNotNull())
     distinct_code = code.groupBy("code_hash").agg(F.first("bytecode").alias("bytecode"))
     sels = distinct_code.select("code_hash", F.array_distinct(E.push4_selectors(F.col("bytecode"))).alias("selectors"))
+    sels = stored(sels, "selectors")
     out = cs.withColumn("code_hash", F.md5(F.col("bytecode"))).join(sels, "code_hash", "left").drop("code_hash")
 
     def has_all(ss):
