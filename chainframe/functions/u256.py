@@ -61,6 +61,11 @@ def _normalize(arr: Column) -> Column:
     return F.aggregate(arr, init, merge)
 
 
+def _let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once, however often ``body`` refers to it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def _render(norm: Column) -> Column:
     """Non-negative normalised struct → canonical decimal string (two references to ``norm``)."""
     body = F.array_join(F.transform(F.reverse(norm["o"]), lambda x: F.lpad(x.cast("string"), LIMB_DIGITS, "0")), "")
@@ -71,9 +76,13 @@ def _render(norm: Column) -> Column:
 def limbs_to_string(limbs: list) -> Column:
     """Canonical signed decimal string of a limb vector (limbs may be any sign/size < 10^37)."""
     cols = [_c(x).cast(DEC) for x in limbs]
-    pos = _normalize(F.array(*cols))
     neg = _normalize(F.array(*[-x for x in cols]))
-    out = F.when(pos["c"] < 0, F.concat(F.lit("-"), _render(neg))).otherwise(_render(pos))
+    out = _let(_normalize(F.array(*cols)), lambda pos: F.when(
+        pos["c"] < 0, F.concat(F.lit("-"), _let(neg, _render))).otherwise(_render(pos)))
+    if len(cols) > 1:  # what two limbs hold fits one decimal
+        b = F.lit(str(BASE)).cast(DEC)
+        low = functools_and([x == 0 for x in cols[2:]] + [F.abs(cols[1]) < b])
+        out = F.when(low, (cols[1] * b + cols[0]).cast(DEC).cast("string")).otherwise(out)
     any_null = functools_or([x.isNull() for x in cols])
     return F.when(any_null, F.lit(None).cast("string")).otherwise(out)
 
@@ -85,6 +94,13 @@ def functools_or(conds: list[Column]) -> Column:
     return out
 
 
+def functools_and(conds: list[Column]) -> Column:
+    out = conds[0]
+    for c in conds[1:]:
+        out = out & c
+    return out
+
+
 def canonical(col) -> Column:
     """Normalise a decimal string (strip sign '+', leading zeros; '-0' → '0')."""
     return limbs_to_string(to_limbs(col))

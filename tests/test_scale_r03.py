@@ -66,3 +66,37 @@ def test_clean_words_need_no_regular_expression(spark):
     odd = ["g" * 64, "0" * 63 + "g", " " + "0" * 63, "", "0x", None, "0" * 65]
     df = spark.createDataFrame([(x,) for x in [*texts, *odd]], "h string")
     assert [r[0] for r in df.select(U.hex_to_u256("h")).collect()] == [str(v) for v in values for _ in range(3)] + [None, None, "0", None, None, None, None]
+
+
+def test_limbs_are_carried_once_a_number(spark):
+    b, rows = U.BASE, []
+    for v in (0, 1, -1, b, -b, b * b - 1, 1 - b * b, b * b, 10**37 - 1, 1 - 10**37, U.MAX_U256, -U.MAX_U256, 7 * U.MAX_U256):
+        rows.append((str(v), *[(abs(v) // b**k % b) * (1 if v >= 0 else -1) for k in range(5)]))
+    rows += [(str(3 * b**4 - 5 * b + 10**36), 10**36, -5, 0, 0, 3), (str(-b - 1 + 2), 1, -1, 0, 0, 0), (str(b**2 * -1 + 9 * b * b), 9 * 10**36, 0, -1, 0, 0), (None, None, 1, 2, 3, 4)]
+    df = spark.createDataFrame([tuple(None if x is None else str(x) for x in r) for r in rows], "v string, l0 string, l1 string, l2 string, l3 string, l4 string")
+    df = df.select("v", *[F.col(f"l{k}").cast(U.DEC) for k in range(5)])
+    out = df.select("v", U.limbs_to_string([f"l{k}" for k in range(5)]).alias("s"))
+    assert all(r.v == r.s for r in out.collect())
+    assert _plan(out.select("s")).count("aggregate(") <= 2  # once for either sign; formerly 8
+
+
+def test_diff_csv_has_one_file_a_slice(spark, tmp_dir):
+    import glob
+
+    from chainframe.operators import diff as D
+
+    rows = spark.range(4000).repartition(8).select(
+        F.timestamp_add("HOUR", F.pmod("id", F.lit(40)).cast("int"), F.lit(T0).cast("timestamp_ntz")).alias("slice_start"),
+        F.col("id").alias("a_blknum"), F.lit("nonce").alias("reason"))
+    D.write_diff_csv(rows, tmp_dir + "/csv")
+    assert len(glob.glob(tmp_dir + "/csv/*/*.csv")) == 40  # formerly a file from every task
+    assert spark.read.option("header", True).csv(tmp_dir + "/csv").count() == 4000
+
+
+def test_selectors_join_as_a_table(spark):
+    code = ["0x6318160ddd00", "0x63a9059cbb00", None]
+    cs = spark.createDataFrame([(f"0x{i}", code[0] if i % 3 else code[1 + i % 2]) for i in range(60)], "address string, bytecode string")
+    out = DV.classify_contracts(cs)
+    assert "EvalPython" not in _plan(out)  # an aggregate and a walk between shuffle and join kept a hot code in one task
+    got = {r.address: r.func_sighashes for r in out.collect()}
+    assert len(got) == 60 and got["0x1"] == "0x18160ddd" and got["0x0"] == "0xa9059cbb" and got["0x3"] is None
