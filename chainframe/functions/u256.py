@@ -4,6 +4,7 @@ Storage: canonical base-10 STRING. Compute: five little-endian base-10^18 limbs
 (``DECIMAL(38,0)``), 90 digits in total, enough for 2^256 (78 digits) plus carries.
 
 * ``to_limbs``    string → limb columns (a leading ``-`` negates every limb)
+* ``to_parts``    string → ten LONG columns, for sums by keys that are many
 * ``sum_u256``    one built-in ``sum()`` per limb (partial/final hash aggregation with map-side
                   combine), then a single carry pass on the grouped rows
 * ``limbs_to_string`` carry/borrow pass with ``aggregate()`` over the limb array (expression
@@ -48,6 +49,25 @@ def to_limbs(col) -> list[Column]:
     return out
 
 
+def to_parts(col) -> list[Column]:
+    """Ten LONG columns of nine digits each (least significant first) of a decimal string: a sum of
+    them takes 8 bytes in an aggregate, and over nine billion rows fit a key. NULL as ``to_limbs``."""
+    c = _c(col)
+    neg = c.startswith("-")
+    padded = _padded(F.when(neg | c.startswith("+"), F.substring(c, 2, 2 ** 31 - 1)).otherwise(c), WIDTH)
+    out = []
+    for k in range(2 * NLIMBS):
+        part = F.substring(padded, WIDTH - 9 * (k + 1) + 1, 9).cast("long")
+        out.append(F.when(neg, -part).otherwise(part))
+    return out
+
+
+def limbs_of_parts(parts: list) -> list[Column]:
+    """Limbs of (summed) parts, to be carried by ``limbs_to_string``."""
+    p = [_c(x).cast(DEC) for x in parts]
+    return [(p[2 * k + 1] * F.lit(10 ** 9).cast("decimal(10,0)") + p[2 * k]).cast(DEC) for k in range(NLIMBS)]
+
+
 def _normalize(arr: Column) -> Column:
     """Carry-normalise a little-endian limb array → struct(c: top carry, o: limbs in [0, B))."""
     b = F.lit(str(BASE)).cast(DEC)

@@ -3,16 +3,17 @@
 Plan shape (no ``count(DISTINCT …)`` Expand, no per-address task):
 
     role fan-out (explode out/vin[/cnb/fee])
-      → group (address, token, role, blknum, txhash)   per-tx partials: xfers, limb sums, ts
-      → group (address, token, role, blknum)           a block and a tx count once per role
-      → group (address, token, role)                   sums, first and last
-      → group (address, token)                         roles to columns: one row a key and role
+      → window (block, address, token, role) by txhash  marks the first row of a block and of a tx
+      → group (address, token)                          counts, sums, first and last of each role
       → carry pass → exact decimal strings
 
-Every stage is an algebraic aggregate, so Spark combines map-side before each shuffle and an
-address holding a third of all transfers costs one partial row per task in the later stages. Rows
-stay narrow (one role each) until the last one. History needs no transactions where it counts
-transfers only: one aggregation by block.
+The window holds the rows of one address in one block, and needs no shuffle of its own where the
+input is dealt by block. Marks, counts and sums are algebraic, so Spark combines them map-side
+before the one shuffle, and an address holding a third of all transfers costs one row per task.
+Sums are kept as ten longs a role (``U.to_parts``). No hash map has a transaction or a block as its
+key: those are almost unique, and would keep nearly every row of a task.
+
+Streaming stores per-transaction partials (``tx_partials``), which later loads can add to.
 
 ``value = vin - out`` (tokens) and ``cnb + vin - out - fee`` (native) are exact signed
 256-bit results. ``balance`` (fetched from a node) is not computed here and stays NULL.
@@ -22,6 +23,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from chainframe.functions import u256 as U
 from chainframe.operators.windows import bucketed_running_sum
@@ -84,8 +86,45 @@ def _totals(partials: DataFrame, keys: list[str], roles: list[str]) -> DataFrame
     return by_role.groupBy("address", *keys).agg(*aggs)
 
 
+def first_seen(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Role rows with ``new_block`` and ``new_tx``: 1 on one row of each block and of each
+    transaction that (address, *keys, role) has, else 0."""
+    # rows without a block number are no block: their transactions are dealt by hash
+    spread = F.when(F.col("blknum").isNull(), F.pmod(F.xxhash64("txhash"), F.lit(1024)))
+    w = Window.partitionBy("blknum", "address", *keys, "role", spread).orderBy("txhash")
+    one = lambda c: F.when(c, F.lit(1).cast("long")).otherwise(F.lit(0).cast("long"))
+    return rows.select("address", *keys, "role", "blknum", "block_timestamp", "value",
+                       one(F.col("blknum").isNotNull() & (F.row_number().over(w) == 1)).alias("new_block"),
+                       one(F.col("txhash").isNotNull() & ~F.col("txhash").eqNullSafe(F.lag("txhash").over(w))).alias("new_tx"))
+
+
+def activity(seen: DataFrame, keys: list[str], roles: list[str]) -> DataFrame:
+    """One row per (address, *keys) of ``first_seen`` rows, with each role's counts, sums, first and last."""
+    parts = [f"__p{k}" for k in range(2 * NL)]
+    flat = seen.select("address", *keys, "role", "blknum", "block_timestamp", "new_block", "new_tx",
+                       *[p.alias(c) for c, p in zip(parts, U.to_parts(F.col("value")))])
+    aggs = [F.max("blknum").alias("blknum")]
+    for r in roles:
+        mine = lambda c: F.when(F.col("role") == r, F.col(c))  # noqa: E731, B023  used at once
+        aggs += [F.sum(mine("new_block")).alias(f"{r}_blocks"), F.sum(mine("new_tx")).alias(f"{r}_txs"), F.count_if(F.col("role") == r).alias(f"{r}_xfers"),
+                 *[F.sum(mine(c)).alias(f"__{r}{c}") for c in parts],
+                 F.min(mine("block_timestamp")).alias(f"__{r}_t1"), F.max(mine("block_timestamp")).alias(f"__{r}_tn"),
+                 F.min(mine("blknum")).alias(f"{r}_1th_blknum"), F.max(mine("blknum")).alias(f"{r}_nth_blknum")]
+    g, zero, cols = flat.groupBy("address", *keys).agg(*aggs), F.lit(0).cast("long"), ["address", *keys, "blknum"]
+    for r in roles:
+        limbs = U.limbs_of_parts([F.coalesce(F.col(f"__{r}{c}"), zero) for c in parts])
+        cols += [*[F.coalesce(F.col(f"{r}_{m}"), zero).alias(f"{r}_{m}") for m in ("blocks", "txs", "xfers")], *[v.alias(f"__{r}_v{k}") for k, v in enumerate(limbs)],
+                 f"__{r}_t1", f"__{r}_tn", f"{r}_1th_blknum", f"{r}_nth_blknum"]
+    return g.select(*cols)
+
+
 def balances_of(partials: DataFrame, keys: list[str], roles: list[str], plus: list[str], minus: list[str]) -> DataFrame:
     """Latest balances and activity from per-transaction partials (one row per transaction)."""
+    return balance_columns(_totals(partials, keys, roles), keys, roles, plus, minus)
+
+
+def balance_columns(totals: DataFrame, keys: list[str], roles: list[str], plus: list[str], minus: list[str]) -> DataFrame:
+    """Balances, times and counts of ``activity`` (or of stored partials' totals)."""
     cols = [F.col("address"), *[F.col(k) for k in keys], F.col("blknum")]
     for r in roles:
         cols += [F.col(f"{r}_blocks").cast("long"), F.col(f"{r}_txs").cast("long"), F.col(f"{r}_xfers").cast("long"),
@@ -96,12 +135,15 @@ def balances_of(partials: DataFrame, keys: list[str], roles: list[str], plus: li
     net = [sum((F.col(f"__{r}_v{k}") for r in plus), F.lit(0).cast(U.DEC)) -
            sum((F.col(f"__{r}_v{k}") for r in minus), F.lit(0).cast(U.DEC)) for k in range(NL)]
     cols.append(U.limbs_to_string(net).alias("value"))
-    return _totals(partials, keys, roles).select(*cols)
+    return totals.select(*cols)
+
+
+def _token_rows(xfers: DataFrame) -> DataFrame:
+    return _fan_out(xfers, {"out": "from_address", "vin": "to_address"}, ["token_address"])
 
 
 def token_partials(xfers: DataFrame) -> DataFrame:
-    rows = _fan_out(xfers, {"out": "from_address", "vin": "to_address"}, ["token_address"])
-    return tx_partials(rows, ["token_address"])
+    return tx_partials(_token_rows(xfers), ["token_address"])
 
 
 def token_balances(xfers: DataFrame, tokens: DataFrame | None = None, *, upto: int | None = None) -> DataFrame:
@@ -110,7 +152,8 @@ def token_balances(xfers: DataFrame, tokens: DataFrame | None = None, *, upto: i
     ``blknum`` is the checkpoint (last block seen); ``upto`` restricts to blocks ≤ upto."""
     if upto is not None:
         xfers = xfers.filter(F.col("blknum") <= upto)
-    out = balances_of(token_partials(xfers), ["token_address"], ["out", "vin"], ["vin"], ["out"])
+    keys, roles = ["token_address"], ["out", "vin"]
+    out = balance_columns(activity(first_seen(_token_rows(xfers), keys), keys, roles), keys, roles, ["vin"], ["out"])
     if tokens is not None:
         t = tokens.select(F.col("address").alias("__a"), F.col("decimals").cast("long").alias("decimals"))
         out = out.join(t, out["token_address"] == t["__a"], "left").drop("__a")
@@ -145,7 +188,7 @@ def native_roles(traces: DataFrame, txs: DataFrame) -> DataFrame:
 
 def native_balances(traces: DataFrame, txs: DataFrame) -> DataFrame:
     """A10: ``value = cnb + vin - out - fee`` per address, with per-role activity stats."""
-    out = balances_of(tx_partials(native_roles(traces, txs), []), [], NATIVE_ROLES, ["cnb", "vin"], ["out", "fee"])
+    out = balance_columns(activity(first_seen(native_roles(traces, txs), []), [], NATIVE_ROLES), [], NATIVE_ROLES, ["cnb", "vin"], ["out", "fee"])
     keep = [c for c in out.columns if not c.startswith("fee_") or c == "fee_value"]
     return out.select(*keep).withColumn("balance", F.lit(None).cast("string"))
 

@@ -100,3 +100,45 @@ def test_selectors_join_as_a_table(spark):
     assert "EvalPython" not in _plan(out)  # an aggregate and a walk between shuffle and join kept a hot code in one task
     got = {r.address: r.func_sighashes for r in out.collect()}
     assert len(got) == 60 and got["0x1"] == "0x18160ddd" and got["0x0"] == "0xa9059cbb" and got["0x3"] is None
+
+
+XFER = "block_timestamp timestamp_ntz, blknum long, txhash string, token_address string, from_address string, to_address string, value string"
+TRACE = "block_timestamp timestamp_ntz, blknum long, txhash string, is_coinbase boolean, is_in boolean, pxhash string, vout_idx int, address string, value long"
+
+
+def _stats(rows, key) -> dict:
+    """Per key and role: blocks, txs, xfers, value, first and last time and block, by plain Python."""
+    out: dict = {}
+    for r in rows:
+        out.setdefault(key(r), []).append(r)
+    return {k: (len({r["b"] for r in v} - {None}), len({(r["b"], r["x"]) for r in v if r["x"] is not None}), len(v), str(sum(int(r["v"] or 0) for r in v)),
+                min((r["b"] for r in v if r["b"] is not None), default=None), max((r["b"] for r in v if r["b"] is not None), default=None)) for k, v in out.items()}
+
+
+def _of(got, role) -> tuple:
+    return tuple(got[f"{role}_{c}"] for c in ("blocks", "txs", "xfers", "value", "1th_blknum", "nth_blknum"))
+
+
+def test_token_balances_keep_no_transaction_in_a_hash_map(spark):
+    import random
+
+    from chainframe.operators import balances as BL
+
+    rnd = random.Random(3)
+    values = ["0", "1", "+5", "-7", None, str(2**256 - 1), str(10**18), str(10**9 - 1), "9" * 90, "1" * 91]
+    rows = [(T0 + dt.timedelta(hours=i % 50), rnd.choice([None, 1, 2, 3, 70]), rnd.choice([None, "a", "b", f"t{i}"]), rnd.choice(["k", "l", None]),
+             rnd.choice(["x", "y", None]), rnd.choice(["x", "z"]), rnd.choice(values)) for i in range(600)]
+    df = spark.createDataFrame(rows, XFER)
+    out = BL.token_balances(df)
+    want = _stats([{"a": r[c], "t": r[3], "role": role, "b": r[1], "x": r[2], "v": None if r[6] and len(r[6]) > 90 else r[6]} for r in rows for role, c in (("out", 4), ("vin", 5)) if r[c]],
+                  lambda r: (r["a"], r["t"], r["role"]))
+    got = {(r.address, r.token_address): r for r in out.collect()}
+    assert set(got) == {k[:2] for k in want}
+    for (a, t), r in got.items():
+        for role in ("out", "vin"):
+            assert _of(r, role) == want.get((a, t, role), (0, 0, 0, "0", None, None))
+        assert int(r.value) == int(r.vin_value) - int(r.out_value)
+    keys = [l for l in _plan(out).splitlines() if l.startswith("Keys")]
+    assert keys and not any("txhash" in k or "blknum" in k for k in keys)  # formerly in six of ten
+    dealt = _plan(BL.token_balances(df.repartition(4, "blknum")).drop("decimals"))
+    assert dealt.count("hashpartitioning(") == 2  # by block, by address and token; formerly two more
