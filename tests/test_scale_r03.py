@@ -142,3 +142,20 @@ def test_token_balances_keep_no_transaction_in_a_hash_map(spark):
     assert keys and not any("txhash" in k or "blknum" in k for k in keys)  # formerly in six of ten
     dealt = _plan(BL.token_balances(df.repartition(4, "blknum")).drop("decimals"))
     assert dealt.count("hashpartitioning(") == 2  # by block, by address and token; formerly two more
+
+
+def test_large_fixture_joins_are_dealt_by_rows(spark, tmp_dir, monkeypatch):
+    from chainframe.sources import fixtures as FX
+
+    orders = spark.range(100).selectExpr("id AS o_orderkey", "id % 7 AS o_custkey", "IF(id % 3 = 0, 'P', 'F') AS o_orderstatus", "TIMESTAMP_NTZ '2024-01-01 00:00:00' AS o_orderdate")
+    lines = spark.range(900).selectExpr("IF(id % 50 = 9, NULL, id % 120) AS l_orderkey", "id % 31 AS l_partkey", "id % 5 AS l_suppkey", "CAST(id % 4 AS INT) AS l_linenumber",
+                                        "CAST(id AS DOUBLE) AS l_extendedprice", "TIMESTAMP_NTZ '2024-01-02 00:00:00' AS l_shipdate")
+    orders.write.parquet(tmp_dir + "/orders.parquet")
+    lines.write.parquet(tmp_dir + "/lineitem.parquet")
+    for name in ("token_xfers", "btc_traces"):
+        monkeypatch.setattr(FX, "ROWS_A_TASK", 250_000)
+        few = FX.load(spark, tmp_dir, name)
+        monkeypatch.setattr(FX, "ROWS_A_TASK", 90)
+        many = FX.load(spark, tmp_dir, name)
+        assert "REPARTITION_BY_NUM" in _plan(many) and "REPARTITION_BY_NUM" not in _plan(few)  # formerly never
+        assert sorted(map(repr, many.collect())) == sorted(map(repr, few.collect()))
