@@ -144,6 +144,32 @@ def test_token_balances_keep_no_transaction_in_a_hash_map(spark):
     assert dealt.count("hashpartitioning(") == 2  # by block, by address and token; formerly two more
 
 
+def test_packed_text_is_one_to_one(spark):
+    from chainframe.operators import utxo as UT
+
+    texts = [None, "", "0x", "0", "0x0", "0x00", "0xab", "0xAB", "0Xab", "ab", "\x00ab", "0xag", "0x" + "0f" * 32, "0x" + "0f" * 31 + "0F", "bc1q", "é", "0xé", "1;2"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    rows = df.select("t", UT.packed(F.col("t")).alias("p"), UT.unpacked(UT.packed(F.col("t"))).alias("u")).collect()
+    assert all(r.t == r.u for r in rows) and len({None if r.p is None else bytes(r.p) for r in rows}) == len(texts)
+    assert len(next(r.p for r in rows if r.t == "0x" + "0f" * 32)) == 33
+
+
+def test_utxo_links_shuffle_bytes_dealt_by_transaction(spark):
+    from chainframe.operators import utxo as UT
+
+    h = lambda i: None if i == 99 else f"0x{i:064x}"
+    rows = [(T0, i % 7, h(i), i % 3 == 0 if i % 11 else None, False, None, k, None if (i + k) % 13 == 0 else f"0x{(i + k) % 5:040x}" if k % 2 else "bc1", 10 * i + k)
+            for i in [*range(40), 3, 99] for k in [0, 1, 63, 64, 200]]
+    rows += [(T0, i % 9, h(i), False, True, p, k, None, 0) for i in range(40) for p, k in ((h(i - 1) if i else None, i % 2), (h(i + 2), 64), ("gone", 0), (h(i + 2), 65), (h(i), None))]
+    df = spark.createDataFrame(rows, TRACE)
+    spent = {(r[5], r[6]) for r in rows if r[4] and None not in r[5:7]}
+    left = UT.utxo_set(df).select("txhash", "vout_idx", "address", "value")
+    key = lambda r: tuple(map(repr, r))
+    assert sorted(map(tuple, left.collect()), key=key) == sorted(((r[2], r[6], r[7], r[8]) for r in rows if not r[4] and (r[2], r[6]) not in spent), key=key)
+    plan = _plan(UT.utxo_set(df))
+    assert "hashpartitioning(__px" in plan and "hashpartitioning(txhash" not in plan  # formerly dealt as text
+
+
 def test_large_fixture_joins_are_dealt_by_rows(spark, tmp_dir, monkeypatch):
     from chainframe.sources import fixtures as FX
 
