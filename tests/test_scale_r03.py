@@ -166,6 +166,14 @@ def test_utxo_links_shuffle_bytes_dealt_by_transaction(spark):
     left = UT.utxo_set(df).select("txhash", "vout_idx", "address", "value")
     key = lambda r: tuple(map(repr, r))
     assert sorted(map(tuple, left.collect()), key=key) == sorted(((r[2], r[6], r[7], r[8]) for r in rows if not r[4] and (r[2], r[6]) not in spent), key=key)
+    moves = [{"a": r[7], "role": "cnb" if r[3] else "vin", "b": r[1], "x": r[2], "v": r[8]} for r in rows if not r[4] and r[3] is not None and r[7] is not None]
+    moves += [{"a": o[7], "role": "out", "b": i[1], "x": i[2], "v": o[8]} for i in rows if i[4] and i[5] and i[6] is not None for o in rows if not o[4] and (o[2], o[6]) == (i[5], i[6]) and o[7]]
+    want = _stats(moves, lambda r: (r["a"], r["role"]))
+    got = {r.address: r for r in UT.balances(df).collect()}
+    assert set(got) == {a for a, _ in want}
+    for a, r in got.items():
+        assert all(_of(r, role) == want.get((a, role), (0, 0, 0, "0", None, None)) for role in ("out", "vin", "cnb"))
+        assert int(r.value) == int(r.cnb_value) + int(r.vin_value) - int(r.out_value)
     plan = _plan(UT.utxo_set(df))
     assert "hashpartitioning(__px" in plan and "hashpartitioning(txhash" not in plan  # formerly dealt as text
 
