@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from chainframe.functions import u256 as U
+from chainframe.functions.evm import packed, unpacked
 from chainframe.operators.windows import bucketed_running_sum
 from chainframe.session import stored
 
@@ -209,23 +210,69 @@ def _limbs(names: list[str]) -> list[Column]:
     return [F.col(c) for c in names]
 
 
+#: a key's history is summed in one task while its rows, with those of the keys in its hash bucket, have fewer bytes
+HOT_BYTES = 64 * 2 ** 20
+KEY_BUCKETS = 65_536
+#: stands for NULL among packed tokens, which have a byte at least: a key that can't be NULL gets no filters
+NO_TOKEN = b""
+
+
+def _moves(xfers: DataFrame) -> DataFrame:
+    """One row per (transfer, side) in few bytes: packed address and token_address, ``move`` (1 for
+    receipts or 0, then the value: 1 and two digits a byte, or 0 and its text) and blknum; ``__h`` is
+    the hash bucket of (address, token_address)."""
+    value = F.coalesce(F.col("value"), F.lit("0"))
+    number = F.coalesce(F.concat(F.unhex(F.lit("01")), F.unhex(value)), F.concat(F.unhex(F.lit("00")), value.cast("binary")))
+    t = xfers.select(packed(F.col("from_address")).alias("from_address"), packed(F.col("to_address")).alias("to_address"),
+                     F.coalesce(packed(F.col("token_address")), F.lit(NO_TOKEN)).alias("token_address"), number.alias("__number"), "blknum")
+    side = lambda c, tag: F.struct(F.col(c).alias("address"), F.concat(F.unhex(F.lit(tag)), F.col("__number")).alias("move"))
+    rows = t.select("token_address", "blknum", F.explode(F.array(side("from_address", "00"), side("to_address", "01"))).alias("__r")) \
+        .select("__r.address", "token_address", "__r.move", "blknum").filter(F.col("address").isNotNull())
+    return rows.withColumn("__h", F.pmod(F.xxhash64("address", "token_address"), F.lit(KEY_BUCKETS)).cast("int"))
+
+
+def _net_parts(rows: DataFrame) -> DataFrame:
+    """Rows of ``_moves`` with ``inward`` and the signed value as long parts ``net<k>``."""
+    body, zero = F.substring("move", 3, 2 ** 31 - 1), F.lit(0).cast("long")
+    value = F.when(F.substring("move", 2, 1) == F.unhex(F.lit("01")), F.hex(body)).otherwise(body.cast("string"))
+    rows = rows.select("address", "token_address", "blknum", (F.substring("move", 1, 1) == F.unhex(F.lit("01"))).alias("inward"), value.alias("value"))
+    parts = [F.coalesce(p, zero) for p in U.to_parts(F.col("value"))]
+    return rows.select("address", "token_address", "blknum", "inward",
+                       *[F.when(F.col("inward"), p).otherwise(-p).alias(f"net{k}") for k, p in enumerate(parts)])
+
+
 def balance_history(xfers: DataFrame, *, width: int = 1_000_000) -> DataFrame:
     """Running totals per (address, token) at every block where it changed.
 
-    Per-block transfers and net limbs first (one row per address, token, block), then bucketed
-    running sums of those alone, so a hot address is split by block range."""
-    rows = _fan_out(xfers, {"out": "from_address", "vin": "to_address"}, ["token_address"])
-    sign = F.when(F.col("role") == "vin", 1).otherwise(-1)
-    net = [f"net{k}" for k in range(NL)]
-    limbs = [F.coalesce(l, F.lit(0).cast(U.DEC)) for l in U.to_limbs(F.col("value"))]
-    flat = rows.select("address", "token_address", "role", "blknum",
-                       *[F.when(sign > 0, l).otherwise(-l).alias(c) for c, l in zip(net, limbs)])
-    per_block = flat.groupBy("address", "token_address", "blknum").agg(
-        F.count_if(F.col("role") == "out").alias("out_xfers"), F.count_if(F.col("role") == "vin").alias("vin_xfers"),
-        *[F.sum(c).cast(U.DEC).alias(c) for c in net])
-    run = _running(per_block, ["token_address"], ["out_xfers", "vin_xfers", *net], width)
-    return run.select("address", "token_address", "blknum", F.col("cum_out_xfers").cast("long").alias("out_xfers"),
-                      F.col("cum_vin_xfers").cast("long").alias("vin_xfers"), U.limbs_to_string(_limbs([f"cum_{c}" for c in net])).alias("value"))
+    Rows are shuffled once, packed, to the task of their (address, token), which sorts and sums
+    them; the last row of a block has the block's totals. Nothing is stored. Rows of hot keys, whose
+    hash buckets hold over ``HOT_BYTES``, go another way: per-block sums, combined map-side, then
+    bucketed running sums, so a hot key is split by ranges of ``width`` blocks. Which buckets are
+    hot is counted first; their numbers are broadcast (at most all bytes / ``HOT_BYTES``)."""
+    keys, parts = ["address", "token_address"], [f"net{k}" for k in range(2 * NL)]
+    cols = ["out_xfers", "vin_xfers", *parts]
+    rows = _moves(xfers)
+    size = F.lit(128) + F.length("move")
+    hot = F.broadcast(rows.groupBy("__h").agg(F.sum(size).alias("__bytes")).filter(F.col("__bytes") > HOT_BYTES).select(F.col("__h").alias("__hot")))
+    is_hot = F.col("__h") == F.col("__hot")
+    count = lambda into: F.count_if(F.col("inward") if into else ~F.col("inward"))
+
+    cold = _net_parts(rows.join(hot, is_hot, "left_anti").drop("__h").repartition(*keys))
+    w = Window.partitionBy(*keys).orderBy("blknum")  # up to the last row of the block
+    ends = F.lead(F.lit(1)).over(w).isNull() | ~F.col("blknum").eqNullSafe(F.lead("blknum").over(w))
+    cold = cold.select(*keys, "blknum", ends.alias("__ends"), count(False).over(w).alias("cum_out_xfers"), count(True).over(w).alias("cum_vin_xfers"),
+                       *[F.sum(c).over(w).alias(f"cum_{c}") for c in parts]).filter("__ends").drop("__ends")
+
+    per_block = _net_parts(rows.join(hot, is_hot, "left_semi")).groupBy(*keys, "blknum").agg(
+        count(False).alias("out_xfers"), count(True).alias("vin_xfers"), *[F.sum(c).alias(c) for c in parts])
+    split = bucketed_running_sum(per_block, keys, "blknum", cols, width=width).select(cold.columns)
+
+    token = F.when(F.col("token_address") != F.lit(NO_TOKEN), F.col("token_address"))
+    known = token.isNotNull() & F.col("blknum").isNotNull()  # rows without a token or block have no totals
+    value = U.limbs_to_string(U.limbs_of_parts([f"cum_{c}" for c in parts]))
+    return cold.unionByName(split).select(
+        unpacked(F.col("address")).alias("address"), unpacked(token).alias("token_address"), "blknum",
+        *[F.when(known, F.col(f"cum_{c}")).cast("long").alias(c) for c in cols[:2]], F.when(known, value).alias("value"))
 
 
 def native_balance_history(traces: DataFrame, txs: DataFrame, *, width: int = 1_000_000) -> DataFrame:
