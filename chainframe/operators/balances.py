@@ -257,7 +257,7 @@ def balance_history(xfers: DataFrame, *, width: int = 1_000_000) -> DataFrame:
     is_hot = F.col("__h") == F.col("__hot")
     count = lambda into: F.count_if(F.col("inward") if into else ~F.col("inward"))
 
-    cold = _net_parts(rows.join(hot, is_hot, "left_anti").drop("__h").repartition(*keys))
+    cold = _net_parts(rows.join(hot, is_hot, "left_anti").drop("__h").repartition(*keys).sortWithinPartitions(*keys, "blknum"))
     w = Window.partitionBy(*keys).orderBy("blknum")  # up to the last row of the block
     ends = F.lead(F.lit(1)).over(w).isNull() | ~F.col("blknum").eqNullSafe(F.lead("blknum").over(w))
     cold = cold.select(*keys, "blknum", ends.alias("__ends"), count(False).over(w).alias("cum_out_xfers"), count(True).over(w).alias("cum_vin_xfers"),
